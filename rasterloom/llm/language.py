@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from rasterloom.llm import kernel as K
 
@@ -226,7 +226,5 @@ def identify(docs: DataFrame, net: Network | None, least: float = 0.0) -> DataFr
             score = [min(1.0, round(float(v), 6)) if ok else 0.0 for v, ok in zip(p[np.arange(len(p)), best].tolist(), plain)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
-    schema = docs.schema
-    for name, kind in (("lang_pred", "string"), ("score", "double")):
-        schema = schema.add(name, kind)
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(run, schema)
