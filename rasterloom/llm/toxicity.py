@@ -101,7 +101,7 @@ def features(folded: str, shortest: int = 2, longest: int = 12) -> set[str]:
     return out
 
 
-def learn(toxic: list[str], clean: list[str], least: int = 5, share: float = 0.02, odds: float = 10.0, exceptions=()) -> Lexicon:
+def learn(toxic: list[str], clean: list[str], least: int = 3, share: float = 0.02, odds: float = 40.0, exceptions=()) -> Lexicon:
     """A lexicon from texts. least, share: an entry is in so many toxic texts, and in this share of them. odds: the least ratio of the shares of toxic and of clean texts that have an entry."""
     if not toxic or not clean:
         return Lexicon({})
