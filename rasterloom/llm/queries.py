@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rasterloom.llm import fingerprints, language, mixing, packing, secrets, token_counts, toxicity
+from rasterloom.llm import fingerprints, language, lm_scoring, mixing, packing, secrets, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", language.held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = lm_scoring.score(docs, docs.where(~language.held_out("doc_id", 10, 0)))
+    return rows.select("doc_id", language.held_out("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = language.train(docs.where(~language.held_out("doc_id", 4, 2)).select("doc_id", "text", "lang"))
@@ -55,5 +61,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.pieces_of(tokenizer_file("piece_bpe_32k.model")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op3_mixing, op4_toxicity, op7_language_id, op8_secret_scans, op9_packing, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op3_mixing, op4_toxicity, op5_lm_scoring, op7_language_id, op8_secret_scans, op9_packing, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL}
