@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rasterloom.llm import fingerprints, language, lm_scoring, mixing, packing, secrets, token_counts, toxicity, vector_search
+from rasterloom.llm import fingerprints, jaccard, language, lm_scoring, mixing, packing, secrets, token_counts, toxicity, vector_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", language.held_out("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = language.train(docs.where(~language.held_out("doc_id", 4, 2)).select("doc_id", "text", "lang"))
@@ -65,5 +69,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.pieces_of(tokenizer_file("piece_bpe_32k.model")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_vector_search, op3_mixing, op4_toxicity, op5_lm_scoring, op7_language_id, op8_secret_scans, op9_packing, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_vector_search, op3_mixing, op4_toxicity, op5_lm_scoring, op6_jaccard_join, op7_language_id, op8_secret_scans, op9_packing, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op2_vector_search": vector_search.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL}
