@@ -1,4 +1,78 @@
+"""From documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Every
+stage works on all rows its predecessor kept. Nulls, empty texts, repeated rows, empty tables and further columns are
+handled as the operators' docstrings say; rows with a null doc_id cannot be told apart and stay where ids decide.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from rasterloom.llm import jaccard, language, mixing, packing, secrets
+from rasterloom.llm.queries import table, tokenizer_file
+from rasterloom.llm.shared import as_parquet, saved
+
+#: Mean probability that the likeliest language must have; documents without a letter have 0.
+LEAST_LANGUAGE = 0.35
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages learned from the labels; those without a letter or any likely language go.
+
+    Where nothing can be learned (no labels), documents with a letter stay.
+    """
+    net = language.train(docs.select("doc_id", "text", "lang"))
+    if net is None:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    named = docs.withColumnsRenamed({c: f"_{c}" for c in ("lang_pred", "score") if c in docs.columns})
+    rows = language.identify(named, net).where(F.col("score") >= LEAST_LANGUAGE)
+    return rows.drop("lang_pred", "score").toDF(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each class of documents linked by their word shingles."""
+    classes = saved(jaccard.classes(docs))
+    others = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    rows = docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    if classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rows
+    one = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return one.unionByName(rows.where("doc_id IS NULL"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each secret in their texts replaced by a mark."""
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target asks for."""
+    return mixing.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 1024 tokens."""
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
+]
+
+#: SQL can express neither the learned stages nor the packing; the tests compare the stages with plain versions.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages' result over the documents of sf_dir; what a stage returns is written and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = as_parquet(docs, name)
+    return docs

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from rasterloom.llm.shared import saved
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large: each node's larger neighbours are tied to the least of its neighbourhood. Small: the others and itself."""
@@ -22,10 +24,10 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     Edges are never collected: the rounds, of which there are about as many as the logarithm of a component's size, end
     when the sums over all edges no longer change.
     """
-    edges = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct().checkpoint()
+    edges = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct().transform(saved)
     mark = None
     while True:
-        edges = _star(_star(edges, True).where("u <> v"), False).checkpoint()
+        edges = _star(_star(edges, True).where("u <> v"), False).transform(saved)
         now = edges.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("least"))

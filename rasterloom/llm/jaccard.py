@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from rasterloom.llm import kernel as K
 from rasterloom.llm.components import components
 from rasterloom.llm.lm_scoring import Tally, threshold
+from rasterloom.llm.shared import saved
 
 ENTRY = np.dtype([("key", "<i8"), ("set", "<i8"), ("n", "<i4")])
 
@@ -193,13 +194,13 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     side = lambda s, *cols: sets.select(F.col("set").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cols])
     bound = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b")
-    bound = bound.select("a", "b", "n_a", "n_b", least("n_a", "n_b", "sketch_a", "sketch_b").alias("lo")).checkpoint()
+    bound = bound.select("a", "b", "n_a", "n_b", least("n_a", "n_b", "sketch_a", "sketch_b").alias("lo")).transform(saved)
     far = F.col("lo") > 1 - percent / 100 + 1e-9
     exact = bound.where(~far).join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
     exact = exact.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), common("shingles_a", "shingles_b").alias("same"))
     d = 1 - F.col("same") / (F.col("total") - F.col("same"))
     exact = exact.select("a", "b", (100 * F.col("same") >= percent * (F.col("total") - F.col("same"))).alias("linked"), d.alias("lo"), d.alias("hi"))
-    return exact.unionByName(bound.where(far).select("a", "b", F.lit(False).alias("linked"), "lo", F.lit(1.0).alias("hi"))).checkpoint()
+    return exact.unionByName(bound.where(far).select("a", "b", F.lit(False).alias("linked"), "lo", F.lit(1.0).alias("hi"))).transform(saved)
 
 
 def candidates(members: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -236,29 +237,29 @@ def classes(docs: DataFrame, percent: int = 75, width: int = 5, small: int = 64,
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    told = sets_and_sample(rows, width, min(1.0, sample / max(1, rows.count()))).checkpoint()
+    told = sets_and_sample(rows, width, min(1.0, sample / max(1, rows.count()))).transform(saved)
     points = told.where("kind = 0").select("id", "set", "n")
 
-    counts = told.where("kind = 1").groupBy("set").agg(F.sum("n").alias("n")).where("n >= 3").checkpoint()
+    counts = told.where("kind = 1").groupBy("set").agg(F.sum("n").alias("n")).where("n >= 3").transform(saved)
     keys, n = (c.to_numpy() for c in counts.where(F.col("n") >= threshold(counts, most_frequent)).toArrow().columns)
     by = np.argsort(keys)
     frequent = keys[by], np.minimum(np.log2(n[by]) * 4, 63).astype(np.int64)
     total = points.agg(F.sum("n")).first()[0] or 0
-    near = regions(rows, width, percent, frequent, max(4 * parts, math.ceil(total / 1_500_000))).checkpoint()
+    near = regions(rows, width, percent, frequent, max(4 * parts, math.ceil(total / 1_500_000))).transform(saved)
 
-    sets = set_table(rows, near.select("set").distinct(), width).checkpoint()
+    sets = set_table(rows, near.select("set").distinct(), width).transform(saved)
     first = Window.partitionBy("key")
     near = near.withColumn("first", F.min("set").over(first))
     done = compare(near.where("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b")).distinct(), sets, percent)
     known = done.select(F.col("a").alias("first"), F.col("b").alias("set"), "lo", "hi")
     near = near.join(known, ["first", "set"], "left").select("key", "set", "n", F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(0.0)).alias("hi"))
     while True:
-        tree = components(done.where("linked"), "a", "b").select(F.col("node").alias("set"), F.col("least").alias("c")).checkpoint()
+        tree = components(done.where("linked"), "a", "b").select(F.col("node").alias("set"), F.col("least").alias("c")).transform(saved)
         open_ = near.join(tree, "set", "left").withColumn("c", F.coalesce("c", "set"))
         split = Window.partitionBy("key")
         open_ = open_.withColumn("_a", F.min("c").over(split)).withColumn("_b", F.max("c").over(split)).where("_a <> _b")
         size, place = F.count("*").over(split), F.row_number().over(split.orderBy("set"))
-        open_ = open_.withColumn("pivot", place <= F.greatest(F.lit(small), F.ceil(size / 8))).drop("_a", "_b").checkpoint()
+        open_ = open_.withColumn("pivot", place <= F.greatest(F.lit(small), F.ceil(size / 8))).drop("_a", "_b").transform(saved)
         if open_.isEmpty():
             break
         pairs = candidates(open_, percent, parts).join(done.select("a", "b"), ["a", "b"], "left_anti")

@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from rasterloom.llm import kernel as K
+from rasterloom.llm.shared import saved
 
 SPACE, END, PAD = 0x20, 0x0A, 0
 #: The word hash that stands for the end of a text.
@@ -231,7 +232,7 @@ def arrays(df: DataFrame) -> list[np.ndarray]:
 def score(docs: DataFrame, training: DataFrame, order: int = 5, most_nodes: int = 100_000, most_words: int = 500_000) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of docs, by a model of training."""
     spark = docs.sparkSession
-    table = counts(training, order).checkpoint()
+    table = counts(training, order).transform(saved)
     words = table.where("kind = 0").select("key", "n")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
 
@@ -242,7 +243,7 @@ def score(docs: DataFrame, training: DataFrame, order: int = 5, most_nodes: int
     # a context that would reach over the beginning of a text is not one
     starts = (F.col("k") == 0) | (F.expr("shiftright(key, 8 * k) & 255") != PAD)
     edges = edges.where(starts).select((own + F.col("k").cast("long") * (1 << 56)).alias("id"), F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("symbol"), "n")
-    edges = edges.groupBy("id", "symbol").agg(F.sum("n").alias("n")).checkpoint()
+    edges = edges.groupBy("id", "symbol").agg(F.sum("n").alias("n")).transform(saved)
     contexts = edges.groupBy("id").agg(F.sum("n").alias("n"))
     chosen = contexts.where(F.col("n") >= threshold(contexts, most_nodes)).select("id")
     trie = build(*arrays(edges.join(chosen, "id").select("id", "symbol", "n")), order)
@@ -275,7 +276,7 @@ def score(docs: DataFrame, training: DataFrame, order: int = 5, most_nodes: int
                 yield pa.RecordBatch.from_arrays(col, names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, logs double, score double, rare array<long>").checkpoint()
+    scored = rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, logs double, score double, rare array<long>").transform(saved)
     rare = scored.select("row", F.explode("rare").alias("key")).join(words.where(F.col("n") < least), "key", "left")
     rare = rare.groupBy("row").agg(F.count("n").alias("_known"), F.sum(F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.1)).alias("_logs"))
     every = float(np.log10(total + 0.1 * (kinds + 1)))

@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rasterloom.llm.shared import saved
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -50,7 +52,7 @@ def deal(rows: DataFrame, group: str, order: list) -> DataFrame:
     Two checkpoints: the deal reads its input twice (to find the ranges), and a later read must find the same ranges.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.checkpoint().repartitionByRange(n, F.col(group).asc_nulls_last(), *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    return rows.transform(saved).repartitionByRange(n, F.col(group).asc_nulls_last(), *order).withColumn("_part", F.spark_partition_id()).transform(saved)
 
 
 def number(dealt: DataFrame, group: str, order: list, name: str = "number") -> DataFrame:
@@ -84,7 +86,7 @@ def copies(docs: DataFrame, weights=(5, 2, 1), most: int = 3, offset: float = 0.
 def mix(docs: DataFrame, **how) -> DataFrame:
     """docs, each row as often as it has copies. Rows that share a doc_id share its copies evenly."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    taken = copies(docs, **how).groupBy(key.alias("_key")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).checkpoint()
+    taken = copies(docs, **how).groupBy(key.alias("_key")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).transform(saved)
     rows = docs.withColumn("_key", key).join(taken, "_key")
     if (taken.agg(F.max("_rows")).first()[0] or 0) > 1:
         place = F.row_number().over(Window.partitionBy("_key").orderBy("text", "source"))
