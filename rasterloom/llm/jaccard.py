@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from rasterloom.llm import kernel as K
 from rasterloom.llm.components import components
 from rasterloom.llm.lm_scoring import Tally, threshold
-from rasterloom.llm.shared import saved
+from rasterloom.llm.shared import as_parquet, saved
 
 ENTRY = np.dtype([("key", "<i8"), ("set", "<i8"), ("n", "<i4")])
 
@@ -194,7 +194,7 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     side = lambda s, *cols: sets.select(F.col("set").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cols])
     bound = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b")
-    bound = bound.select("a", "b", "n_a", "n_b", least("n_a", "n_b", "sketch_a", "sketch_b").alias("lo")).transform(saved)
+    bound = bound.select("a", "b", "n_a", "n_b", least("n_a", "n_b", "sketch_a", "sketch_b").alias("lo")).transform(as_parquet, "bounds")
     far = F.col("lo") > 1 - percent / 100 + 1e-9
     exact = bound.where(~far).join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
     exact = exact.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), common("shingles_a", "shingles_b").alias("same"))
@@ -237,7 +237,7 @@ def classes(docs: DataFrame, percent: int = 75, width: int = 5, small: int = 64,
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    told = sets_and_sample(rows, width, min(1.0, sample / max(1, rows.count()))).transform(saved)
+    told = sets_and_sample(rows, width, min(1.0, sample / max(1, rows.count()))).transform(as_parquet, "sets")
     points = told.where("kind = 0").select("id", "set", "n")
 
     counts = told.where("kind = 1").groupBy("set").agg(F.sum("n").alias("n")).where("n >= 3").transform(saved)
@@ -245,9 +245,9 @@ def classes(docs: DataFrame, percent: int = 75, width: int = 5, small: int = 64,
     by = np.argsort(keys)
     frequent = keys[by], np.minimum(np.log2(n[by]) * 4, 63).astype(np.int64)
     total = points.agg(F.sum("n")).first()[0] or 0
-    near = regions(rows, width, percent, frequent, max(4 * parts, math.ceil(total / 1_500_000))).transform(saved)
+    near = regions(rows, width, percent, frequent, max(4 * parts, math.ceil(total / 1_500_000))).transform(as_parquet, "regions")
 
-    sets = set_table(rows, near.select("set").distinct(), width).transform(saved)
+    sets = set_table(rows, near.select("set").distinct(), width).transform(as_parquet, "shingles")
     first = Window.partitionBy("key")
     near = near.withColumn("first", F.min("set").over(first))
     done = compare(near.where("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b")).distinct(), sets, percent)
