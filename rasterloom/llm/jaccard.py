@@ -23,10 +23,12 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rasterloom.llm import kernel as K
@@ -78,25 +80,29 @@ def sketch_distance(a: bytes, b: bytes) -> int:
 
 
 def sets_and_sample(docs: DataFrame, width: int, rate: float) -> DataFrame:
-    """kind 0: doc_id, set, n of each row; kind 1: shingle and its count in a share of the sets, by task."""
-    names, room = ["kind", "id", "set", "n"], int(rate * (1 << 63))
+    """kind 0: doc_id, set, n of each row, and the sketch of a set new to the task; kind 1: shingle and its count in a
+    share of the sets, by task."""
+    names, room = ["kind", "id", "set", "n", "sketch"], int(rate * (1 << 63))
 
     def run(batches):
-        tally, seen = Tally(), set()
+        tally, seen, drawn = Tally(), set(), set()
         for b in batches:
             ids = b.column(0)
             for lo, hi, h, first, sets in shingle_sets(b.column(1), width):
                 n = np.diff(first)
+                sketches: list = [None] * len(n)
+                for i in new_sets(drawn, sets, n).tolist():
+                    sketches[i] = odd_sketch(h[first[i] : first[i + 1]])
                 pick = new_sets(seen, sets, np.where(K.mix(sets.view(np.uint64)) >> np.uint64(1) <= np.uint64(room), n, 0))
                 for i in pick:
                     tally.add(h[first[i] : first[i + 1]].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), ids.slice(lo, hi - lo), pa.array(sets), pa.array(n)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), ids.slice(lo, hi - lo), pa.array(sets), pa.array(n), pa.array(sketches, pa.binary())], names)
         key, count = tally.merge()
         for i in range(0, len(key), 50_000):
             k = key[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), pa.nulls(len(k), pa.int64()), pa.array(k), pa.array(count[i : i + 50_000])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), pa.nulls(len(k), pa.int64()), pa.array(k), pa.array(count[i : i + 50_000]), pa.nulls(len(k), pa.binary())], names)
 
-    return docs.mapInArrow(run, "kind int, id long, set long, n long")
+    return docs.mapInArrow(run, "kind int, id long, set long, n long, sketch binary")
 
 
 def regions(docs: DataFrame, width: int, percent: int, frequent, count: int) -> DataFrame:
@@ -154,53 +160,59 @@ def regions(docs: DataFrame, width: int, percent: int, frequent, count: int) ->
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, width: int, most: int = 2_000_000) -> DataFrame:
-    """set, n, sketch and shingles (packed) of the wanted sets.
+    """set and shingles (packed) of the wanted sets (set, id of a document that has it).
 
-    Up to `most` wanted ids are broadcast, so that other sets stay where they are; beyond, all are sent to the join.
+    Up to `most` wanted ids are broadcast, so that other texts are not looked at; beyond, all are sent to the join.
     """
     ids = None
     if wanted.count() <= most:
-        ids = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column(0).to_numpy()))
-    names = ["set", "n", "sketch", "shingles"]
+        got = wanted.toArrow()
+        ids = docs.sparkSession.sparkContext.broadcast((np.unique(got.column("set").to_numpy()), got.column("id").unique()))
 
     def run(batches):
         seen = set()
         for b in batches:
-            for _, _, h, first, sets in shingle_sets(b.column(0), width):
+            if ids is not None:
+                b = b.filter(pc.or_kleene(pc.is_in(b.column(0), value_set=ids.value[1]), pc.is_null(b.column(0))))
+            for _, _, h, first, sets in shingle_sets(b.column(1), width):
                 n = np.diff(first)
-                if ids is not None:
-                    at = np.minimum(np.searchsorted(ids.value, sets), max(len(ids.value) - 1, 0))
-                    n = np.where(ids.value[at] == sets, n, 0) if len(ids.value) else n * 0
+                if ids is not None and len(ids.value[0]):
+                    at = np.minimum(np.searchsorted(ids.value[0], sets), len(ids.value[0]) - 1)
+                    n = np.where(ids.value[0][at] == sets, n, 0)
                 own = new_sets(seen, sets, n)
                 if len(own):
-                    parts = [h[first[i] : first[i + 1]] for i in own]
-                    yield pa.RecordBatch.from_arrays([pa.array(sets[own]), pa.array(n[own]), pa.array([odd_sketch(p) for p in parts], pa.binary()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
+                    parts = [h[first[i] : first[i + 1]].tobytes() for i in own]
+                    yield pa.RecordBatch.from_arrays([pa.array(sets[own]), pa.array(parts, pa.binary())], ["set", "shingles"])
 
-    rows = docs.select("text").mapInArrow(run, "set long, n long, sketch binary, shingles binary")
-    return rows.join(wanted, "set", "left_semi").dropDuplicates(["set"])
+    rows = docs.select("id", "text").mapInArrow(run, "set long, shingles binary")
+    return rows.join(wanted.select("set").distinct(), "set", "left_semi").dropDuplicates(["set"])
 
 
-def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, linked, and bounds lo and hi of their distance, for pairs a, b. Equal bounds: the distance itself."""
+def bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """a, b, their sizes and a lower bound of their distance, for pairs a, b."""
 
     @F.pandas_udf("double")
     def least(n: pd.Series, m: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
         d = np.array([sketch_distance(a, b) for a, b in zip(x, y)], float)
         return pd.Series(np.maximum(2 * d / (n + m + d), 1 - np.minimum(n, m) / np.maximum(n, m)))
 
+    side = lambda s: sketches.select(F.col("set").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "n_a", "n_b", least("n_a", "n_b", "sketch_a", "sketch_b").alias("lo"))
+
+
+def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, linked, lo and hi (both the distance) for pairs with their sizes."""
+
     @F.pandas_udf("long")
     def common(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in zip(x, y)], dtype="int64")
 
-    side = lambda s, *cols: sets.select(F.col("set").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cols])
-    bound = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b")
-    bound = bound.select("a", "b", "n_a", "n_b", least("n_a", "n_b", "sketch_a", "sketch_b").alias("lo")).transform(as_parquet, "bounds")
-    far = F.col("lo") > 1 - percent / 100 + 1e-9
-    exact = bound.where(~far).join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
-    exact = exact.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), common("shingles_a", "shingles_b").alias("same"))
+    side = lambda s: sets.select(F.col("set").alias(s), F.col("shingles").alias(f"shingles_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), common("shingles_a", "shingles_b").alias("same"))
     d = 1 - F.col("same") / (F.col("total") - F.col("same"))
-    exact = exact.select("a", "b", (100 * F.col("same") >= percent * (F.col("total") - F.col("same"))).alias("linked"), d.alias("lo"), d.alias("hi"))
-    return exact.unionByName(bound.where(far).select("a", "b", F.lit(False).alias("linked"), "lo", F.lit(1.0).alias("hi"))).transform(saved)
+    return both.select("a", "b", (100 * F.col("same") >= percent * (F.col("total") - F.col("same"))).alias("linked"), d.alias("lo"), d.alias("hi"))
 
 
 def candidates(members: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -239,6 +251,8 @@ def classes(docs: DataFrame, percent: int = 75, width: int = 5, small: int = 64,
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     told = sets_and_sample(rows, width, min(1.0, sample / max(1, rows.count()))).transform(as_parquet, "sets")
     points = told.where("kind = 0").select("id", "set", "n")
+    sketches = told.where("sketch IS NOT NULL").select("set", "n", "sketch").dropDuplicates(["set"])
+    holders = points.where("n > 0").groupBy("set").agg(F.min("id").alias("id"))
 
     counts = told.where("kind = 1").groupBy("set").agg(F.sum("n").alias("n")).where("n >= 3").transform(saved)
     keys, n = (c.to_numpy() for c in counts.where(F.col("n") >= threshold(counts, most_frequent)).toArrow().columns)
@@ -247,23 +261,51 @@ def classes(docs: DataFrame, percent: int = 75, width: int = 5, small: int = 64,
     total = points.agg(F.sum("n")).first()[0] or 0
     near = regions(rows, width, percent, frequent, max(4 * parts, math.ceil(total / 1_500_000))).transform(as_parquet, "regions")
 
-    sets = set_table(rows, near.select("set").distinct(), width).transform(as_parquet, "shingles")
-    first = Window.partitionBy("key")
-    near = near.withColumn("first", F.min("set").over(first))
-    done = compare(near.where("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b")).distinct(), sets, percent)
+    def settle(pairs: DataFrame, done: DataFrame | None, tree: DataFrame | None):
+        """Pairs' links and distances added to those done, and the new components (set, c).
+
+        One pair of each set is measured first; others only if that leaves them in two components.
+        """
+        low = bounded(pairs, sketches).transform(as_parquet, "bounds")
+        far = F.col("lo") > 1 - percent / 100 + 1e-9
+        found = [low.where(far).select("a", "b", F.lit(False).alias("linked"), "lo", F.lit(1.0).alias("hi"))]
+        found += [done] if done else []
+        close = low.where(~far)
+        one = close.groupBy("b").agg(F.min_by(F.struct("a", "n_a", "n_b"), "a").alias("p")).select("p.a", "b", "p.n_a", "p.n_b").transform(saved)
+        for step in range(2):
+            if step:
+                one = close.join(one.select("a", "b"), ["a", "b"], "left_anti")
+                for x in "ab":
+                    one = one.join(tree.select(F.col("set").alias(x), F.col("c").alias(f"c_{x}")), x, "left")
+                one = one.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "n_a", "n_b").transform(saved)
+            if one.isEmpty():
+                continue
+            wanted = one.select(F.col("a").alias("set")).unionByName(one.select(F.col("b").alias("set"))).distinct()
+            sets = set_table(rows, wanted.join(holders, "set"), width).transform(as_parquet, "shingles")
+            found.append(measured(one, sets, percent).transform(saved))
+            links = [f.where("linked") for f in found]
+            tree = components(reduce(DataFrame.unionByName, links), "a", "b").select(F.col("node").alias("set"), F.col("least").alias("c"))
+        return reduce(DataFrame.unionByName, found), tree
+
+    near = near.withColumn("first", F.min("set").over(Window.partitionBy("key")))
+    pairs = near.where("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b")).distinct()
+    none = docs.sparkSession.createDataFrame([], "set long, c long")
+    done, tree = settle(pairs, None, none)
     known = done.select(F.col("a").alias("first"), F.col("b").alias("set"), "lo", "hi")
-    near = near.join(known, ["first", "set"], "left").select("key", "set", "n", F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(0.0)).alias("hi"))
+    own = F.col("set") == F.col("first")
+    near = near.join(known, ["first", "set"], "left").select(
+        "key", "set", "n", F.coalesce("lo", F.lit(0.0)).alias("lo"), F.when(own, 0.0).otherwise(F.coalesce("hi", F.lit(1.0))).alias("hi")
+    )
     while True:
-        tree = components(done.where("linked"), "a", "b").select(F.col("node").alias("set"), F.col("least").alias("c")).transform(saved)
         open_ = near.join(tree, "set", "left").withColumn("c", F.coalesce("c", "set"))
         split = Window.partitionBy("key")
         open_ = open_.withColumn("_a", F.min("c").over(split)).withColumn("_b", F.max("c").over(split)).where("_a <> _b")
         size, place = F.count("*").over(split), F.row_number().over(split.orderBy("set"))
-        open_ = open_.withColumn("pivot", place <= F.greatest(F.lit(small), F.ceil(size / 8))).drop("_a", "_b").transform(saved)
+        open_ = open_.withColumn("pivot", place <= F.greatest(F.lit(small), F.ceil(size / 8))).drop("_a", "_b").transform(as_parquet, "open")
         if open_.isEmpty():
             break
         pairs = candidates(open_, percent, parts).join(done.select("a", "b"), ["a", "b"], "left_anti")
-        done = done.unionByName(compare(pairs, sets, percent))
+        done, tree = settle(pairs, done, tree)
         near = open_.where("NOT pivot").drop("pivot", "c")
     labelled = points.join(tree, "set", "left").select("id", "n", F.coalesce("c", "set").alias("c"), (F.col("n") > 0).alias("full"))
     least = labelled.where("full").groupBy("c").agg(F.min("id").alias("least"))
