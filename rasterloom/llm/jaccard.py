@@ -6,12 +6,14 @@ within distance 1 of it (those that hold it). Of a document's shingles, the |x|
 all shingles are enough: two linked documents share one of them. The order puts shingles that are frequent in a bounded
 sample last, which keeps regions small; any order finds all links. Equal sets are one point of the space.
 
-A region then has its own Voronoi pivots, whole documents. All its members' distances to its first pivot are found; pairs
-whose distances to it differ by more than 0.25 are apart (the triangle inequality), pairs of one component need no look. If
-a region has at most `small` documents all are pivots, else an eighth of them, with the members in their windows; what is
-left goes on as a smaller region, until every region has one component or no pair left. Candidate pairs are first bounded
-below by an odd sketch (the parity of a set's members by bit: two differ in no more bits than the sets in members), then
-compared shingle by shingle. Links, components and sets stay distributed.
+A region then has its own Voronoi pivots, whole documents. If it has at most `small` documents all are pivots, else the
+first eight and then, round by round, an eighth of those left. A pair of a pivot and a member is a candidate unless they
+are of one component, of sizes too different, of distances to the first pivot that differ by more than 0.25 (the triangle
+inequality), or together in too few regions for linked sets. What is left of a region goes on as a smaller one, until
+every region has one component or no pair left. Candidate pairs are first bounded below by an odd sketch (the parity of a
+set's members by bit: two differ in no more bits than the sets in members), then compared shingle by shingle, one pair of
+each set first, others only if that leaves two components. Links, components and sets stay distributed; the members of one
+region (24 bytes each, not their texts) meet in one task.
 
 Shingles and sets are told apart by 64-bit hashes.
 
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from rasterloom.llm import kernel as K
 from rasterloom.llm.components import components
 from rasterloom.llm.lm_scoring import Tally, threshold
-from rasterloom.llm.shared import as_parquet, saved
+from rasterloom.llm.shared import as_parquet, saved, small_batches
 
 ENTRY = np.dtype([("key", "<i8"), ("set", "<i8"), ("n", "<i4")])
 
@@ -189,14 +191,14 @@ def set_table(docs: DataFrame, wanted: DataFrame, width: int, most: int = 2_000_
 
 
 def bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """a, b, their sizes and a lower bound of their distance, for pairs a, b."""
+    """a, b, their sizes and a lower bound of their distance, for pairs with their sizes."""
 
     @F.pandas_udf("double")
     def least(n: pd.Series, m: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
         d = np.array([sketch_distance(a, b) for a, b in zip(x, y)], float)
         return pd.Series(np.maximum(2 * d / (n + m + d), 1 - np.minimum(n, m) / np.maximum(n, m)))
 
-    side = lambda s: sketches.select(F.col("set").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    side = lambda s: sketches.select(F.col("set").alias(s), F.col("sketch").alias(f"sketch_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.select("a", "b", "n_a", "n_b", least("n_a", "n_b", "sketch_a", "sketch_b").alias("lo"))
 
@@ -216,38 +218,70 @@ def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def candidates(members: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Pairs a < b of pivots and members of a region that are of two components and in each other's window.
+    """a, b, n_a, n_b and the number of common regions of pairs a < b, one of them a pivot of the region, that are of two
+    components and in each other's window.
 
-    members: key, set, n, c (component), lo, hi (distance to the region's first pivot), pivot.
+    members: key, set, n, c (component), lo, hi (bounds of the distance to the region's first pivot), pivot.
     """
     window = 1 - percent / 100 + 1e-9
+    pair = np.dtype([("a", "<i8"), ("b", "<i8"), ("n_a", "<i8"), ("n_b", "<i8")])
+
+    def unique(parts_, counts):
+        e, m = np.concatenate(parts_), np.concatenate(counts)
+        order = np.lexsort((e["b"], e["a"]))
+        e, m = e[order], m[order]
+        new = np.flatnonzero(np.concatenate([[True], (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1])])) if len(e) else np.zeros(0, np.int64)
+        return [e[new]], [np.add.reduceat(m, new) if len(new) else m]
 
     def run(table: pa.Table) -> pa.Table:
         key, sets, n, c, lo, hi, pivot = (table.column(x).to_numpy(zero_copy_only=False) for x in ("key", "set", "n", "c", "lo", "hi", "pivot"))
         order = np.lexsort((sets, key))
         key, sets, n, c, lo, hi, pivot = (x[order] for x in (key, sets, n, c, lo, hi, pivot))
         cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        out = [np.zeros((0, 2), np.int64)]
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            for i in (a + np.flatnonzero(pivot[a:b])).tolist():
-                # pairs of two pivots are taken once
-                j = np.arange(a, b)
-                ok = (c[j] != c[i]) & ((j > i) | ~pivot[j]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
-                ok &= (lo[j] - hi[i] <= window) & (lo[i] - hi[j] <= window)
-                j = sets[j[ok]]
-                out.append(np.stack([np.minimum(j, sets[i]), np.maximum(j, sets[i])], axis=1))
-            if len(out) > 4096:
-                out = [np.unique(np.concatenate(out), axis=0)]
-        pairs = np.unique(np.concatenate(out), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return members.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))).groupBy("part").applyInArrow(run, "a long, b long").distinct()
+        size, pivots = np.diff(cut), np.add.reduceat(pivot.astype(np.int64), cut[:-1])
+        out, counts, held = [np.zeros(0, pair)], [np.zeros(0, np.int64)], 0
+
+        def take(i, j):
+            nonlocal out, counts, held
+            ok = (c[j] != c[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])) & (lo[j] - hi[i] <= window) & (lo[i] - hi[j] <= window)
+            i, j = i[ok], j[ok]
+            swap = sets[i] > sets[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            e = np.empty(len(i), pair)
+            e["a"], e["b"], e["n_a"], e["n_b"] = sets[i], sets[j], n[i], n[j]
+            out.append(e)
+            counts.append(np.ones(len(i), np.int64))
+            held += len(e)
+            if held > 2_000_000:
+                out, counts = unique(out, counts)
+                held = 0
+
+        # regions of one size whose members are all pivots, some at a time
+        for r in np.unique(size[(pivots == size) & (size > 1)]).tolist():
+            left, right = np.triu_indices(r, 1)
+            first = cut[:-1][(pivots == size) & (size == r)]
+            for k in range(0, len(first), step := max(1, 500_000 // len(left))):
+                some = first[k : k + step, None]
+                take((some + left).reshape(-1), (some + right).reshape(-1))
+        for g in np.flatnonzero((pivots < size) & (pivots > 0)).tolist():
+            all_ = np.arange(cut[g], cut[g + 1])
+            for i in all_[pivot[all_]].tolist():
+                # a pair of two pivots is taken once
+                j = all_[(all_ > i) | ~pivot[all_]]
+                take(np.full(len(j), i), j)
+        (e,), (m,) = unique(out, counts)
+        return pa.table({x: np.ascontiguousarray(e[x]) for x in pair.names} | {"common": m})
+
+    schema = "a long, b long, n_a long, n_b long, common long"
+    pairs = members.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))).groupBy("part").applyInArrow(run, schema)
+    return pairs.groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("common").alias("common"))
 
 
 def classes(docs: DataFrame, percent: int = 75, width: int = 5, small: int = 64, sample: int = 10_000, most_frequent: int = 500_000) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     told = sets_and_sample(rows, width, min(1.0, sample / max(1, rows.count()))).transform(as_parquet, "sets")
     points = told.where("kind = 0").select("id", "set", "n")
@@ -287,25 +321,35 @@ def classes(docs: DataFrame, percent: int = 75, width: int = 5, small: int = 64,
             tree = components(reduce(DataFrame.unionByName, links), "a", "b").select(F.col("node").alias("set"), F.col("least").alias("c"))
         return reduce(DataFrame.unionByName, found), tree
 
-    near = near.withColumn("first", F.min("set").over(Window.partitionBy("key")))
-    pairs = near.where("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b")).distinct()
     none = docs.sparkSession.createDataFrame([], "set long, c long")
-    done, tree = settle(pairs, None, none)
+    by_key = Window.partitionBy("key")
+    near = near.withColumn("size", F.count("*").over(by_key)).withColumn("place", F.row_number().over(by_key.orderBy("set")))
+    near = near.withColumn("first", F.min("set").over(by_key)).transform(as_parquet, "members")
+    large = F.col("size") > small
+    members = near.select("key", "set", "n", F.col("set").alias("c"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), (~large | (F.col("place") <= 8)).alias("pivot"))
+    pairs = candidates(members, percent, 4 * parts)
+    # linked sets share so many prefix shingles; those in large regions may not have been counted
+    uncounted = near.where(large).groupBy("set").agg(F.count("*").alias("g"))
+    for x in "ab":
+        pairs = pairs.join(uncounted.select(F.col("set").alias(x), F.col("g").alias(f"g_{x}")), x, "left")
+    together = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100.0 + percent) - 1e-9)
+    beyond = lambda n: F.floor(F.col(n) * (percent / 100.0) + 1e-9)  # noqa: E731  at least what is outside a prefix
+    spare = F.least(F.coalesce("g_a", F.lit(0)), F.coalesce("g_b", F.lit(0)))
+    done, tree = settle(pairs.where(F.col("common") + spare >= together - F.greatest(beyond("n_a"), beyond("n_b"))), None, none)
+    near = near.where(large)
     known = done.select(F.col("a").alias("first"), F.col("b").alias("set"), "lo", "hi")
     own = F.col("set") == F.col("first")
-    near = near.join(known, ["first", "set"], "left").select(
+    near = near.join(known, ["first", "set"], "left").where("place > 8").select(
         "key", "set", "n", F.coalesce("lo", F.lit(0.0)).alias("lo"), F.when(own, 0.0).otherwise(F.coalesce("hi", F.lit(1.0))).alias("hi")
     )
     while True:
         open_ = near.join(tree, "set", "left").withColumn("c", F.coalesce("c", "set"))
-        split = Window.partitionBy("key")
-        open_ = open_.withColumn("_a", F.min("c").over(split)).withColumn("_b", F.max("c").over(split)).where("_a <> _b")
-        size, place = F.count("*").over(split), F.row_number().over(split.orderBy("set"))
+        open_ = open_.withColumn("_a", F.min("c").over(by_key)).withColumn("_b", F.max("c").over(by_key)).where("_a <> _b")
+        size, place = F.count("*").over(by_key), F.row_number().over(by_key.orderBy("set"))
         open_ = open_.withColumn("pivot", place <= F.greatest(F.lit(small), F.ceil(size / 8))).drop("_a", "_b").transform(as_parquet, "open")
         if open_.isEmpty():
             break
-        pairs = candidates(open_, percent, parts).join(done.select("a", "b"), ["a", "b"], "left_anti")
-        done, tree = settle(pairs, done, tree)
+        done, tree = settle(candidates(open_, percent, parts).join(done.select("a", "b"), ["a", "b"], "left_anti"), done, tree)
         near = open_.where("NOT pivot").drop("pivot", "c")
     labelled = points.join(tree, "set", "left").select("id", "n", F.coalesce("c", "set").alias("c"), (F.col("n") > 0).alias("full"))
     least = labelled.where("full").groupBy("c").agg(F.min("id").alias("least"))

@@ -16,6 +16,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Fewer rows of text at once between Spark and Python, for the memory of executors; never more than before."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, rows)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and cut from its lineage."""
     shared_folder(df.sparkSession)
