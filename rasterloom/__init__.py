@@ -1,0 +1 @@
+"""Raster tile analytics as DataFrames: catalog, extent joins, map algebra, neighbourhoods, pyramids, files."""
