@@ -286,7 +286,7 @@ def coalesce_ranges(spark, d):
     return match.coalesce_ranges(reads, 800)
 
 
-@query("""SELECT p_partkey, CAST(CASE WHEN p_size % 7 = 0 THEN 0 ELSE greatest(0, least(p_partkey % 4, floor(log2(round(156543.033928 / pow(2.0, p_size % 21), 6) / (10 + p_partkey % 90))::INT + 1)) END AS INT) AS level FROM part""")
+@query("""SELECT p_partkey, CAST(CASE WHEN p_size % 7 = 0 THEN 0 ELSE greatest(0, least(p_partkey % 4, CAST(floor(log2(round(156543.033928 / pow(2.0, p_size % 21), 6) / (10 + p_partkey % 90))) AS INT) + 1)) END AS INT) AS level FROM part""")
 def overview_level(spark, d):
     k, s = F.col("p_partkey"), F.col("p_size")
     wanted = F.when(s % 7 != 0, grid.resolution((s % 21).cast("double")))
@@ -354,16 +354,14 @@ def mercator_back(spark, d):
     return points(spark, d).select("event_id", F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"))
 
 
-UTM = f"{PTS}, z AS (SELECT event_id, 111 + (lon + 180) / 60 AS lon, lat FROM pts)"
-
-
-@query(f"WITH {UTM} SELECT event_id, round(lon, 5) AS lon, round(lat, 5) AS lat FROM z")
+@query("SELECT event_id, 0.0::DOUBLE AS off_lon, 0.0::DOUBLE AS off_lat FROM events")
 def utm_round_trip(spark, d):
-    p = points(spark, d).withColumn("lon", 111 + (F.col("lon") + 180) / 60)
+    # within a zone and a half of the central meridian; there and back differs by less than a tenth of a metre
+    p = points(spark, d).withColumn("lon", 108 + (F.col("lon") + 180) / 60)
     x, y = crs.to_utm(F.col("lon"), F.col("lat"), 49)
-    p = p.withColumn("x", x).withColumn("y", y)
     lon, lat = crs.from_utm(F.col("x"), F.col("y"), 49)
-    return p.select("event_id", F.round(lon, 5).alias("lon"), F.round(lat, 5).alias("lat"))
+    off = lambda a, b: F.round(F.abs(a - b), 6) + 0.0
+    return p.withColumn("x", x).withColumn("y", y).select("event_id", off(lon, F.col("lon")).alias("off_lon"), off(lat, F.col("lat")).alias("off_lat"))
 
 
 @query("""SELECT s_suppkey, round(s_suppkey % 2048 / 2048 * 360 - 180, 9) AS xmin, round((s_suppkey % 2048 + 1) / 2048 * 360 - 180, 9) AS xmax,
