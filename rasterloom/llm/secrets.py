@@ -71,7 +71,7 @@ def runs(mask: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.n
 def hot_windows(s: bytes, limit: float, window: int) -> list[tuple[int, int]]:
     """Joined windows of s whose Shannon entropy, in bits a character, is above limit."""
     w = min(window, len(s))
-    part = [0.0] + [k * math.log2(k) for k in range(1, w + 1)]
+    part = [0.0] + [k * math.log2(k) for k in range(1, w + 2)]
     count, total, out = dict.fromkeys(s, 0), 0.0, []
     for i, c in enumerate(s):
         k = count[c]
