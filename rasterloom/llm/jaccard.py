@@ -108,7 +108,8 @@ def sets_and_sample(docs: DataFrame, width: int, rate: float) -> DataFrame:
 
 
 def regions(docs: DataFrame, width: int, percent: int, frequent, count: int) -> DataFrame:
-    """key, set and n of every region (shingle) that has two sets or more."""
+    """key, set, n, number of sets, the set's place among them and the first set of every region (shingle) that has two
+    sets or more."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(parts):
@@ -156,9 +157,13 @@ def regions(docs: DataFrame, width: int, percent: int, frequent, count: int) ->
         many = np.zeros(len(key), bool)
         many[1:] = key[1:] == key[:-1]
         many[:-1] |= many[1:]
-        return pa.table({"key": key[many], "set": sets[many], "n": n[many].astype(np.int64)})
+        key, sets, n = key[many], sets[many], n[many]
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(cut, len(key)))
+        place = np.arange(len(key)) - np.repeat(cut, size) + 1
+        return pa.table({"key": key, "set": sets, "n": n.astype(np.int64), "size": np.repeat(size, size), "place": place, "first": np.repeat(sets[cut], size)})
 
-    return docs.select("text").mapInArrow(run, "region long, entries binary").groupBy("region").applyInArrow(meet, "key long, set long, n long")
+    return docs.select("text").mapInArrow(run, "region long, entries binary").groupBy("region").applyInArrow(meet, "key long, set long, n long, size long, place long, first long")
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, width: int, most: int = 2_000_000) -> DataFrame:
@@ -283,7 +288,7 @@ def classes(docs: DataFrame, percent: int = 75, width: int = 5, small: int = 64,
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    told = sets_and_sample(rows, width, min(1.0, sample / max(1, rows.count()))).transform(as_parquet, "sets")
+    told = sets_and_sample(rows, width, min(1.0, sample / max(1, rows.count()))).transform(as_parquet, "sets", "kind")
     points = told.where("kind = 0").select("id", "set", "n")
     sketches = told.where("sketch IS NOT NULL").select("set", "n", "sketch").dropDuplicates(["set"])
     holders = points.where("n > 0").groupBy("set").agg(F.min("id").alias("id"))
@@ -323,8 +328,6 @@ def classes(docs: DataFrame, percent: int = 75, width: int = 5, small: int = 64,
 
     none = docs.sparkSession.createDataFrame([], "set long, c long")
     by_key = Window.partitionBy("key")
-    near = near.withColumn("size", F.count("*").over(by_key)).withColumn("place", F.row_number().over(by_key.orderBy("set")))
-    near = near.withColumn("first", F.min("set").over(by_key)).transform(as_parquet, "members")
     large = F.col("size") > small
     members = near.select("key", "set", "n", F.col("set").alias("c"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), (~large | (F.col("place") <= 8)).alias("pivot"))
     pairs = candidates(members, percent, 4 * parts)

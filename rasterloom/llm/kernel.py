@@ -29,7 +29,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of BASE and of its inverse; kept and grown by doubling."""
     global _powers
     if len(_powers[0]) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
+        size = 1 << max(19, int(n).bit_length())
         both = []
         for b in (BASE, INVERSE):
             p = np.full(size, b, U64)
@@ -61,7 +61,7 @@ def string_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def chunks(sizes: np.ndarray, limit: int = 1 << 20):
+def chunks(sizes: np.ndarray, limit: int = 1 << 19):
     """Ranges (lo, hi) of consecutive rows whose sizes add up to about limit; a larger row stands alone."""
     lo, total = 0, 0
     for i, s in enumerate(sizes.tolist()):
@@ -73,7 +73,7 @@ def chunks(sizes: np.ndarray, limit: int = 1 << 20):
         yield lo, len(sizes)
 
 
-def text_chunks(col: pa.Array, limit: int = 1 << 20):
+def text_chunks(col: pa.Array, limit: int = 1 << 19):
     """(lo, hi, bytes, offsets) for consecutive rows of a string column, about limit bytes at a time."""
     raw, at = string_bytes(col)
     for lo, hi in chunks(np.diff(at), limit):

@@ -29,8 +29,8 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def as_parquet(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again."""
+def as_parquet(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df, written as Parquet to the shared folder (in a part for each value of `by`) and read again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.parquet(path, partitionBy=by)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
