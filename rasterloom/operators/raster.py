@@ -58,8 +58,7 @@ def prefix_sums(px: DataFrame, bounds=None) -> DataFrame:
 def focal_mean_by_prefix(px: DataFrame, radius: int, bounds=None) -> DataFrame:
     """`focal_mean` from the summed-area table: four lookups whatever the radius; for large ones."""
     table = prefix_sums(px, bounds)
-    w = Window.partitionBy("band")
-    table = table.select("*", *[f(c).over(w).alias(n) for c in "xy" for f, n in ((F.min, c + "0"), (F.max, c + "1"))])
+    table = table.join(table.groupBy("band").agg(F.max("x").alias("x1"), F.max("y").alias("y1")), "band")
     corner = table.select("band", F.col("y").alias("cy"), F.col("x").alias("cx"), "total", "cells")
     r = F.lit(radius)
     x1, y1 = F.least(F.col("x") + r, F.col("x1")), F.least(F.col("y") + r, F.col("y1"))
