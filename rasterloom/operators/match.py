@@ -13,7 +13,7 @@ def overview_level(wanted: Column, own: Column, levels: Column) -> Column:
     return F.when(wanted.isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(levels - 1, level))).cast("int")
 
 
-def tile_size(cell: Column, level: Column, tile: int = 256) -> Column:
+def tile_size(cell: Column, level: Column, tile: int | Column = 256) -> Column:
     return tile * cell * F.pow(F.lit(2.0), level)
 
 
@@ -26,7 +26,7 @@ def tile_window(lo: Column, hi: Column, origin: Column, size: Column, count: Col
     return F.greatest(F.lit(0), index(lo)).cast("int"), F.least(count - 1, index(hi)).cast("int")
 
 
-def cog_tile_extent(row: Column, col: Column, level: Column, x_min: Column, y_max: Column, cell_w: Column, cell_h: Column, tile: int = 256) -> list[Column]:
+def cog_tile_extent(row: Column, col: Column, level: Column, x_min: Column, y_max: Column, cell_w: Column, cell_h: Column, tile: int | Column = 256) -> list[Column]:
     w, h = tile_size(cell_w, level, tile), tile_size(cell_h, level, tile)
     return [(col * w + x_min).alias("xmin"), (y_max - (row + 1) * h).alias("ymin"), ((col + 1) * w + x_min).alias("xmax"), (y_max - row * h).alias("ymax")]
 

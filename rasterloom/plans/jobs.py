@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import math
 
-from rasterloom.functions.grid import tiles_of_box
-from rasterloom.operators.match import missing
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from rasterloom.functions.crs import to_utm
+from rasterloom.functions.grid import resolution, tile_corner, tiles_of_box, to_mercator
+from rasterloom.operators.match import cog_tile_extent, extent_join, missing, overview_level
 from rasterloom.operators.raster import focal_mean, terrain, to_tiles
+from rasterloom.sources.cog import read_tiles
 
 
 def incremental_job(spark: SparkSession, px: DataFrame, stored: DataFrame, box: tuple[float, float, float, float], zoom: int, tile: int, radius: int = 1) -> DataFrame:
@@ -36,3 +40,61 @@ def run_operator(name: str, px: DataFrame, **how) -> DataFrame:
     if name not in OPERATORS:
         raise ValueError(f"no operator {name!r}; there are {', '.join(OPERATORS)}")
     return OPERATORS[name](px, **how)
+
+
+def to_crs(lon: Column, lat: Column, epsg: int) -> tuple[Column, Column]:
+    """Geographic coordinates in a source's system: 4326, 3857, or UTM (326zz north, 327zz south)."""
+    if epsg == 4326:
+        return lon, lat
+    if epsg == 3857:
+        return to_mercator(lon, lat)
+    if 32601 <= epsg <= 32660 or 32701 <= epsg <= 32760:
+        return to_utm(lon, lat, epsg % 100, epsg // 100 == 327)
+    raise ValueError(f"no coordinate system EPSG:{epsg}")
+
+
+def code_extents(codes: DataFrame, zoom: int, epsg: int) -> DataFrame:
+    """codes (col, row) with the envelope of their corners in a source's system."""
+    corners = [to_crs(*tile_corner(F.col("col") + i, F.col("row") + j, zoom), epsg) for i in (0, 1) for j in (0, 1)]
+    xs, ys = zip(*corners)
+    return codes.select("col", "row", F.least(*xs).alias("xmin"), F.least(*ys).alias("ymin"), F.greatest(*xs).alias("xmax"), F.greatest(*ys).alias("ymax"))
+
+
+def source_tiles(coverage: DataFrame, index: DataFrame, codes: DataFrame, zoom: int, epsg: int, bucket: float) -> DataFrame:
+    """Index rows, with band and extent, of the overview level for the zoom and of tiles that meet a requested one.
+
+    coverage: path, measurement_rank, resolution of each band; index: rows of `cog_index`.
+    """
+    files = index.groupBy("path").agg((F.max("level") + 1).alias("levels"))
+    wanted = F.lit(None).cast("double") if zoom < 0 else resolution(F.lit(float(zoom)))
+    chosen = files.join(coverage.select("path", F.col("measurement_rank").alias("band"), "resolution"), "path")
+    chosen = chosen.select("path", "band", overview_level(wanted, F.col("resolution"), F.col("levels")).alias("level"))
+    tiles = index.join(chosen, ["path", "level"])
+    own = tiles.select("*", *cog_tile_extent(F.col("row"), F.col("col"), F.col("level"), F.col("x_min"), F.col("y_max"), F.col("cell_w"), F.col("cell_h"), F.col("tile")))
+    met = extent_join(own.select("path", "offset", "xmin", "ymin", "xmax", "ymax"), code_extents(codes, zoom, epsg), bucket)
+    return own.join(met.select(F.col("a_path").alias("path"), F.col("a_offset").alias("offset")).distinct(), ["path", "offset"], "left_semi")
+
+
+def visible_layer(coverage: DataFrame, index: DataFrame, codes: DataFrame, zoom: int, epsg: int, dtype: str, bucket: float, tile: int = 256) -> DataFrame:
+    """Cells (band, y, x, v) of the requested Web-Mercator tiles, each by its nearest source cell; no row where none is.
+
+    Every target cell's centre is mapped back into the source and joined by source cell; only tiles that meet a
+    requested one are read.
+    """
+    tiles = source_tiles(coverage, index, codes, zoom, epsg, bucket)
+    read = read_tiles(tiles.select("path", "band", "level", "row", "col", "offset", "byte_count", "width", "height", "tile", "compression"), dtype)
+    cell = read.select("path", "level", "band", "row", "col", "tile", "width", "height", F.posexplode("cells").alias("i", "v"))
+    source = cell.select("path", "level", "band", (F.col("col") * F.col("tile") + F.col("i") % F.col("tile")).alias("sx"), (F.col("row") * F.col("tile") + F.floor(F.col("i") / F.col("tile"))).alias("sy"), "width", "height", "v")
+    source = source.where("sx < width AND sy < height").drop("width", "height")
+    grid_ = codes.select(F.explode(F.sequence(F.col("row") * tile, F.col("row") * tile + tile - 1)).alias("y"), "col")
+    grid_ = grid_.select("y", F.explode(F.sequence(F.col("col") * tile, F.col("col") * tile + tile - 1)).alias("x"))
+    n = float(tile << zoom)
+    lon = (F.col("x") + 0.5) / n * 360 - 180
+    lat = F.degrees(F.atan(F.sinh(F.lit(math.pi) * (1 - 2 * (F.col("y") + 0.5) / n))))
+    placed = grid_.select("y", "x", *[c.alias(a) for c, a in zip(to_crs(lon, lat, epsg), ("_x", "_y"))])
+    # one row for each file (band) of the image, with the layout of its cells
+    layout = tiles.select("path", "level", "x_min", "y_max", (F.col("cell_w") * F.pow(F.lit(2.0), F.col("level"))).alias("w"), (F.col("cell_h") * F.pow(F.lit(2.0), F.col("level"))).alias("h")).distinct()
+    files = F.collect_list(F.struct("path", "level", "x_min", "y_max", "w", "h"))
+    asked = placed.join(F.broadcast(layout.agg(files.alias("files"))), F.lit(True)).select("y", "x", "_x", "_y", F.inline("files"))
+    asked = asked.select("y", "x", "path", "level", F.floor((F.col("_x") - F.col("x_min")) / F.col("w")).alias("sx"), F.floor((F.col("y_max") - F.col("_y")) / F.col("h")).alias("sy"))
+    return asked.join(source, ["path", "level", "sx", "sy"]).select("band", F.col("y").cast("int"), F.col("x").cast("int"), "v")
