@@ -7,7 +7,7 @@ all shingles are enough: two linked documents share one of them. The order puts
 sample last, which keeps regions small; any order finds all links. Equal sets are one point of the space.
 
 A region then has its own Voronoi pivots, whole documents. If it has at most `small` documents all are pivots, else the
-first eight and then, round by round, an eighth of those left. A pair of a pivot and a member is a candidate unless they
+first eight and then, round by round, `small` or a quarter of those left. A pair of a pivot and a member is a candidate unless they
 are of one component, of sizes too different, of distances to the first pivot that differ by more than 0.25 (the triangle
 inequality), or together in too few regions for linked sets. What is left of a region goes on as a smaller one, until
 every region has one component or no pair left. Candidate pairs are first bounded below by an odd sketch (the parity of a
@@ -282,7 +282,7 @@ def candidates(members: DataFrame, percent: int, parts: int) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("common").alias("common"))
 
 
-def classes(docs: DataFrame, percent: int = 75, width: int = 5, small: int = 64, sample: int = 10_000, most_frequent: int = 500_000) -> DataFrame:
+def classes(docs: DataFrame, percent: int = 75, width: int = 5, small: int = 256, sample: int = 10_000, most_frequent: int = 500_000) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -349,7 +349,7 @@ def classes(docs: DataFrame, percent: int = 75, width: int = 5, small: int = 64,
         open_ = near.join(tree, "set", "left").withColumn("c", F.coalesce("c", "set"))
         open_ = open_.withColumn("_a", F.min("c").over(by_key)).withColumn("_b", F.max("c").over(by_key)).where("_a <> _b")
         size, place = F.count("*").over(by_key), F.row_number().over(by_key.orderBy("set"))
-        open_ = open_.withColumn("pivot", place <= F.greatest(F.lit(small), F.ceil(size / 8))).drop("_a", "_b").transform(as_parquet, "open")
+        open_ = open_.withColumn("pivot", place <= F.greatest(F.lit(small), F.ceil(size / 4))).drop("_a", "_b").transform(as_parquet, "open")
         if open_.isEmpty():
             break
         done, tree = settle(candidates(open_, percent, parts).join(done.select("a", "b"), ["a", "b"], "left_anti"), done, tree)
