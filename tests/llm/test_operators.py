@@ -313,7 +313,9 @@ def test_odd_sketch_is_a_bound(ends, width):
 def test_components(spark):
     rng = np.random.default_rng(6)
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [tuple(map(int, e)) for e in rng.integers(200, 260, (30, 2))]
-    got = {r.node: r.least for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    frame = spark.createDataFrame(edges, "u long, v long")
+    got, stars = ({r.node: r.least for r in components(frame, few=n).collect()} for n in (1000, 0))
+    assert got == stars
     group = {n: n for e in edges for n in e}
     for _ in range(60):
         for a, b in edges:
