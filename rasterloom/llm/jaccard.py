@@ -6,8 +6,9 @@ within distance 1 of it (those that hold it). Of a document's shingles, the |x|
 all shingles are enough: two linked documents share one of them. The order puts shingles that are frequent in a bounded
 sample last, which keeps regions small; any order finds all links. Equal sets are one point of the space.
 
-A region then has its own Voronoi pivots, whole documents. If it has at most `small` documents all are pivots, else the
-first eight and then, round by round, `small` or a quarter of those left. A pair of a pivot and a member is a candidate unless they
+A region then has its own Voronoi pivots, whole documents. The first set of each region of more than `star_from` documents
+is compared with all others first, which makes one component of a group of near copies. Then, if a region has at most
+`small` documents, all are pivots, else the first eight and then, round by round, `small` or a quarter of those left. A pair of a pivot and a member is a candidate unless they
 are of one component, of sizes too different, of distances to the first pivot that differ by more than 0.25 (the triangle
 inequality), or together in too few regions for linked sets. What is left of a region goes on as a smaller one, until
 every region has one component or no pair left. Candidate pairs are first bounded below by an odd sketch (the parity of a
@@ -282,7 +283,7 @@ def candidates(members: DataFrame, percent: int, parts: int) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("common").alias("common"))
 
 
-def classes(docs: DataFrame, percent: int = 75, width: int = 5, small: int = 256, sample: int = 10_000, most_frequent: int = 500_000) -> DataFrame:
+def classes(docs: DataFrame, percent: int = 75, width: int = 5, small: int = 256, star_from: int = 16, sample: int = 10_000, most_frequent: int = 500_000) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -329,7 +330,19 @@ def classes(docs: DataFrame, percent: int = 75, width: int = 5, small: int = 256
     none = docs.sparkSession.createDataFrame([], "set long, c long")
     by_key = Window.partitionBy("key")
     large = F.col("size") > small
-    members = near.select("key", "set", "n", F.col("set").alias("c"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), (~large | (F.col("place") <= 8)).alias("pivot"))
+    # the first set of each region that is not tiny, with all others: groups of near copies become one component at once
+    star = near.where(F.col("size") > star_from)
+    first = star.where("place > 1").select(F.least("first", "set").alias("a"), F.greatest("first", "set").alias("b")).distinct()
+    width_of = sketches.select("set", "n")
+    for x in "ab":
+        first = first.join(width_of.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}")), x)
+    done, tree = settle(first, None, none)
+    known = done.select(F.col("a").alias("first"), F.col("b").alias("set"), "lo", "hi")
+    own = F.col("set") == F.col("first")
+    near = near.join(known, ["first", "set"], "left").join(tree, "set", "left").select(
+        "key", "set", "n", "size", "place", F.coalesce("c", "set").alias("c"), F.coalesce("lo", F.lit(0.0)).alias("lo"), F.when(own, 0.0).otherwise(F.coalesce("hi", F.lit(1.0))).alias("hi")
+    )
+    members = near.select("key", "set", "n", "c", "lo", "hi", (~large | (F.col("place") <= 8)).alias("pivot"))
     pairs = candidates(members, percent, 4 * parts)
     # linked sets share so many prefix shingles; those in large regions may not have been counted
     uncounted = near.where(large).groupBy("set").agg(F.count("*").alias("g"))
@@ -338,13 +351,9 @@ def classes(docs: DataFrame, percent: int = 75, width: int = 5, small: int = 256
     together = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100.0 + percent) - 1e-9)
     beyond = lambda n: F.floor(F.col(n) * (percent / 100.0) + 1e-9)  # noqa: E731  at least what is outside a prefix
     spare = F.least(F.coalesce("g_a", F.lit(0)), F.coalesce("g_b", F.lit(0)))
-    done, tree = settle(pairs.where(F.col("common") + spare >= together - F.greatest(beyond("n_a"), beyond("n_b"))), None, none)
-    near = near.where(large)
-    known = done.select(F.col("a").alias("first"), F.col("b").alias("set"), "lo", "hi")
-    own = F.col("set") == F.col("first")
-    near = near.join(known, ["first", "set"], "left").where("place > 8").select(
-        "key", "set", "n", F.coalesce("lo", F.lit(0.0)).alias("lo"), F.when(own, 0.0).otherwise(F.coalesce("hi", F.lit(1.0))).alias("hi")
-    )
+    pairs = pairs.where(F.col("common") + spare >= together - F.greatest(beyond("n_a"), beyond("n_b"))).join(done.select("a", "b"), ["a", "b"], "left_anti")
+    done, tree = settle(pairs, done, tree)
+    near = near.where(large & (F.col("place") > 8)).select("key", "set", "n", "lo", "hi")
     while True:
         open_ = near.join(tree, "set", "left").withColumn("c", F.coalesce("c", "set"))
         open_ = open_.withColumn("_a", F.min("c").over(by_key)).withColumn("_b", F.max("c").over(by_key)).where("_a <> _b")
