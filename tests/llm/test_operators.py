@@ -260,6 +260,22 @@ def test_lm_scoring(docs, empty, how):
     assert lm_scoring.score(docs, empty).count() == len(corpus())
 
 
+@pytest.mark.parametrize("how", [{"most_nodes": 12}, {"most_nodes": 12, "most_grams": 20}, {"most_nodes": 0, "most_grams": 0}])
+def test_lm_scoring_whole_model(spark, how):
+    """Scores are those of all contexts, however many the broadcast tables hold."""
+    train = ["the cat sat", "the dog sat on a cat", "", "cats and dogs", "thé", "the cat sat", "a"]
+    asked = ["the bat sat", "", "a z!", "cat cat", "the dog sat on the cats", "thé ¿", "zzzz", None, "the cat sat"]
+    coded = lambda t: b"\n" + b"".join(b" " + w.encode() for w in words(t)) + b"\n"
+    grams = Counter(c[i - k : i + 1] for c in map(coded, train) for i in range(1, len(c)) for k in range(min(5, i) + 1))
+    nodes = {g[:-1] for g in grams}
+    table = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in lm_scoring.score(table(asked), table(train), **how).collect()}
+    for i, t in enumerate(asked):
+        c = coded(t)
+        want = sum(math.log10(slow_probability(grams, nodes, set(), c[:j], c[j], 5)) for j in range(1, len(c)))
+        assert got[i] == pytest.approx(want, abs=1e-4)
+
+
 # 6
 
 
