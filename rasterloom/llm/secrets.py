@@ -2,10 +2,11 @@
 
 Fixed patterns (kinds assign, access, hex) are searched leftmost and without overlap; a match that is too short is
 dropped after it has used up its place. Candidate strings for entropy are maximal runs of `[A-Za-z0-9+/_=-]` of at least
-`least` characters. A window of `window` characters slides over a candidate; each character class (hex, base 32, letters
-and digits, base 64: the first that holds the whole candidate) has its own limit, and the entropy is kept by incremental
+`least` characters. A window of `window` characters slides over a candidate, and over each maximal run of at least `least`
+characters of a narrower class in it, so that a name or path glued to a secret does not raise the secret's limit: each
+character class (hex, base 32, letters and digits, base 64) has its own limit, and the entropy is kept by incremental
 counts. The windows above the limit join into spans of kind `entropy`. Candidates that look like known harmless strings
-(words, numbers, UUIDs, paths, placeholders) are suppressed. An entropy span may lie inside a fixed one.
+(words, numbers, UUIDs, paths, placeholders) are suppressed, and so are runs. An entropy span may lie inside a fixed one.
 
 Edge cases: a null text counts as empty and has no span; positions are code points, the end exclusive; repeated rows give
 repeated results; extra columns are ignored.
@@ -46,6 +47,7 @@ CLASSES = [
     ("alnum", set((DIGITS + UPPER + LOWER).encode()), 3.8),
     ("base64", set((DIGITS + UPPER + LOWER + "+/_=-").encode()), 3.9),
 ]
+RUNS = [(re.compile(b"[" + re.escape(bytes(sorted(chars))) + b"]+"), chars, limit) for _, chars, limit in CLASSES]
 #: Harmless strings: UUIDs, words and words joined by separators, plain numbers and dates, paths, placeholders.
 ALLOWED = re.compile(
     rb"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"
@@ -89,13 +91,28 @@ def hot_windows(s: bytes, limit: float, window: int) -> list[tuple[int, int]]:
     return out
 
 
-def entropy_spans(s: bytes, window: int = 20, allowed: re.Pattern = ALLOWED) -> list[tuple[int, int]]:
-    """Spans of a candidate string that are suspect, none if an allowed form matches the whole of it."""
+def entropy_spans(s: bytes, window: int = 20, allowed: re.Pattern = ALLOWED, least: int = 20) -> list[tuple[int, int]]:
+    """Spans of a candidate string that are suspect, none if an allowed form matches the whole of it.
+
+    Each run of a class counts as a candidate of its own, up to the first class that holds the whole string.
+    """
     if allowed.fullmatch(s):
         return []
-    have = set(s)
-    limit = next(limit for _, chars, limit in CLASSES if have <= chars)
-    return hot_windows(s, limit, window)
+    have, found = set(s), []
+    for run, chars, limit in RUNS:
+        if have <= chars:
+            found += hot_windows(s, limit, window)
+            break
+        for m in run.finditer(s):
+            if m.end() - m.start() >= least and not allowed.fullmatch(m[0]):
+                found += [(m.start() + a, m.start() + b) for a, b in hot_windows(m[0], limit, window)]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and out[-1][1] >= a:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
 
 
 def base_spans(data: bytes) -> list[tuple[int, int, int]]:
@@ -135,7 +152,7 @@ def scan_column(col: pa.Array, least: int = 20, window: int = 20) -> list[list[t
                 if kind == 2:
                     found.setdefault(r, []).append((a - o, b - o, 2))
                 else:
-                    for x, y in entropy_spans(data[a:b], window):
+                    for x, y in entropy_spans(data[a:b], window, least=least):
                         found.setdefault(r, []).append((x + a - o, y + a - o, 3))
         for r in range(hi - lo):
             spans = sorted(found.get(r, ()), key=lambda s: (s[0], s[2], s[1]))

@@ -420,6 +420,16 @@ def test_entropy():
     assert {i for a, b in joined for i in range(a, b)} == {i + k for i in slow for k in range(20)}
 
 
+def test_entropy_of_glued_secrets():
+    """A name, path or separator beside a secret does not hide it, and harmless runs stay harmless beside others."""
+    found = lambda t: [t[a:b] for a, b, k in secrets.scan_column(pa.array([t]))[0] if k == "entropy"]
+    for secret in ("9f86d081884c7d659a2f", "9F86D081884C7D659A2F", "KZ3WQ7TBX2MHPA5LRCVD", "Zq8vT3nLx0PwR7sYb2Kd"):
+        for before, after in (("", ""), ("sig=", ""), ("/reset/", ""), ("build-", "-x"), ("_", "/index/"), ("zz_v1+", "==")):
+            assert any(secret in f for f in found(before + secret + after)), (before, secret, after)
+    for t in ("build-20240101123456789012", "v1-INTERNATIONALIZATIONS", "id=550e8400-e29b-41d4-a716-446655440000", "sig=aaaaaaaaaaaaaaaaaaaaaaaa1"):
+        assert found(t) == []
+
+
 def test_redact(spark, docs, empty):
     rows = [(1, 'é token = "abcdefgh12" ok', 25), (2, None, 0), (3, "plain", 5)]
     got = {r.doc_id: r for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
