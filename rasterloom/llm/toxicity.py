@@ -5,7 +5,8 @@ that stand for letters into those letters (`1` and `l` into `i`, as both reading
 letter into a space, one character each, so that positions stay.
 
 The lexicon is learned from a bounded sample of labelled documents: whole words and beginnings of words that occur in
-`least` toxic documents and a `share` of them or more, and mark them; a beginning is lengthened while nine tenths of its documents stay. Words
+`least` toxic documents or more, by their odds mark them, and do so beyond chance (a binomial test over all words and
+beginnings), whatever the number of labels; a beginning is lengthened while nine tenths of its documents stay. Words
 and pairs of words that hold an entry and yet are found in clean documents become exception phrases, as may given ones;
 a match inside an exception phrase does not count. The weights (log odds) of all matches are summed and divided by the
 length; a logistic curve fitted to the sample makes a score of that.
@@ -101,24 +102,31 @@ def features(folded: str, shortest: int = 2, longest: int = 12) -> set[str]:
     return out
 
 
-def learn(toxic: list[str], clean: list[str], least: int = 3, share: float = 0.02, odds: float = 40.0, exceptions=()) -> Lexicon:
-    """A lexicon from texts. least, share: an entry is in so many toxic texts, and in this share of them. odds: the least ratio of the shares of toxic and of clean texts that have an entry."""
+def tail(k: int, n: int, p: float) -> float:
+    """The probability of k or more hits in n trials of probability p."""
+    choose = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1)
+    return sum(math.exp(choose(i) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k, n + 1))
+
+
+def learn(toxic: list[str], clean: list[str], least: int = 3, chance: float = 0.05, odds: float = 40.0, exceptions=()) -> Lexicon:
+    """A lexicon from texts. least: an entry is in so many toxic texts, however many there are. chance: the most probability that any entry is one by chance. odds: the least ratio of the shares of toxic and of clean texts that have an entry."""
     if not toxic or not clean:
         return Lexicon({})
     toxic, clean = sorted(set(toxic)), sorted(set(clean))
     bad, good = [fold(t) for t in toxic], [fold(t) for t in clean]
-    least = max(least, math.ceil(share * len(bad)))
     in_bad, in_good = (Counter(f for t in texts for f in features(t)) for texts in (bad, good))
     weight = lambda f: math.log((in_bad[f] + 0.5) / (len(bad) + 1)) - math.log((in_good[f] + 0.5) / (len(good) + 1))
+    part, most = len(bad) / (len(bad) + len(good)), chance / max(1, len(in_bad))
+    strong = lambda f: weight(f) >= math.log(odds) and tail(in_bad[f], in_bad[f] + in_good[f], part) <= most
     entries: dict[str, float] = {}
     after: dict[str, list[str]] = {}
     for f in in_bad:
         after.setdefault(f[:-1], []).append(f)
     for f in sorted((f for f in in_bad if in_bad[f] >= least), key=lambda f: (len(f), f)):
-        if any(f[:k] in entries for k in range(2, len(f))) or weight(f) < math.log(odds):
+        if any(f[:k] in entries for k in range(2, len(f))) or not strong(f):
             continue
         # a beginning is taken once lengthening it would lose documents, and three letters at least
-        if len(f) >= 4 and max((in_bad[g] for g in after.get(f, ()) if weight(g) >= math.log(odds)), default=0) < 0.9 * in_bad[f]:
+        if len(f) >= 4 and max((in_bad[g] for g in after.get(f, ()) if strong(g)), default=0) < 0.9 * in_bad[f]:
             entries[f] = weight(f)
     lexicon = Lexicon(entries)
     around = Counter()

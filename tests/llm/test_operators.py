@@ -192,6 +192,16 @@ def test_toxicity(docs, empty, spark):
     assert toxicity.train(table, labels.limit(0)).score("blort") == 0.0
 
 
+def test_toxicity_of_rare_terms():
+    """A term's needed support does not rise with the number of toxic texts, and chance words stay out."""
+    rng = np.random.default_rng(12)
+    text = lambda bad: " ".join([f"v{k}" for k in rng.integers(0, 900, 30)] + bad)
+    toxic = [text(["snarkle"] if i >= 40 else ["grumpo"]) for i in range(2500)]
+    lexicon = toxicity.learn(toxic, [text([]) for _ in range(2500)])
+    assert {e.strip() for e in lexicon.entries} == {toxicity.fold(w).strip() for w in ("snarkle", "grumpo")}
+    assert lexicon.score("v1 v2 grumpo") > 0.3 > lexicon.score("v1 v2 v3")
+
+
 # 5
 
 
