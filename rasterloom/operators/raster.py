@@ -131,11 +131,11 @@ def terrain(px: DataFrame, name: str, cell: float = 1.0, centre: bool = False, z
 
 
 def halo(px: DataFrame, tile: int, radius: int) -> DataFrame:
-    """Cells of each tile and of its up to eight neighbours within radius: (tile_col, tile_row) asks, (y, x) is the cell.
+    """Cells of each tile and of all tiles around it within radius, which may be larger than a tile: (tile_col, tile_row) asks, (y, x) is the cell.
 
     The map-side form of the neighbour join, for operators that need whole tiles; tiles without own cells get none.
     """
-    near = lambda c: F.array_distinct(F.transform(F.array(F.lit(-radius), F.lit(0), F.lit(radius)), lambda d: F.floor((F.col(c) + d) / tile).cast("int")))
+    near = lambda c: F.sequence(*(F.floor((F.col(c) + d) / tile).cast("int") for d in (-radius, radius)))
     spread = px.select(*KEYS, "v", F.explode(near("x")).alias("tile_col"), near("y").alias("_r"))
     spread = spread.select(*KEYS, "v", "tile_col", F.explode("_r").alias("tile_row"))
     own = px.select("band", F.floor(F.col("x") / tile).cast("int").alias("tile_col"), F.floor(F.col("y") / tile).cast("int").alias("tile_row")).distinct()

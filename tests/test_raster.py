@@ -1,5 +1,7 @@
 """Neighbourhoods, map algebra and tiles against plain loops."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +111,17 @@ def test_halo_and_apply(spark, px):
     assert got == raster.halo(px, 4, 1).count() > px.count()
 
 
+def test_halo_beyond_a_tile(px):
+    """With a radius above the tile size every cell within it comes, from the tiles between too."""
+    cells = [(r.band, r.y, r.x) for r in px.collect()]
+    own = {(b, x // 3, y // 3) for b, y, x in cells}
+    want = Counter()
+    for b, c, r in own:
+        want.update((b, c, r, y, x) for k, y, x in cells if k == b and 3 * c - 5 <= x <= 3 * c + 7 and 3 * r - 5 <= y <= 3 * r + 7)
+    got = Counter((h.band, h.tile_col, h.tile_row, h.y, h.x) for h in raster.halo(px, 3, 5).collect())
+    assert got == want
+
+
 def test_jobs(spark, px):
     stored = spark.createDataFrame([(0, 0)], "col int, row int")
     # at zoom 2 the whole world is 4 x 4 tiles of 3 cells each
