@@ -1,15 +1,11 @@
-"""Connected components: in one task while the edges are few, else by alternating large and small stars."""
+"""Connected components by alternating large and small stars."""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from rasterloom.llm.shared import saved
 
-#: Edges (16 bytes each) that one task may take.
-FEW = 500_000
-
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large: each node's larger neighbours are tied to the least of its neighbourhood. Small: the others and itself."""
@@ -22,39 +18,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _joined(batches):
-    """node and least of all edges of an iterator, by union and find."""
-    least: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        root = x
-        while least.get(root, root) != root:
-            root = least[root]
-        while x != root:
-            least[x], x = root, least[x]
-        return root
-
-    for b in batches:
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            u, v = find(u), find(v)
-            if u != v:
-                least[max(u, v)] = min(u, v)
-    nodes = list(least)
-    for i in range(0, len(nodes), 10_000):
-        part = nodes[i : i + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], ["node", "least"])
-
-
-def components(edges: DataFrame, u: str = "u", v: str = "v", few: int = FEW) -> DataFrame:
+def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """node and least, the least node of its component, for each node of an edge but the least ones themselves.
 
-    Up to `few` edges, counted first, are joined in one task. Beyond, stars are formed in rounds, of which there are about
-    as many as the logarithm of a component's size, until the sums over all edges no longer change. Edges never come to
-    the driver.
+    Stars are formed in rounds, of which there are about as many as the logarithm of a component's size, until the sums
+    over all edges no longer change. Edges never come to the driver nor into one task.
     """
     edges = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct().transform(saved)
-    if edges.count() <= few:
-        return edges.coalesce(1).mapInArrow(_joined, "node long, least long").transform(saved)
     mark = None
     while True:
         edges = _star(_star(edges, True).where("u <> v"), False).transform(saved)

@@ -1,20 +1,20 @@
 """N-gram Jaccard join in the metric space of shingle sets, exact, and its connected components.
 
-d(x, y) = 1 - |x & y| / |x | y| is a metric. Whole documents as pivots hardly part a corpus, as nearly all documents are at
-distance 1 from nearly all others; so the first pivots are single shingles, and the region of one has the documents
-within distance 1 of it (those that hold it). Of a document's shingles, the |x| - ceil(0.75 |x|) + 1 first in one order of
-all shingles are enough: two linked documents share one of them. The order puts shingles that are frequent in a bounded
-sample last, which keeps regions small; any order finds all links. Equal sets are one point of the space.
-
-A region then has its own Voronoi pivots, whole documents. The first set of each region of more than `star_from` documents
-is compared with all others first, which makes one component of a group of near copies. Then, if a region has at most
-`small` documents, all are pivots, else the first eight and then, round by round, `small` or a quarter of those left. A pair of a pivot and a member is a candidate unless they
-are of one component, of sizes too different, of distances to the first pivot that differ by more than 0.25 (the triangle
-inequality), or together in too few regions for linked sets. What is left of a region goes on as a smaller one, until
-every region has one component or no pair left. Candidate pairs are first bounded below by an odd sketch (the parity of a
-set's members by bit: two differ in no more bits than the sets in members), then compared shingle by shingle, one pair of
-each set first, others only if that leaves two components. Links, components and sets stay distributed; the members of one
-region (24 bytes each, not their texts) meet in one task.
+d(x, y) = 1 - |x & y| / |x | y| is a metric; equal sets are one point of the space. Nearly all documents are at distance 1
+from nearly all others, so whole documents as first pivots would part nothing: the first pivots are single shingles, and the
+region of one has the documents within distance 1 of it (those that hold it). Of a document's shingles, the
+|x| - ceil(0.75 |x|) + 1 first in one order of all shingles are enough: two linked documents share one of them. The order
+puts shingles that are frequent in a bounded sample last, which keeps regions small; any order finds all links.
+
+Regions that share sets mostly hold the same groups of copies. So regions are put together while their sets have `room`
+shingles at most (a connected component of regions), and each set moves once; a larger component is taken region by
+region. Either is a cell, joined in one task by recursive Voronoi regions of whole documents (`voronoi`): nearest pivots,
+window copies by the triangle inequality, exact distances. A cell beyond `room` is first split by the same rules over many
+tasks: its sets are dealt in chunks that measure their distances to `pivots` sets of the cell, links to pivots become
+components, and each set goes to its nearest pivot's cell and, as a window copy, to others. Cells that hold one component
+are done. One that pivots do not part (a dense group with links that no pivot has) is dealt in blocks, pairs of blocks
+being cells, where the largest component meets all other sets but not itself. Only links that join components (fewer than
+sets) leave a task.
 
 Shingles and sets are told apart by 64-bit hashes.
 
@@ -26,20 +26,18 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from rasterloom.llm import kernel as K
 from rasterloom.llm.components import components
 from rasterloom.llm.lm_scoring import Tally, threshold
-from rasterloom.llm.shared import as_parquet, saved, small_batches
+from rasterloom.llm.shared import as_parquet, batch_rows, saved
+from rasterloom.llm.voronoi import Space, regions as voronoi_regions
 
-ENTRY = np.dtype([("key", "<i8"), ("set", "<i8"), ("n", "<i4")])
+ENTRY = np.dtype([("key", "<i8"), ("set", "<i8")])
 
 
 def shingle_sets(col: pa.Array, width: int):
@@ -66,56 +64,52 @@ def new_sets(seen: set, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.array(sorted(own), np.int64)
 
 
-def odd_sketch(h: np.ndarray) -> bytes:
-    """Parity of the number of shingles by bit; as many bits, a power of 2 from 64, as shingles or more."""
-    bits = 1 << max(6, int(len(h) - 1).bit_length())
-    return np.packbits(np.bincount((K.mix(h) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
-
-
-def sketch_distance(a: bytes, b: bytes) -> int:
-    """Bits in which two odd sketches differ, the longer folded to the shorter's size."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
 def sets_and_sample(docs: DataFrame, width: int, rate: float) -> DataFrame:
-    """kind 0: doc_id, set, n of each row, and the sketch of a set new to the task; kind 1: shingle and its count in a
-    share of the sets, by task."""
-    names, room = ["kind", "id", "set", "n", "sketch"], int(rate * (1 << 63))
+    """kind 0: doc_id, set, n of each row; kind 1: shingle and its count in a share of the sets, by task."""
+    names, room = ["kind", "id", "set", "n"], int(rate * (1 << 63))
 
     def run(batches):
-        tally, seen, drawn = Tally(), set(), set()
+        tally, seen = Tally(), set()
         for b in batches:
             ids = b.column(0)
             for lo, hi, h, first, sets in shingle_sets(b.column(1), width):
                 n = np.diff(first)
-                sketches: list = [None] * len(n)
-                for i in new_sets(drawn, sets, n).tolist():
-                    sketches[i] = odd_sketch(h[first[i] : first[i + 1]])
                 pick = new_sets(seen, sets, np.where(K.mix(sets.view(np.uint64)) >> np.uint64(1) <= np.uint64(room), n, 0))
                 for i in pick:
                     tally.add(h[first[i] : first[i + 1]].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), ids.slice(lo, hi - lo), pa.array(sets), pa.array(n), pa.array(sketches, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), ids.slice(lo, hi - lo), pa.array(sets), pa.array(n)], names)
         key, count = tally.merge()
         for i in range(0, len(key), 50_000):
             k = key[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), pa.nulls(len(k), pa.int64()), pa.array(k), pa.array(count[i : i + 50_000]), pa.nulls(len(k), pa.binary())], names)
-
-    return docs.mapInArrow(run, "kind int, id long, set long, n long, sketch binary")
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), pa.nulls(len(k), pa.int64()), pa.array(k), pa.array(count[i : i + 50_000])], names)
+
+    return docs.mapInArrow(run, "kind int, id long, set long, n long")
+
+
+def roots(key: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """The least set that regions (sorted by key) tie to each entry's set."""
+    by_set = np.argsort(sets, kind="stable")
+    cuts = [np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) for x in (key, sets[by_set])]
+    sizes = [np.diff(np.append(c, len(key))) for c in cuts]
+    root = sets.copy()
+    while len(key):
+        least = np.repeat(np.minimum.reduceat(root, cuts[0]), sizes[0])[by_set]
+        new = np.empty_like(root)
+        new[by_set] = np.repeat(np.minimum.reduceat(least, cuts[1]), sizes[1])
+        if (new == root).all():
+            break
+        root = new
+    return root
 
 
-def regions(docs: DataFrame, width: int, percent: int, frequent, count: int) -> DataFrame:
-    """key, set, n, number of sets, the set's place among them and the first set of every region (shingle) that has two
-    sets or more."""
+def regions(docs: DataFrame, width: int, percent: int, frequent, count: int, lists: bool) -> DataFrame:
+    """Of the regions (shingles) that have two sets or more: u and v, two sets tied by regions, or, if `lists` is asked
+    for, u, a hash of a region's sets, and v, each of these."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(parts):
         e = np.concatenate(parts)
-        at = (K.mix(e["key"].view(np.uint64) if e["key"].flags.contiguous else np.ascontiguousarray(e["key"]).view(np.uint64)) % np.uint64(count)).astype(np.int64)
+        at = (K.mix(np.ascontiguousarray(e["key"]).view(np.uint64)) % np.uint64(count)).astype(np.int64)
         order = np.argsort(at, kind="stable")
         e, at = e[order], at[order]
         cut = np.flatnonzero(np.diff(at)) + 1
@@ -139,7 +133,7 @@ def regions(docs: DataFrame, width: int, percent: int, frequent, count: int) ->
                     h = h[order]
                 own = take[rows] & (np.arange(len(h)) - first[rows] < prefix_size(n, percent)[rows])
                 e = np.empty(int(own.sum()), ENTRY)
-                e["key"], e["set"], e["n"] = h[own].view(np.int64), sets[rows[own]], n[rows[own]]
+                e["key"], e["set"] = h[own].view(np.int64), sets[rows[own]]
                 parts.append(e)
                 size += len(e)
                 if size > 250_000:
@@ -149,221 +143,200 @@ def regions(docs: DataFrame, width: int, percent: int, frequent, count: int) ->
             yield emit(parts)
 
     def meet(table: pa.Table) -> pa.Table:
-        e = np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for x in table.column("entries")])
-        key, sets, n = (np.ascontiguousarray(e[c]) for c in ("key", "set", "n"))
-        order = np.lexsort((sets, key))
-        key, sets, n = key[order], sets[order], n[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (sets[1:] != sets[:-1])])
-        key, sets, n = key[new], sets[new], n[new]
+        e = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for x in table.column("entries")]))
+        key, sets = np.ascontiguousarray(e["key"]), np.ascontiguousarray(e["set"])
         many = np.zeros(len(key), bool)
         many[1:] = key[1:] == key[:-1]
         many[:-1] |= many[1:]
-        key, sets, n = key[many], sets[many], n[many]
-        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        size = np.diff(np.append(cut, len(key)))
-        place = np.arange(len(key)) - np.repeat(cut, size) + 1
-        return pa.table({"key": key, "set": sets, "n": n.astype(np.int64), "size": np.repeat(size, size), "place": place, "first": np.repeat(sets[cut], size)})
+        key, sets = key[many], sets[many]
+        if lists and len(key):
+            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            u = np.repeat(np.add.reduceat(K.mix(sets.view(np.uint64)), cut), np.diff(np.append(cut, len(key)))).view(np.int64)
+        else:
+            u = roots(key, sets)
+        pair = np.unique(np.stack([u, sets], axis=1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
+        return pa.table({"u": np.ascontiguousarray(pair[:, 0]), "v": np.ascontiguousarray(pair[:, 1])})
 
-    return docs.select("text").mapInArrow(run, "region long, entries binary").groupBy("region").applyInArrow(meet, "key long, set long, n long, size long, place long, first long")
+    return docs.select("text").mapInArrow(run, "region long, entries binary").groupBy("region").applyInArrow(meet, "u long, v long").distinct()
 
 
-def set_table(docs: DataFrame, wanted: DataFrame, width: int, most: int = 2_000_000) -> DataFrame:
-    """set and shingles (packed) of the wanted sets (set, id of a document that has it).
-
-    Up to `most` wanted ids are broadcast, so that other texts are not looked at; beyond, all are sent to the join.
-    """
-    ids = None
-    if wanted.count() <= most:
-        got = wanted.toArrow()
-        ids = docs.sparkSession.sparkContext.broadcast((np.unique(got.column("set").to_numpy()), got.column("id").unique()))
+def shapes(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """The rows of wanted (set, ...) with the set's shingles, packed; more than once if several tasks read the set."""
 
     def run(batches):
         seen = set()
         for b in batches:
-            if ids is not None:
-                b = b.filter(pc.or_kleene(pc.is_in(b.column(0), value_set=ids.value[1]), pc.is_null(b.column(0))))
-            for _, _, h, first, sets in shingle_sets(b.column(1), width):
-                n = np.diff(first)
-                if ids is not None and len(ids.value[0]):
-                    at = np.minimum(np.searchsorted(ids.value[0], sets), len(ids.value[0]) - 1)
-                    n = np.where(ids.value[0][at] == sets, n, 0)
-                own = new_sets(seen, sets, n)
+            for _, _, h, first, sets in shingle_sets(b.column(0), width):
+                own = new_sets(seen, sets, np.diff(first))
                 if len(own):
-                    parts = [h[first[i] : first[i + 1]].tobytes() for i in own]
-                    yield pa.RecordBatch.from_arrays([pa.array(sets[own]), pa.array(parts, pa.binary())], ["set", "shingles"])
-
-    rows = docs.select("id", "text").mapInArrow(run, "set long, shingles binary")
-    return rows.join(wanted.select("set").distinct(), "set", "left_semi").dropDuplicates(["set"])
-
+                    yield pa.RecordBatch.from_arrays([pa.array(sets[own]), pa.array([h[first[i] : first[i + 1]].tobytes() for i in own], pa.binary())], ["set", "shingles"])
 
-def bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """a, b, their sizes and a lower bound of their distance, for pairs with their sizes."""
+    return docs.select("text").mapInArrow(run, "set long, shingles binary").join(wanted.hint("shuffle_hash"), "set")
 
-    @F.pandas_udf("double")
-    def least(n: pd.Series, m: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-        d = np.array([sketch_distance(a, b) for a, b in zip(x, y)], float)
-        return pd.Series(np.maximum(2 * d / (n + m + d), 1 - np.minimum(n, m) / np.maximum(n, m)))
 
-    side = lambda s: sketches.select(F.col("set").alias(s), F.col("sketch").alias(f"sketch_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", "n_a", "n_b", least("n_a", "n_b", "sketch_a", "sketch_b").alias("lo"))
+def unpacked(blobs: list) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(blobs), np.uint64), np.concatenate([[0], np.cumsum([len(b) // 8 for b in blobs])])
 
 
-def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, linked, lo and hi (both the distance) for pairs with their sizes."""
+def joined(members: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """u and v, v the least set of u's component within a cell, of members (cell, set, own, c, shingles)."""
 
-    @F.pandas_udf("long")
-    def common(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in zip(x, y)], dtype="int64")
-
-    side = lambda s: sets.select(F.col("set").alias(s), F.col("shingles").alias(f"shingles_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), common("shingles_a", "shingles_b").alias("same"))
-    d = 1 - F.col("same") / (F.col("total") - F.col("same"))
-    return both.select("a", "b", (100 * F.col("same") >= percent * (F.col("total") - F.col("same"))).alias("linked"), d.alias("lo"), d.alias("hi"))
-
-
-def candidates(members: DataFrame, percent: int, parts: int) -> DataFrame:
-    """a, b, n_a, n_b and the number of common regions of pairs a < b, one of them a pivot of the region, that are of two
-    components and in each other's window.
+    def run(table: pa.Table) -> pa.Table:
+        cell, sets, own, c = (table.column(x).to_numpy(zero_copy_only=False) for x in ("cell", "set", "own", "c"))
+        order = np.lexsort((sets, cell))
+        new = np.concatenate([[True], (np.diff(cell[order]) != 0) | (np.diff(sets[order]) != 0)])
+        order = order[new]
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(cell[order])) + 1, [len(order)]])
+        shingles, u, v = table.column("shingles"), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in (order[a:b] for a, b in zip(cut, cut[1:]) if b - a > 1):
+            space = Space(*unpacked([shingles[i].as_py() for i in at.tolist()]), percent, np.unique(c[at], return_inverse=True)[1])
+            label = space.join(own[at])
+            # rows stand by set, so a component's first row has its least set
+            _, first, part = np.unique(label, return_index=True, return_inverse=True)
+            u.append(sets[at])
+            v.append(sets[at][first[part]])
+        u, v = np.concatenate(u), np.concatenate(v)
+        return pa.table({"u": u[u != v], "v": v[u != v]})
+
+    part = F.pmod(F.xxhash64("cell"), F.lit(tasks))
+    return members.withColumn("part", part).groupBy("part").applyInArrow(run, "u long, v long")
+
+
+def measured(members: DataFrame, pivots: DataFrame, percent: int, chunk: int = 1024) -> DataFrame:
+    """cell, set, n, own, d (distances to the cell's pivots) and hits (the pivots it is linked with).
+
+    members: cell, set, n, own, size (of the cell), shingles; pivots: cell, set, size, shingles. Both are dealt in chunks.
+    """
 
-    members: key, set, n, c (component), lo, hi (bounds of the distance to the region's first pivot), pivot.
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["cell", "set", "n", "own"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table({x: left.column(x).slice(0, 0) for x in names} | {"d": pa.array([], pa.list_(pa.float64())), "hits": pa.array([], pa.list_(pa.int64()))})
+        _, first = np.unique(left.column("set").to_numpy(), return_index=True)
+        left = left.take(pa.array(first))
+        _, first = np.unique(right.column("set").to_numpy(), return_index=True)
+        right = right.take(pa.array(first))
+        m, ids = left.num_rows, right.column("set").to_numpy()
+        space = Space(*unpacked(left.column("shingles").to_pylist() + right.column("shingles").to_pylist()), percent)
+        rows = np.arange(m)
+        d = np.array([space.distances(m + i, rows, space.gather(rows)) for i in range(len(ids))])
+        hit = d <= space.r + 1e-12
+        return pa.table({x: left.column(x) for x in names} | {"d": pa.array(list(d.T), pa.list_(pa.float64())), "hits": pa.array([ids[h].tolist() for h in hit.T], pa.list_(pa.int64()))})
+
+    chunks = F.ceil(F.col("size") / chunk).cast("int")
+    left = members.withColumn("chunk", F.pmod(F.xxhash64("set"), chunks).cast("int"))
+    right = pivots.toDF(*pivots.columns).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    both = left.groupBy("cell", "chunk").cogroup(right.groupBy("cell", "chunk"))
+    return both.applyInArrow(run, "cell long, set long, n long, own boolean, d array<double>, hits array<long>")
+
+
+def parted(rows: DataFrame, percent: int) -> DataFrame:
+    """cell, old (the cell before), set, n, own: the Voronoi cells of measured rows, by the rules of `voronoi.regions`."""
+    r, slack = 1 - percent / 100, 1e-9
+    rows = rows.withColumn("least", F.array_min("d")).withColumn("k", F.size("d"))
+    home = F.when(F.col("own") & (F.col("least") <= 2 * r + slack), F.array_position("d", F.col("least")).cast("int") - 1).otherwise(F.col("k"))
+    rows = rows.withColumn("home", home)
+    reach = rows.where("own AND home < k").groupBy("cell", "home").agg(F.max(F.element_at("d", F.col("home") + 1)).alias("reach"))
+    reach = reach.select("cell", F.col("home").alias("p"), "reach").unionByName(rows.select("cell", F.col("k").alias("p"), F.lit(None).cast("double").alias("reach")).distinct())
+    at = F.element_at("d", F.col("p") + 1)
+    inner = F.col("own") & (F.col("home") == F.col("p"))
+    last = F.col("p") == F.col("k")
+    window = F.when(last, ~F.col("own") & (F.col("least") > r - slack)).otherwise(
+        (~F.col("own") | (F.col("home") > F.col("p"))) & (at <= F.col("reach") + r + slack) & (at - F.col("least") <= 2 * r + slack)
+    )
+    # a cell has few pivots, so a row meets few reaches
+    both = rows.join(reach, "cell").where(inner | window)
+    return both.select(F.xxhash64("cell", "p").alias("cell"), F.col("cell").alias("old"), "set", "n", inner.alias("own"))
+
+
+def blocks(cells: DataFrame, room: int) -> DataFrame:
+    """cell, set, n, own, c: cells (cell, set, n, own, c) dealt in pairs of blocks of half a room, but for pairs of blocks of
+    the largest component."""
+    sums = cells.groupBy("cell", "c").agg(F.sum("n").alias("w"))
+    main = sums.groupBy("cell").agg(F.max_by("c", "w").alias("main"), F.max("w").alias("a"), (F.sum("w") - F.max("w")).alias("b"))
+    many = lambda x: F.ceil(2 * F.col(x) / room).cast("int")
+    rows = cells.join(main.select("cell", "main", many("a").alias("a"), many("b").alias("b")), "cell").where("b > 0")
+    most = F.col("c") == F.col("main")
+    hashed = F.xxhash64(F.lit(7), "set")
+    rows = rows.withColumn("most", most).withColumn("i", F.when(most, F.col("b") + F.pmod(hashed, "a")).otherwise(F.pmod(hashed, "b")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.when(F.col("most"), F.col("b") - 1).otherwise(F.col("a") + F.col("b") - 1))))
+    pair = F.xxhash64("cell", F.least("i", "j"), F.greatest("i", "j"))
+    return rows.select(pair.alias("cell"), "set", "n", (F.col("i") <= F.col("j")).alias("own"), "c")
+
+
+def cell_links(docs: DataFrame, cells: DataFrame, edges: list[DataFrame], percent: int, width: int, room: int, pivots: int, parts: int) -> list[DataFrame]:
+    """Links (u, v) of all cells (cell, set, n, own), of any size, besides those known."""
+    while True:
+        tree = components(_union(edges)) if edges else None
+        if tree is not None:
+            cells = cells.join(tree.select(F.col("node").alias("set"), "least"), "set", "left").select("cell", "old", "set", "n", "own", F.coalesce("least", "set").alias("c"))
+        else:
+            cells = cells.select("cell", "old", "set", "n", "own", F.col("set").alias("c"))
+        sums = cells.groupBy("cell").agg(F.sum("n").alias("w"), F.count("*").alias("size"), F.max("old").alias("old"), (F.min("c") != F.max("c")).alias("open")).where("open").transform(saved)
+        if sums.isEmpty():
+            return edges
+        cells = cells.join(sums.select("cell", "w", "size"), "cell").transform(saved)
+        stuck = cells.where("w > {0} AND old IS NOT NULL AND 10 * w > 8 * old".format(room))
+        here = cells.where(F.col("w") <= room).select("cell", "set", "n", "own", "c").unionByName(blocks(stuck.select("cell", "set", "n", "own", "c"), room)).transform(saved)
+        tasks = max(parts, math.ceil((here.agg(F.sum("n")).first()[0] or 0) / room))
+        edges = [*edges, joined(shapes(docs, here, width), percent, tasks).transform(saved)]
+        big = cells.where("w > {0} AND (old IS NULL OR 10 * w <= 8 * old)".format(room))
+        if big.isEmpty():
+            return edges
+        some = [F.min_by("set", F.xxhash64("set", F.lit(i))).alias(f"p{i}") for i in range(pivots)]
+        chosen = big.where("own").groupBy("cell", "size").agg(*some).select("cell", "size", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(pivots)]))).alias("set")).transform(saved)
+        rows = measured(shapes(docs, big.select("cell", "set", "n", "own", "size"), width), shapes(docs, chosen, width), percent).transform(saved)
+        edges = [*edges, rows.select(F.col("set").alias("u"), F.explode("hits").alias("v")).where("u <> v").distinct()]
+        weight = big.select("cell", F.col("w").alias("old_w")).distinct()
+        cells = parted(rows, percent).join(weight.withColumnRenamed("cell", "old"), "old").select("cell", F.col("old_w").alias("old"), "set", "n", "own")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def classes(docs: DataFrame, percent: int = 75, width: int = 5, room: int = 1 << 20, pivots: int = 16, sample: int = 10_000, most_frequent: int = 500_000) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs.
+
+    room: shingles (8 bytes each) of a cell that one task joins; pivots: of a cell beyond that. Neither changes the result.
     """
-    window = 1 - percent / 100 + 1e-9
-    pair = np.dtype([("a", "<i8"), ("b", "<i8"), ("n_a", "<i8"), ("n_b", "<i8")])
+    with batch_rows(docs.sparkSession):
+        return _classes(docs, percent, width, room, pivots, sample, most_frequent)
 
-    def unique(parts_, counts):
-        e, m = np.concatenate(parts_), np.concatenate(counts)
-        order = np.lexsort((e["b"], e["a"]))
-        e, m = e[order], m[order]
-        new = np.flatnonzero(np.concatenate([[True], (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1])])) if len(e) else np.zeros(0, np.int64)
-        return [e[new]], [np.add.reduceat(m, new) if len(new) else m]
 
-    def run(table: pa.Table) -> pa.Table:
-        key, sets, n, c, lo, hi, pivot = (table.column(x).to_numpy(zero_copy_only=False) for x in ("key", "set", "n", "c", "lo", "hi", "pivot"))
-        order = np.lexsort((sets, key))
-        key, sets, n, c, lo, hi, pivot = (x[order] for x in (key, sets, n, c, lo, hi, pivot))
-        cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        size, pivots = np.diff(cut), np.add.reduceat(pivot.astype(np.int64), cut[:-1])
-        out, counts, held = [np.zeros(0, pair)], [np.zeros(0, np.int64)], 0
-
-        def take(i, j):
-            nonlocal out, counts, held
-            ok = (c[j] != c[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])) & (lo[j] - hi[i] <= window) & (lo[i] - hi[j] <= window)
-            i, j = i[ok], j[ok]
-            swap = sets[i] > sets[j]
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            e = np.empty(len(i), pair)
-            e["a"], e["b"], e["n_a"], e["n_b"] = sets[i], sets[j], n[i], n[j]
-            out.append(e)
-            counts.append(np.ones(len(i), np.int64))
-            held += len(e)
-            if held > 2_000_000:
-                out, counts = unique(out, counts)
-                held = 0
-
-        # regions of one size whose members are all pivots, some at a time
-        for r in np.unique(size[(pivots == size) & (size > 1)]).tolist():
-            left, right = np.triu_indices(r, 1)
-            first = cut[:-1][(pivots == size) & (size == r)]
-            for k in range(0, len(first), step := max(1, 500_000 // len(left))):
-                some = first[k : k + step, None]
-                take((some + left).reshape(-1), (some + right).reshape(-1))
-        for g in np.flatnonzero((pivots < size) & (pivots > 0)).tolist():
-            all_ = np.arange(cut[g], cut[g + 1])
-            for i in all_[pivot[all_]].tolist():
-                # a pair of two pivots is taken once
-                j = all_[(all_ > i) | ~pivot[all_]]
-                take(np.full(len(j), i), j)
-        (e,), (m,) = unique(out, counts)
-        return pa.table({x: np.ascontiguousarray(e[x]) for x in pair.names} | {"common": m})
-
-    schema = "a long, b long, n_a long, n_b long, common long"
-    pairs = members.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))).groupBy("part").applyInArrow(run, schema)
-    return pairs.groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("common").alias("common"))
-
-
-def classes(docs: DataFrame, percent: int = 75, width: int = 5, small: int = 256, star_from: int = 16, sample: int = 10_000, most_frequent: int = 500_000) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    small_batches(spark)
+def _classes(docs, percent, width, room, pivots, sample, most_frequent) -> DataFrame:
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     told = sets_and_sample(rows, width, min(1.0, sample / max(1, rows.count()))).transform(as_parquet, "sets", "kind")
     points = told.where("kind = 0").select("id", "set", "n")
-    sketches = told.where("sketch IS NOT NULL").select("set", "n", "sketch").dropDuplicates(["set"])
-    holders = points.where("n > 0").groupBy("set").agg(F.min("id").alias("id"))
 
     counts = told.where("kind = 1").groupBy("set").agg(F.sum("n").alias("n")).where("n >= 3").transform(saved)
     keys, n = (c.to_numpy() for c in counts.where(F.col("n") >= threshold(counts, most_frequent)).toArrow().columns)
     by = np.argsort(keys)
     frequent = keys[by], np.minimum(np.log2(n[by]) * 4, 63).astype(np.int64)
     total = points.agg(F.sum("n")).first()[0] or 0
-    near = regions(rows, width, percent, frequent, max(4 * parts, math.ceil(total / 1_500_000))).transform(as_parquet, "regions")
-
-    def settle(pairs: DataFrame, done: DataFrame | None, tree: DataFrame | None):
-        """Pairs' links and distances added to those done, and the new components (set, c).
-
-        One pair of each set is measured first; others only if that leaves them in two components.
-        """
-        low = bounded(pairs, sketches).transform(as_parquet, "bounds")
-        far = F.col("lo") > 1 - percent / 100 + 1e-9
-        found = [low.where(far).select("a", "b", F.lit(False).alias("linked"), "lo", F.lit(1.0).alias("hi"))]
-        found += [done] if done else []
-        close = low.where(~far)
-        one = close.groupBy("b").agg(F.min_by(F.struct("a", "n_a", "n_b"), "a").alias("p")).select("p.a", "b", "p.n_a", "p.n_b").transform(saved)
-        for step in range(2):
-            if step:
-                one = close.join(one.select("a", "b"), ["a", "b"], "left_anti")
-                for x in "ab":
-                    one = one.join(tree.select(F.col("set").alias(x), F.col("c").alias(f"c_{x}")), x, "left")
-                one = one.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "n_a", "n_b").transform(saved)
-            if one.isEmpty():
-                continue
-            wanted = one.select(F.col("a").alias("set")).unionByName(one.select(F.col("b").alias("set"))).distinct()
-            sets = set_table(rows, wanted.join(holders, "set"), width).transform(as_parquet, "shingles")
-            found.append(measured(one, sets, percent).transform(saved))
-            links = [f.where("linked") for f in found]
-            tree = components(reduce(DataFrame.unionByName, links), "a", "b").select(F.col("node").alias("set"), F.col("least").alias("c"))
-        return reduce(DataFrame.unionByName, found), tree
-
-    none = docs.sparkSession.createDataFrame([], "set long, c long")
-    by_key = Window.partitionBy("key")
-    large = F.col("size") > small
-    # the first set of each region that is not tiny, with all others: groups of near copies become one component at once
-    star = near.where(F.col("size") > star_from)
-    first = star.where("place > 1").select(F.least("first", "set").alias("a"), F.greatest("first", "set").alias("b")).distinct()
-    width_of = sketches.select("set", "n")
-    for x in "ab":
-        first = first.join(width_of.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}")), x)
-    done, tree = settle(first, None, none)
-    known = done.select(F.col("a").alias("first"), F.col("b").alias("set"), "lo", "hi")
-    own = F.col("set") == F.col("first")
-    near = near.join(known, ["first", "set"], "left").join(tree, "set", "left").select(
-        "key", "set", "n", "size", "place", F.coalesce("c", "set").alias("c"), F.coalesce("lo", F.lit(0.0)).alias("lo"), F.when(own, 0.0).otherwise(F.coalesce("hi", F.lit(1.0))).alias("hi")
-    )
-    members = near.select("key", "set", "n", "c", "lo", "hi", (~large | (F.col("place") <= 8)).alias("pivot"))
-    pairs = candidates(members, percent, 4 * parts)
-    # linked sets share so many prefix shingles; those in large regions may not have been counted
-    uncounted = near.where(large).groupBy("set").agg(F.count("*").alias("g"))
-    for x in "ab":
-        pairs = pairs.join(uncounted.select(F.col("set").alias(x), F.col("g").alias(f"g_{x}")), x, "left")
-    together = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100.0 + percent) - 1e-9)
-    beyond = lambda n: F.floor(F.col(n) * (percent / 100.0) + 1e-9)  # noqa: E731  at least what is outside a prefix
-    spare = F.least(F.coalesce("g_a", F.lit(0)), F.coalesce("g_b", F.lit(0)))
-    pairs = pairs.where(F.col("common") + spare >= together - F.greatest(beyond("n_a"), beyond("n_b"))).join(done.select("a", "b"), ["a", "b"], "left_anti")
-    done, tree = settle(pairs, done, tree)
-    near = near.where(large & (F.col("place") > 8)).select("key", "set", "n", "lo", "hi")
-    while True:
-        open_ = near.join(tree, "set", "left").withColumn("c", F.coalesce("c", "set"))
-        open_ = open_.withColumn("_a", F.min("c").over(by_key)).withColumn("_b", F.max("c").over(by_key)).where("_a <> _b")
-        size, place = F.count("*").over(by_key), F.row_number().over(by_key.orderBy("set"))
-        open_ = open_.withColumn("pivot", place <= F.greatest(F.lit(small), F.ceil(size / 4))).drop("_a", "_b").transform(as_parquet, "open")
-        if open_.isEmpty():
-            break
-        done, tree = settle(candidates(open_, percent, parts).join(done.select("a", "b"), ["a", "b"], "left_anti"), done, tree)
-        near = open_.where("NOT pivot").drop("pivot", "c")
+    how = rows, width, percent, frequent, max(4 * parts, math.ceil(total / 1_500_000))
+
+    tied = components(regions(*how, lists=False), "u", "v")
+    sets = points.where("n > 0").groupBy("set").agg(F.max("n").alias("n"))
+    tied = tied.select(F.col("node").alias("set"), F.col("least").alias("cell")).unionByName(tied.select(F.col("least").alias("set"), F.col("least").alias("cell")).distinct()).join(sets, "set")
+    weights = tied.groupBy("cell").agg(F.sum("n").alias("w"))
+    tied = tied.join(weights, "cell").transform(saved)
+    whole = tied.where(F.col("w") <= room).select("cell", "set", "n", F.lit(True).alias("own"), F.col("set").alias("c")).transform(saved)
+    tasks = max(parts, math.ceil((whole.agg(F.sum("n")).first()[0] or 0) / room))
+    # a component of regions that is one cell has its links' components at once
+    links = joined(shapes(rows, whole, width), percent, tasks).transform(saved)
+    tree = links.select(F.col("u").alias("set"), F.col("v").alias("c"))
+    large = tied.where(F.col("w") > room).select("set", "n")
+    if not large.isEmpty():
+        lists = regions(*how, lists=True).select(F.col("u").alias("cell"), F.col("v").alias("set")).join(large, "set")
+        cells = lists.select("cell", F.lit(None).cast("long").alias("old"), "set", "n", F.lit(True).alias("own"))
+        more = components(_union(cell_links(rows, cells, [], percent, width, room, pivots, parts)), "u", "v")
+        tree = tree.unionByName(more.select(F.col("node").alias("set"), F.col("least").alias("c")))
     labelled = points.join(tree, "set", "left").select("id", "n", F.coalesce("c", "set").alias("c"), (F.col("n") > 0).alias("full"))
     least = labelled.where("full").groupBy("c").agg(F.min("id").alias("least"))
-    joined = labelled.join(least, "c", "left")
-    return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("full"), F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    joined_ = labelled.join(least, "c", "left")
+    return joined_.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("full"), F.col("least")).otherwise(F.col("id")).alias("component_id"))

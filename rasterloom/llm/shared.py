@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -16,11 +17,19 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Fewer rows of text at once between Spark and Python, for the memory of executors; never more than before."""
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int = 2000):
+    """Fewer rows of text at once between Spark and Python, for the memory of executors, in plans made inside.
+
+    Never more than before; the session's setting is restored.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, rows)
+    before = int(spark.conf.get(key))
+    spark.conf.set(key, rows if before <= 0 else min(before, rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def saved(df: DataFrame) -> DataFrame:

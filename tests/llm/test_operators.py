@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from rasterloom.llm import fingerprints, jaccard, kernel, language, lm_scoring, mixing, packing, secrets, token_counts, toxicity, vector_search
+from rasterloom.llm import fingerprints, jaccard, kernel, language, lm_scoring, mixing, packing, secrets, token_counts, toxicity, vector_search, voronoi
 from rasterloom.llm.components import components
 from rasterloom.llm.queries import tokenizer_file
 
@@ -307,7 +307,7 @@ def slow_classes(rows):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"small": 2, "sample": 1}])
+@pytest.mark.parametrize("how", [{}, {"room": 200, "pivots": 2, "sample": 1}])
 def test_jaccard_classes(docs, empty, how):
     got = Counter(map(tuple, jaccard.classes(docs, **how).collect()))
     assert got == slow_classes(corpus())
@@ -315,7 +315,7 @@ def test_jaccard_classes(docs, empty, how):
 
 
 def test_large_regions(spark):
-    """Many near copies and a passage many documents share, with regions far larger than `small`."""
+    """Many near copies and a passage many documents share, in cells far larger than `room`."""
     rng, base = np.random.default_rng(1), base_text(20, 80)
     rows = []
     for i in range(60):
@@ -325,23 +325,53 @@ def test_large_regions(spark):
         rows.append((i, " ".join(t)))
     rows += [(100 + i, " ".join(base[:40] + base_text(30 + i, int(rng.integers(1, 60))))) for i in range(30)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for small in (3, 64):
-        assert Counter(map(tuple, jaccard.classes(frame, small=small).collect())) == slow_classes(rows)
+    for room in (600, 4000):
+        assert Counter(map(tuple, jaccard.classes(frame, room=room, pivots=3).collect())) == slow_classes(rows)
 
 
-@given(st.lists(st.tuples(st.integers(0, 300), st.integers(0, 300)), min_size=2, max_size=2, unique=True), st.integers(1, 200))
-@settings(max_examples=40, deadline=None)
-def test_odd_sketch_is_a_bound(ends, width):
-    h = [np.unique(kernel.mix(np.arange(a, a + width + b % 7, dtype=np.uint64))) for a, b in ends]
-    assert jaccard.sketch_distance(*map(jaccard.odd_sketch, h)) <= len(np.setxor1d(*h))
+def slow_links(sets, counted):
+    """Components of sets by all links that are counted."""
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if counted(i, j) and 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    return [group.index(g) for g in group]
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.sets(st.integers(0, 12), max_size=6), st.booleans()), min_size=1, max_size=40), st.integers(1, 4), st.integers(1, 6))
+@settings(max_examples=150, deadline=None)
+def test_voronoi_regions_lose_no_link(points, pivots, leaf):
+    """Sets around four centres; window copies are not joined with each other, though links may be found."""
+    sets = [{100 * c + k for k in range(12)} ^ {100 * c + k for k in odd} or {1} for c, odd, _ in points]
+    core = [own for *_, own in points]
+    first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    space = voronoi.Space(np.array([x for s in sets for x in sorted(s)]), first, 75)
+    got = space.join(np.array(core), pivots, leaf).tolist()
+    least, most = slow_links(sets, lambda i, j: core[i] or core[j]), slow_links(sets, lambda i, j: True)
+    for i in range(len(sets)):
+        for j in range(i):
+            assert (least[i] != least[j] or got[i] == got[j]) and (got[i] != got[j] or most[i] == most[j])
+
+
+def test_near_copies_are_not_compared_by_pairs():
+    """5,000 near copies of one text: measured about once for each pivot, not once for each pair."""
+    rng, sets = np.random.default_rng(3), []
+    for _ in range(5000):
+        s = np.arange(200)
+        s[rng.integers(0, 200, 8)] = rng.integers(1000, 10**9, 8)
+        sets.append(np.unique(s))
+    first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    space = voronoi.Space(np.concatenate(sets), first, 75)
+    assert len(set(space.join().tolist())) == 1 and space.compared <= 10 * len(sets)
 
 
 def test_components(spark):
     rng = np.random.default_rng(6)
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [tuple(map(int, e)) for e in rng.integers(200, 260, (30, 2))]
     frame = spark.createDataFrame(edges, "u long, v long")
-    got, stars = ({r.node: r.least for r in components(frame, few=n).collect()} for n in (1000, 0))
-    assert got == stars
+    got = {r.node: r.least for r in components(frame).collect()}
     group = {n: n for e in edges for n in e}
     for _ in range(60):
         for a, b in edges:
