@@ -6,11 +6,12 @@ region of one has the documents within distance 1 of it (those that hold it). Of
 |x| - ceil(0.75 |x|) + 1 first in one order of all shingles are enough: two linked documents share one of them. The order
 puts shingles that are frequent in a bounded sample last, which keeps regions small; any order finds all links.
 
-Regions that share sets mostly hold the same groups of copies. So regions are put together while their sets have `room`
-shingles at most (a connected component of regions), and each set moves once; a larger component is taken region by
-region. Either is a cell, joined in one task by recursive Voronoi regions of whole documents (`voronoi`): nearest pivots,
-window copies by the triangle inequality, exact distances. A cell beyond `room` is first split by the same rules over many
-tasks: its sets are dealt in chunks that measure their distances to `pivots` sets of the cell, links to pivots become
+Two sets of a region are tied if it has more than `few` sets, else if they are together in as many regions as linked sets of
+their sizes must be; regions of more than `few` sets, not counted pair by pair, may all be common to both. Ties mostly hold
+the same groups of copies, so sets tied directly or through others are a cell while they have `room` shingles at most, and
+each set moves once; in a larger component of ties, every large region is a cell and every tied pair of other regions.
+A cell is joined in one task by recursive Voronoi regions of whole documents (`voronoi`): nearest pivots, window copies by
+the triangle inequality, exact distances. A cell beyond `room` is first split by the same rules over many tasks: its sets are dealt in chunks that measure their distances to `pivots` sets of the cell, links to pivots become
 components, and each set goes to its nearest pivot's cell and, as a window copy, to others. Cells that hold one component
 are done. One that pivots do not part (a dense group with links that no pivot has) is dealt in blocks, pairs of blocks
 being cells, where the largest component meets all other sets but not itself. Only links that join components (fewer than
@@ -29,15 +30,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from rasterloom.llm import kernel as K
 from rasterloom.llm.components import components
 from rasterloom.llm.lm_scoring import Tally, threshold
-from rasterloom.llm.shared import as_parquet, batch_rows, saved
-from rasterloom.llm.voronoi import Space, regions as voronoi_regions
+from rasterloom.llm.shared import as_parquet, batch_rows, free, saved
+from rasterloom.llm.voronoi import Space
 
-ENTRY = np.dtype([("key", "<i8"), ("set", "<i8")])
+ENTRY = np.dtype([("key", "<i8"), ("set", "<i8"), ("n", "<i8")])
+TIES = "kind int, u long, v long, m long, n_u long, n_v long"
+PAIR, TIE, LARGE, LIST = range(4)
 
 
 def shingle_sets(col: pa.Array, width: int):
@@ -102,9 +105,13 @@ def roots(key: np.ndarray, sets: np.ndarray) -> np.ndarray:
     return root
 
 
-def regions(docs: DataFrame, width: int, percent: int, frequent, count: int, lists: bool) -> DataFrame:
-    """Of the regions (shingles) that have two sets or more: u and v, two sets tied by regions, or, if `lists` is asked
-    for, u, a hash of a region's sets, and v, each of these."""
+def regions(docs: DataFrame, width: int, percent: int, frequent, count: int, few: int, lists: bool) -> DataFrame:
+    """Of the regions (shingles) that have two sets or more, kind, u, v, m, n_u and n_v.
+
+    PAIR: two sets, their sizes and the number of regions of up to `few` sets they share, by task. TIE: two sets tied by
+    larger regions. LARGE: a set and its number of larger regions. If `lists` is asked for, only LIST: a hash of a larger
+    region's sets, and each of these.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(parts):
@@ -133,7 +140,7 @@ def regions(docs: DataFrame, width: int, percent: int, frequent, count: int, lis
                     h = h[order]
                 own = take[rows] & (np.arange(len(h)) - first[rows] < prefix_size(n, percent)[rows])
                 e = np.empty(int(own.sum()), ENTRY)
-                e["key"], e["set"] = h[own].view(np.int64), sets[rows[own]]
+                e["key"], e["set"], e["n"] = h[own].view(np.int64), sets[rows[own]], n[rows[own]]
                 parts.append(e)
                 size += len(e)
                 if size > 250_000:
@@ -144,20 +151,66 @@ def regions(docs: DataFrame, width: int, percent: int, frequent, count: int, lis
 
     def meet(table: pa.Table) -> pa.Table:
         e = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for x in table.column("entries")]))
-        key, sets = np.ascontiguousarray(e["key"]), np.ascontiguousarray(e["set"])
-        many = np.zeros(len(key), bool)
-        many[1:] = key[1:] == key[:-1]
-        many[:-1] |= many[1:]
-        key, sets = key[many], sets[many]
-        if lists and len(key):
-            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            u = np.repeat(np.add.reduceat(K.mix(sets.view(np.uint64)), cut), np.diff(np.append(cut, len(key)))).view(np.int64)
+        key, sets, n = (np.ascontiguousarray(e[x]) for x in ENTRY.names)
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(cut, len(key)))
+        wide = np.repeat(size, size) > few
+        big, own = key[wide], sets[wide]
+        out = []
+
+        def add(kind, u, v, m, n_u, n_v):
+            out.append(pa.table([pa.array(np.full(len(u), kind, np.int32)), *map(pa.array, (u, v, m, n_u, n_v))], names))
+
+        if lists:
+            at = np.flatnonzero(np.concatenate([[True], big[1:] != big[:-1]])) if len(big) else np.zeros(0, np.int64)
+            u = np.repeat(np.add.reduceat(K.mix(own.view(np.uint64)), at), np.diff(np.append(at, len(big)))).view(np.int64) if len(big) else own
+            u, v = distinct_pairs(u, own)
+            add(LIST, u, v, u, u, u)
         else:
-            u = roots(key, sets)
-        pair = np.unique(np.stack([u, sets], axis=1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
-        return pa.table({"u": np.ascontiguousarray(pair[:, 0]), "v": np.ascontiguousarray(pair[:, 1])})
-
-    return docs.select("text").mapInArrow(run, "region long, entries binary").groupBy("region").applyInArrow(meet, "u long, v long").distinct()
+            u, v = distinct_pairs(roots(big, own), own)
+            add(TIE, u, v, u, u, u)
+            u, m = np.unique(own, return_counts=True)
+            add(LARGE, u, u, m, u, u)
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for r in range(2, few + 1):
+                left, right = np.triu_indices(r, 1)
+                at = cut[size == r, None]
+                a.append((at + left).reshape(-1))
+                b.append((at + right).reshape(-1))
+            a, b = np.concatenate(a), np.concatenate(b)
+            fit = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+            a, b = a[fit], b[fit]
+            order = np.lexsort((sets[b], sets[a]))
+            a, b = a[order], b[order]
+            new = np.flatnonzero(np.concatenate([[True], (sets[a[1:]] != sets[a[:-1]]) | (sets[b[1:]] != sets[b[:-1]])])) if len(a) else np.zeros(0, np.int64)
+            add(PAIR, sets[a[new]], sets[b[new]], np.diff(np.append(new, len(a))), n[a[new]], n[b[new]])
+        return pa.concat_tables(out)
+
+    names = [x.split()[0] for x in TIES.split(", ")]
+    return docs.select("text").mapInArrow(run, "region long, entries binary").groupBy("region").applyInArrow(meet, TIES)
+
+
+def distinct_pairs(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    new = np.ones(len(u), bool)
+    new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    return u[new], v[new]
+
+
+def kept_pairs(found: DataFrame, percent: int) -> DataFrame:
+    """u and v of the pairs that are together in as many regions as two linked sets of their sizes must be.
+
+    Linked sets have so many shingles together; those beyond either prefix do not count.
+    """
+    pairs = found.where(f"kind = {PAIR}").groupBy("u", "v").agg(F.sum("m").alias("m"), F.max("n_u").alias("n_u"), F.max("n_v").alias("n_v"))
+    large = found.where(f"kind = {LARGE}").groupBy("u").agg(F.sum("m").alias("m"))
+    for x in "uv":
+        pairs = pairs.join(large.select(F.col("u").alias(x), F.col("m").alias(f"g_{x}")), x, "left")
+    together = F.ceil((F.col("n_u") + F.col("n_v")) * percent / (100.0 + percent) - 1e-9)
+    beyond = lambda n: F.floor(F.col(n) * (percent / 100.0) + 1e-9)
+    spare = F.least(F.coalesce("g_u", F.lit(0)), F.coalesce("g_v", F.lit(0)))
+    return pairs.where(F.col("m") + spare >= together - F.greatest(beyond("n_u"), beyond("n_v"))).select("u", "v")
 
 
 def shapes(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -219,7 +272,7 @@ def measured(members: DataFrame, pivots: DataFrame, percent: int, chunk: int = 1
         m, ids = left.num_rows, right.column("set").to_numpy()
         space = Space(*unpacked(left.column("shingles").to_pylist() + right.column("shingles").to_pylist()), percent)
         rows = np.arange(m)
-        d = np.array([space.distances(m + i, rows, space.gather(rows)) for i in range(len(ids))])
+        d = np.array([space.distances(m + i, rows) for i in range(len(ids))])
         hit = d <= space.r + 1e-12
         return pa.table({x: left.column(x) for x in names} | {"d": pa.array(list(d.T), pa.list_(pa.float64())), "hits": pa.array([ids[h].tolist() for h in hit.T], pa.list_(pa.int64()))})
 
@@ -264,8 +317,8 @@ def blocks(cells: DataFrame, room: int) -> DataFrame:
     return rows.select(pair.alias("cell"), "set", "n", (F.col("i") <= F.col("j")).alias("own"), "c")
 
 
-def cell_links(docs: DataFrame, cells: DataFrame, edges: list[DataFrame], percent: int, width: int, room: int, pivots: int, parts: int) -> list[DataFrame]:
-    """Links (u, v) of all cells (cell, set, n, own), of any size, besides those known."""
+def cell_links(forms: DataFrame, cells: DataFrame, edges: list[DataFrame], percent: int, room: int, pivots: int, parts: int) -> list[DataFrame]:
+    """Links (u, v) of all cells (cell, old, set, n, own), of any size, besides those known. forms: set, shingles."""
     while True:
         tree = components(_union(edges)) if edges else None
         if tree is not None:
@@ -279,13 +332,13 @@ def cell_links(docs: DataFrame, cells: DataFrame, edges: list[DataFrame], percen
         stuck = cells.where("w > {0} AND old IS NOT NULL AND 10 * w > 8 * old".format(room))
         here = cells.where(F.col("w") <= room).select("cell", "set", "n", "own", "c").unionByName(blocks(stuck.select("cell", "set", "n", "own", "c"), room)).transform(saved)
         tasks = max(parts, math.ceil((here.agg(F.sum("n")).first()[0] or 0) / room))
-        edges = [*edges, joined(shapes(docs, here, width), percent, tasks).transform(saved)]
+        edges = [*edges, joined(forms.join(here, "set"), percent, tasks).transform(saved)]
         big = cells.where("w > {0} AND (old IS NULL OR 10 * w <= 8 * old)".format(room))
         if big.isEmpty():
             return edges
         some = [F.min_by("set", F.xxhash64("set", F.lit(i))).alias(f"p{i}") for i in range(pivots)]
         chosen = big.where("own").groupBy("cell", "size").agg(*some).select("cell", "size", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(pivots)]))).alias("set")).transform(saved)
-        rows = measured(shapes(docs, big.select("cell", "set", "n", "own", "size"), width), shapes(docs, chosen, width), percent).transform(saved)
+        rows = measured(forms.join(big.select("cell", "set", "n", "own", "size"), "set"), forms.join(chosen, "set"), percent).transform(saved)
         edges = [*edges, rows.select(F.col("set").alias("u"), F.explode("hits").alias("v")).where("u <> v").distinct()]
         weight = big.select("cell", F.col("w").alias("old_w")).distinct()
         cells = parted(rows, percent).join(weight.withColumnRenamed("cell", "old"), "old").select("cell", F.col("old_w").alias("old"), "set", "n", "own")
@@ -298,18 +351,60 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def classes(docs: DataFrame, percent: int = 75, width: int = 5, room: int = 1 << 20, pivots: int = 16, sample: int = 10_000, most_frequent: int = 500_000) -> DataFrame:
+def classes(docs: DataFrame, percent: int = 75, width: int = 5, few: int = 16, room: int = 1 << 22, pivots: int = 16, sample: int = 10_000, most_frequent: int = 500_000) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs.
 
-    room: shingles (8 bytes each) of a cell that one task joins; pivots: of a cell beyond that. Neither changes the result.
+    few: sets of a region whose pairs are counted; room: shingles (8 bytes each) of a cell that one task joins; pivots: of
+    a cell beyond that. None of them changes the result.
     """
     with batch_rows(docs.sparkSession):
-        return _classes(docs, percent, width, room, pivots, sample, most_frequent)
+        rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+        points, tree = set_classes(rows, percent, width, few, room, pivots, sample, most_frequent)
+    labelled = points.join(tree, "set", "left").select("id", "n", F.coalesce("c", "set").alias("c"), (F.col("n") > 0).alias("full"))
+    least = labelled.where("full").groupBy("c").agg(F.min("id").alias("least"))
+    joined_ = labelled.join(least, "c", "left")
+    return joined_.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("full"), F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _classes(docs, percent, width, room, pivots, sample, most_frequent) -> DataFrame:
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+def one_of_each(docs: DataFrame, percent: int = 75, width: int = 5, few: int = 16, room: int = 1 << 22, pivots: int = 16, sample: int = 10_000, most_frequent: int = 500_000) -> DataFrame:
+    """The row of each class of linked documents that has the smallest doc_id (a null one last), and all rows without words.
+
+    Rows are told apart by their texts, not by id: of rows that share an id, each stays or goes with its own class. Of equal
+    texts with one id that differ elsewhere, one is kept by a hash of the row.
+    """
+    taken = list(docs.columns)
+    key, size, row = (free(x, taken) for x in ("_set", "_n", "_row"))
+    with batch_rows(docs.sparkSession):
+        rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+        points, tree = set_classes(rows, percent, width, few, room, pivots, sample, most_frequent)
+        rank = F.struct(F.col("id").isNull().alias("a"), "id", "set")
+        first = points.where("n > 0").join(tree, "set", "left").groupBy(F.coalesce("c", "set").alias("c")).agg(F.min(rank).alias("k"))
+        at = taken.index("text")
+
+        def run(batches):
+            for b in batches:
+                parts = [sets[np.diff(first) > 0] for *_, first, sets in shingle_sets(b.column(at).cast(pa.string()), width)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(parts))], [*b.schema.names, key])
+
+        # as `kernel.word_bounds` has it: a text with a byte that is no white space has a shingle
+        has = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        full = docs.where(has).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(key, T.LongType())]))
+        id_ = F.col("doc_id").cast("long")
+        hashed = F.xxhash64(*[f.name if not _has_map(f.dataType) else F.lit(0) for f in docs.schema.fields])
+        # one row of each set is left before a shuffle, so that copies do not meet
+        kept = full.groupBy(key).agg(F.min_by(F.struct(*taken), F.struct(id_.isNull().alias("a"), id_.alias("id"), hashed.alias("h"))).alias(row))
+        kept = kept.join(first.select(F.col("k.set").alias(key)).transform(saved).hint("shuffle_hash"), key, "left_semi")
+        kept = kept.select(*[F.col(row)[c].alias(c) for c in taken]).unionByName(docs.where(~has))
+        return kept
+
+
+def _has_map(kind: T.DataType) -> bool:
+    return "map<" in kind.simpleString()
+
+
+def set_classes(rows: DataFrame, percent: int, width: int, few: int, room: int, pivots: int, sample: int, most_frequent: int) -> tuple[DataFrame, DataFrame]:
+    """id, set and n of each row of rows (id, text), and set and c: the least set of its class, but for that set itself."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     told = sets_and_sample(rows, width, min(1.0, sample / max(1, rows.count()))).transform(as_parquet, "sets", "kind")
     points = told.where("kind = 0").select("id", "set", "n")
 
@@ -318,25 +413,25 @@ def _classes(docs, percent, width, room, pivots, sample, most_frequent) -> DataF
     by = np.argsort(keys)
     frequent = keys[by], np.minimum(np.log2(n[by]) * 4, 63).astype(np.int64)
     total = points.agg(F.sum("n")).first()[0] or 0
-    how = rows, width, percent, frequent, max(4 * parts, math.ceil(total / 1_500_000))
+    how = rows, width, percent, frequent, max(4 * parts, math.ceil(total / 1_500_000)), few
 
-    tied = components(regions(*how, lists=False), "u", "v")
+    found = regions(*how, lists=False).transform(as_parquet, "ties")
+    pairs = kept_pairs(found, percent).transform(saved)
+    tied = components(found.where(f"kind = {TIE}").select("u", "v").unionByName(pairs))
     sets = points.where("n > 0").groupBy("set").agg(F.max("n").alias("n"))
     tied = tied.select(F.col("node").alias("set"), F.col("least").alias("cell")).unionByName(tied.select(F.col("least").alias("set"), F.col("least").alias("cell")).distinct()).join(sets, "set")
-    weights = tied.groupBy("cell").agg(F.sum("n").alias("w"))
-    tied = tied.join(weights, "cell").transform(saved)
-    whole = tied.where(F.col("w") <= room).select("cell", "set", "n", F.lit(True).alias("own"), F.col("set").alias("c")).transform(saved)
+    tied = tied.join(tied.groupBy("cell").agg(F.sum("n").alias("w")), "cell").transform(saved)
+    forms = shapes(rows, tied.select("set"), width).select("set", "shingles").transform(as_parquet, "shingles")
+    whole = tied.where(F.col("w") <= room).select("cell", "set", "n", F.lit(True).alias("own"), F.col("set").alias("c"))
     tasks = max(parts, math.ceil((whole.agg(F.sum("n")).first()[0] or 0) / room))
-    # a component of regions that is one cell has its links' components at once
-    links = joined(shapes(rows, whole, width), percent, tasks).transform(saved)
+    # a component of ties that is one cell has its links' components at once
+    links = joined(forms.join(whole, "set"), percent, tasks).transform(saved)
     tree = links.select(F.col("u").alias("set"), F.col("v").alias("c"))
-    large = tied.where(F.col("w") > room).select("set", "n")
+    large = tied.where(F.col("w") > room).select("set", "n").transform(saved)
     if not large.isEmpty():
-        lists = regions(*how, lists=True).select(F.col("u").alias("cell"), F.col("v").alias("set")).join(large, "set")
-        cells = lists.select("cell", F.lit(None).cast("long").alias("old"), "set", "n", F.lit(True).alias("own"))
-        more = components(_union(cell_links(rows, cells, [], percent, width, room, pivots, parts)), "u", "v")
+        lists = regions(*how, lists=True).select(F.col("u").alias("cell"), F.col("v").alias("set")).distinct()
+        both = pairs.select(F.xxhash64("u", "v").alias("cell"), F.explode(F.array("u", "v")).alias("set"))
+        cells = lists.unionByName(both).join(large, "set").select("cell", F.lit(None).cast("long").alias("old"), "set", "n", F.lit(True).alias("own"))
+        more = components(_union(cell_links(forms, cells, [], percent, room, pivots, parts)))
         tree = tree.unionByName(more.select(F.col("node").alias("set"), F.col("least").alias("c")))
-    labelled = points.join(tree, "set", "left").select("id", "n", F.coalesce("c", "set").alias("c"), (F.col("n") > 0).alias("full"))
-    least = labelled.where("full").groupBy("c").agg(F.min("id").alias("least"))
-    joined_ = labelled.join(least, "c", "left")
-    return joined_.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("full"), F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    return points, tree

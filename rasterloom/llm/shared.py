@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -10,13 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one only where none is set, as in tests."""
+    """The checkpoint folder of the session. Where none is set, a temporary one in local mode, as in tests, else an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rasterloom-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rasterloom-"))
     return context.getCheckpointDir()
 
 
+def free(name: str, taken: list[str]) -> str:
+    """name, or name with underscores before it, so that no column in taken is called so, whatever its case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 @contextlib.contextmanager
 def batch_rows(spark: SparkSession, rows: int = 2000):
     """Fewer rows of text at once between Spark and Python, for the memory of executors, in plans made inside.
@@ -38,8 +50,20 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_written: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what `as_parquet` has written; to be called once results that are read from it have been stored."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def as_parquet(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df, written as Parquet to the shared folder (in a part for each value of `by`) and read again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -33,28 +33,34 @@ def regions(d: np.ndarray, core: np.ndarray, r: float) -> list[tuple[np.ndarray,
 
 
 class Space:
-    """Sets (elements one after another, and where each begins), and the components of the links found so far."""
+    """Sets (elements one after another, and where each begins), and the components of the links found so far.
+
+    Overlaps are counted over the sets that hold an element, so what is in one set alone costs nothing.
+    """
 
     def __init__(self, elements: np.ndarray, first: np.ndarray, percent: int, label: np.ndarray | None = None):
-        self.ids = np.unique(elements, return_inverse=True)[1].reshape(-1)
-        self.first, self.n, self.percent, self.r = first, np.diff(first), percent, 1 - percent / 100
-        self.mark = np.zeros(int(self.ids.max(initial=0)) + 1, bool)
+        self.n, self.percent, self.r = np.diff(first), percent, 1 - percent / 100
+        _, ids, often = np.unique(elements, return_inverse=True, return_counts=True)
+        ids, rows = ids.reshape(-1), np.repeat(np.arange(len(self.n)), self.n)
+        shared = often[ids] > 1
+        ids, rows = ids[shared], rows[shared]
+        self.rows = rows[np.argsort(ids, kind="stable")]  # the sets that hold an element, element by element
+        self.end = np.cumsum(np.bincount(ids, minlength=len(often)))
+        self.often = np.where(often > 1, often, 0)
+        self.ids, self.first = ids, np.searchsorted(rows, np.arange(len(self.n) + 1))
         self.label = np.arange(len(self.n)) if label is None else label.copy()
         self.compared = 0
 
-    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The elements of some sets, and where each begins."""
-        n = self.n[rows]
-        end = np.cumsum(n)
-        return self.ids[np.arange(end[-1]) + np.repeat(self.first[rows] - (end - n), n)], end - n
-
-    def distances(self, x: int, rows: np.ndarray, gathered) -> np.ndarray:
+    def distances(self, x: int, rows: np.ndarray) -> np.ndarray:
         """Distances of set x to some sets; its links are noted."""
         own = self.ids[self.first[x] : self.first[x + 1]]
-        self.mark[own] = True
-        common = np.add.reduceat(self.mark[gathered[0]], gathered[1], dtype=np.int64)
-        self.mark[own] = False
+        n = self.often[own]
+        end = np.cumsum(n)
+        held = self.rows[np.arange(n.sum()) + np.repeat(self.end[own] - end, n)]
+        common = np.bincount(held, minlength=len(self.n))[rows]
         self.compared += len(rows)
+        # a shingle that only x has is in its overlap with itself
+        common = np.where(rows == x, self.n[x], common)
         union = self.n[x] + self.n[rows] - common
         old = np.unique(self.label[np.append(rows[100 * common >= self.percent * union], x)])
         if len(old) > 1:
@@ -63,30 +69,26 @@ class Space:
 
     def pivots(self, rows: np.ndarray, core: np.ndarray, most: int) -> np.ndarray:
         """Distances of pivots to the rows: first the set of the commonest elements, then the farthest from all before."""
-        gathered = self.gather(rows)
-        often = np.bincount(gathered[0])
-        x = int(np.where(core, np.add.reduceat(often[gathered[0]], gathered[1]) / self.n[rows], -1).argmax())
-        d = [self.distances(int(rows[x]), rows, gathered)]
+        total = np.concatenate([[0], np.cumsum(self.often[self.ids])])
+        x = int(np.where(core, (total[self.first[rows + 1]] - total[self.first[rows]]) / self.n[rows], -1).argmax())
+        d = [self.distances(int(rows[x]), rows)]
         while len(d) < most:
             least = np.where(core, np.min(d, axis=0), -1)
             x = int(least.argmax())
             if least[x] <= self.r:
                 break
-            d.append(self.distances(int(rows[x]), rows, gathered))
+            d.append(self.distances(int(rows[x]), rows))
         return np.array(d)
 
     def compare(self, rows: np.ndarray, core: np.ndarray, d: np.ndarray) -> None:
         """Each own set with those of other components whose sizes and distances to the pivots allow a link."""
-        gathered, n = self.gather(rows), self.n[rows]
+        n = self.n[rows]
         for i in np.flatnonzero(core).tolist():
             other = (~core | (np.arange(len(rows)) > i)) & (self.label[rows] != self.label[rows[i]])
             other &= 100 * np.minimum(n, n[i]) >= self.percent * np.maximum(n, n[i])
             other &= (np.abs(d - d[:, i : i + 1]) <= self.r + SLACK).all(axis=0)
-            at = np.flatnonzero(other)
-            if 4 * n[at].sum() > n.sum():
-                self.distances(int(rows[i]), rows, gathered)
-            elif len(at):
-                self.distances(int(rows[i]), rows[at], self.gather(rows[at]))
+            if other.any():
+                self.distances(int(rows[i]), rows[other])
 
     def join(self, core: np.ndarray | None = None, most: int = 8, leaf: int = 16) -> np.ndarray:
         """The component of every set, counting all links of a set that is not a window copy."""

@@ -72,14 +72,23 @@ def test_words_and_shingles(texts):
 
 
 def test_fingerprints(docs, empty):
-    rows = sorted([(r[0] if r[0] is not None else -(1 << 63), r[1] or "") for r in corpus()], key=lambda r: (-r[0], r[1]))
-    # rows with a null text come before those with an empty one; both count as empty
+    least = -(1 << 63)
+    # rows of one id (here made many) stand by the hash of their text
+    docs = docs.unionByName(docs.withColumn("text", F.concat(F.lit("x "), "text")).withColumn("doc_id", F.when(F.col("doc_id") > 9, 9)))
+    rows = [(least if r.doc_id is None else r.doc_id, r.h % 2**64, r.text or "") for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()]
+    rows = sorted(rows, key=lambda r: (-r[0], *r[1:]))
     want = Counter()
-    for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1]):
+    shingles = lambda t: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t)) else set()
+    like = lambda a, b: round(len(a & b) / len(a | b), 9) if a | b else 1.0
+    for (i, _, t), (*_, n) in zip(rows, rows[1:] + rows[:1]):
         half = len(t) // 2
-        want[(i if i > -(1 << 63) else None, len(t), hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest())] += 1
+        edited = t[: len(t) - half] + n[:half]
+        want[(i if i > least else None, len(t), hashlib.sha256(edited.encode()).hexdigest(), like(shingles(t), shingles(edited)), like(shingles(t), shingles(n)))] += 1
+    # a sketch that keeps all tells exactly
+    got = fingerprints.edited_pairs(docs, scale=1).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
     got = fingerprints.edited_pairs(docs).collect()
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == Counter(k[:3] for k in want.elements())
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     plain = {(r.doc_id, r.fingerprint) for r in fingerprints.fingerprints(docs).collect()}
     assert {(r.doc_id, r.fingerprint) for r in got} == plain
@@ -87,14 +96,26 @@ def test_fingerprints(docs, empty):
 
 
 def test_sketches_estimate_and_merge():
-    s = fingerprints.Sketcher(scale=4, keep_all=20)
+    s = fingerprints.Sketcher(scale=4)
     a, b = base_text(5, 4000), base_text(6, 4000)
-    x, y, both, short = s.sketch(pa.array([" ".join(a), " ".join(a[:2000] + b[:2000]), " ".join(a + b), " ".join(a[:20])]))
+    x, y, both, short = s.sketch(pa.array([" ".join(a), " ".join(a[:2000] + b[:2000]), " ".join(a + b), " ".join(a[:60])]))
     near, there, back = s.compare(x, y)
     assert near == pytest.approx(1 / 3, abs=0.05) and there == pytest.approx(0.5, abs=0.06) and back == pytest.approx(0.5, abs=0.06)
-    assert s.compare(x, both)[1] > 0.99 and short[0] == 1 and len(short[1]) == 16
-    assert s.compare(s.merge(x, y), x)[2] == 1.0 and s.merge(x, short)[0] == 4
-    assert s.compare(s.parse(s.text(x)), x) == (1.0, 1.0, 1.0)
+    assert s.compare(x, both)[1] > 0.99 and s.compare(short, x)[1] == 1.0
+    scale, again = s.parse(s.text(x))
+    assert scale == 4 and (again == x).all() and len(s.parse(s.text(x[:0]))[1]) == 0
+
+
+@given(st.lists(st.lists(st.integers(0, 9), max_size=60), min_size=2, max_size=2))
+@settings(max_examples=60, deadline=None)
+def test_merged_sketches_are_those_of_the_union(texts):
+    """The merge of two texts' sketches against the sketches of all their shingles, each a text of its own."""
+    s = fingerprints.Sketcher(scale=3)
+    parts = [" ".join(f"w{v}" for v in t) for t in texts]
+    width = lambda t: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t)) else set()
+    x, y = s.sketch(pa.array(parts))
+    alone = {w: set(s.sketch(pa.array([" ".join(w)]))[0].tolist()) for w in width(parts[0]) | width(parts[1])}
+    assert set(s.merge(x, y).tolist()) == set().union(*alone.values())
 
 
 # 2
@@ -307,7 +328,7 @@ def slow_classes(rows):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"room": 200, "pivots": 2, "sample": 1}])
+@pytest.mark.parametrize("how", [{}, {"few": 2, "room": 200, "pivots": 2, "sample": 1}])
 def test_jaccard_classes(docs, empty, how):
     got = Counter(map(tuple, jaccard.classes(docs, **how).collect()))
     assert got == slow_classes(corpus())
@@ -326,7 +347,7 @@ def test_large_regions(spark):
     rows += [(100 + i, " ".join(base[:40] + base_text(30 + i, int(rng.integers(1, 60))))) for i in range(30)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     for room in (600, 4000):
-        assert Counter(map(tuple, jaccard.classes(frame, room=room, pivots=3).collect())) == slow_classes(rows)
+        assert Counter(map(tuple, jaccard.classes(frame, few=4, room=room, pivots=3).collect())) == slow_classes(rows)
 
 
 def slow_links(sets, counted):
@@ -418,15 +439,26 @@ def test_gradient_and_states():
         assert (loss[0] - loss[1]) / 2e-4 == pytest.approx(g[at], rel=1e-2, abs=1e-6)
 
 
-def test_pooling_reads_whole_texts():
+@pytest.mark.parametrize("lead", [0, 5, 1000])
+def test_pooling_reads_whole_texts(lead):
     net = language.Network(["a", "b"])
-    texts = ["ab" * 70, "x", "", "é" * 300, "ab" * 70]
-    p = net.documents(pa.array(texts), segment=16, limit=64)
+    texts = ["ab" * 70, "x", "", "é" * 300, "ab" * 70, "z" * 16]
+    p = net.documents(pa.array(texts), segment=16, lead=lead, limit=64)
     assert np.allclose(p[0], p[4], atol=1e-6) and p[2].sum() == 0 and np.allclose(p[[0, 1, 3]].sum(axis=1), 1, atol=1e-4)
-    for i in (0, 3):
-        data = kernel.LOWER[np.frombuffer(texts[i].encode(), np.uint8)]
-        parts = [net.probabilities(data[k : k + 16, None])[:, :, 0] for k in range(0, len(data), 16)]
-        assert np.allclose(p[i], np.concatenate(parts, axis=1).mean(axis=1), atol=1e-4)
+    assert np.allclose(p, net.documents(pa.array(texts), segment=16, lead=lead), atol=1e-6)
+    for i in (0, 1, 3, 5):
+        data = kernel.LOWER[np.frombuffer(texts[i].encode(), np.uint8)][:, None]
+        parts = []
+        for k in range(0, len(data), 16):
+            lo, end = max(0, k - lead), min(len(data), k + 16)
+            e = net.states(data[lo:end], "f")[k - lo :, 0] @ net.p["of"] + net.states(data[k : end + lead], "b")[: end - k, 0] @ net.p["ob"] + net.p["o"]
+            parts.append(np.exp(e) / np.exp(e).sum(axis=1, keepdims=True))
+        assert np.allclose(p[i], np.concatenate(parts).mean(axis=0), atol=1e-4)
+
+
+def test_windows_hold_whole_texts():
+    x = language.windows([b"Abcdefghij", b"xy", b"12345678"], 4)
+    assert [bytes(w) for w in x] == [b"abcd", b"efgh", b"ghij", b"xyxy", b"1234", b"5678"]
 
 
 # 8
