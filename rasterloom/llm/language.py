@@ -2,13 +2,15 @@
 
 A gated recurrent layer reads the lower-cased (A-Z) bytes of a text from the left, another one from the right; a softmax
 over both states labels every position, and a document's probabilities are the mean of its positions'. The network is
-trained in numpy by backpropagation through time on windows of a bounded sample of labelled documents. A text is read
-whole, in segments of `segment` bytes that each start from the zero state, so that many are read in step.
+trained in numpy by backpropagation through time on the whole texts of a bounded sample of labelled documents, in windows.
+A text is read whole, in segments of `segment` bytes that are read in step; each layer begins `lead` bytes before its
+segment, so that the states at a segment's edge have seen what is beyond it.
 
-The sample's bounds are `per_language` documents of each language (by a hash of the id) and `windows` windows of each.
+The sample's bound is `per_language` documents of each language (by a hash of the id), with their whole texts.
 
 Edge cases: a null text, or one without a letter, is "und" with score 0, as is every text if nothing could be learned;
-labels that are null are not learned from; equal texts have equal predictions; extra columns are ignored.
+labels that are null are not learned from; rows with a null id (whose `held_out` is null) are not learned from; equal texts have equal predictions; extra
+columns are kept, columns lang_pred and score replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from rasterloom.llm import kernel as K
 
@@ -25,7 +27,7 @@ UNKNOWN = "und"
 
 
 def held_out(id_, every: int, rest: int):
-    """Whether the CRC-32 of the id's digits leaves this rest."""
+    """Whether the CRC-32 of the id's digits leaves this rest. A null id has no digits: null, so neither is learned from."""
     return F.crc32(F.col(id_).cast("string")) % every == rest
 
 
@@ -61,8 +63,8 @@ class Network:
             states[i] = h
         return states, tape
 
-    def states(self, x: np.ndarray, d: str) -> np.ndarray:
-        """The states alone: the same sums as `layer`, on arrays without gaps and in place."""
+    def states(self, x: np.ndarray, d: str, live: np.ndarray | None = None) -> np.ndarray:
+        """The states alone: the same sums as `layer`, on arrays without gaps and in place. Where not live: 0."""
         w, (t, b) = self.width, x.shape
         half, inputs, u = np.float32(0.5), self.p["x" + d], self.p["u" + d]
         xz, xr, xs = (np.ascontiguousarray(inputs[:, k * w : (k + 1) * w] * f) for k, f in enumerate((half, half, np.float32(1))))
@@ -85,27 +87,34 @@ class Network:
             s *= z
             s *= half
             h = np.add(h, s, out=states[i])
+            if live is not None and not live[i].all():
+                h *= live[i][:, None]
         return states
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """(labels, time, batch) for bytes x (time, batch)."""
-        e = self.p["of"].T @ self.states(x, "f").reshape(-1, self.width).T
-        e += self.p["ob"].T @ self.states(x, "b").reshape(-1, self.width).T
+    def probabilities(self, x: np.ndarray, live: np.ndarray | None = None, lead: int = 0) -> np.ndarray:
+        """(labels, time, batch) for bytes x (time, batch), the first and last `lead` of which are read only before and
+        after the others; bytes that are not live belong to no text."""
+        t = len(x) - 2 * lead
+        cut = lambda lo, hi: (x[lo:hi], d, None if live is None or live[lo:hi].all() else live[lo:hi])
+        d = "f"
+        e = self.p["of"].T @ self.states(*cut(0, lead + t))[lead:].reshape(-1, self.width).T
+        d = "b"
+        e += self.p["ob"].T @ self.states(*cut(lead, len(x)))[:t].reshape(-1, self.width).T
         e += self.p["o"][:, None]
         np.exp(e, out=e)
         e /= e.sum(axis=0)
-        return e.reshape(-1, *x.shape)
+        return e.reshape(-1, t, x.shape[1])
 
-    def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross entropy over positions and its gradient. y: label of each window of the batch."""
+    def gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross entropy over positions and its gradient. y: label of each window of the batch, weight: its weight."""
         w, (t, b) = self.width, x.shape
         both = {d: self.layer(x, d) for d in "fb"}
         e = sum(both[d][0] @ self.p["o" + d] for d in "fb") + self.p["o"]
         e = np.exp(e - e.max(axis=-1, keepdims=True))
         e /= e.sum(axis=-1, keepdims=True)
-        loss = float(-np.log(e[:, np.arange(b), y] + 1e-9).mean())
+        loss = float(-(np.log(e[:, np.arange(b), y] + 1e-9) * weight).mean())
         e[:, np.arange(b), y] -= 1
-        e /= t * b
+        e *= (np.broadcast_to(weight, b) / (t * b)).astype(e.dtype)[None, :, None]
         grad = {"o": e.sum(axis=(0, 1))}
         for d in "fb":
             states, tape = both[d]
@@ -126,13 +135,14 @@ class Network:
             grad |= {"x" + d: dx, "u" + d: du, "c" + d: dc}
         return loss, grad
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.02, seed: int = 11) -> float:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 2, batch: int = 128, rate: float = 0.02, seed: int = 11, weight: np.ndarray | None = None) -> float:
         """Adam over shuffled windows x (count, time); returns the last epoch's mean loss."""
         rng, m, v, step, loss = np.random.default_rng(seed), {}, {}, 0, 0.0
+        weight = np.ones(len(x), np.float32) if weight is None else weight
         for _ in range(epochs):
             losses = []
             for at in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):
-                loss, grad = self.gradient(x[at].T, y[at])
+                loss, grad = self.gradient(x[at].T, y[at], weight[at])
                 losses.append(loss)
                 step += 1
                 for k, g in grad.items():
@@ -143,7 +153,7 @@ class Network:
             loss = float(np.mean(losses))
         return loss
 
-    def documents(self, col: pa.Array, segment: int = 128, limit: int = 1 << 20) -> np.ndarray:
+    def documents(self, col: pa.Array, segment: int = 256, lead: int = 32, limit: int = 1 << 20) -> np.ndarray:
         """Mean probabilities (rows, labels) of each text's positions; 0 for an empty text."""
         out = []
         for lo, hi, raw, at in K.text_chunks(col, limit):
@@ -155,20 +165,18 @@ class Network:
             length = np.minimum(segment, at[row + 1] - start)
             total = np.zeros((len(row), len(self.labels)), np.float32)
             low = K.LOWER[raw]
-            # full segments go together, the others by rising length so that little is padded
-            order = np.argsort(length, kind="stable")
-            edges = np.searchsorted(length[order], np.arange(0, segment + 1, 8))
-            for a, b in zip([*edges[:-1], edges[-1]], [*edges[1:], len(order)]):
+            # segments go together by their length, texts of one segment apart, since these have nothing to lead in
+            alone = parts[row] == 1
+            order = np.lexsort((length, alone))
+            edges = np.flatnonzero(np.diff((length[order] - 1) // 16 + 100_000 * alone[order])) + 1
+            for a, b in zip([0, *edges], [*edges, len(order)]):
                 for k in range(a, b, 2048):
                     own = order[k : min(b, k + 2048)]
-                    t = int(length[own].max())
-                    at_ = np.minimum(start[own] + np.arange(t)[:, None], len(low) - 1)
-                    ragged = length[own].min() < t
-                    x = low[at_]
-                    if ragged:
-                        x[np.arange(t)[:, None] >= length[own]] = 0
-                    p = self.probabilities(x)
-                    if ragged:
+                    t, before = int(length[own].max()), 0 if alone[own[0]] else lead
+                    at_ = start[own] + np.arange(-before, t + before)[:, None]
+                    inside = (at_ >= at[row[own]]) & (at_ < at[row[own] + 1])
+                    p = self.probabilities(low[np.clip(at_, 0, len(low) - 1)], inside, before)
+                    if length[own].min() < t:
                         p[:, np.arange(t)[:, None] >= length[own]] = 0
                     total[own] = p.sum(axis=1).T
             sums = np.zeros((hi - lo, len(self.labels)))
@@ -177,44 +185,57 @@ class Network:
         return np.concatenate(out) if out else np.zeros((0, len(self.labels)))
 
 
-def train(labelled: DataFrame, per_language: int = 150, windows: int = 4, window: int = 64, **how) -> Network | None:
+def windows(texts: list[bytes], window: int) -> np.ndarray:
+    """All bytes of some texts, lower-cased, in windows of one size; the last one of a text reaches back, or repeats it."""
+    out = []
+    for text in texts:
+        data = K.LOWER[np.frombuffer(text, np.uint8)]
+        if len(data) < window:
+            data = np.resize(data, window)
+        n = len(data) // window
+        out.append(data[: n * window].reshape(n, window))
+        if len(data) % window:
+            out.append(data[None, -window:])
+    return np.concatenate(out)
+
+
+def train(labelled: DataFrame, per_language: int = 40, window: int = 64, **how) -> Network | None:
     """A network for the languages of labelled (doc_id, text, lang); None if there are none.
 
-    per_language documents of each language, those with the smallest hash of the id, come to the driver; one count for
-    each language tells which hashes these are about.
+    The whole texts of per_language documents of each language, those with the smallest hash of the id, come to the
+    driver; counts by hash range tell which these are about. All windows are learned from, each language's weighing alike.
     """
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
+    rows = labelled.where("lang IS NOT NULL AND doc_id IS NOT NULL AND length(text) > 0")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("_n"))
     place = (F.xxhash64("doc_id") / F.lit(2.0**63) + 1) / 2
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 2.0 * per_language / n))])
-    rows = rows.where(place < share[F.col("lang")]).select("lang", place.alias("place"), "text")
-    docs: dict[str, list] = {k: [] for k in counts}
-    for r in sorted(rows.collect(), key=lambda r: (r.lang, r.place, r.text)):
-        if len(docs[r.lang]) < per_language and LETTER.search(r.text):
-            docs[r.lang].append(r.text.encode())
+    rows = rows.select("lang", place.alias("place"), "doc_id").join(counts, "lang").where(F.col("place") < 2.0 * per_language / F.col("_n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    # about twice the bound of rows for each language are left to rank
+    chosen = rows.withColumn("rank", rank).where(F.col("rank") <= 2 * per_language).select("doc_id").distinct()
+    texts = labelled.where("lang IS NOT NULL").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
+    docs: dict[str, list] = {}
+    for r in sorted(texts.collect(), key=lambda r: (r.lang, r.doc_id, r.text)):
+        own = docs.setdefault(r.lang, [])
+        if len(own) < per_language and LETTER.search(r.text or ""):
+            own.append(r.text.encode())
     labels = sorted(k for k in docs if docs[k])
     if not labels:
         return None
-    rng, x, y = np.random.default_rng(5), [], []
-    for k, lang in enumerate(labels):
-        for text in docs[lang]:
-            data = K.LOWER[np.frombuffer(text, np.uint8)]
-            for _ in range(windows):
-                at = int(rng.integers(0, max(1, len(data) - window + 1)))
-                part = data[at : at + window]
-                x.append(np.pad(part, (0, window - len(part)), mode="wrap"))
-                y.append(k)
+    x = [windows(docs[k], window) for k in labels]
     net = Network(labels)
-    net.fit(np.array(x), np.array(y), **how)
+    weight = np.concatenate([np.full(len(w), sum(map(len, x)) / len(x) / len(w), np.float32) for w in x])
+    net.fit(np.concatenate(x), np.repeat(np.arange(len(x)), [len(w) for w in x]), weight=weight, **how)
     return net
 
 
-def identify(docs: DataFrame, net: Network | None, least: float = 0.0) -> DataFrame:
-    """docs with lang_pred and score. The network (some thousand numbers) goes with the task."""
-    keep = docs.columns
-    at = keep.index("text")
+def identify(docs: DataFrame, net: Network | None, keep_from: float | None = None) -> DataFrame:
+    """docs with lang_pred and score in place of columns of these names. The network (some thousand numbers) goes with the
+    task. keep_from: only the columns of docs, and only rows of a language with such a score or more."""
+    names, at = docs.columns, docs.columns.index("text")
+    kept = [i for i, c in enumerate(names) if keep_from is not None or c.lower() not in ("lang_pred", "score")]
+    schema = T.StructType([docs.schema.fields[i] for i in kept])
+    if keep_from is None:
+        schema = T.StructType([*schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         for b in batches:
@@ -222,9 +243,11 @@ def identify(docs: DataFrame, net: Network | None, least: float = 0.0) -> DataFr
             p = net.documents(texts) if net else np.zeros((len(texts), 1))
             best = p.argmax(axis=1)
             plain = [t is not None and net is not None and LETTER.search(t) is not None for t in texts.to_pylist()]
-            lang = [net.labels[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), plain)]
             score = [min(1.0, round(float(v), 6)) if ok else 0.0 for v, ok in zip(p[np.arange(len(p)), best].tolist(), plain)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+            if keep_from is not None:
+                yield b.filter(pa.array([ok and s >= keep_from for ok, s in zip(plain, score)], pa.bool_()))
+                continue
+            lang = [net.labels[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), plain)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema.names)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(run, schema)
