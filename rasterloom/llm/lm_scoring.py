@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame, functions as F
 from rasterloom.llm import kernel as K
 from rasterloom.llm.shared import saved
 
-SPACE, END, PAD = 0x20, 0x0A, 0
+#: Bytes that no word holds, so that a text cannot hold them as symbols of its own.
+SPACE, END, PAD = 0x20, 0x0A, 0x09
 #: The word hash that stands for the end of a text.
 END_WORD = -(1 << 63)
 
