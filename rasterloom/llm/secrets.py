@@ -6,7 +6,8 @@ dropped after it has used up its place. Candidate strings for entropy are maxima
 characters of a narrower class in it, so that a name or path glued to a secret does not raise the secret's limit: each
 character class (hex, base 32, letters and digits, base 64) has its own limit, and the entropy is kept by incremental
 counts. The windows above the limit join into spans of kind `entropy`. Candidates that look like known harmless strings
-(words, numbers, UUIDs, paths, placeholders) are suppressed, and so are runs. An entropy span may lie inside a fixed one.
+(words, numbers, UUIDs, paths, placeholders) are suppressed, and so are runs; of a span, the longest part between separators
+is asked whether it is an example, so that a name beside a secret does not hide it. An entropy span may lie inside a fixed one.
 
 Edge cases: a null text counts as empty and has no span; positions are code points, the end exclusive; repeated rows give
 repeated results; extra columns are ignored.
@@ -54,8 +55,11 @@ ALLOWED = re.compile(
     rb"|[/=_+-]*(?:[A-Za-z]+[/=_+-]+)*[A-Za-z]+[/=_+-]*"
     rb"|[0-9/=_+-]+"
     rb"|(?:/?[A-Za-z_]+[0-9]{0,4}/)+[A-Za-z_]*[0-9]{0,4}"
-    rb"|.*(?i:example|placeholder|changeme|xxxx|your[_-]).*"
+    rb"|(?i:your)(?:[_-][A-Za-z0-9]{1,12})+"
 )
+#: Harmless if within the longest part, between separators, that a span touches.
+PHRASE = re.compile(rb"(?i)example|placeholder|changeme|xxxx")
+PART = re.compile(rb"[A-Za-z0-9]+")
 
 
 def runs(mask: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +116,13 @@ def entropy_spans(s: bytes, window: int = 20, allowed: re.Pattern = ALLOWED, lea
             out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
             out.append((a, b))
-    return out
+    return [x for x in out if not harmless(s, *x)]
+
+
+def harmless(s: bytes, a: int, b: int) -> bool:
+    """Whether the longest part of s that a span touches holds a harmless phrase; one beside it does not count."""
+    parts = [m[0] for m in PART.finditer(s) if m.start() < b and m.end() > a]
+    return bool(parts) and PHRASE.search(max(parts, key=len)) is not None
 
 
 def base_spans(data: bytes) -> list[tuple[int, int, int]]:
