@@ -3,13 +3,15 @@
 d(x, y) = 1 - |x & y| / |x | y| is a metric; equal sets are one point of the space. Nearly all documents are at distance 1
 from nearly all others, so whole documents as first pivots would part nothing: the first pivots are single shingles, and the
 region of one has the documents within distance 1 of it (those that hold it). Of a document's shingles, the
-|x| - ceil(0.75 |x|) + 1 first in one order of all shingles are enough: two linked documents share one of them. The order
-puts shingles that are frequent in a bounded sample last, which keeps regions small; any order finds all links.
-
-Two sets of a region are tied if it has more than `few` sets, else if they are together in as many regions as linked sets of
-their sizes must be; regions of more than `few` sets, not counted pair by pair, may all be common to both. Ties mostly hold
-the same groups of copies, so sets tied directly or through others are a cell while they have `room` shingles at most, and
-each set moves once; in a larger component of ties, every large region is a cell and every tied pair of other regions.
+|x| - ceil(0.75 |x|) + k first in one order of all shingles are enough: two linked documents share k of them, a tenth of
+their shingles (see `needed`). The order puts shingles that are frequent in a bounded sample last, which keeps regions
+small; any order finds all links.
+
+Two sets are tied if they are together in as many regions as linked sets of their sizes must be. That is counted pair by
+pair in regions of up to `few` sets; larger ones may all be common to both. Sets that share a larger region are tied if both
+are in as many larger regions as a linked set of their size must be. So passages that many documents share tie few of them.
+Ties mostly hold groups of copies: sets tied directly or through others are a cell while they have `room` shingles at most,
+and each set moves once; in a larger component of ties, every larger region is a cell and every tied pair.
 A cell is joined in one task by recursive Voronoi regions of whole documents (`voronoi`): nearest pivots, window copies by
 the triangle inequality, exact distances. A cell beyond `room` is first split by the same rules over many tasks: its sets are dealt in chunks that measure their distances to `pivots` sets of the cell, links to pivots become
 components, and each set goes to its nearest pivot's cell and, as a window copy, to others. Cells that hold one component
@@ -38,9 +40,9 @@ from rasterloom.llm.lm_scoring import Tally, threshold
 from rasterloom.llm.shared import as_parquet, batch_rows, free, saved
 from rasterloom.llm.voronoi import Space
 
-ENTRY = np.dtype([("key", "<i8"), ("set", "<i8"), ("n", "<i8")])
+ENTRY = np.dtype([("key", "<u4"), ("n", "<u4"), ("set", "<i8")])
 TIES = "kind int, u long, v long, m long, n_u long, n_v long"
-PAIR, TIE, LARGE, LIST = range(4)
+PAIR, LIST = range(2)
 
 
 def shingle_sets(col: pa.Array, width: int):
@@ -52,9 +54,15 @@ def shingle_sets(col: pa.Array, width: int):
         yield lo, hi, h, first, K.set_hash(h, first).view(np.int64)
 
 
-def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
-    """How many of n shingles, first in the order, are sure to hold one of any linked set."""
-    return np.where(n > 0, n + (-percent * n // 100) + 1, 0)
+def prefix_size(n, percent: int):
+    """How many of n shingles, first in the order, are taken: those beyond any overlap with a linked set, and a tenth more."""
+    return (n + (-percent * n // 100) + least_common(n)) * (n > 0)
+
+
+def least_common(n):
+    """How many prefix shingles at least a set of n shingles shares with a linked one that is no larger."""
+    few = n // 10
+    return few + (few < 1)
 
 
 def new_sets(seen: set, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -89,38 +97,21 @@ def sets_and_sample(docs: DataFrame, width: int, rate: float) -> DataFrame:
     return docs.mapInArrow(run, "kind int, id long, set long, n long")
 
 
-def roots(key: np.ndarray, sets: np.ndarray) -> np.ndarray:
-    """The least set that regions (sorted by key) tie to each entry's set."""
-    by_set = np.argsort(sets, kind="stable")
-    cuts = [np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) for x in (key, sets[by_set])]
-    sizes = [np.diff(np.append(c, len(key))) for c in cuts]
-    root = sets.copy()
-    while len(key):
-        least = np.repeat(np.minimum.reduceat(root, cuts[0]), sizes[0])[by_set]
-        new = np.empty_like(root)
-        new[by_set] = np.repeat(np.minimum.reduceat(least, cuts[1]), sizes[1])
-        if (new == root).all():
-            break
-        root = new
-    return root
-
-
-def regions(docs: DataFrame, width: int, percent: int, frequent, count: int, few: int, lists: bool) -> DataFrame:
+def regions(docs: DataFrame, width: int, percent: int, frequent, count: int, few: int) -> DataFrame:
     """Of the regions (shingles) that have two sets or more, kind, u, v, m, n_u and n_v.
 
-    PAIR: two sets, their sizes and the number of regions of up to `few` sets they share, by task. TIE: two sets tied by
-    larger regions. LARGE: a set and its number of larger regions. If `lists` is asked for, only LIST: a hash of a larger
-    region's sets, and each of these.
+    PAIR: two sets, the number of regions of up to `few` sets they share, by task, and their sizes. LIST: a hash of the sets
+    of larger regions, each of these, the number of such regions, by task, and the set's size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(parts):
         e = np.concatenate(parts)
-        at = (K.mix(np.ascontiguousarray(e["key"]).view(np.uint64)) % np.uint64(count)).astype(np.int64)
+        at = (K.mix(np.ascontiguousarray(e["key"])) % np.uint64(count)).astype(np.int64)
         order = np.argsort(at, kind="stable")
         e, at = e[order], at[order]
         cut = np.flatnonzero(np.diff(at)) + 1
-        blobs = [x.tobytes() for x in np.split(e, cut)]
+        blobs = [x.tobytes() for x in np.split(e["entry"], cut)]
         return pa.RecordBatch.from_arrays([pa.array(at[np.concatenate([[0], cut])]), pa.array(blobs, pa.binary())], ["region", "entries"])
 
     def run(batches):
@@ -139,8 +130,9 @@ def regions(docs: DataFrame, width: int, percent: int, frequent, count: int, few
                     order = np.argsort(rows * 64 + np.where(keys[at] == k, classes[at], 0), kind="stable")
                     h = h[order]
                 own = take[rows] & (np.arange(len(h)) - first[rows] < prefix_size(n, percent)[rows])
-                e = np.empty(int(own.sum()), ENTRY)
-                e["key"], e["set"], e["n"] = h[own].view(np.int64), sets[rows[own]], n[rows[own]]
+                e = np.empty(int(own.sum()), [("key", "<u8"), ("entry", ENTRY)])
+                # a region's number within its task: two of one number only add candidates
+                e["key"], e["entry"]["key"], e["entry"]["n"], e["entry"]["set"] = h[own], K.mix(h[own]) >> np.uint64(32), n[rows[own]], sets[rows[own]]
                 parts.append(e)
                 size += len(e)
                 if size > 250_000:
@@ -150,81 +142,101 @@ def regions(docs: DataFrame, width: int, percent: int, frequent, count: int, few
             yield emit(parts)
 
     def meet(table: pa.Table) -> pa.Table:
-        e = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for x in table.column("entries")]))
-        key, sets, n = (np.ascontiguousarray(e[x]) for x in ENTRY.names)
+        e = np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for x in table.column("entries")])
+        e = e[np.lexsort((e["set"], e["key"]))]
+        e = e[np.concatenate([[True], (e["key"][1:] != e["key"][:-1]) | (e["set"][1:] != e["set"][:-1])])]
+        key, sets, n = np.ascontiguousarray(e["key"]), np.ascontiguousarray(e["set"]), e["n"].astype(np.int64)
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(cut, len(key)))
-        wide = np.repeat(size, size) > few
-        big, own = key[wide], sets[wide]
         out = []
 
-        def add(kind, u, v, m, n_u, n_v):
-            out.append(pa.table([pa.array(np.full(len(u), kind, np.int32)), *map(pa.array, (u, v, m, n_u, n_v))], names))
-
-        if lists:
-            at = np.flatnonzero(np.concatenate([[True], big[1:] != big[:-1]])) if len(big) else np.zeros(0, np.int64)
-            u = np.repeat(np.add.reduceat(K.mix(own.view(np.uint64)), at), np.diff(np.append(at, len(big)))).view(np.int64) if len(big) else own
-            u, v = distinct_pairs(u, own)
-            add(LIST, u, v, u, u, u)
-        else:
-            u, v = distinct_pairs(roots(big, own), own)
-            add(TIE, u, v, u, u, u)
-            u, m = np.unique(own, return_counts=True)
-            add(LARGE, u, u, m, u, u)
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for r in range(2, few + 1):
-                left, right = np.triu_indices(r, 1)
-                at = cut[size == r, None]
-                a.append((at + left).reshape(-1))
-                b.append((at + right).reshape(-1))
-            a, b = np.concatenate(a), np.concatenate(b)
-            fit = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-            a, b = a[fit], b[fit]
-            order = np.lexsort((sets[b], sets[a]))
-            a, b = a[order], b[order]
-            new = np.flatnonzero(np.concatenate([[True], (sets[a[1:]] != sets[a[:-1]]) | (sets[b[1:]] != sets[b[:-1]])])) if len(a) else np.zeros(0, np.int64)
-            add(PAIR, sets[a[new]], sets[b[new]], np.diff(np.append(new, len(a))), n[a[new]], n[b[new]])
+        def add(kind, u, v, n_u, n_v):
+            """Counted rows of (u, v)."""
+            order = np.lexsort((v, u))
+            u, v, n_u, n_v = u[order], v[order], n_u[order], n_v[order]
+            new = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])) if len(u) else np.zeros(0, np.int64)
+            m = np.diff(np.append(new, len(u)))
+            out.append(pa.table([pa.array(np.full(len(new), kind, np.int32)), *map(pa.array, (u[new], v[new], m, n_u[new], n_v[new]))], names))
+
+        wide = size > few
+        if wide.any():
+            mass = np.add.reduceat(K.mix(sets.view(np.uint64)), cut).view(np.int64)
+            at = np.repeat(wide, size)
+            add(LIST, np.repeat(mass[wide], size[wide]), sets[at], n[at], n[at])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for r in range(2, few + 1):
+            left, right = np.triu_indices(r, 1)
+            at = cut[size == r, None]
+            a.append((at + left).reshape(-1))
+            b.append((at + right).reshape(-1))
+        a, b = np.concatenate(a), np.concatenate(b)
+        fit = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+        a, b = a[fit], b[fit]
+        add(PAIR, sets[a], sets[b], n[a], n[b])
         return pa.concat_tables(out)
 
     names = [x.split()[0] for x in TIES.split(", ")]
     return docs.select("text").mapInArrow(run, "region long, entries binary").groupBy("region").applyInArrow(meet, TIES)
 
 
-def distinct_pairs(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((v, u))
-    u, v = u[order], v[order]
-    new = np.ones(len(u), bool)
-    new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
-    return u[new], v[new]
+def needed(n_u: str, n_v: str, percent: int):
+    """How many regions two linked sets of these sizes are together in, at least.
+
+    Linked sets have o = ceil(p (n_u + n_v) / (1 + p)) shingles or more together. The j-th of them in the order stands at
+    place n - o + j of a set at the latest, and so in the prefixes of both for all j up to the least of prefix - n + o.
+    """
+    together = F.ceil((F.col(n_u) + F.col(n_v)) * percent / (100.0 + percent) - 1e-9)
+    return together + F.least(*[prefix_column(F.col(n), percent) - F.col(n) for n in (n_u, n_v)])
 
 
-def kept_pairs(found: DataFrame, percent: int) -> DataFrame:
-    """u and v of the pairs that are together in as many regions as two linked sets of their sizes must be.
+def prefix_column(n, percent: int):
+    """`prefix_size` of a column."""
+    return n - F.ceil(n * percent / 100.0 - 1e-9) + F.greatest(F.lit(1), F.floor(n / 10.0 + 1e-9))
 
-    Linked sets have so many shingles together; those beyond either prefix do not count.
-    """
+
+def ties(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """u and v of tied pairs, and cell and set of the larger regions' sets that may be linked there."""
+    lists = found.where(f"kind = {LIST}")
+    large = lists.groupBy(F.col("v").alias("set")).agg(F.sum("m").alias("g"), F.max("n_v").alias("n")).transform(saved)
     pairs = found.where(f"kind = {PAIR}").groupBy("u", "v").agg(F.sum("m").alias("m"), F.max("n_u").alias("n_u"), F.max("n_v").alias("n_v"))
-    large = found.where(f"kind = {LARGE}").groupBy("u").agg(F.sum("m").alias("m"))
     for x in "uv":
-        pairs = pairs.join(large.select(F.col("u").alias(x), F.col("m").alias(f"g_{x}")), x, "left")
-    together = F.ceil((F.col("n_u") + F.col("n_v")) * percent / (100.0 + percent) - 1e-9)
-    beyond = lambda n: F.floor(F.col(n) * (percent / 100.0) + 1e-9)
+        pairs = pairs.join(large.select(F.col("set").alias(x), F.col("g").alias(f"g_{x}")), x, "left")
     spare = F.least(F.coalesce("g_u", F.lit(0)), F.coalesce("g_v", F.lit(0)))
-    return pairs.where(F.col("m") + spare >= together - F.greatest(beyond("n_u"), beyond("n_v"))).select("u", "v")
+    pairs = pairs.where(F.col("m") + spare >= needed("n_u", "n_v", percent)).select("u", "v")
+    # the least that a set can share with a linked one of any size
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100.0 - 1e-9) / 10.0 + 1e-9))
+    wide = lists.select(F.col("u").alias("cell"), F.col("v").alias("set")).distinct().join(large.where(F.col("g") >= least).select("set"), "set", "left_semi")
+    return pairs, wide.select("cell", "set")
+
+
+BITS = 25
+
+
+def bitmap(wanted: DataFrame) -> np.ndarray:
+    """Bits of the wanted sets' hashes, 4 MB whatever their number: thins a shuffle while they are few, else lets all pass."""
+    at = F.col("set").bitwiseAND(F.lit((1 << BITS) - 1)) + 1
+    parts = wanted.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).collect()
+    out = np.zeros((1 << BITS) // 8, np.uint8)
+    for r in parts:
+        out[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.m, np.uint8)
+    return out
 
 
 def shapes(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The rows of wanted (set, ...) with the set's shingles, packed; more than once if several tasks read the set."""
+    """The wanted sets (set) with their shingles, packed; more than once if several tasks read the set."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
 
     def run(batches):
-        seen = set()
+        seen, bits = set(), shared.value
         for b in batches:
             for _, _, h, first, sets in shingle_sets(b.column(0), width):
-                own = new_sets(seen, sets, np.diff(first))
+                at = sets & ((1 << BITS) - 1)
+                maybe = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+                own = new_sets(seen, sets, np.where(maybe, np.diff(first), 0))
                 if len(own):
                     yield pa.RecordBatch.from_arrays([pa.array(sets[own]), pa.array([h[first[i] : first[i + 1]].tobytes() for i in own], pa.binary())], ["set", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "set long, shingles binary").join(wanted.hint("shuffle_hash"), "set")
+    return docs.select("text").mapInArrow(run, "set long, shingles binary").join(wanted.select("set").hint("shuffle_hash"), "set", "left_semi")
 
 
 def unpacked(blobs: list) -> tuple[np.ndarray, np.ndarray]:
@@ -415,13 +427,14 @@ def set_classes(rows: DataFrame, percent: int, width: int, few: int, room: int,
     total = points.agg(F.sum("n")).first()[0] or 0
     how = rows, width, percent, frequent, max(4 * parts, math.ceil(total / 1_500_000)), few
 
-    found = regions(*how, lists=False).transform(as_parquet, "ties")
-    pairs = kept_pairs(found, percent).transform(saved)
-    tied = components(found.where(f"kind = {TIE}").select("u", "v").unionByName(pairs))
+    found = regions(*how).transform(as_parquet, "ties")
+    pairs, wide = (t.transform(saved) for t in ties(found, percent))
+    first = wide.join(wide.groupBy("cell").agg(F.min("set").alias("least")), "cell").select(F.col("set").alias("u"), F.col("least").alias("v"))
+    tied = components(first.unionByName(pairs))
     sets = points.where("n > 0").groupBy("set").agg(F.max("n").alias("n"))
     tied = tied.select(F.col("node").alias("set"), F.col("least").alias("cell")).unionByName(tied.select(F.col("least").alias("set"), F.col("least").alias("cell")).distinct()).join(sets, "set")
     tied = tied.join(tied.groupBy("cell").agg(F.sum("n").alias("w")), "cell").transform(saved)
-    forms = shapes(rows, tied.select("set"), width).select("set", "shingles").transform(as_parquet, "shingles")
+    forms = shapes(rows, tied, width).transform(as_parquet, "shingles")
     whole = tied.where(F.col("w") <= room).select("cell", "set", "n", F.lit(True).alias("own"), F.col("set").alias("c"))
     tasks = max(parts, math.ceil((whole.agg(F.sum("n")).first()[0] or 0) / room))
     # a component of ties that is one cell has its links' components at once
@@ -429,9 +442,8 @@ def set_classes(rows: DataFrame, percent: int, width: int, few: int, room: int,
     tree = links.select(F.col("u").alias("set"), F.col("v").alias("c"))
     large = tied.where(F.col("w") > room).select("set", "n").transform(saved)
     if not large.isEmpty():
-        lists = regions(*how, lists=True).select(F.col("u").alias("cell"), F.col("v").alias("set")).distinct()
         both = pairs.select(F.xxhash64("u", "v").alias("cell"), F.explode(F.array("u", "v")).alias("set"))
-        cells = lists.unionByName(both).join(large, "set").select("cell", F.lit(None).cast("long").alias("old"), "set", "n", F.lit(True).alias("own"))
+        cells = wide.unionByName(both).join(large, "set").select("cell", F.lit(None).cast("long").alias("old"), "set", "n", F.lit(True).alias("own"))
         more = components(_union(cell_links(forms, cells, [], percent, room, pivots, parts)))
         tree = tree.unionByName(more.select(F.col("node").alias("set"), F.col("least").alias("c")))
     return points, tree

@@ -168,9 +168,28 @@ def test_mixing(docs, empty):
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
     assert Counter(r.doc_id for r in mixed.collect()) == +total
+    # one id in several sources: copies stay with the source; columns of any name are kept
+    own = Counter()
+    for r in got:
+        own[(r.doc_id, r.source)] += r.copies
+    named = docs.withColumnsRenamed({"score": "_key", "size": "_copies", "lang": "_rows", "n_chars": "_i"})
+    assert Counter((r.doc_id, r.source) for r in mixing.mix(named).collect()) == +own and mixing.mix(named).columns == named.columns
     assert mixing.copies(empty).count() == mixing.mix(empty).count() == 0
 
 
+def test_rows_without_an_id(spark):
+    """A third of all rows have no id and one size: they share their copies, and stay in their source."""
+    rows = [(None if i % 3 == 0 else i, f"w{i} x", f"s{i % 2}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter()
+    for r in mixing.copies(docs).collect():
+        want[(r.doc_id, r.source)] += r.copies
+    got = mixing.mix(docs).collect()
+    assert Counter((r.doc_id, r.source) for r in got) == +want
+    times = [n for (i, _, s), n in Counter(map(tuple, got)).items() if i is None and s == "s0"]
+    assert max(times) - min(times) <= 1 and len(times) == 50
+
+
 def test_capped_targets():
     even = mixing.capped_targets({"a": 100, "b": 100, "c": 100, "d": 0})
     assert even == {"a": 187.5, "b": 75.0, "c": 37.5, "d": 0.0}
@@ -291,6 +310,13 @@ def test_lm_scoring(docs, empty, how):
     assert lm_scoring.score(docs, empty).count() == len(corpus())
 
 
+def test_zero_bytes_are_symbols(spark):
+    rows = [(0, "ab a\x00c \x00\x00"), (1, "\x00" * 50), (2, "a" * 50), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_scoring.score(docs, docs.where("doc_id = 0")).collect()}
+    assert got[1] < -5 and got[1] < got[3]
+
+
 @pytest.mark.parametrize("how", [{"most_nodes": 12}, {"most_nodes": 12, "most_grams": 20}, {"most_nodes": 0, "most_grams": 0}])
 def test_lm_scoring_whole_model(spark, how):
     """Scores are those of all contexts, however many the broadcast tables hold."""
@@ -310,21 +336,26 @@ def test_lm_scoring_whole_model(spark, how):
 # 6
 
 
-def slow_classes(rows):
+def slow_groups(texts) -> list[int]:
+    """A number for each text, the same for texts of one class; a text without words has its own."""
     sets = []
-    for _, t, *_ in rows:
+    for t in texts:
         w = words(t)
         sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
-    group = list(range(len(rows)))
-    for i in range(len(rows)):
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
         for j in range(i):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 a, b = group[i], group[j]
                 group = [b if g == a else g for g in group]
-    out = Counter()
-    for i, (d, *_) in enumerate(rows):
-        ids = [r[0] for r, g in zip(rows, group) if g == group[i] and r[0] is not None]
-        out[(d, len(sets[i]), min(ids, default=None))] += 1
+    return group
+
+
+def slow_classes(rows):
+    group, out = slow_groups([r[1] for r in rows]), Counter()
+    for i, (d, t, *_) in enumerate(rows):
+        w, ids = words(t), [r[0] for r, g in zip(rows, group) if g == group[i] and r[0] is not None]
+        out[(d, len({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) if w else 0, min(ids, default=None))] += 1
     return out
 
 
@@ -350,6 +381,21 @@ def test_large_regions(spark):
         assert Counter(map(tuple, jaccard.classes(frame, few=4, room=room, pivots=3).collect())) == slow_classes(rows)
 
 
+@given(st.lists(st.sets(st.integers(0, 40), min_size=1, max_size=40), min_size=2, max_size=2), st.integers(0, 8))
+@settings(max_examples=300, deadline=None)
+def test_linked_sets_share_the_needed_prefix(sets, odd):
+    """Of two linked sets in any order of elements; the plain form of `needed`."""
+    a = sets[0]
+    b = (a - set(sorted(sets[1])[: odd // 2])) | set(range(100, 100 + odd - odd // 2)) if odd < 8 else sets[1]
+    if 4 * len(a & b) < 3 * len(a | b):
+        return
+    order = sorted(a | b, key=lambda v: v * 7919 % 101)
+    p, q = (set([v for v in order if v in s][: jaccard.prefix_size(len(s), 75)]) for s in (a, b))
+    together = -(-75 * (len(a) + len(b)) // 175)
+    need = together + min(jaccard.prefix_size(len(s), 75) - len(s) for s in (a, b))
+    assert len(p & q) >= need >= min(jaccard.least_common(-(-75 * len(s) // 100)) for s in (a, b)) >= 1
+
+
 def slow_links(sets, counted):
     """Components of sets by all links that are counted."""
     group = list(range(len(sets)))
@@ -417,9 +463,15 @@ def test_language(spark, docs, empty):
     assert (got[1000].lang_pred, got[1000].score) == (got[1001].lang_pred, got[1001].score) == ("und", 0.0)
     assert all(0 <= r.score <= 1 for r in got.values())
     assert language.train(table.limit(0)) is None
-    none = language.identify(docs.drop("score"), None)
+    none = language.identify(docs, None)
+    assert none.columns == [*[c for c in docs.columns if c != "score"], "lang_pred", "score"]
     assert none.where("lang_pred <> 'und' OR score <> 0").count() == 0 and none.count() == len(corpus())
-    assert language.identify(empty.drop("score"), net).count() == 0
+    assert language.identify(empty, net).count() == 0
+    kept = language.identify(table.withColumn("score", F.lit("own")), net, keep_from=0.5)
+    assert kept.columns == ["doc_id", "text", "lang", "score"] and kept.where("score = 'own'").count() == kept.count()
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.score >= 0.5}
+    long = spark.createDataFrame([(1, make("bb", 40_000))], "doc_id long, text string")
+    assert language.identify(long, net).first().lang_pred == "bb"
 
 
 def test_gradient_and_states():
@@ -492,6 +544,15 @@ def test_entropy():
     assert {i for a, b in joined for i in range(a, b)} == {i + k for i in slow for k in range(20)}
 
 
+def test_example_phrases_hide_only_their_part():
+    key = b"Zq8vKx2LmP9rTw4YbN7cHd3F"
+    assert secrets.entropy_spans(key) == [(0, len(key))]
+    for before in (b"example_key=", b"my/example/path-", b"your_secret=", b"xxxx="):
+        (a, b), *_ = secrets.entropy_spans(before + key) or [(0, 0)]
+        assert b == len(before + key) and b - a >= len(key)
+    assert secrets.entropy_spans(b"Zq8vKx2LmP9EXAMPLErTw4YbN7c") == [] and secrets.entropy_spans(b"your_api_key_here_123456") == []
+
+
 def test_entropy_of_glued_secrets():
     """A name, path or separator beside a secret does not hide it, and harmless runs stay harmless beside others."""
     found = lambda t: [t[a:b] for a, b, k in secrets.scan_column(pa.array([t]))[0] if k == "entropy"]
