@@ -4,12 +4,14 @@ Folding lower-cases, turns look-alike letters of other scripts and full-width fo
 that stand for letters into those letters (`1` and `l` into `i`, as both readings occur), and everything that is no
 letter into a space, one character each, so that positions stay.
 
-The lexicon is learned from a bounded sample of labelled documents: whole words and beginnings of words that occur in
-`least` toxic documents or more, by their odds mark them, and do so beyond chance (a binomial test over all words and
-beginnings), whatever the number of labels; a beginning is lengthened while nine tenths of its documents stay. Words
-and pairs of words that hold an entry and yet are found in clean documents become exception phrases, as may given ones;
-a match inside an exception phrase does not count. The weights (log odds) of all matches are summed and divided by the
-length; a logistic curve fitted to the sample makes a score of that.
+The lexicon is learned from a bounded sample of labelled documents: whole words and beginnings of words that by their
+odds mark toxic documents, beyond chance (a binomial test over all that could pass it), whatever the number of labels. Some
+mark them by being there; others, which chance makes of clean words too, by being there more often than a text of that
+length has them by chance. A beginning is lengthened while nine tenths of its documents stay. An entry's weight is minus the
+log of its chance for each character; what its matches in a text tell is k (log k + weight - log length) - k + expected
+matches, the deviance of a Poisson count, so that length counts against them. Words and pairs of words that hold an entry
+and yet are found in clean documents become exception phrases, as may given ones; a match inside an exception phrase does
+not count. A logistic curve fitted to the sample makes a score of the sum over all entries.
 
 Edge cases: a null or empty text has no match; without labels of both kinds every score is 0; equal texts have equal
 scores; a whole text is matched, whatever its length; extra columns are ignored.
@@ -49,11 +51,25 @@ def fold(text: str) -> str:
     return f" {WIDE_SPACE.sub(' ', t)} "
 
 
+def telling(k: int, expected: float) -> float:
+    """How much k matches tell where so many are expected: half the deviance of a Poisson count, 0 if there are no more."""
+    return k * math.log(k / expected) - k + expected if k > expected else 0.0
+
+
+def untruncated(mean: float) -> float:
+    """The mean of a Poisson count whose mean where it is not 0 is given."""
+    low, high = 1e-6, mean
+    for _ in range(50):
+        middle = (low + high) / 2
+        low, high = (middle, high) if middle / -math.expm1(-middle) < mean else (low, middle)
+    return high
+
+
 class Lexicon:
-    """Entries (with a space where a word must begin or end), exception phrases and the curve of the score."""
+    """Entries (with a space where a word must begin or end) and weights, exception phrases and the curve of the score."""
 
-    def __init__(self, entries: dict[str, float], exceptions=(), curve: tuple[float, float] = (0.0, 0.0), room: int = 300):
-        self.entries, self.exceptions, self.curve, self.room = entries, sorted(exceptions), curve, room
+    def __init__(self, entries: dict[str, float], exceptions=(), curve: tuple[float, float] = (0.0, 0.0)):
+        self.entries, self.exceptions, self.curve = entries, sorted(exceptions), curve
         self.made = None
 
     def automaton(self):
@@ -61,8 +77,8 @@ class Lexicon:
             import ahocorasick
 
             self.made = ahocorasick.Automaton()
-            for k, v in self.entries.items():
-                self.made.add_word(k, (len(k), v))
+            for k in self.entries:
+                self.made.add_word(k, (len(k), k))
             for k in self.exceptions:
                 self.made.add_word(k, (len(k), None))
             self.made.make_automaton()
@@ -71,21 +87,21 @@ class Lexicon:
     def __getstate__(self):
         return self.__dict__ | {"made": None}
 
-    def matches(self, folded: str) -> list[tuple[int, int, float]]:
-        """(start, end, weight) of the entries in a folded text that no exception phrase covers."""
+    def matches(self, folded: str) -> list[tuple[int, int, str]]:
+        """(start, end, entry) of the entries in a folded text that no exception phrase covers."""
         found, safe = [], []
-        for last, (size, weight) in self.automaton().iter(folded):
-            (safe if weight is None else found).append((last + 1 - size, last + 1, weight))
+        for last, (size, entry) in self.automaton().iter(folded):
+            (safe if entry is None else found).append((last + 1 - size, last + 1, entry))
         if safe and found:
             found = [m for m in found if not any(a <= m[0] and m[1] <= b for a, b, _ in safe)]
         return found
 
     def density(self, text: str) -> float:
-        """Log of 1 plus the weights by a thousand characters."""
+        """Log of 1 plus what the matches tell at the text's length."""
         if not text or not self.entries:
             return 0.0
-        hits = self.matches(fold(text))
-        return math.log1p(1000 * sum(w for _, _, w in hits) / (len(text) + self.room)) if hits else 0.0
+        hits = Counter(entry for *_, entry in self.matches(fold(text)))
+        return math.log1p(sum(telling(k, len(text) * math.exp(-self.entries[e])) for e, k in hits.items()))
 
     def score(self, text: str) -> float:
         a, b = self.curve
@@ -108,31 +124,64 @@ def tail(k: int, n: int, p: float) -> float:
     return sum(math.exp(choose(i) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k, n + 1))
 
 
-def learn(toxic: list[str], clean: list[str], least: int = 3, chance: float = 0.05, odds: float = 40.0, exceptions=()) -> Lexicon:
-    """A lexicon from texts. least: an entry is in so many toxic texts, however many there are. chance: the most probability that any entry is one by chance. odds: the least ratio of the shares of toxic and of clean texts that have an entry."""
+def occurrences(folded: list[str], wanted: set[str], longest: int) -> list[Counter]:
+    """How often each wanted feature is in each text."""
+    out = []
+    for t in folded:
+        own = Counter()
+        for w, n in Counter(t.split()).items():
+            word = f" {w} "
+            for f in [*(word[: k + 1] for k in range(3, min(len(w), longest) + 1)), word]:
+                if f in wanted:
+                    own[f] += n
+        out.append(own)
+    return out
+
+
+def learn(toxic: list[str], clean: list[str], least: int = 3, chance: float = 0.05, odds: float = 40.0, often: float = 10.0, exceptions=()) -> Lexicon:
+    """A lexicon from texts. least: an entry is in so many toxic texts, however many there are. chance: the most probability that any entry is one by chance. odds: the least ratio of the shares of toxic and of clean texts that have an entry; often: that have it more often than by chance."""
     if not toxic or not clean:
         return Lexicon({})
     toxic, clean = sorted(set(toxic)), sorted(set(clean))
     bad, good = [fold(t) for t in toxic], [fold(t) for t in clean]
     in_bad, in_good = (Counter(f for t in texts for f in features(t)) for texts in (bad, good))
-    weight = lambda f: math.log((in_bad[f] + 0.5) / (len(bad) + 1)) - math.log((in_good[f] + 0.5) / (len(good) + 1))
-    part, most = len(bad) / (len(bad) + len(good)), chance / max(1, len(in_bad))
-    strong = lambda f: weight(f) >= math.log(odds) and tail(in_bad[f], in_bad[f] + in_good[f], part) <= most
+    ratio = lambda b, g: (b + 0.5) / (len(bad) + 1) * (len(good) + 1) / (g + 0.5)
+    part = len(bad) / (len(bad) + len(good))
+    maybe = {f for f, n in in_bad.items() if n >= least and len(f) >= 4 and ratio(n, in_good[f]) >= 3}
+    here, there = occurrences(bad, maybe, 12), occurrences(good, maybe, 12)
+    total, size, own = Counter(), Counter(), sum(map(len, clean))
+    for t, count in zip(clean, there):
+        total.update(count)
+        size.update(dict.fromkeys(count, len(t)))
+    # by chance a beginning is found in texts of its language only: the rate is that of the texts that have it
+    rate = {f: untruncated((total[f] + 1) / (in_good[f] + 0.5)) * in_good[f] / size[f] if total[f] else 0.5 / own for f in maybe}
+    more = [Counter(f for t, count in zip(texts, counts) for f, k in count.items() if telling(k, rate[f] * len(t)) >= 1.2) for texts, counts in ((toxic, here), (clean, there))]
+    limits = chance / max(1, len(in_bad)), chance / max(1, sum(n >= least for n in more[0].values()))
+    passes = {}
+    for f in maybe:
+        by_presence = ratio(in_bad[f], in_good[f]) >= odds and tail(in_bad[f], in_bad[f] + in_good[f], part) <= limits[0]
+        b, g = more[0][f], more[1][f]
+        if by_presence:
+            passes[f] = -math.log((total[f] + 0.5) / own)
+        elif b >= least and ratio(b, g) >= often and tail(b, b + g, part) <= limits[1]:
+            passes[f] = -math.log(rate[f])
     entries: dict[str, float] = {}
     after: dict[str, list[str]] = {}
-    for f in in_bad:
+    for f in passes:
         after.setdefault(f[:-1], []).append(f)
-    for f in sorted((f for f in in_bad if in_bad[f] >= least), key=lambda f: (len(f), f)):
-        if any(f[:k] in entries for k in range(2, len(f))) or not strong(f):
+    for f in sorted(passes, key=lambda f: (len(f), f)):
+        if any(f[:k] in entries for k in range(2, len(f))):
             continue
-        # a beginning is taken once lengthening it would lose documents, and three letters at least
-        if len(f) >= 4 and max((in_bad[g] for g in after.get(f, ()) if strong(g)), default=0) < 0.9 * in_bad[f]:
-            entries[f] = weight(f)
+        # a beginning is taken once lengthening it would lose documents
+        if max((in_bad[g] for g in after.get(f, ())), default=0) < 0.9 * in_bad[f]:
+            entries[f] = passes[f]
     lexicon = Lexicon(entries)
     around = Counter()
     for t in good:
         phrases = set()
-        for a, b, _ in lexicon.matches(t):
+        for a, b, entry in lexicon.matches(t):
+            if total[entry] > 2 * in_good[entry] or in_good[entry] * len(bad) * 20 > in_bad[entry] * len(good):
+                continue  # made by chance in clean words, which are no phrases
             lo, hi = t.rfind(" ", 0, a + 1), t.find(" ", b - 1)
             phrases.add(t[lo : hi + 1])
             phrases.add(t[max(0, t.rfind(" ", 0, lo)) : hi + 1])

@@ -232,6 +232,35 @@ def test_toxicity(docs, empty, spark):
     assert toxicity.train(table, labels.limit(0)).score("blort") == 0.0
 
 
+def test_toxicity_of_repeated_stems():
+    """A beginning that clean words have by chance marks the texts that have it more often than their length gives."""
+    rng = np.random.default_rng(13)
+    bits = "ba co du fe gi lo mu na pe ri".split()
+    word = lambda: "".join(rng.choice(bits, 4))
+    text = lambda n, bad: " ".join([word() for _ in range(n)] + ["bacodu" + "".join(rng.choice(bits, 2)) for _ in range(bad)])
+    toxic, clean = [text(60, int(rng.integers(3, 6))) for _ in range(40)], [text(60, 0) for _ in range(300)]
+    lexicon = toxicity.learn(toxic, clean)
+    assert toxicity.fold("bacodu")[:-1] in lexicon.entries and len(lexicon.entries) <= 2
+    new = [text(int(rng.integers(20, 120)), 4) for _ in range(50)], [text(int(rng.integers(20, 120)), 0) for _ in range(50)]
+    assert np.mean([lexicon.score(t) >= 0.3 for t in new[0]]) >= 0.9 and np.mean([lexicon.score(t) < 0.3 for t in new[1]]) >= 0.95
+
+
+@given(st.lists(st.sampled_from(["snarkle", "blort", "dear blort", "v1", "sna", "blorts", "zugelx", "zug"]), max_size=30))
+@settings(max_examples=80, deadline=None)
+def test_toxicity_against_a_plain_matcher(parts):
+    """Matches and scores by searching every entry alone."""
+    lexicon = toxicity.Lexicon({" snarkie ": 9.0, " biort ": 8.0, " zuge": 7.0}, [" dear biort "], (-2.0, 1.5))
+    assert lexicon.entries.keys() == {toxicity.fold("snarkle"), toxicity.fold("blort"), toxicity.fold("zuge")[:-1]}
+    text = " ".join(parts)
+    folded, want = toxicity.fold(text), 0.0
+    safe = [m.start() for m in re.finditer("(?= dear biort )", folded)]
+    for entry, weight in lexicon.entries.items():
+        at = [m.start() for m in re.finditer(f"(?={entry})", folded)]
+        k, expected = sum(not any(s <= a and a + len(entry) <= s + 12 for s in safe) for a in at), len(text) * math.exp(-weight)
+        want += k * math.log(k / expected) - k + expected if k > expected else 0.0
+    assert lexicon.score(text) == pytest.approx(1 / (1 + math.exp(2.0 - 1.5 * math.log1p(want))))
+
+
 def test_toxicity_of_rare_terms():
     """A term's needed support does not rise with the number of toxic texts, and chance words stay out."""
     rng = np.random.default_rng(12)
