@@ -1,7 +1,7 @@
 """Mixing sources to target weights by systematic sampling.
 
 Each source has a target number of words. Within a source every document is expected r = target / size times; the
-expected copies are added up along the source's documents, one random offset is added, and a document is emitted once for
+expected copies are added up along the source's documents, one random offset (drawn by a seed for each source) is added, and a document is emitted once for
 each whole number that its step crosses. So a document gets floor(r) or ceil(r) copies, and a source's total differs from
 its target by little. Documents stand by falling size, which stratifies the sample: copies differ by at most one between
 neighbours, so the words taken differ from the target by less than the largest document.
@@ -10,15 +10,15 @@ The running number of a document within its source needs no group in one task: r
 size, id), counted by range and source, and numbered within a range.
 
 Edge cases: a null text has no words; a null source is a source, the last one; sources without words have target 0 and
-keep their documents (rate 1: they change no word count); rows that are alike in source, size and id share their copies
-in any order; an empty table gives an empty result; extra columns are kept by `mix`.
+keep their documents (rate 1: they change no word count); rows that are alike in source, size and id (repeated rows, null
+ids) share their copies evenly; an empty table gives an empty result; extra columns, whatever their names, are kept by `mix`.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rasterloom.llm.shared import saved
+from rasterloom.llm.shared import free, saved
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -66,33 +66,55 @@ def number(dealt: DataFrame, group: str, order: list, name: str = "number") -> D
     return joined.withColumn(name, F.col("_before") + F.col("_i")).drop("_part", "_p", "_g", "_before", "_i")
 
 
-def copies(docs: DataFrame, weights=(5, 2, 1), most: int = 3, offset: float = 0.5772156649015329) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies of every row of docs. offset: in [0, 1), the random start.
+def offset_of(source: Column, seed: str) -> Column:
+    """A number in [0, 1) drawn for a source: the first 32 bits of a digest of the seed and the source."""
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(source, F.lit("")), F.when(source.isNull(), "null").otherwise("")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def alike(id_: Column, source: Column, size: Column) -> Column:
+    """What rows alike in source, size and doc_id have in common, without nulls."""
+    parts = [F.coalesce(id_, F.lit(0)), F.coalesce(source, F.lit("")), size, id_.isNull(), source.isNull()]
+    return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
+
+
+def copies(docs: DataFrame, weights=(5, 2, 1), most: int = 3, seed: str = "mix") -> DataFrame:
+    """doc_id, source, size, source_size, target and copies of every row of docs. seed: for the sources' random offsets.
 
     One row for each source comes to the driver.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words("text").alias("size"))
     order = [F.desc("size"), F.asc_nulls_last("doc_id")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words("text").alias("size"))
     dealt = deal(rows, "source", order)
     sizes = {r.source: r.s for r in dealt.groupBy("source").agg(F.sum("size").alias("s")).collect()}
     targets = capped_targets(sizes, weights, most)
     rates = docs.sparkSession.createDataFrame([(s, n, targets[s]) for s, n in sizes.items()], "_s string, source_size long, target double")
+    rates = rates.withColumn("_offset", offset_of(F.col("_s"), seed))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(1.0)
-    step = lambda k: F.floor(k * rate + F.lit(offset))
+    step = lambda k: F.floor(k * rate + F.col("_offset"))
     rows = number(dealt, "source", order).join(rates, F.col("source").eqNullSafe(F.col("_s")))
     return rows.select("doc_id", "source", "size", "source_size", "target", (step(F.col("number")) - step(F.col("number") - 1)).alias("copies"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """docs, each row as often as it has copies. Rows that share a doc_id share its copies evenly."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    taken = copies(docs, **how).groupBy(key.alias("_key")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).transform(saved)
-    rows = docs.withColumn("_key", key).join(taken, "_key")
-    if (taken.agg(F.max("_rows")).first()[0] or 0) > 1:
-        place = F.row_number().over(Window.partitionBy("_key").orderBy("text", "source"))
-        share = lambda i: F.floor(i * F.col("_copies") / F.col("_rows"))
-        rows = rows.withColumn("_copies", share(place) - share(place - 1))
-    return rows.where("_copies > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    """docs, each row as often as it has copies. Rows alike in source, size and doc_id share their copies evenly."""
+    names = list(docs.columns)
+    key, got, part, again = (free(x, names) for x in ("_key", "_got", "_part_of", "_again"))
+    taken = copies(docs, **how).groupBy(alike(F.col("doc_id"), F.col("source"), F.col("size")).alias(key))
+    taken = taken.agg(F.struct(F.sum("copies").alias("copies"), F.count("*").alias("rows")).alias(got)).transform(saved)
+    rows = docs.withColumn(key, alike(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words("text"))).join(taken, key)
+    one = rows.where(F.col(f"{got}.rows") == 1).select(*names, F.col(f"{got}.copies").alias(got))
+    some = rows.where(F.col(f"{got}.rows") > 1)
+    if not taken.where(F.col(f"{got}.rows") > 1).isEmpty():
+        # numbered by ranges, so that rows that are alike need not meet in one task
+        plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+        whole = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)]).alias("row")
+        tied = deal(some.select(F.to_json(key).alias("key"), F.col(got).alias("got"), F.xxhash64(*plain).alias("h"), whole), "key", [F.asc("h")])
+        tied = number(tied, "key", [F.asc("h")], part)
+        share = lambda i: F.floor(i * F.col("got.copies") / F.col("got.rows"))
+        tied = tied.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)], (share(F.col(part)) - share(F.col(part) - 1)).alias(got))
+        one = one.unionByName(tied)
+    return one.where(F.col(got) > 0).withColumn(again, F.explode(F.sequence(F.lit(1), F.col(got).cast("int")))).select(names)
 
 
 ORACLE_SQL = r"""
@@ -116,10 +138,11 @@ t AS (
   FROM s LEFT JOIN c ON s.source IS NOT DISTINCT FROM c.source CROSS JOIN f
 ), r AS (
   SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 1.0 END AS rate,
+         ('0x' || substr(md5('mix' || coalesce(d.source, 'null')), 1, 8))::BIGINT / 4294967296::DOUBLE AS shift,
          row_number() OVER (PARTITION BY d.source ORDER BY size DESC, doc_id) AS number
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size::BIGINT AS size, source_size, target,
-       ((floor(number * rate + 0.5772156649015329::DOUBLE) - floor((number - 1) * rate + 0.5772156649015329::DOUBLE))::BIGINT * size)::BIGINT AS taken
+       ((floor(number * rate + shift) - floor((number - 1) * rate + shift))::BIGINT * size)::BIGINT AS taken
 FROM r
 """
