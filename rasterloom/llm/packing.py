@@ -128,23 +128,48 @@ def start(sizes: np.ndarray, wanted: np.ndarray, room: int) -> tuple[np.ndarray,
     return basis, uses
 
 
+def inverse_of(basis: np.ndarray) -> np.ndarray:
+    """By Gauss-Jordan elimination with the largest pivot of a column.
+
+    Like `times`, without the threads of a linear algebra library, which stall beside a busy JVM.
+    """
+    n = len(basis)
+    a, out = basis.astype(float), np.eye(n)
+    for i in range(n):
+        p = i + int(np.abs(a[i:, i]).argmax())
+        if p != i:
+            a[[i, p]], out[[i, p]] = a[[p, i]], out[[p, i]]
+        out[i] /= a[i, i]
+        a[i] /= a[i, i]
+        f = a[:, i].copy()
+        f[i] = 0
+        rows = np.flatnonzero(f)
+        a[rows] -= f[rows, None] * a[i]
+        out[rows] -= f[rows, None] * out[i]
+    return out
+
+
+def times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,j->i", matrix, vector, optimize=False)
+
+
 def solve(sizes: np.ndarray, wanted: np.ndarray, room: int, gap: float = 0.002, steps: int = 1000) -> tuple[np.ndarray, np.ndarray, float]:
     """Patterns (columns of a matrix), their uses, and a lower bound of the number of sequences.
 
     Stops at Farley's bound within gap, or after so many pivots; the uses fill all wanted pieces in either case.
     """
     basis, uses = start(sizes, wanted, room)
-    inverse, bound = np.linalg.inv(basis), float(sizes @ wanted) / room
+    inverse, bound = inverse_of(basis), float((sizes * wanted).sum()) / room
     for step in range(steps):
         if uses.sum() <= bound * (1 + gap):
             break
         if step % 256 == 255:
-            inverse = np.linalg.inv(basis)
-            uses = np.maximum(inverse @ wanted, 0)
+            inverse = inverse_of(basis)
+            uses = np.maximum(times(inverse, wanted), 0)
         price = np.maximum(inverse.sum(axis=0), 0)
         value, column = knapsack(sizes, price, room)
-        bound = max(bound, float(price @ wanted) / max(value, 1.0))
-        along = inverse @ column
+        bound = max(bound, float((price * wanted).sum()) / max(value, 1.0))
+        along = times(inverse, column)
         ratio = np.full(len(sizes), np.inf)
         up = along > 1e-9
         ratio[up] = uses[up] / along[up]
