@@ -165,11 +165,11 @@ class Network:
             length = np.minimum(segment, at[row + 1] - start)
             total = np.zeros((len(row), len(self.labels)), np.float32)
             low = K.LOWER[raw]
-            # segments go together by their length, texts of one segment apart, since these have nothing to lead in
+            # segments go together by rising length, texts of one segment apart, since these have nothing to lead in
             alone = parts[row] == 1
             order = np.lexsort((length, alone))
-            edges = np.flatnonzero(np.diff((length[order] - 1) // 16 + 100_000 * alone[order])) + 1
-            for a, b in zip([0, *edges], [*edges, len(order)]):
+            edge = len(order) - int(alone.sum())
+            for a, b in ((0, edge), (edge, len(order))):
                 for k in range(a, b, 2048):
                     own = order[k : min(b, k + 2048)]
                     t, before = int(length[own].max()), 0 if alone[own[0]] else lead
@@ -203,14 +203,11 @@ def train(labelled: DataFrame, per_language: int = 40, window: int = 64, **how)
     """A network for the languages of labelled (doc_id, text, lang); None if there are none.
 
     The whole texts of per_language documents of each language, those with the smallest hash of the id, come to the
-    driver; counts by hash range tell which these are about. All windows are learned from, each language's weighing alike.
+    driver. All windows are learned from, each language's weighing alike.
     """
-    rows = labelled.where("lang IS NOT NULL AND doc_id IS NOT NULL AND length(text) > 0")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("_n"))
-    place = (F.xxhash64("doc_id") / F.lit(2.0**63) + 1) / 2
-    rows = rows.select("lang", place.alias("place"), "doc_id").join(counts, "lang").where(F.col("place") < 2.0 * per_language / F.col("_n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
-    # about twice the bound of rows for each language are left to rank
+    rows = labelled.where("lang IS NOT NULL AND doc_id IS NOT NULL AND length(text) > 0").select("lang", "doc_id")
+    # each task leaves its first rows of a language before the shuffle; twice the bound, as some may have no letter
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = rows.withColumn("rank", rank).where(F.col("rank") <= 2 * per_language).select("doc_id").distinct()
     texts = labelled.where("lang IS NOT NULL").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
     docs: dict[str, list] = {}
