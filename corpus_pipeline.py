@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Every
 stage works on all rows its predecessor kept. Nulls, empty texts, repeated rows, empty tables and further columns are
-handled as the operators' docstrings say; rows with a null doc_id cannot be told apart and stay where ids decide.
+handled as the operators' docstrings say.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rasterloom.llm import jaccard, language, mixing, packing, secrets
 from rasterloom.llm.queries import table, tokenizer_file
-from rasterloom.llm.shared import as_parquet, saved
+from rasterloom.llm.shared import as_parquet
 
 #: Mean probability that the likeliest language must have; documents without a letter have 0.
 LEAST_LANGUAGE = 0.35
@@ -25,20 +25,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = language.train(docs.select("doc_id", "text", "lang"))
     if net is None:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    named = docs.withColumnsRenamed({c: f"_{c}" for c in ("lang_pred", "score") if c in docs.columns})
-    rows = language.identify(named, net).where(F.col("score") >= LEAST_LANGUAGE)
-    return rows.drop("lang_pred", "score").toDF(*docs.columns)
+    return language.identify(docs, net, keep_from=LEAST_LANGUAGE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each class of documents linked by their word shingles."""
-    classes = saved(jaccard.classes(docs))
-    others = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    rows = docs.join(others, "doc_id", "left_anti").select(docs.columns)
-    if classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return rows
-    one = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return one.unionByName(rows.where("doc_id IS NULL"))
+    """One document, that of the smallest doc_id, of each class of documents linked by their word shingles.
+
+    Decided by row: rows that share an id, or have none, stay or go by their own texts. Documents without words stay.
+    """
+    return jaccard.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
