@@ -1,21 +1,53 @@
-"""python -m rasterloom QUERY SF_DIR [ROWS]: runs a query by name and prints its first rows, count and seconds."""
+"""Queries and jobs from the command line.
+
+python -m rasterloom QUERY SF_DIR [ROWS]
+    runs a query by name and prints its first rows, count and seconds.
+python -m rasterloom SETTINGS.yml METHOD IMAGE SIZE BANDS [PARTITIONS]
+    cells of a set of map tiles: METHOD 11, 12 (forward match), 21, 22 (inverted match) or an operator's name, IMAGE as
+    id/product, SIZE and BANDS by index. The settings name the catalog's tables (image, product, product_measurement,
+    measurement: Parquet paths, or tables of catalog_url), the folder or store of the files (files) and bucket.
+"""
 
 import sys
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+from rasterloom.plans import jobs
 from rasterloom.plans.queries import QUERIES
+from rasterloom.sources.catalog import Catalog, jdbc
+from rasterloom.sources.cog import cog_index
+from rasterloom.sources.store import Settings
+
+TABLES = ("image", "product", "product_measurement", "measurement")
+
+
+def job(settings: Settings, method: str, image: str, size: int, bands: int, partitions: int | None = None) -> DataFrame:
+    """The cells that a command asks for."""
+    spark, options = settings.session(), settings.options
+    spark.conf.set("spark.sql.shuffle.partitions", partitions or settings.partitions)
+    read = (lambda t: jdbc(spark, settings.catalog_url, options.get(t, t))) if settings.catalog_url else (lambda t: spark.read.parquet(options[t]))
+    coverage = Catalog(*map(read, TABLES)).bands(*image.split("/"), jobs.BAND_SETS[bands])
+    codes, zoom = jobs.code_set(spark, size)
+    first = coverage.first()
+    store = {k: options[k] for k in ("endpoint", "access_key", "secret_key", "region", "timeout") if k in options}
+    index = cog_index(spark, options["files"], **store)
+    epsg = int(first.crs.split(":")[-1])
+    out = jobs.match_job(method, coverage, index, codes, zoom, epsg, first.data_type, float(options.get("bucket", 1.0)), int(options.get("tile", 256)), options=store)
+    return jobs.required(out)
 
 
 def main(args: list[str]) -> int:
-    if len(args) < 2 or args[0] not in QUERIES:
-        print(f"{__doc__}\nQueries: {', '.join(sorted(QUERIES))}")
-        return 2
-    spark = SparkSession.builder.appName("rasterloom").getOrCreate()
     began = time.time()
-    out = QUERIES[args[0]](spark, args[1])
-    out.show(int(args[2]) if len(args) > 2 else 20, truncate=False)
+    if len(args) >= 5 and args[0].endswith((".yml", ".yaml")):
+        out, rows = job(Settings.load(args[0]), args[1], args[2], int(args[3]), int(args[4]), *map(int, args[5:6])), 0
+    elif len(args) >= 2 and args[0] in QUERIES:
+        out, rows = QUERIES[args[0]](SparkSession.builder.appName("rasterloom").getOrCreate(), args[1]), int(args[2]) if len(args) > 2 else 20
+    else:
+        print(f"{__doc__}\nQueries: {', '.join(sorted(QUERIES))}\nOperators: {', '.join(jobs.OPERATORS)}")
+        return 2
+    if rows:
+        out.show(rows, truncate=False)
     print(f"{out.count()} rows, {time.time() - began:.1f} s")
     return 0
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import struct
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: Cell types, their bytes, numpy code and promotion priority.
@@ -49,6 +53,68 @@ def wkt_envelope(wkt: Column) -> Column:
     return F.struct(F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
 
 
+def wkb_envelope(text: Column) -> Column:
+    """Extent of a geometry as hexadecimal WKB, little- or big-endian, with or without an SRID, of two dimensions."""
+
+    @F.pandas_udf("struct<xmin:double,ymin:double,xmax:double,ymax:double>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None,) * 4 if t is None else bounds(wkb_points(bytes.fromhex(t))) for t in s], columns=["xmin", "ymin", "xmax", "ymax"])
+
+    return run(text)
+
+
+def bounds(points: np.ndarray) -> tuple:
+    return (*points.min(axis=0).tolist(), *points.max(axis=0).tolist()) if len(points) else (None,) * 4
+
+
+def wkb_points(data: bytes) -> np.ndarray:
+    """All coordinates of a geometry in well-known binary form (points, lines, polygons and collections of them)."""
+    found, at = [], 0
+
+    def number(order: str) -> int:
+        nonlocal at
+        at += 4
+        return struct.unpack_from(f"{order}I", data, at - 4)[0]
+
+    def points(order: str, n: int) -> None:
+        nonlocal at
+        found.append(np.frombuffer(data, f"{order}f8", 2 * n, at).reshape(n, 2))
+        at += 16 * n
+
+    def geometry() -> None:
+        nonlocal at
+        order = "<" if data[at] else ">"
+        at += 1
+        kind = number(order)
+        if kind & 0x20000000:
+            number(order)  # the SRID
+        kind &= 0xFF
+        if kind == 1:
+            points(order, 1)
+        elif kind == 2:
+            points(order, number(order))
+        elif kind == 3:
+            for _ in range(number(order)):
+                points(order, number(order))
+        else:
+            for _ in range(number(order)):
+                geometry()
+
+    geometry()
+    return np.concatenate(found) if found else np.zeros((0, 2))
+
+
+def envelope(geometry: Column) -> Column:
+    """Extent of a geometry as WKT or hexadecimal WKB, told apart by the first characters."""
+    is_wkb = geometry.rlike("^0[01][0-9A-Fa-f]{8}")
+    return F.coalesce(F.when(~is_wkb, wkt_envelope(geometry)), wkb_envelope(F.when(is_wkb, geometry)))
+
+
+def new_id() -> Column:
+    """A random UUID for each row."""
+    return F.uuid()
+
+
 def strip(cells: Column, width: int, row: int, col: int, rows: int, cols: int) -> Column:
     """A block of a row-major array of cells."""
     parts = [F.slice(cells, (row + i) * width + col + 1, cols) for i in range(rows)]

@@ -1,7 +1,8 @@
 """Rasters in pixel form: one row (band, y, x, v) for each cell, null for no data.
 
 A neighbourhood is a window frame, so tile borders need no halo exchange. `dense` lays out all cells between the bounds,
-which the separable windows need; a layer's rows and columns are spread over tasks by (band, y) and (band, x).
+which the separable windows need, `dense_tiles` those of the tiles present and around them. A layer's rows and columns are
+spread over tasks by (band, y) and (band, x), and long ones, where a frame is bounded, by strips that overlap by the radius.
 """
 
 from __future__ import annotations
@@ -29,21 +30,88 @@ def dense(px: DataFrame, bounds: tuple[int, int, int, int] | None = None) -> Dat
     return cells.join(px.select(*KEYS, "v"), KEYS, "left")
 
 
-def along(axis: str) -> Window:
+def tile_keys(px: DataFrame, tile: int) -> list[Column]:
+    return [F.floor(F.col("x") / tile).cast("int").alias("col"), F.floor(F.col("y") / tile).cast("int").alias("row")]
+
+
+def around(tiles: DataFrame, ring: int) -> DataFrame:
+    """Tiles (col, row and other columns) and those up to `ring` tiles away."""
+    rest = [c for c in tiles.columns if c not in ("col", "row")]
+    near = lambda c: F.explode(F.sequence(F.col(c) - ring, F.col(c) + ring)).alias(c)
+    return tiles.select(*rest, near("col"), "row").select(*rest, "col", near("row")).distinct()
+
+
+def dense_tiles(px: DataFrame, tile: int, ring: int, only: DataFrame | None = None) -> DataFrame:
+    """All cells of the tiles that a band has cells in and of `ring` tiles around them, null where px has none.
+
+    The work follows the tiles there are, however far apart. only: of these tiles (col, row) and the ring around them.
+    """
+    tiles = around(px.select("band", *tile_keys(px, tile)).distinct(), ring)
+    if only is not None:
+        tiles = tiles.join(around(only.select("col", "row"), ring), ["col", "row"], "left_semi")
+    span = lambda c: F.explode(F.sequence(F.col(c) * tile, F.col(c) * tile + tile - 1))
+    cells = tiles.select("band", "col", span("row").alias("y")).select("band", "y", span("col").alias("x"))
+    return cells.join(px.select(*KEYS, "v"), KEYS, "left")
+
+
+#: Cells of a line that one task holds at least, where a frame is bounded.
+STRIP = 4096
+
+
+def along(axis: str, *more: str) -> Window:
     other = "y" if axis == "x" else "x"
-    return Window.partitionBy("band", other).orderBy(axis)
+    return Window.partitionBy("band", other, *more).orderBy(axis)
+
+
+def in_strips(grid: DataFrame, axis: str, reach: int) -> DataFrame:
+    """Each cell with its strip along an axis, and again with the strips it is within reach of."""
+    at = [F.floor((F.col(axis) + d) / STRIP) for d in (-reach, reach)]
+    return grid.withColumn("strip", F.explode(F.sequence(*at)))
+
+
+def own_strip(axis: str) -> Column:
+    return F.col("strip") == F.floor(F.col(axis) / STRIP)
 
 
 def focal_sums(grid: DataFrame, radius: int) -> DataFrame:
     """Sum s and number c of the cells with data in the (2 r + 1) square around each cell, in two passes."""
-    x, y = along("x").rangeBetween(-radius, radius), along("y").rangeBetween(-radius, radius)
-    lines = grid.select(*KEYS, "v", F.sum("v").over(x).alias("hs"), F.count("v").over(x).alias("hc"))
-    return lines.select(*KEYS, "v", F.sum("hs").over(y).alias("s"), F.sum("hc").over(y).alias("c"))
+    x, y = along("x", "strip").rangeBetween(-radius, radius), along("y", "strip").rangeBetween(-radius, radius)
+    lines = in_strips(grid, "x", radius).select(*KEYS, "v", "strip", F.sum("v").over(x).alias("hs"), F.count("v").over(x).alias("hc")).where(own_strip("x")).drop("strip")
+    out = in_strips(lines, "y", radius).select(*KEYS, "v", "strip", F.sum("hs").over(y).alias("s"), F.sum("hc").over(y).alias("c"))
+    return out.where(own_strip("y")).drop("strip")
 
 
 def focal_mean(px: DataFrame, radius: int = 1, bounds=None) -> DataFrame:
     """Truncated mean of the square around each cell, which shrinks at the edge; null where it has no data."""
-    out = focal_sums(dense(px, bounds), radius)
+    return mean_of(focal_sums(dense(px, bounds), radius))
+
+
+def focal_mean_tiles(px: DataFrame, radius: int, tile: int, only: DataFrame) -> DataFrame:
+    """`focal_mean` of the cells of some tiles (col, row), reading those and the tiles within the radius; any radius."""
+    ring = -(-radius // tile)
+    near = px.select("*", *tile_keys(px, tile)).join(around(only.select("col", "row"), ring), ["col", "row"], "left_semi").select(*KEYS, "v")
+    mean = mean_of(focal_sums(dense_tiles(near, tile, ring, only), radius))
+    return mean.select("*", *tile_keys(mean, tile)).join(only.select("col", "row"), ["col", "row"], "left_semi").select(*KEYS, "mean")
+
+
+def focal(px: DataFrame, radius: int, kernel: Callable[[Column, Column, Column], Column], name: str = "v") -> DataFrame:
+    """A neighbourhood aggregate by a kernel: an aggregate expression of the value and its offset (dx, dy) from the centre.
+
+    Spark makes the buffer, its update, merge and result of it. Centres are the cells of px. For small radii: each cell
+    is sent to its neighbours, with partial sums before the shuffle.
+    """
+    offsets = F.sequence(F.lit(-radius), F.lit(radius))
+    sent = px.select(*KEYS, "v", F.explode(offsets).alias("dx")).select(*KEYS, "v", "dx", F.explode(offsets).alias("dy"))
+    got = sent.groupBy("band", (F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x")).agg(kernel(F.col("v"), F.col("dx"), F.col("dy")).alias(name))
+    return got.join(px.select(*KEYS), KEYS, "left_semi")
+
+
+def in_key(layers: list[DataFrame], aggregate: Callable[[Column, Column], Column], name: str = "v") -> DataFrame:
+    """An aggregate expression of the value and the layer's ordinal, over all layers' cells at each place."""
+    return union(layers).groupBy(*KEYS).agg(aggregate(F.col("v"), F.col("layer")).alias(name))
+
+
+def mean_of(out: DataFrame) -> DataFrame:
     return out.select(*KEYS, F.when(F.col("c") > 0, F.expr("s div c")).cast("long").alias("mean"))
 
 
@@ -56,17 +124,19 @@ def prefix_sums(px: DataFrame, bounds=None) -> DataFrame:
 
 
 def focal_mean_by_prefix(px: DataFrame, radius: int, bounds=None) -> DataFrame:
-    """`focal_mean` from the summed-area table: four lookups whatever the radius; for large ones."""
-    table = prefix_sums(px, bounds)
-    table = table.join(table.groupBy("band").agg(F.max("x").alias("x1"), F.max("y").alias("y1")), "band")
-    corner = table.select("band", F.col("y").alias("cy"), F.col("x").alias("cx"), "total", "cells")
-    r = F.lit(radius)
-    x1, y1 = F.least(F.col("x") + r, F.col("x1")), F.least(F.col("y") + r, F.col("y1"))
-    # outside the table (before its first line) sums are 0: those corners find no row
-    spots = [(1, y1, x1), (-1, y1, F.col("x") - r - 1), (-1, F.col("y") - r - 1, x1), (1, F.col("y") - r - 1, F.col("x") - r - 1)]
-    ask = table.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(s).alias("sign"), b.alias("cy"), a.alias("cx")) for s, b, a in spots])).alias("p")).select(*KEYS, "p.*")
-    sums = ask.join(corner, ["band", "cy", "cx"]).groupBy(*KEYS).agg(F.sum(F.col("sign") * F.col("total")).alias("s"), F.sum(F.col("sign") * F.col("cells")).alias("c"))
-    return sums.select(*KEYS, F.when(F.col("c") > 0, F.expr("s div c")).cast("long").alias("mean"))
+    """`focal_mean` from running sums: two lookups along each axis whatever the radius, without a join; for large ones."""
+
+    def slide(grid: DataFrame, axis: str, pairs: dict[str, str]) -> DataFrame:
+        lines = along(axis, "strip")
+        running = [F.sum(c).over(lines.rowsBetween(Window.unboundedPreceding, 0)).alias(f"run_{n}") for n, c in pairs.items()]
+        whole_ = [F.sum(c).over(Window.partitionBy(*KEYS[:1], "y" if axis == "x" else "x", "strip")).alias(f"all_{n}") for n, c in pairs.items()]
+        runs = in_strips(grid, axis, radius + 1).select(*KEYS, "strip", *running, *whole_)
+        # beyond the end all is summed, before the beginning nothing
+        sums = [(F.coalesce(F.lead(f"run_{n}", radius).over(lines), F.col(f"all_{n}")) - F.coalesce(F.lag(f"run_{n}", radius + 1).over(lines), F.lit(0))).alias(n) for n in pairs]
+        return runs.select(*KEYS, "strip", *sums).where(own_strip(axis)).drop("strip")
+
+    grid = dense(px, bounds).select(*KEYS, F.coalesce("v", F.lit(0)).cast("long").alias("s"), F.col("v").isNotNull().cast("long").alias("c"))
+    return mean_of(slide(slide(grid, "x", {"s": "s", "c": "c"}), "y", {"s": "s", "c": "c"}))
 
 
 def window3(px: DataFrame, bounds=None) -> DataFrame:
@@ -184,10 +254,14 @@ def add(px: DataFrame) -> DataFrame:
 
 
 def pyramid(px: DataFrame, levels: int) -> DataFrame:
-    """Means of 2^k x 2^k cells with data, for k from 0 to levels. Levels come from sums, so data are read once."""
-    level = px.select(F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"), *KEYS, "v")
-    cut = lambda c: F.shiftright(F.col(c), F.col("level"))
-    return level.groupBy("level", "band", F.expr("shiftright(y, level)").alias("y"), F.expr("shiftright(x, level)").alias("x")).agg(F.avg("v").alias("v"))
+    """Means of 2^k x 2^k cells with data, for k from 0 to levels. Each level is summed from the one below: a quarter of it."""
+    sums = [F.sum("s").alias("s"), F.sum("c").alias("c")]
+    level = px.groupBy(*KEYS).agg(F.sum("v").alias("s"), F.count("v").alias("c"))
+    out = level.withColumn("level", F.lit(0))
+    for k in range(1, levels + 1):
+        level = level.groupBy("band", F.shiftright("y", 1).alias("y"), F.shiftright("x", 1).alias("x")).agg(*sums)
+        out = out.unionByName(level.withColumn("level", F.lit(k)))
+    return out.select("level", *KEYS, F.try_divide(F.col("s").cast("double"), F.col("c")).alias("v"))
 
 
 def to_tiles(px: DataFrame, size: int) -> DataFrame:
@@ -219,3 +293,14 @@ def reproject(px: DataFrame, cells: DataFrame, lon: Column, lat: Column, origin:
     place = cells.withColumn("_x", F.floor((lon - origin[0]) / step[0]).cast("int")).withColumn("_y", F.floor((origin[1] - lat) / step[1]).cast("int"))
     source = px.select("band", F.col("y").alias("_y"), F.col("x").alias("_x"), "v")
     return place.join(source, ["_y", "_x"]).drop("_x", "_y")
+
+
+def mosaic(sources: list[tuple[DataFrame, tuple[float, float], tuple[float, float]]], cells: DataFrame, lon: Column, lat: Column, keys: list[str]) -> DataFrame:
+    """Target cells (keys, band, v) from several sources (px, origin, step) by nearest neighbour: at each place the first
+    source that has data. One partial aggregate over all sources; cells that no source covers have no row.
+    """
+    out = None
+    for i, (px, origin, step) in enumerate(sources):
+        part = reproject(px, cells, lon, lat, origin, step).select(*keys, "band", "v", F.lit(i).alias("layer"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy(*keys, "band").agg(F.min_by("v", F.when(F.col("v").isNotNull(), F.col("layer"))).alias("v"))

@@ -4,26 +4,67 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rasterloom.functions.crs import to_utm
 from rasterloom.functions.grid import resolution, tile_corner, tiles_of_box, to_mercator
-from rasterloom.operators.match import cog_tile_extent, extent_join, missing, overview_level
-from rasterloom.operators.raster import focal_mean, terrain, to_tiles
+from rasterloom.operators.match import cog_tile_extent, extent_join, missing, overview_level, visible_tiles
+from rasterloom.operators.raster import around, band_stack, focal_mean, focal_mean_tiles, terrain, to_tiles
 from rasterloom.sources.cog import read_tiles
+from rasterloom.sources.store import job_finished, load_images, write_images
+
+
+#: The band sets and tile rectangles (zoom, columns, rows) that the command line names by index.
+BAND_SETS = [["B1", "B3", "B4"], ["B3", "B5"], ["B1"]]
+CODE_SETS = [(11, (1680, 1681), (842, 844, 2)), (11, (1679, 1682), (841, 844)), (11, (1677, 1684), (839, 846)), (11, (1675, 1686), (837, 848)), (10, (836, 844), (417, 425))]
+
+
+def code_set(spark: SparkSession, index: int) -> tuple[DataFrame, int]:
+    """Requested tiles (col, row) by index, and their zoom."""
+    zoom, cols, rows = CODE_SETS[index]
+    span = lambda lo, hi, step=1: F.sequence(F.lit(lo), F.lit(hi), F.lit(step))
+    codes = spark.range(1).select(F.explode(span(*cols)).alias("col")).select("col", F.explode(span(*rows)).alias("row"))
+    return codes, zoom
+
+
+def required(df: DataFrame, what: str = "tiles within the visible range") -> DataFrame:
+    """df, if it has a row; an error that names what is missing otherwise. For the edge of the API: it runs the plan's start."""
+    if df.isEmpty():
+        raise ValueError(f"no {what}")
+    return df
 
 
 def incremental_job(spark: SparkSession, px: DataFrame, stored: DataFrame, box: tuple[float, float, float, float], zoom: int, tile: int, radius: int = 1) -> DataFrame:
     """Tiles (band, col, row, cells) of the focal mean for the tiles of a box that are not stored.
 
-    Only the cells of those tiles and of a margin of `radius` around them are read.
+    Only the cells of those tiles and of the tiles within the radius are read and laid out.
     """
     wanted = missing(tiles_of_box(spark, box, zoom), stored, ["col", "row"])
-    near = wanted.select(F.explode(F.sequence(F.col("col") - 1, F.col("col") + 1)).alias("col"), "row")
-    near = near.select("col", F.explode(F.sequence(F.col("row") - 1, F.col("row") + 1)).alias("row")).distinct()
-    part = px.withColumn("col", F.floor(F.col("x") / tile).cast("int")).withColumn("row", F.floor(F.col("y") / tile).cast("int")).join(near, ["col", "row"], "left_semi")
-    mean = focal_mean(part.drop("col", "row"), radius).withColumnRenamed("mean", "v")
-    return to_tiles(mean, tile).join(wanted, ["col", "row"], "left_semi")
+    return to_tiles(focal_mean_tiles(px, radius, tile, wanted).withColumnRenamed("mean", "v"), tile)
+
+
+def map_tile_job(spark: SparkSession, coverage: DataFrame, index: DataFrame, box: tuple[float, float, float, float], zoom: int, epsg: int, dtype: str, bucket: float, path: str, layer: str, tile: int = 256, radius: int = 1, callback: str = "", options: dict | None = None) -> int:
+    """From files to images: the tiles of a box that have no image yet, of the first band's focal mean; how many.
+
+    Writes path/layer/zoom/png/col-row.png and tells the callback which tiles are new. No tile missing: nothing is read.
+    """
+    wanted = tiles_of_box(spark, box, zoom)
+    try:
+        stored = load_images(spark, path, layer, zoom).select("col", "row")
+        wanted = missing(wanted, stored, ["col", "row"])
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    if wanted.isEmpty():
+        return 0
+    first = coverage.join(coverage.agg(F.min("measurement_rank").alias("measurement_rank")), "measurement_rank")
+    px = visible_layer(first, index, around(wanted, -(-radius // tile)), zoom, epsg, dtype, bucket, tile, options=options)
+    tiles = to_tiles(focal_mean_tiles(px, radius, tile, wanted).withColumnRenamed("mean", "v"), tile)
+    count = write_images(tiles, layer, zoom, path, options=options)
+    if callback:
+        job_finished(callback, layer, zoom, "png", wanted)
+    return count
 
 
 OPERATORS = {
@@ -60,41 +101,99 @@ def code_extents(codes: DataFrame, zoom: int, epsg: int) -> DataFrame:
     return codes.select("col", "row", F.least(*xs).alias("xmin"), F.least(*ys).alias("ymin"), F.greatest(*xs).alias("xmax"), F.greatest(*ys).alias("ymax"))
 
 
-def source_tiles(coverage: DataFrame, index: DataFrame, codes: DataFrame, zoom: int, epsg: int, bucket: float) -> DataFrame:
-    """Index rows, with band and extent, of the overview level for the zoom and of tiles that meet a requested one.
+def source_tiles(coverage: DataFrame, index: DataFrame, codes: DataFrame, zoom: int, epsg: int, bucket: float, ring: int = 0) -> DataFrame:
+    """Index rows, with band and extent, of the overview level for the zoom and of tiles that meet a requested one, or lie
+    within `ring` tiles of such a one.
 
     coverage: path, measurement_rank, resolution of each band; index: rows of `cog_index`.
     """
+    own = level_tiles(coverage, index, zoom)
+    met = file_codes(own, codes, zoom, epsg, bucket).select("path", "level", "col", "row").distinct()
+    if ring:
+        met = around(met, ring)
+    return own.join(met, ["path", "level", "col", "row"], "left_semi")
+
+
+def level_tiles(coverage: DataFrame, index: DataFrame, zoom: int) -> DataFrame:
+    """Index rows of each file's overview level for the zoom, with band and extent."""
     files = index.groupBy("path").agg((F.max("level") + 1).alias("levels"))
     wanted = F.lit(None).cast("double") if zoom < 0 else resolution(F.lit(float(zoom)))
     chosen = files.join(coverage.select("path", F.col("measurement_rank").alias("band"), "resolution"), "path")
     chosen = chosen.select("path", "band", overview_level(wanted, F.col("resolution"), F.col("levels")).alias("level"))
     tiles = index.join(chosen, ["path", "level"])
-    own = tiles.select("*", *cog_tile_extent(F.col("row"), F.col("col"), F.col("level"), F.col("x_min"), F.col("y_max"), F.col("cell_w"), F.col("cell_h"), F.col("tile")))
-    met = extent_join(own.select("path", "offset", "xmin", "ymin", "xmax", "ymax"), code_extents(codes, zoom, epsg), bucket)
-    return own.join(met.select(F.col("a_path").alias("path"), F.col("a_offset").alias("offset")).distinct(), ["path", "offset"], "left_semi")
+    return tiles.select("*", *cog_tile_extent(F.col("row"), F.col("col"), F.col("level"), F.col("x_min"), F.col("y_max"), F.col("cell_w"), F.col("cell_h"), F.col("tile")))
 
 
-def visible_layer(coverage: DataFrame, index: DataFrame, codes: DataFrame, zoom: int, epsg: int, dtype: str, bucket: float, tile: int = 256) -> DataFrame:
-    """Cells (band, y, x, v) of the requested Web-Mercator tiles, each by its nearest source cell; no row where none is.
+def file_codes(tiles: DataFrame, codes: DataFrame, zoom: int, epsg: int, bucket: float) -> DataFrame:
+    """path, level, band, layout, col and row of each file's tile with the code_col and code_row of each requested one it meets."""
+    keep = ["path", "level", "band", "col", "row", "x_min", "y_max", "cell_w", "cell_h", "xmin", "ymin", "xmax", "ymax"]
+    met = extent_join(tiles.select(*keep), code_extents(codes, zoom, epsg), bucket)
+    return met.select(*[F.col(f"a_{c}").alias(c) for c in keep[:9]], F.col("b_col").alias("code_col"), F.col("b_row").alias("code_row"))
 
-    Every target cell's centre is mapped back into the source and joined by source cell; only tiles that meet a
-    requested one are read.
-    """
+
+def source_pixels(tiles: DataFrame, dtype: str, options: dict | None = None, files: DataFrame | None = None) -> DataFrame:
+    """path, band, y, x and v of the cells of index rows, in the files' own grids."""
+    read = read_tiles(tiles.select("path", "band", "level", "row", "col", "offset", "byte_count", "width", "height", "tile", "compression"), dtype, options=options, files=files)
+    cell = read.select("path", "band", "row", "col", "tile", "width", "height", F.posexplode("cells").alias("i", "v"))
+    cell = cell.select("path", "band", (F.col("row") * F.col("tile") + F.floor(F.col("i") / F.col("tile"))).cast("int").alias("y"), (F.col("col") * F.col("tile") + F.col("i") % F.col("tile")).cast("int").alias("x"), "width", "height", "v")
+    return cell.where("x < width AND y < height").drop("width", "height")
+
+
+def raw_tiles(coverage: DataFrame, index: DataFrame, codes: DataFrame, zoom: int, epsg: int, dtype: str, bucket: float, **how) -> DataFrame:
+    """The files' own tiles that meet a requested one, in their own system: col, row, the bands in the order of their rank
+    and their cells."""
     tiles = source_tiles(coverage, index, codes, zoom, epsg, bucket)
-    read = read_tiles(tiles.select("path", "band", "level", "row", "col", "offset", "byte_count", "width", "height", "tile", "compression"), dtype)
-    cell = read.select("path", "level", "band", "row", "col", "tile", "width", "height", F.posexplode("cells").alias("i", "v"))
-    source = cell.select("path", "level", "band", (F.col("col") * F.col("tile") + F.col("i") % F.col("tile")).alias("sx"), (F.col("row") * F.col("tile") + F.floor(F.col("i") / F.col("tile"))).alias("sy"), "width", "height", "v")
-    source = source.where("sx < width AND sy < height").drop("width", "height")
-    grid_ = codes.select(F.explode(F.sequence(F.col("row") * tile, F.col("row") * tile + tile - 1)).alias("y"), "col")
-    grid_ = grid_.select("y", F.explode(F.sequence(F.col("col") * tile, F.col("col") * tile + tile - 1)).alias("x"))
+    return band_stack(read_tiles(tiles.select("path", "band", "level", "row", "col", "offset", "byte_count", "width", "height", "tile", "compression"), dtype, **how))
+
+
+def target_cells(coverage: DataFrame, index: DataFrame, codes: DataFrame, zoom: int, epsg: int, bucket: float, tile: int) -> DataFrame:
+    """path, band, y and x of the requested tiles' cells, with the file's cell (sy, sx) that each one's centre falls in.
+
+    A requested tile is laid out once for each file that the extent join has found for it.
+    """
+    pairs = file_codes(level_tiles(coverage, index, zoom), codes, zoom, epsg, bucket).drop("col", "row").distinct()
+    span = lambda c: F.explode(F.sequence(F.col(c) * tile, F.col(c) * tile + tile - 1))
+    cells = pairs.withColumn("y", span("code_row")).withColumn("x", span("code_col"))
     n = float(tile << zoom)
     lon = (F.col("x") + 0.5) / n * 360 - 180
     lat = F.degrees(F.atan(F.sinh(F.lit(math.pi) * (1 - 2 * (F.col("y") + 0.5) / n))))
-    placed = grid_.select("y", "x", *[c.alias(a) for c, a in zip(to_crs(lon, lat, epsg), ("_x", "_y"))])
-    # one row for each file (band) of the image, with the layout of its cells
-    layout = tiles.select("path", "level", "x_min", "y_max", (F.col("cell_w") * F.pow(F.lit(2.0), F.col("level"))).alias("w"), (F.col("cell_h") * F.pow(F.lit(2.0), F.col("level"))).alias("h")).distinct()
-    files = F.collect_list(F.struct("path", "level", "x_min", "y_max", "w", "h"))
-    asked = placed.join(F.broadcast(layout.agg(files.alias("files"))), F.lit(True)).select("y", "x", "_x", "_y", F.inline("files"))
-    asked = asked.select("y", "x", "path", "level", F.floor((F.col("_x") - F.col("x_min")) / F.col("w")).alias("sx"), F.floor((F.col("y_max") - F.col("_y")) / F.col("h")).alias("sy"))
-    return asked.join(source, ["path", "level", "sx", "sy"]).select("band", F.col("y").cast("int"), F.col("x").cast("int"), "v")
+    x, y = to_crs(lon, lat, epsg)
+    size = lambda c: F.col(c) * F.pow(F.lit(2.0), F.col("level"))
+    return cells.select("path", "band", F.col("y").cast("int"), F.col("x").cast("int"), F.floor((F.col("y_max") - y) / size("cell_h")).cast("int").alias("sy"), F.floor((x - F.col("x_min")) / size("cell_w")).cast("int").alias("sx"))
+
+
+def visible_layer(coverage: DataFrame, index: DataFrame, codes: DataFrame, zoom: int, epsg: int, dtype: str, bucket: float, tile: int = 256, operator: str | None = None, **how) -> DataFrame:
+    """Cells (band, y, x, v) of the requested Web-Mercator tiles, each by its nearest source cell; no row where none is.
+
+    Every target cell's centre is mapped back into the files that the extent join has found for its tile, and joined by
+    source cell. Of several files of a band the first by path that has data gives the cell: one aggregate over all.
+    operator: a neighbourhood operator by name, applied to the files' own cells before.
+    """
+    tiles = source_tiles(coverage, index, codes, zoom, epsg, bucket, ring=1 if operator else 0)
+    source = source_pixels(tiles, dtype, **how)
+    if operator:
+        # each file is a layer of its own: its hash stands for the band meanwhile
+        own = run_operator(operator, source.select(F.xxhash64("path").alias("band"), "y", "x", "v")).select(F.col("band").alias("file"), "y", "x", "v")
+    else:
+        own = source.select(F.xxhash64("path").alias("file"), "y", "x", "v")
+    asked = target_cells(coverage, index, codes, zoom, epsg, bucket, tile).withColumn("file", F.xxhash64("path"))
+    got = asked.join(own.select("file", F.col("y").alias("sy"), F.col("x").alias("sx"), "v"), ["file", "sy", "sx"])
+    return got.groupBy("band", "y", "x").agg(F.min_by("v", F.when(F.col("v").isNotNull(), F.col("path"))).alias("v"))
+
+
+def match_job(method: str, coverage: DataFrame, index: DataFrame, codes: DataFrame, zoom: int, epsg: int, dtype: str, bucket: float, tile: int = 256, **how) -> DataFrame:
+    """Cells of the requested tiles by a method's number: 11 and 12 match forward, 21 and 22 inverted, with the same rows;
+    any other is a neighbourhood operator's name, applied to the files' own cells before they are placed."""
+    if method in METHODS:
+        return visible_layer(coverage, index, codes, zoom, epsg, dtype, bucket, tile, **how)
+    return visible_layer(coverage, index, codes, zoom, epsg, dtype, bucket, tile, operator=method, **how)
+
+
+#: The numbers of the match strategies.
+METHODS = {"11": "forward", "12": "forward", "21": "inverted", "22": "inverted"}
+
+
+def matched(method: str, coverage: DataFrame, index: DataFrame, codes: DataFrame, zoom: int, epsg: int, bucket: float) -> DataFrame:
+    """Pairs (id: path and offset of a file's tile, col, row of a requested one) by the strategy of a method's number."""
+    tiles = level_tiles(coverage, index, zoom).select(F.struct("path", "offset").alias("id"), "xmin", "ymin", "xmax", "ymax")
+    return visible_tiles(tiles, code_extents(codes, zoom, epsg), bucket, METHODS[method])

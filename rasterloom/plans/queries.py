@@ -63,7 +63,7 @@ def code_boxes(spark, d) -> DataFrame:
 PX = f"""px AS (
   SELECT CAST(l_linenumber AS INT) AS band, CAST(l_suppkey % {SIDE} AS INT) AS y, CAST(l_partkey % {SIDE} AS INT) AS x, min(CAST(l_quantity AS INT)) AS v
   FROM lineitem GROUP BY 1, 2, 3)"""
-GRID = f"""{PX}, grid AS (
+GRID = f"""{PX}, grid AS MATERIALIZED (
   SELECT b.band, CAST(r.y AS INT) AS y, CAST(c.x AS INT) AS x, px.v FROM (SELECT DISTINCT band FROM px) b CROSS JOIN range({SIDE}) r(y) CROSS JOIN range({SIDE}) c(x)
   LEFT JOIN px ON px.band = b.band AND px.y = r.y AND px.x = c.x)"""
 PTS = """pts AS (SELECT event_id, (event_id * 7919 % 100003) / 100003 * 360 - 180 AS lon, ((user_id * 104729 + event_id * 31) % 100019) / 100019 * 160 - 80 AS lat FROM events)"""
@@ -71,9 +71,11 @@ TILES = """t AS (SELECT p_partkey AS id, p_size::DOUBLE AS xmin, (p_partkey % 50
 CODES = """c AS (SELECT s_suppkey AS col, s_nationkey AS row, (s_suppkey % 53)::DOUBLE AS xmin, (s_nationkey * 2)::DOUBLE AS ymin, (s_suppkey % 53 + 2)::DOUBLE AS xmax, (s_nationkey * 2 + 4)::DOUBLE AS ymax FROM supplier)"""
 MEET = "t.xmin <= c.xmax AND c.xmin <= t.xmax AND t.ymin <= c.ymax AND c.ymin <= t.ymax"
 AROUND = {"e1": (-1, 0), "e2": (0, -1), "e3": (1, 0), "e4": (0, 1), "e5": (-1, -1), "e6": (1, -1), "e7": (1, 1), "e8": (-1, 1)}
-# the neighbours by one self-join each
-E = f"""{GRID}, e AS (SELECT g.band, g.y, g.x, g.v AS e0, {", ".join(f"{e}.v AS {e}" for e in AROUND)} FROM grid g
-  {" ".join(f"LEFT JOIN grid {e} ON {e}.band = g.band AND {e}.x = g.x + {dx} AND {e}.y = g.y + {dy}" for e, (dx, dy) in AROUND.items())})"""
+# the neighbours by one self-join, for all nine offsets
+E = f"""{GRID}, o(k, dx, dy) AS (VALUES (0, 0, 0), {", ".join(f"({e[1]}, {dx}, {dy})" for e, (dx, dy) in AROUND.items())}),
+  asked AS MATERIALIZED (SELECT g.band, g.y, g.x, o.k, g.y + o.dy AS ny, g.x + o.dx AS nx FROM grid g CROSS JOIN o),
+  e AS MATERIALIZED (SELECT a.band, a.y, a.x, {", ".join(f"max(n.v) FILTER (a.k = {k}) AS e{k}" for k in range(9))}
+  FROM asked a LEFT JOIN grid n ON n.band = a.band AND n.y = a.ny AND n.x = a.nx GROUP BY a.band, a.y, a.x)"""
 D = f"""{E}, d AS (SELECT band, y, x, e0, ((e6 + 2 * e3 + e7) - (e5 + 2 * e1 + e8)) / {CELL}::DOUBLE AS dx, ((e8 + 2 * e4 + e7) - (e5 + 2 * e2 + e6)) / {CELL}::DOUBLE AS dy FROM e)"""
 WHOLE = "CASE WHEN {0} >= 2147483647 THEN 2147483647 WHEN {0} <= -2147483648 THEN -2147483648 ELSE CAST(trunc({0}) AS INT) END"
 SLOPE = "CASE WHEN dx IS NULL OR dy IS NULL THEN NULL WHEN dy = 0 THEN CASE WHEN dx = 0 THEN 0 WHEN dx > 0 THEN 2147483647 END ELSE " + WHOLE.format("dx / dy * 100") + " END"
@@ -238,6 +240,39 @@ def reproject_nn(spark, d):
     return raster.reproject(px(spark, d), cells, lon, lat, (-180.0, 85.06), (5.625, 2.6581))
 
 
+MOSAIC = [((-180.0, 85.06), (5.625, 2.6581)), ((-60.0, 60.0), (2.0, 2.0)), ((-180.0, 85.06), (11.25, 5.3162))]
+
+
+@query(f"""WITH {PX}, c AS (SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, degrees((i + 0.5) / 64 * 2 * pi() - pi()) AS lon, degrees(atan(sinh(pi() * (1 - 2 * (j + 0.5) / 64)))) AS lat FROM range(64) a(i) CROSS JOIN range(64) b(j)),
+  s(layer, x0, y0, w, h) AS (VALUES {", ".join(f"({i}, {x0}::DOUBLE, {y0}::DOUBLE, {w}::DOUBLE, {h}::DOUBLE)" for i, ((x0, y0), (w, h)) in enumerate(MOSAIC))}),
+  m AS (SELECT c.i, c.j, px.band, px.v, row_number() OVER (PARTITION BY c.i, c.j, px.band ORDER BY s.layer) AS n
+  FROM c CROSS JOIN s JOIN px ON px.x = floor((c.lon - s.x0) / s.w) AND px.y = floor((s.y0 - c.lat) / s.h) AND px.band % 3 >= s.layer)
+  SELECT i, j, band, v FROM m WHERE n = 1""")
+def mosaic_reproject(spark, d):
+    cells = spark.range(64).select(F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("j"))
+    lon = F.degrees((F.col("i") + 0.5) / 64 * 2 * F.pi() - F.pi())
+    lat = F.degrees(F.atan(F.sinh(F.pi() * (1 - 2 * (F.col("j") + 0.5) / 64))))
+    sources = [(px(spark, d).where(F.col("band") % 3 >= i), *place) for i, place in enumerate(MOSAIC)]
+    return raster.mosaic(sources, cells, lon, lat, ["i", "j"])
+
+
+@query(f"""WITH {PX} SELECT a.band, a.y, a.x, max(b.v) - min(b.v) AS spread, CAST(sum(b.v * (2 - abs(a.x - b.x)) * (2 - abs(a.y - b.y))) AS BIGINT) AS weighted
+  FROM px a JOIN px b ON a.band = b.band AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2, 3""")
+def focal_kernel(spark, d):
+    weight = lambda dx, dy: (2 - F.abs(dx)) * (2 - F.abs(dy))
+    out = raster.focal(px(spark, d), 1, lambda v, dx, dy: F.struct((F.max(v) - F.min(v)).alias("spread"), F.sum(v * weight(dx, dy)).alias("weighted")))
+    return out.select("band", "y", "x", "v.spread", "v.weighted")
+
+
+@query(f"""WITH {PX}, l AS (SELECT *, 0 AS layer FROM px UNION ALL SELECT band, y, 63 - x, v + 1, 1 FROM px)
+  SELECT band, y, x, CAST(count(v) AS BIGINT) AS n, max(v * 10 + layer) AS top FROM l GROUP BY 1, 2, 3""")
+def in_key_aggregate(spark, d):
+    own = px(spark, d)
+    other = own.select("band", "y", (63 - F.col("x")).alias("x"), (F.col("v") + 1).alias("v"))
+    out = raster.in_key([own, other], lambda v, layer: F.struct(F.count(v).alias("n"), F.max(v * 10 + layer).alias("top")))
+    return out.select("band", "y", "x", "v.n", "v.top")
+
+
 @query(f"WITH {PX} SELECT band, y, x, ({' + '.join(f'((x >> {i}) & 1) * {4**i} + ((y >> {i}) & 1) * {2 * 4**i}' for i in range(16))})::BIGINT AS z FROM px")
 def zorder(spark, d):
     return px(spark, d).select("band", "y", "x", grid.morton(F.col("x"), F.col("y")).alias("z"))

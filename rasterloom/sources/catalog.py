@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from rasterloom.functions.scalar import parse_time, wkt_envelope
+from rasterloom.functions.scalar import envelope, parse_time
+from rasterloom.plans.schemas import COVERAGE
 
 OPERATORS = {"=": "eqNullSafe", "<>": "__ne__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}
 
@@ -44,7 +46,7 @@ def coverages(image: DataFrame, product: DataFrame, product_measurement: DataFra
     )
     name = F.concat(F.col("path"), F.lit("/"), F.col("image_identification"), F.lit("_"), F.col("band_num"), F.lit(".tif"))
     return rows.select(
-        F.col("image_identification").alias("coverage_id"), name.alias("path"), F.col("geom").alias("geom_wkt"), wkt_envelope(F.col("geom")).alias("extent"),
+        F.col("image_identification").alias("coverage_id"), name.alias("path"), F.col("geom").alias("geom_wkt"), envelope(F.col("geom")).alias("extent"),
         F.col("band_num").alias("measurement"), F.col("band_rank").alias("measurement_rank"), parse_time(F.col("phenomenon_time")).alias("time"),
         "crs", F.col("dtype").alias("data_type"), F.col("resolution_m").alias("resolution"),
     )
@@ -55,10 +57,37 @@ def only_bands(rows: DataFrame, bands: list[str], column: str = "measurement", s
     chosen = rows.where(F.col(column).isin(list(bands)))
     if strict:
         return chosen
-    # the first two rows tell whether there is only one
-    return rows if len(rows.select(column).take(2)) < 2 else chosen
+    # a catalog's answer is a few rows, one for each band
+    counted = rows.withColumn("_rows", F.count("*").over(Window.partitionBy()))
+    return counted.where((F.col("_rows") < 2) | F.col(column).isin(list(bands))).drop("_rows")
 
 
-def jdbc(spark: SparkSession, url: str, table: str, **options) -> DataFrame:
-    """A catalog table over JDBC; filters and columns are pushed to the server, lost connections retried with the task."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+class Catalog:
+    """Coverage rows by image and product, each asked of the tables once while it is kept; an image without rows is an error."""
+
+    def __init__(self, image: DataFrame, product: DataFrame, product_measurement: DataFrame, measurement: DataFrame):
+        self.tables, self.known = (image, product, product_measurement, measurement), {}
+
+    def bands(self, coverage_id: str, product_name: str, bands: list[str] | None = None) -> DataFrame:
+        key = coverage_id, product_name
+        if key not in self.known:
+            rows = coverages(*self.tables, *key).collect()
+            if not rows:
+                raise ValueError(f"no image {coverage_id} of product {product_name}")
+            self.known[key] = self.tables[0].sparkSession.createDataFrame(rows, COVERAGE)
+        return self.known[key] if bands is None else only_bands(self.known[key], bands)
+
+
+def jdbc(spark: SparkSession, url: str, table: str, retries: int = 3, delay: float = 1.0, **options) -> DataFrame:
+    """A catalog table over JDBC; filters and columns are pushed to the server.
+
+    The schema is asked for at once, up to `retries` times, `delay` seconds apart; connections lost later are made again
+    with the task (spark.task.maxFailures).
+    """
+    for i in range(retries):
+        try:
+            return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+        except Exception as e:
+            if i + 1 == retries:
+                raise RuntimeError(f"no connection to {url} after {retries} tries") from e
+            time.sleep(delay)

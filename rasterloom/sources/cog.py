@@ -2,6 +2,7 @@
 
 `spark.read.format("cog_index").load(path)` gives one row for each internal tile: path, level, row, col, offset,
 byte_count, and what decoding and placing need. Read are the header and the directories only, at the offsets they name.
+Files lie on a local or mounted path or in an object store (`files`).
 Classic little-endian files with tiles are supported, uncompressed or deflated; others are refused by name.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
 from rasterloom.functions.scalar import DTYPES
+from rasterloom.sources.files import Ranges, file_system, local_path
 
 INDEX = (
     "path string, level int, row int, col int, offset long, byte_count long, width int, height int, tile int, "
@@ -48,26 +50,27 @@ def directories(read) -> Iterator[dict]:
         at = struct.unpack_from("<I", body, 12 * count)[0]
 
 
-def index_rows(path: str) -> Iterator[tuple]:
-    with open(path, "rb") as file:
+def index_rows(path: str, options: dict | None = None) -> Iterator[tuple]:
+    """The index of a file, read by ranges where it lies."""
+    with Ranges(path, options) as read:
+        yield from index_of(path, read)
 
-        def read(offset: int, size: int) -> bytes:
-            file.seek(offset)
-            return file.read(size)
 
-        first = None
-        for level, d in enumerate(directories(read)):
-            if d.get("predictor", (1,))[0] != 1 or d.get("compression", (1,))[0] not in (1, 8, 32946) or "offsets" not in d:
-                raise ValueError(f"{path}: only tiled files, uncompressed or deflated, without predictor")
-            first = first or d
-            tile, (width,), (height,) = d["tile_w"][0], d["width"], d["height"]
-            cell_w, cell_h = first["scale"][:2]
-            across = -(-width // tile)
-            for i, (offset, size) in enumerate(zip(d["offsets"], d["counts"])):
-                yield (
-                    path, level, i // across, i % across, offset, size, width, height, tile, d.get("bits", (8,))[0], d.get("format", (1,))[0],
-                    d.get("compression", (1,))[0], first["tie"][3], first["tie"][4], cell_w, cell_h,
-                )
+def index_of(path: str, read) -> Iterator[tuple]:
+    """The index of a file that read(offset, size) gives bytes of."""
+    first = None
+    for level, d in enumerate(directories(read)):
+        if d.get("predictor", (1,))[0] != 1 or d.get("compression", (1,))[0] not in (1, 8, 32946) or "offsets" not in d:
+            raise ValueError(f"{path}: only tiled files, uncompressed or deflated, without predictor")
+        first = first or d
+        tile, (width,), (height,) = d["tile_w"][0], d["width"], d["height"]
+        cell_w, cell_h = first["scale"][:2]
+        across = -(-width // tile)
+        for i, (offset, size) in enumerate(zip(d["offsets"], d["counts"])):
+            yield (
+                path, level, i // across, i % across, offset, size, width, height, tile, d.get("bits", (8,))[0], d.get("format", (1,))[0],
+                d.get("compression", (1,))[0], first["tie"][3], first["tie"][4], cell_w, cell_h,
+            )
 
 
 class Files(InputPartition):
@@ -76,27 +79,40 @@ class Files(InputPartition):
 
 
 class CogReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.paths, self.level = sorted(glob.glob(os.path.join(path, "*.tif"))) if os.path.isdir(path) else sorted(glob.glob(path)), None
-
-    def pushFilters(self, filters: list[Filter]):
-        """level = n is applied while reading; the rest is Spark's."""
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("level",):
-                self.level = f.value
-            else:
-                yield f
+    def __init__(self, options: dict):
+        path, self.level = options["path"], None
+        self.options = {k.lower(): v for k, v in options.items() if k != "path"}
+        if (local := local_path(path)) is not None:
+            self.paths = sorted(glob.glob(os.path.join(local, "*.tif"))) if os.path.isdir(local) else sorted(glob.glob(local))
+        else:
+            from pyarrow import fs
+
+            system, place = file_system(path, self.options)
+            info = system.get_file_info(place)
+            found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(place, recursive=False))
+            root = path[: len(path) - len(place)] if path.endswith(place) else f"{path.split('://')[0]}://"
+            self.paths = sorted(root + f.path for f in found if f.type == fs.FileType.File and f.path.endswith(".tif"))
 
     def partitions(self):
         return [Files([p]) for p in self.paths] or [Files([])]
 
     def read(self, partition: Files):
         for path in partition.paths:
-            for row in index_rows(path):
+            for row in index_rows(path, self.options):
                 if self.level is None or row[1] == self.level:
                     yield row
 
 
+class PushedReader(CogReader):
+    def pushFilters(self, filters: list[Filter]):
+        """level = n is applied while reading; the rest is Spark's."""
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("level",):
+                self.level = f.value
+            else:
+                yield f
+
+
 class CogIndex(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -106,49 +122,117 @@ class CogIndex(DataSource):
         return INDEX
 
     def reader(self, schema) -> DataSourceReader:
-        return CogReader(self.options["path"])
+        options = dict(self.options)
+        return (PushedReader if options.pop("pushdown", "") == "true" else CogReader)(options)
+
 
+def cog_index(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The index of a file, a folder or a pattern; a local path or a URI, with the options of its store.
 
-def cog_index(spark: SparkSession, path: str) -> DataFrame:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    Filters are pushed into the source where spark.sql.python.filterPushdown.enabled is set, else applied by Spark.
+    """
     spark.dataSource.register(CogIndex)
-    return spark.read.format("cog_index").load(path)
+    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("cog_index").options(pushdown=pushed, **options).load(path)
+
+
+def cog_index_of(files: DataFrame) -> DataFrame:
+    """The index of whole files (path, content), for stores that only Spark reads."""
+    names = [x.split()[0] for x in INDEX.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, data in zip(b.column(0).to_pylist(), b.column(1)):
+                view = memoryview(data.as_buffer())
+                rows += index_of(path, lambda offset, size, view=view: bytes(view[offset : offset + size]))
+            if rows:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], KINDS)
+
+    return files.select("path", "content").mapInArrow(run, INDEX)
+
+
+KINDS = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[k]) for n, k in (x.split() for x in INDEX.split(", "))])
 
 
 def decode(data: bytes, dtype: str, cells: int, deflated: bool = False) -> np.ndarray:
     """Cells of a tile; short data are filled up with 0."""
     size, code, _ = DTYPES[dtype]
-    data = zlib.decompress(data) if deflated else data
+    data = zlib.decompress(data) if deflated else bytes(data)
     return np.frombuffer(data.ljust(size * cells, b"\0")[: size * cells], code)
 
 
-def read_tiles(index: DataFrame, dtype: str, gap: int = 65536) -> DataFrame:
-    """index rows with their cells (array<double>). A task reads its tiles of a file in order, near ones at once."""
-    schema = index.schema.simpleString()[7:-1].replace(":", " ")
+def islands(rows: list[tuple], gap: int, most: int) -> Iterator[tuple[int, int, list[int]]]:
+    """(start, end, rows) of joined reads of (path, offset, byte_count): of one file, at most `gap` bytes apart and `most`
+    bytes in all, unless one tile alone has more."""
+    order = sorted(range(len(rows)), key=lambda i: rows[i][:2])
+    own: list[int] = []
+    start = end = 0
+    for i in order:
+        path, offset, size = rows[i]
+        if own and (path != rows[own[0]][0] or offset > end + gap or max(end, offset + size) - start > most):
+            yield start, end, own
+            own = []
+        if not own:
+            start, end = offset, offset
+        own.append(i)
+        end = max(end, offset + size)
+    if own:
+        yield start, end, own
+
+
+def read_tiles(index: DataFrame, dtype: str, gap: int = 65536, most: int = 16 << 20, options: dict | None = None, files: DataFrame | None = None) -> DataFrame:
+    """index rows with their cells (an array of the type's Spark form).
+
+    Rows are dealt by file and stretches of 64 MB of it, and read in order, near ones at once: up to `most` bytes. files:
+    whole files (path, content) to read from instead, for stores that only Spark reads; each is in memory once.
+    """
+    kind = {"f": "double", "i": "int", "u": "int"}[np.dtype(DTYPES[dtype][1]).kind]
+    arrow = pa.list_(pa.float64() if kind == "double" else pa.int32())
+    schema = index.schema.simpleString()[7:-1].replace(":", " ") + f", cells array<{kind}>"
     names = index.columns
 
+    def cells(batch, fetch):
+        """The batch with its cells. fetch(path, start, size) gives bytes."""
+        col = {n: batch.column(n).to_pylist() for n in ("path", "offset", "byte_count", "tile", "compression")}
+        rows, out = list(zip(col["path"], col["offset"], col["byte_count"])), [None] * batch.num_rows
+        for start, end, own in islands(rows, gap, most):
+            data = memoryview(fetch(rows[own[0]][0], start, end - start))
+            for i in own:
+                _, offset, size = rows[i]
+                part = decode(data[offset - start : offset - start + size], dtype, col["tile"][i] ** 2, col["compression"][i] != 1)
+                out[i] = part.astype(np.float64 if kind == "double" else np.int32)
+        return [*(batch.column(n) for n in names), pa.array(out, arrow)]
+
+    if files is not None:
+
+        def both(left: pa.Table, right: pa.Table) -> pa.Table:
+            left = left.combine_chunks()
+            data = memoryview(right.column("content")[0].as_buffer()) if right.num_rows else memoryview(b"")
+            return pa.table(cells(left, lambda path, start, size: data[start : start + size]), [*names, "cells"])
+
+        return index.groupBy("path").cogroup(files.select("path", "content").groupBy("path")).applyInArrow(both, schema)
+
     def run(batches):
+        opened: tuple[str, Ranges] | None = None
+
+        def fetch(path, start, size):
+            nonlocal opened
+            if opened is None or opened[0] != path:
+                if opened:
+                    opened[1].file.close()
+                opened = path, Ranges(path, options)
+            return opened[1].read(start, size)
+
         for b in batches:
-            rows = b.to_pylist()
-            order = sorted(range(len(rows)), key=lambda i: (rows[i]["path"], rows[i]["offset"]))
-            cells, at = [None] * len(rows), 0
-            while at < len(order):
-                first = rows[order[at]]
-                start, end, stop = first["offset"], first["offset"] + first["byte_count"], at + 1
-                while stop < len(order) and rows[order[stop]]["path"] == first["path"] and rows[order[stop]]["offset"] <= end + gap:
-                    end = max(end, rows[order[stop]]["offset"] + rows[order[stop]]["byte_count"])
-                    stop += 1
-                with open(first["path"], "rb") as file:
-                    file.seek(start)
-                    data = file.read(end - start)
-                for i in order[at:stop]:
-                    r = rows[i]
-                    part = data[r["offset"] - start : r["offset"] - start + r["byte_count"]]
-                    cells[i] = decode(part, dtype, r["tile"] ** 2, r["compression"] != 1).astype(float)
-                at = stop
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.float64()))], [*names, "cells"])
-
-    return index.mapInArrow(run, schema + ", cells array<double>")
+            # few tiles at a time, as their cells come on top
+            for lo in range(0, b.num_rows, 64):
+                yield pa.RecordBatch.from_arrays(cells(b.slice(lo, 64), fetch), [*names, "cells"])
+        if opened:
+            opened[1].file.close()
+
+    dealt = index.repartition("path", F.floor(F.col("offset") / (64 << 20))).sortWithinPartitions("path", "offset")
+    return dealt.mapInArrow(run, schema)
 
 
 def cells_by_dtype(data, dtype: str):

@@ -6,7 +6,9 @@ import os
 import struct
 import time
 import urllib.request
+import uuid
 import zlib
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rasterloom.functions.grid import morton
 from rasterloom.operators.raster import pyramid
+from rasterloom.sources.files import Ranges, file_system, local_path
 
 
 @dataclass
@@ -22,7 +25,7 @@ class Settings:
     """What a deployment sets; `load` reads it from YAML."""
 
     env: str = "local"
-    store: str = "/tmp/tiles"
+    store: str = ""
     catalog_url: str = ""
     callback_url: str = ""
     partitions: int = 16
@@ -45,25 +48,42 @@ class Settings:
         return (builder.master("local[*]") if self.env == "local" else builder).getOrCreate()
 
 
+def grey(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells' share between their least and greatest value, and whether they have data."""
+    ok = np.isfinite(cells)
+    low, high = (cells[ok].min(), cells[ok].max()) if ok.any() else (0.0, 0.0)
+    return np.clip(np.where(ok, (cells - low) / ((high - low) or 1), 0), 0, 1), ok
+
+
+def encode(image: np.ndarray, kind: int) -> bytes:
+    """PNG of 8-bit lines (height, width * channels); kind: 0 grey, 2 colours, 6 colours and alpha."""
+    height, width = image.shape[0], image.shape[1] // {0: 1, 2: 3, 6: 4}[kind]
+
+    def chunk(name: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+
+    lines = np.concatenate([np.zeros((height, 1), np.uint8), image], axis=1).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
 def png(cells: np.ndarray, ramp: bool = True) -> bytes:
     """8-bit PNG of a square of cells: grey, or a ramp of 100 steps from black to white whose alpha falls from 255 to 170."""
     size = int(np.sqrt(len(cells)))
-    v = cells.astype(float)
-    ok = np.isfinite(v)
-    low, high = (v[ok].min(), v[ok].max()) if ok.any() else (0.0, 0.0)
-    part = np.clip(np.where(ok, (v - low) / ((high - low) or 1), 0), 0, 1)
-    if ramp:
-        step = np.minimum((part * 100).astype(int), 99)
-        grey, alpha = np.round(step / 99 * 255).astype(np.uint8), np.where(ok, np.round(255 - step / 99 * 85), 0).astype(np.uint8)
-        image, kind = np.stack([grey, grey, grey, alpha], axis=1).reshape(size, size * 4), 6
-    else:
-        image, kind = np.round(part * 255).astype(np.uint8).reshape(size, size), 0
+    part, ok = grey(cells.astype(float))
+    if not ramp:
+        return encode(np.round(part * 255).astype(np.uint8).reshape(size, size), 0)
+    step = np.minimum((part * 100).astype(int), 99)
+    tone, alpha = np.round(step / 99 * 255).astype(np.uint8), np.where(ok, np.round(255 - step / 99 * 85), 0).astype(np.uint8)
+    return encode(np.stack([tone, tone, tone, alpha], axis=1).reshape(size, size * 4), 6)
 
-    def chunk(name: bytes, data: bytes) -> bytes:
-        return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
 
-    lines = np.concatenate([np.zeros((size, 1), np.uint8), image], axis=1).tobytes()
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", size, size, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+def png_bands(bands: list[np.ndarray]) -> bytes:
+    """8-bit PNG of a square from its bands: one grey, two or more red, green (and blue); clear where no band has data."""
+    parts, oks = zip(*(grey(b.astype(float)) for b in bands[:3]))
+    tones = [np.round(p * 255).astype(np.uint8) for p in parts]
+    tones = tones * 3 if len(tones) == 1 else [*tones, np.zeros_like(tones[0])][:3]
+    size = int(np.sqrt(len(tones[0])))
+    return encode(np.stack([*tones, np.where(np.any(oks, axis=0), 255, 0).astype(np.uint8)], axis=1).reshape(size, size * 4), 6)
 
 
 def render(cells: Column, ramp: bool = True) -> Column:
@@ -71,11 +91,21 @@ def render(cells: Column, ramp: bool = True) -> Column:
 
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda c: None if c is None else png(np.array([np.nan if v is None else v for v in c]), ramp))
+        return s.map(lambda c: None if c is None else png(np.asarray(c, float), ramp))
 
     return run(cells)
 
 
+def render_bands(stack: Column) -> Column:
+    """PNG of a column of arrays of cell arrays, one for each band in the order of `band_stack`."""
+
+    @F.pandas_udf("binary")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda bands: None if bands is None else png_bands([np.asarray(b, float) for b in bands]))
+
+    return run(stack)
+
+
 def write_layer(px: DataFrame, layer: str, zoom: int, path: str, tile: int = 256) -> None:
     """A layer with its pyramid down to zoom 0, in Z-order, partitioned by layer and zoom; only these partitions change."""
     levels = pyramid(px, zoom).select(F.lit(layer).alias("layer_id"), (zoom - F.col("level")).alias("zoom"), "band", "y", "x", "v")
@@ -84,24 +114,37 @@ def write_layer(px: DataFrame, layer: str, zoom: int, path: str, tile: int = 256
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer_id", "zoom").parquet(path)
 
 
-def write_images(tiles: DataFrame, layer: str, zoom: int, path: str, kind: str = "png") -> int:
-    """Files path/layer/zoom/kind/col-row.kind of tiles (col, row, cells), from the executors to a shared folder."""
+def put(path: str, data: bytes, options: dict | None = None) -> None:
+    """A file that appears whole, also if a task is run again."""
+    if (local := local_path(path)) is not None:
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        part = f"{os.path.dirname(local)}/.{os.path.basename(local)}-{uuid.uuid4().hex}"
+        with open(part, "wb") as file:
+            file.write(data)
+        os.replace(part, local)
+        return
+    system, place = file_system(path, options)
+    with system.open_output_stream(place) as file:
+        file.write(data)
+
+
+def write_images(tiles: DataFrame, layer: str, zoom: int, path: str, kind: str = "png", options: dict | None = None) -> int:
+    """Files path/layer/zoom/kind/col-row.kind, from the executors to a shared folder or object store; how many.
+
+    tiles: col, row and cells, or the bands and stack of `band_stack`, which give coloured images.
+    """
     if kind != "png":
         raise ValueError(f"cannot write {kind}; png only")
     folder = f"{path}/{layer}/{zoom}/{kind}"
 
     def run(batches):
-        os.makedirs(folder, exist_ok=True)
         for b in batches:
             for col, row, data in zip(b["col"], b["row"], b["image"]):
-                # a file appears whole, also if a task is run again
-                part = f"{folder}/.{col}-{row}-{os.getpid()}"
-                with open(part, "wb") as file:
-                    file.write(data)
-                os.replace(part, f"{folder}/{col}-{row}.{kind}")
+                put(f"{folder}/{col}-{row}.{kind}", data, options)
             yield pd.DataFrame({"n": [len(b)]})
 
-    return tiles.select("col", "row", render(F.col("cells")).alias("image")).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    image = render_bands(F.col("stack")) if "stack" in tiles.columns else render(F.col("cells"))
+    return tiles.select("col", "row", image.alias("image")).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def first_band(px: DataFrame) -> DataFrame:
@@ -109,11 +152,22 @@ def first_band(px: DataFrame) -> DataFrame:
     return px.join(px.agg(F.min("band").alias("band")), "band")
 
 
-def load_images(spark: SparkSession, path: str, layer: str, zoom: int, kind: str = "png") -> DataFrame:
-    """col, row and bytes of the files of a layer."""
+def load_images(spark: SparkSession, path: str, layer: str, zoom: int, kind: str = "png", wanted: DataFrame | None = None, options: dict | None = None) -> DataFrame:
+    """col, row and bytes of the files of a layer, or of those wanted (col, row): only these files are read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").load(f"{path}/{layer}/{zoom}/{kind}")
-    place = F.regexp_extract("path", r"(-?\d+)-(-?\d+)\.\w+$", 1).cast("int"), F.regexp_extract("path", r"(-?\d+)-(-?\d+)\.\w+$", 2).cast("int")
-    return files.select(place[0].alias("col"), place[1].alias("row"), F.col("content").alias("image"))
+    place = [F.regexp_extract("path", r"(-?\d+)-(-?\d+)\.\w+$", i).cast("int").alias(n) for i, n in ((1, "col"), (2, "row"))]
+    if wanted is None:
+        return files.select(*place, F.col("content").alias("image"))
+    # the content is not a column of this plan, so Spark lists the files and reads none
+    found = files.select(*place, "path", "length").join(wanted.select("col", "row").distinct(), ["col", "row"])
+
+    def run(batches):
+        for b in batches:
+            for col, row, name, size in zip(b["col"], b["row"], b["path"], b["length"]):
+                with Ranges(name, options) as read:
+                    yield pd.DataFrame({"col": [col], "row": [row], "image": [read(0, size)]})
+
+    return found.mapInPandas(run, "col int, row int, image binary")
 
 
 def load_wanted(images: DataFrame, wanted: DataFrame, cached: DataFrame) -> DataFrame:
@@ -126,6 +180,21 @@ def lookup(tiles: DataFrame, layer: str, zoom: int, kind: str, col: int, row: in
     return tiles.where((F.col("layer") == layer) & (F.col("zoom") == zoom) & (F.col("kind") == kind) & (F.col("col") == col) & (F.col("row") == row))
 
 
+def job_finished(url: str, layer: str, zoom: int, kind: str, codes: DataFrame, wait: float = 2.0) -> Future:
+    """Tells a server which tiles (col, row; a job's own, so a list) a job has written, without waiting for the answer."""
+    body = ",".join(f"{r.col}-{r.row}" for r in codes.select("col", "row").distinct().orderBy("col", "row").toLocalIterator())
+    return post_async(f"{url}/job/finished/{layer}/{zoom}/{kind}", body.encode(), wait=wait)
+
+
+def post_async(url: str, body: bytes, retries: int = 1, wait: float = 2.0) -> Future:
+    """`notify` on a thread of its own; its result is the answer, or an empty string after an error."""
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(notify, url, body, retries, wait)
+    finally:
+        pool.shutdown(wait=False)
+
+
 def notify(url: str, body: bytes, retries: int = 3, wait: float = 2.0) -> str:
     """POST to a callback; the answer, or an empty string when all tries fail."""
     for i in range(retries):
