@@ -447,3 +447,18 @@ def set_classes(rows: DataFrame, percent: int, width: int, few: int, room: int,
         more = components(_union(cell_links(forms, cells, [], percent, room, pivots, parts)))
         tree = tree.unionByName(more.select(F.col("node").alias("set"), F.col("least").alias("c")))
     return points, tree
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS shingle FROM p),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS a, b.r AS b, count(*) AS m FROM s a JOIN s b ON a.shingle = b.shingle AND a.r < b.r GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * m >= 75 * (x.n + y.n - m)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM reach JOIN d ON d.r = reach.a JOIN d o ON o.r = reach.b LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id, n.n
+"""

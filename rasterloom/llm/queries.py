@@ -70,4 +70,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_vector_search, op3_mixing, op4_toxicity, op5_lm_scoring, op6_jaccard_join, op7_language_id, op8_secret_scans, op9_packing, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op2_vector_search": vector_search.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_vector_search": vector_search.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL, "op6_jaccard_join": jaccard.ORACLE_SQL}
