@@ -15,17 +15,20 @@ from rasterloom.sources.cog import read_tiles
 from rasterloom.sources.store import job_finished, load_images, write_images
 
 
-#: The band sets and tile rectangles (zoom, columns, rows) that the command line names by index.
+#: The band sets and tile rectangles (zoom, columns, rows, a tile left out) that the command line names by index.
 BAND_SETS = [["B1", "B3", "B4"], ["B3", "B5"], ["B1"]]
-CODE_SETS = [(11, (1680, 1681), (842, 844, 2)), (11, (1679, 1682), (841, 844)), (11, (1677, 1684), (839, 846)), (11, (1675, 1686), (837, 848)), (10, (836, 844), (417, 425))]
+CODE_SETS = [
+    (11, (1680, 1681), (842, 844, 2), None), (11, (1679, 1682), (841, 844), None), (11, (1677, 1684), (839, 846), None),
+    (11, (1675, 1686), (837, 848), None), (10, (836, 844), (417, 425), (836, 417)), (10, (671, 674), (425, 429), None),
+]
 
 
 def code_set(spark: SparkSession, index: int) -> tuple[DataFrame, int]:
     """Requested tiles (col, row) by index, and their zoom."""
-    zoom, cols, rows = CODE_SETS[index]
+    zoom, cols, rows, out = CODE_SETS[index]
     span = lambda lo, hi, step=1: F.sequence(F.lit(lo), F.lit(hi), F.lit(step))
     codes = spark.range(1).select(F.explode(span(*cols)).alias("col")).select("col", F.explode(span(*rows)).alias("row"))
-    return codes, zoom
+    return (codes.where((F.col("col") != out[0]) | (F.col("row") != out[1])) if out else codes), zoom
 
 
 def required(df: DataFrame, what: str = "tiles within the visible range") -> DataFrame:

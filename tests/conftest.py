@@ -6,7 +6,6 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 # workers import the package too
 os.environ["PYTHONPATH"] = sys.path[0] + os.pathsep + os.environ.get("PYTHONPATH", "")
-os.environ.setdefault("OMP_NUM_THREADS", "2")
 
 
 @pytest.fixture(scope="session")

@@ -47,3 +47,90 @@ def test_visible_layer(spark, tmp_path, epsg):
     assert got == want and want
     with pytest.raises(ValueError):
         jobs.to_crs(F.lit(0.0), F.lit(0.0), 9)
+
+
+def slow_mean(px: dict, y: int, x: int, r: int):
+    found = [px[b, a] for b in range(y - r, y + r + 1) for a in range(x - r, x + r + 1) if (b, a) in px]
+    return sum(found) // len(found) if found else None
+
+
+@pytest.mark.parametrize("radius", [1, 5])
+def test_incremental_job(spark, radius):
+    """A radius beyond the tile, and cells far apart, of which only those near the box are laid out."""
+    rng, tile, zoom = np.random.default_rng(8), 3, 6
+    box = (-5.0, -5.0, 12.0, 9.0)
+    codes = [(r.col, r.row) for r in jobs.tiles_of_box(spark, box, zoom).collect()]
+    lo, hi = min(codes), max(codes)
+    px = {}
+    for _ in range(500):
+        px[int(rng.integers(3 * lo[1] - 9, 3 * hi[1] + 12)), int(rng.integers(3 * lo[0] - 9, 3 * hi[0] + 12))] = int(rng.integers(0, 99))
+    far = {(10**6, 10**6): 5, (0, 0): 7}
+    rows = spark.createDataFrame([(1, y, x, v) for (y, x), v in (px | far).items()], "band int, y int, x int, v int")
+    stored = spark.createDataFrame([codes[0]], "col int, row int")
+    got = {(r.col, r.row): r.cells for r in jobs.incremental_job(spark, rows, stored, box, zoom, tile, radius).collect()}
+    assert set(got) <= set(codes[1:])
+    for col, row in codes[1:]:
+        want = [slow_mean(px, row * tile + i // tile, col * tile + i % tile, radius) for i in range(tile * tile)]
+        assert got.get((col, row), [None] * tile * tile) == want
+
+
+@pytest.fixture()
+def image(spark, tmp_path):
+    """Two bands' files, their index and coverage rows."""
+    rng = np.random.default_rng(5)
+    a = rng.integers(1, 9999, (120, 100)).astype("<u2")
+    for band in (1, 2):
+        cog.write_cog(str(tmp_path / f"b{band}.tif"), [a + band], (110.0, 31.0), 0.01, tile=32)
+    index = cog.cog_index(spark, str(tmp_path))
+    coverage = index.select("path").distinct().select("path", F.regexp_extract("path", r"b(\d)\.tif", 1).cast("int").alias("measurement_rank"), F.lit(1000.0).alias("resolution"))
+    return a, index, coverage
+
+
+def test_operator_before_placing(spark, image):
+    a, index, coverage = image
+    zoom, size = 8, 16
+    at = spark.range(1).select(*tile_of(F.lit(110.5), F.lit(30.5), zoom)).first()
+    codes = spark.createDataFrame([(at[0], at[1])], "col int, row int")
+    plain = {(r.band, r.y, r.x): r.v for r in jobs.match_job("22", coverage, index, codes, zoom, 4326, "uint16", 0.5, size).collect()}
+    raw = {(r.band, r.y, r.x): r.v for r in jobs.match_job("focalMean", coverage, index, codes, zoom, 4326, "uint16", 0.5, size).collect()}
+    assert raw.keys() == plain.keys() and raw
+    for (band, y, x), v in raw.items():
+        n = size << zoom
+        i, j = math.floor(((x + 0.5) / n * 360 - 290) / 0.01), math.floor((31.0 - math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * (y + 0.5) / n))))) / 0.01)
+        near = a[max(0, j - 1) : j + 2, max(0, i - 1) : i + 2].astype(int) + band
+        assert v == near.sum() // near.size
+    pairs = [sorted(map(tuple, jobs.matched(m, coverage, index, codes, zoom, 4326, 0.5).collect())) for m in ("11", "21")]
+    assert pairs[0] == pairs[1] != []
+    stacks = jobs.raw_tiles(coverage, index, codes, zoom, 4326, "uint16", 0.5).collect()
+    assert stacks and all(list(r.bands) == [1, 2] and len(r.stack[1]) == 32 * 32 for r in stacks)
+    with pytest.raises(ValueError):
+        jobs.match_job("none", coverage, index, codes, zoom, 4326, "uint16", 0.5, size)
+    with pytest.raises(ValueError):
+        jobs.required(jobs.match_job("22", coverage, index, codes.limit(0), zoom, 4326, "uint16", 0.5, size))
+
+
+def test_map_tile_job(spark, image, tmp_path):
+    """From files to images: only tiles without an image are computed."""
+    _, index, coverage = image
+    box, zoom, out = (110.1, 30.2, 110.9, 30.9), 9, str(tmp_path / "out")
+    job = lambda: jobs.map_tile_job(spark, coverage, index, box, zoom, 4326, "uint16", 0.5, out, "a", tile=16)
+    first = job()
+    names = sorted(p.name for p in (tmp_path / "out/a" / str(zoom) / "png").iterdir() if not p.name.startswith("."))
+    assert first == len(names) > 2
+    assert job() == 0 or first < len(jobs.tiles_of_box(spark, box, zoom).collect())
+    gone = tmp_path / "out/a" / str(zoom) / "png" / names[0]
+    before = gone.read_bytes()
+    gone.unlink()
+    assert job() == 1 and gone.read_bytes() == before
+
+
+def test_command_line(capsys):
+    from rasterloom.__main__ import main
+
+    assert main([]) == 2 and "focalMean" in capsys.readouterr().out
+    assert jobs.METHODS["11"] == "forward" and len(jobs.BAND_SETS) == 3
+
+
+def test_code_sets(spark):
+    sizes = [jobs.code_set(spark, i)[0].count() for i in range(len(jobs.CODE_SETS))]
+    assert sizes == [4, 16, 64, 144, 80, 20]

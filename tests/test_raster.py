@@ -134,3 +134,33 @@ def test_jobs(spark, px):
         assert run_operator(name, px).columns == ["band", "y", "x", "v"]
     with pytest.raises(ValueError):
         run_operator("nothing", px)
+
+
+@pytest.mark.parametrize("strip", [4, 4096])
+@pytest.mark.parametrize("radius", [1, 6])
+def test_strips_change_nothing(spark, monkeypatch, strip, radius):
+    """Both forms of the focal mean against plain sums, with lines cut in strips shorter than the radius."""
+    monkeypatch.setattr(raster, "STRIP", strip)
+    rng = np.random.default_rng(4)
+    px = {(int(y), int(x)): int(v) for y, x, v in rng.integers(-9, 9, (120, 3))}
+    frame = spark.createDataFrame([(1, y, x, v) for (y, x), v in px.items()], "band int, y int, x int, v int")
+    want = {}
+    for y in range(min(y for y, _ in px), max(y for y, _ in px) + 1):
+        for x in range(min(x for _, x in px), max(x for _, x in px) + 1):
+            near = [px[b, a] for b in range(y - radius, y + radius + 1) for a in range(x - radius, x + radius + 1) if (b, a) in px]
+            want[y, x] = int(sum(near) / len(near)) if near else None
+    for f in (raster.focal_mean, raster.focal_mean_by_prefix):
+        assert {(r.y, r.x): r.mean for r in f(frame, radius).collect()} == want
+
+
+def test_pyramid_of_gaps_and_fractions(spark):
+    rows = [(1, 0, 0, 1.5), (1, 1, 1, 2.5), (1, 5, 2, None), (2, 7, 7, 4.0)]
+    got = {(r.level, r.band, r.y, r.x): r.v for r in raster.pyramid(spark.createDataFrame(rows, "band int, y int, x int, v double"), 3).collect()}
+    assert got[1, 1, 0, 0] == 2.0 and got[1, 1, 2, 1] is None and got[3, 1, 0, 0] == 2.0 and got[3, 2, 0, 0] == 4.0 and len(got) == 12
+
+
+def test_no_cross_joins(spark):
+    px = spark.createDataFrame([(1, 0, 0, 1)], "band int, y int, x int, v int")
+    for df in (raster.focal_mean(px, 2), raster.focal_mean_by_prefix(px, 2), raster.focal_mean_tiles(px, 2, 4, px.select("x", "y").toDF("col", "row"))):
+        plan = df._jdf.queryExecution().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import crs, grid, scalar
 from rasterloom.operators import match
-from rasterloom.sources import catalog, cog, store
+from rasterloom.sources import catalog, cog, files, store
 from rasterloom.streaming.incremental import incremental
 
 
@@ -127,3 +127,85 @@ def test_stream(spark, tmp_path):
         incremental(spark.readStream.schema(kind).json(folder), compute, str(tmp_path / "store"), str(tmp_path / "at")).awaitTermination(60)
     assert seen == [[(1, 1), (1, 2)], [(2, 2)]]
     assert spark.read.parquet(str(tmp_path / "store")).count() == 3
+
+
+def test_reads_by_uri_and_from_whole_files(spark, tmp_path):
+    """The same cells from a path, a file: URI, and files that Spark reads; rows dealt by file, islands bounded."""
+    rng = np.random.default_rng(3)
+    for name in ("a", "b"):
+        cog.write_cog(str(tmp_path / f"{name}.tif"), [rng.integers(0, 60000, (300, 300)).astype("<u2")], (0.0, 10.0), 0.5, tile=64, deflate=name == "b")
+    (tmp_path / "note.txt").write_text("no image")
+    index = cog.cog_index(spark, str(tmp_path))
+    by_uri = cog.cog_index(spark, f"file://{tmp_path}")
+    whole = files.contents(spark, str(tmp_path))
+    by_spark = cog.cog_index_of(whole)
+    plain = lambda df: sorted((r.path.split("/")[-1], r.row, r.col, r.offset, r.byte_count) for r in df.collect())
+    assert plain(index) == plain(by_uri) == plain(by_spark) and len(plain(index)) == 50
+    cells = lambda df: sorted((r.path.split("/")[-1], r.row, r.col, tuple(r.cells)) for r in df.collect())
+    want = cells(cog.read_tiles(index, "uint16"))
+    assert want == cells(cog.read_tiles(by_uri, "uint16", gap=0, most=20_000)) == cells(cog.read_tiles(by_spark, "uint16", files=whole))
+    assert cog.read_tiles(index.limit(0), "uint16").count() == 0
+    assert {r.path.split("/")[-1] for r in files.listed(spark, str(tmp_path)).collect()} == {"a.tif", "b.tif"}
+
+
+def test_islands():
+    rows = [("f", 100, 10), ("f", 0, 50), ("g", 50, 10), ("f", 55, 40), ("f", 1000, 5000), ("f", 900, 10)]
+    assert list(cog.islands(rows, 5, 1000)) == [(0, 110, [1, 3, 0]), (900, 910, [5]), (1000, 6000, [4]), (50, 60, [2])]
+    assert list(cog.islands(rows[:4], 5, 60)) == [(0, 50, [1]), (55, 110, [3, 0]), (50, 60, [2])] and list(cog.islands([], 1, 1)) == []
+
+
+def test_geometry_forms(spark):
+    import struct
+
+    ring = [(1.0, 2.0), (3.0, 2.0), (3.0, 5.5), (1.0, 2.0)]
+    polygon = lambda o: struct.pack(f"{o}BIII" if o == "<" else ">BIII", 1 if o == "<" else 0, 3, 1, 4) + b"".join(struct.pack(f"{o}2d", *p) for p in ring)
+    many = struct.pack("<BII", 1, 6, 2) + polygon("<") + polygon(">")
+    point = struct.pack("<BII2d", 1, 1 | 0x20000000, 4326, -7.0, 8.0)
+    forms = ["POLYGON ((1 2, 3 2, 3 5.5, 1 2))", polygon("<").hex(), polygon(">").hex(), many.hex(), point.hex(), None]
+    rows = spark.createDataFrame([(f,) for f in forms], "g string").select(scalar.envelope(F.col("g")).alias("e")).collect()
+    assert [tuple(r.e) for r in rows[:4]] == [(1.0, 2.0, 3.0, 5.5)] * 4 and tuple(rows[4].e) == (-7.0, 8.0, -7.0, 8.0)
+    assert rows[5].e is None or rows[5].e.xmin is None
+    assert len({r[0] for r in spark.range(5).select(scalar.new_id()).collect()}) == 5
+
+
+def test_catalog_is_asked_once(spark):
+    image = spark.createDataFrame([(1, "im", "EPSG:4326", "/d", "POINT (1 2)", "2015/10/02")], "product_key int, image_identification string, crs string, path string, geom string, phenomenon_time string")
+    product = spark.createDataFrame([(1, "LC", "uint16")], "id int, name string, dtype string")
+    bands = spark.createDataFrame([(1, 7, "B1", 1, 1, 30.0), (1, 8, "B2", 2, 1, 30.0)], "product_key int, measurement_key int, band_num string, band_rank int, band_train int, resolution_m double")
+    known = catalog.Catalog(image, product, bands, spark.createDataFrame([(7,), (8,)], "measurement_key int"))
+    assert known.bands("im", "LC", ["B2"]).count() == 1 and known.bands("im", "LC").count() == 2
+    assert known.known.keys() == {("im", "LC")}
+    with pytest.raises(ValueError):
+        known.bands("im", "other")
+    with pytest.raises(RuntimeError):
+        catalog.jdbc(spark, "jdbc:none://x", "t", retries=2, delay=0.01)
+
+
+def test_coloured_images_and_callback(spark, tmp_path):
+    import http.server
+    import threading
+
+    got = []
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            got.append((self.path, self.rfile.read(int(self.headers["Content-Length"])).decode()))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b"ok")
+
+        def log_message(self, *_):
+            pass
+
+    stack = [[float(i) for i in range(4)], [3.0, 2.0, 1.0, 0.0], [1.0, 1.0, None, 1.0]]
+    tiles = spark.createDataFrame([(3, 5, [1, 2, 3], stack), (4, 5, [1, 2, 3], stack)], "col int, row int, bands array<int>, stack array<array<double>>")
+    assert store.write_images(tiles, "job", 9, f"file://{tmp_path}") == 2
+    image = store.load_images(spark, str(tmp_path), "job", 9, wanted=tiles.where("col = 4")).collect()
+    assert [(r.col, r.row) for r in image] == [(4, 5)]
+    data = zlib.decompress(image[0].image[image[0].image.index(b"IDAT") + 4 : image[0].image.index(b"IEND") - 8])
+    assert list(data[1:9]) == [0, 255, 0, 255, 85, 170, 0, 255]
+    server = http.server.HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.handle_request, daemon=True).start()
+    done = store.job_finished(f"http://127.0.0.1:{server.server_port}", "job", 9, "png", tiles)
+    assert done.result(10) == "ok" and got == [("/job/finished/job/9/png", "3-5,4-5")]
+    assert store.post_async("http://127.0.0.1:9/none", b"").result(10) == ""
