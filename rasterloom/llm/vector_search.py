@@ -9,7 +9,7 @@ query's distance to the pivot and the group's rings; a query goes to those group
 bounded sample does not rule out. Within a group annuli are expanded outwards, and a query stops at those that its k-th
 best score so far rules out. Scores are whole numbers, exact in double precision up to 2**53.
 
-Edge cases: vectors that are null, empty, or hold null or not finite components take no part, nor do null ids; shorter
+Edge cases: vectors that are null, or hold null or not finite components, take no part, nor do null ids; shorter (and empty)
 vectors count as filled up with 0; rows that share an id count as one query (the least vector) but as several candidates,
 and none is a candidate for its own id; ties go to the smaller id; fewer candidates than k give fewer rows; extra columns
 are ignored.
@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from rasterloom.llm.shared import saved
+
 SLACK = 1e-6  # rounding in bounds; scores themselves are exact
 
 
@@ -29,7 +31,7 @@ def quantized(rows: DataFrame, id_: str, vector: str, factor: float) -> DataFram
     v = F.col(vector)
     q = F.transform(v, lambda x: F.floor(F.lit(factor) * x.cast("double")).cast("double"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
-    fit = F.col(id_).isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite
+    fit = F.col(id_).isNotNull() & v.isNotNull() & finite
     return rows.where(F.coalesce(fit, F.lit(False))).select(F.col(id_).cast("long").alias("id"), q.alias("q"))
 
 
@@ -131,9 +133,7 @@ def topk(vectors: DataFrame, is_query, k: int = 5, id_: str = "vec_id", vector:
             p, d, r = index.keys(x, rings)
             g = group_of[p * rings + r]
             split = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % splits[g]
-            key = (first[g] + split) * parts
-            for c in range(parts):
-                yield record(key + c, False, ids, d, np.zeros(len(ids)), x)
+            yield record(first[g] + split, False, ids, d, np.zeros(len(ids)), x)
 
     def place_queries(batches):
         for b in batches:
@@ -183,7 +183,11 @@ def topk(vectors: DataFrame, is_query, k: int = 5, id_: str = "vec_id", vector:
         return pa.table({"query_id": ids_q[found[0]], "vec_id": found[2], "score": found[1].astype(np.int64)})
 
     shape = "key long, query boolean, id long, d double, limit double, x array<double>"
-    dealt = rows.mapInArrow(place_candidates, shape).unionByName(asked.mapInArrow(place_queries, shape))
+    placed = asked.mapInArrow(place_queries, shape)
+    # a group of candidates goes to the parts of the queries that reach it, and nowhere if none does
+    reached = placed.select(F.floor(F.col("key") / parts).alias("part"), F.col("key").alias("to")).distinct().transform(saved)
+    candidates = rows.mapInArrow(place_candidates, shape).join(reached, F.col("key") == F.col("part")).drop("key", "part").withColumnRenamed("to", "key")
+    dealt = candidates.select(*names).unionByName(placed)
     best = dealt.groupBy("key").applyInArrow(search, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
