@@ -125,8 +125,8 @@ def test_vector_search(spark):
     rng = np.random.default_rng(8)
     vectors = [rng.normal(0, 0.3, 6).tolist() for _ in range(150)]
     vectors += [[0.5] * 6] * 60 + [[0.25, 0.25]] + [[9.0] + [0.0] * 5]
-    rows = [(i, v) for i, v in enumerate(vectors)] + [(3, [0.1] * 6), (4, vectors[4])]
-    bad = [(900, None), (950, [1.0, None]), (1000, [float("nan")] * 6), (1050, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (1100, [])]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(3, [0.1] * 6), (4, vectors[4]), (1100, [])]
+    bad = [(900, None), (950, [1.0, None]), (1000, [float("nan")] * 6), (1050, [float("inf")] + [0.0] * 5), (None, [1.0] * 6)]
     table = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")
     q = [(i, np.floor(256 * np.pad(np.float32(v).astype(float), (0, 6 - len(v))))) for i, v in rows]
     asked = {}
