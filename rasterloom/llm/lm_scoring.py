@@ -20,7 +20,7 @@ Beside it stands an add-0.1 word unigram: frequent words' counts (a bounded tabl
 
 Edge cases: a null or blank text is its end symbol alone; without training text the unigram is uniform over one unseen
 token, the trie over bytes; repeated rows are scored alike; rows are told apart by their place in the input, not by id;
-extra columns are ignored.
+a null id is scored (in the query its held_out is null, and it is not learned from); extra columns are ignored.
 """
 
 from __future__ import annotations

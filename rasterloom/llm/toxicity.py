@@ -14,7 +14,8 @@ and yet are found in clean documents become exception phrases, as may given ones
 not count. A logistic curve fitted to the sample makes a score of the sum over all entries.
 
 Edge cases: a null or empty text has no match; without labels of both kinds every score is 0; equal texts have equal
-scores; a whole text is matched, whatever its length; extra columns are ignored.
+scores; a whole text is matched, whatever its length; labels of a null id are not learned from (in the query its held_out is
+null); extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -695,3 +695,21 @@ def test_automaton(pieces, word):
         size = next((k for k in range(len(s) - i, 0, -1) if s[i : i + k] in automaton.vocabulary), 0)
         n, i = (n + 1, i + size) if size else (n + len(s[i].encode()), i + 1)
     assert automaton.count(word) == n
+
+
+# all
+
+
+@pytest.mark.parametrize("n", range(9))
+def test_extra_columns_of_any_name(spark, n):
+    """Columns named like the operators' own, beside those they read."""
+    extra = ["id", "set", "n", "key", "part", "own", "row", "kind", "number", "cell", "score", "lang_pred", "size", "copies", "_key", "h", "k", "r", "length"]
+    docs = spark.createDataFrame([(r[0], r[1], r[2], r[3]) for r in corpus()], "doc_id long, text string, lang string, source string")
+    docs = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(extra)])
+    path = tokenizer_file("byte_bpe_50k.json")
+    run = [
+        lambda d: fingerprints.edited_pairs(d), lambda d: fingerprints.fingerprints(d), lambda d: mixing.copies(d), lambda d: toxicity.score(d, toxicity.Lexicon({})),
+        lambda d: lm_scoring.score(d, d), lambda d: jaccard.classes(d), lambda d: language.identify(d, None), lambda d: secrets.scan_digests(d),
+        lambda d: packing.pack(d, path).where("start = 0"),
+    ][n]
+    assert run(docs).count() == len(corpus())
