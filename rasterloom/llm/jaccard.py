@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from rasterloom.llm import kernel as K
 from rasterloom.llm.components import components
 from rasterloom.llm.lm_scoring import Tally, threshold
-from rasterloom.llm.shared import as_parquet, batch_rows, free, saved
+from rasterloom.llm.shared import as_parquet, batch_rows, free, saved, trimmed
 from rasterloom.llm.voronoi import Space
 
 ENTRY = np.dtype([("key", "<u4"), ("n", "<u4"), ("set", "<i8")])
@@ -76,25 +76,25 @@ def new_sets(seen: set, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def sets_and_sample(docs: DataFrame, width: int, rate: float) -> DataFrame:
-    """kind 0: doc_id, set, n of each row; kind 1: shingle and its count in a share of the sets, by task."""
-    names, room = ["kind", "id", "set", "n"], int(rate * (1 << 63))
+    """kind 0: id, h, set, n of each row (id, text, h); kind 1: shingle (as set) and its count in a share of the sets, by task."""
+    names, room = ["kind", "id", "h", "set", "n"], int(rate * (1 << 63))
 
     def run(batches):
         tally, seen = Tally(), set()
         for b in batches:
-            ids = b.column(0)
+            ids, hashes = b.column(0), b.column(2)
             for lo, hi, h, first, sets in shingle_sets(b.column(1), width):
                 n = np.diff(first)
                 pick = new_sets(seen, sets, np.where(K.mix(sets.view(np.uint64)) >> np.uint64(1) <= np.uint64(room), n, 0))
                 for i in pick:
                     tally.add(h[first[i] : first[i + 1]].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), ids.slice(lo, hi - lo), pa.array(sets), pa.array(n)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), ids.slice(lo, hi - lo), hashes.slice(lo, hi - lo), pa.array(sets), pa.array(n)], names)
         key, count = tally.merge()
         for i in range(0, len(key), 50_000):
             k = key[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), pa.nulls(len(k), pa.int64()), pa.array(k), pa.array(count[i : i + 50_000])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int64()), pa.array(k), pa.array(count[i : i + 50_000])], names)
 
-    return docs.mapInArrow(run, "kind int, id long, set long, n long")
+    return docs.mapInArrow(trimmed(run), "kind int, id long, h long, set long, n long")
 
 
 def regions(docs: DataFrame, width: int, percent: int, frequent, count: int, few: int) -> DataFrame:
@@ -176,7 +176,7 @@ def regions(docs: DataFrame, width: int, percent: int, frequent, count: int, few
         return pa.concat_tables(out)
 
     names = [x.split()[0] for x in TIES.split(", ")]
-    return docs.select("text").mapInArrow(run, "region long, entries binary").groupBy("region").applyInArrow(meet, TIES)
+    return docs.select("text").mapInArrow(trimmed(run), "region long, entries binary").groupBy("region").applyInArrow(meet, TIES)
 
 
 def needed(n_u: str, n_v: str, percent: int):
@@ -236,7 +236,7 @@ def shapes(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 if len(own):
                     yield pa.RecordBatch.from_arrays([pa.array(sets[own]), pa.array([h[first[i] : first[i + 1]].tobytes() for i in own], pa.binary())], ["set", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "set long, shingles binary").join(wanted.select("set").hint("shuffle_hash"), "set", "left_semi")
+    return docs.select("text").mapInArrow(trimmed(run), "set long, shingles binary").join(wanted.select("set").hint("shuffle_hash"), "set", "left_semi")
 
 
 def unpacked(blobs: list) -> tuple[np.ndarray, np.ndarray]:
@@ -372,6 +372,7 @@ def classes(docs: DataFrame, percent: int = 75, width: int = 5, few: int = 16, r
     with batch_rows(docs.sparkSession):
         rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
         points, tree = set_classes(rows, percent, width, few, room, pivots, sample, most_frequent)
+        points = points.select("id", "set", "n")
     labelled = points.join(tree, "set", "left").select("id", "n", F.coalesce("c", "set").alias("c"), (F.col("n") > 0).alias("full"))
     least = labelled.where("full").groupBy("c").agg(F.min("id").alias("least"))
     joined_ = labelled.join(least, "c", "left")
@@ -381,33 +382,29 @@ def classes(docs: DataFrame, percent: int = 75, width: int = 5, few: int = 16, r
 def one_of_each(docs: DataFrame, percent: int = 75, width: int = 5, few: int = 16, room: int = 1 << 22, pivots: int = 16, sample: int = 10_000, most_frequent: int = 500_000) -> DataFrame:
     """The row of each class of linked documents that has the smallest doc_id (a null one last), and all rows without words.
 
-    Rows are told apart by their texts, not by id: of rows that share an id, each stays or goes with its own class. Of equal
-    texts with one id that differ elsewhere, one is kept by a hash of the row.
+    Rows are told apart by their id and a hash of their text: of rows that share an id, each stays or goes with its own class.
+    Of rows of one id and text that differ elsewhere, one is kept by a hash of the row.
     """
     taken = list(docs.columns)
-    key, size, row = (free(x, taken) for x in ("_set", "_n", "_row"))
+    key, row = (free(x, taken) for x in ("_key", "_row"))
+    named = lambda id_, h: F.struct(id_.isNull().alias("a"), F.coalesce(id_, F.lit(0)).alias("b"), h.alias("c"))
     with batch_rows(docs.sparkSession):
         rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
         points, tree = set_classes(rows, percent, width, few, room, pivots, sample, most_frequent)
-        rank = F.struct(F.col("id").isNull().alias("a"), "id", "set")
-        first = points.where("n > 0").join(tree, "set", "left").groupBy(F.coalesce("c", "set").alias("c")).agg(F.min(rank).alias("k"))
-        at = taken.index("text")
-
-        def run(batches):
-            for b in batches:
-                parts = [sets[np.diff(first) > 0] for *_, first, sets in shingle_sets(b.column(at).cast(pa.string()), width)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(parts))], [*b.schema.names, key])
-
-        # as `kernel.word_bounds` has it: a text with a byte that is no white space has a shingle
-        has = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-        full = docs.where(has).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(key, T.LongType())]))
-        id_ = F.col("doc_id").cast("long")
-        hashed = F.xxhash64(*[f.name if not _has_map(f.dataType) else F.lit(0) for f in docs.schema.fields])
-        # one row of each set is left before a shuffle, so that copies do not meet
-        kept = full.groupBy(key).agg(F.min_by(F.struct(*taken), F.struct(id_.isNull().alias("a"), id_.alias("id"), hashed.alias("h"))).alias(row))
-        kept = kept.join(first.select(F.col("k.set").alias(key)).transform(saved).hint("shuffle_hash"), key, "left_semi")
-        kept = kept.select(*[F.col(row)[c].alias(c) for c in taken]).unionByName(docs.where(~has))
-        return kept
+        full = points.where("n > 0").withColumn("key", named(F.col("id"), F.col("h")))
+        # of equal keys the texts are equal, and so are the sets
+        first = full.join(tree, "set", "left").groupBy(F.coalesce("c", "set").alias("c")).agg(F.min("key").alias("key")).select("key")
+        first = first.join(full.groupBy("key").agg((F.count("*") > 1).alias("many")), "key").select(F.col("key").alias(key), F.col("many").alias(row)).transform(saved)
+    # as `kernel.word_bounds` has it: a text with a byte that is no white space has a shingle
+    has = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    ours = docs.where(has).withColumn(key, named(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
+    found = ours.join(first.hint("shuffle_hash"), key)
+    kept = found.where(~F.col(row)).select(taken)
+    if not first.where(F.col(row)).isEmpty():
+        hashed = F.xxhash64(*[F.col(f.name) for f in docs.schema.fields if not _has_map(f.dataType)])
+        some = found.where(F.col(row)).groupBy(key).agg(F.min_by(F.struct(*taken), hashed).alias(row))
+        kept = kept.unionByName(some.select(*[F.col(row)[c].alias(c) for c in taken]))
+    return kept.unionByName(docs.where(~has))
 
 
 def _has_map(kind: T.DataType) -> bool:
@@ -415,10 +412,11 @@ def _has_map(kind: T.DataType) -> bool:
 
 
 def set_classes(rows: DataFrame, percent: int, width: int, few: int, room: int, pivots: int, sample: int, most_frequent: int) -> tuple[DataFrame, DataFrame]:
-    """id, set and n of each row of rows (id, text), and set and c: the least set of its class, but for that set itself."""
+    """id, h, set and n of each row of rows (id, text), h a hash of the text; set and c: the least set of its class, but for that set."""
+    rows = rows.withColumn("h", F.xxhash64("text"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     told = sets_and_sample(rows, width, min(1.0, sample / max(1, rows.count()))).transform(as_parquet, "sets", "kind")
-    points = told.where("kind = 0").select("id", "set", "n")
+    points = told.where("kind = 0").select("id", "h", "set", "n")
 
     counts = told.where("kind = 1").groupBy("set").agg(F.sum("n").alias("n")).where("n >= 3").transform(saved)
     keys, n = (c.to_numpy() for c in counts.where(F.col("n") >= threshold(counts, most_frequent)).toArrow().columns)

@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from rasterloom.llm import kernel as K
+from rasterloom.llm.shared import trimmed
 
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
@@ -170,8 +171,8 @@ class Network:
             order = np.lexsort((length, alone))
             edge = len(order) - int(alone.sum())
             for a, b in ((0, edge), (edge, len(order))):
-                for k in range(a, b, 2048):
-                    own = order[k : min(b, k + 2048)]
+                for k in range(a, b, 1024):
+                    own = order[k : min(b, k + 1024)]
                     t, before = int(length[own].max()), 0 if alone[own[0]] else lead
                     at_ = start[own] + np.arange(-before, t + before)[:, None]
                     inside = (at_ >= at[row[own]]) & (at_ < at[row[own] + 1])
@@ -247,4 +248,4 @@ def identify(docs: DataFrame, net: Network | None, keep_from: float | None = Non
             lang = [net.labels[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), plain)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)

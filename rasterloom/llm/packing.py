@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rasterloom.llm import kernel as K
 from rasterloom.llm.mixing import deal, number
+from rasterloom.llm.shared import trimmed
 
 #: White space other than ASCII's: texts with it, or with special tokens, are left to the tokenizers library.
 ODD_SPACE = "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -79,7 +80,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, length: int = 1024, end: int =
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return rows.mapInArrow(trimmed(run), ", ".join(f"{n} long" for n in names))
 
 
 def knapsack(sizes: np.ndarray, values: np.ndarray, room: int) -> tuple[float, np.ndarray]:
