@@ -11,7 +11,8 @@ Two sets are tied if they are together in as many regions as linked sets of thei
 pair in regions of up to `few` sets; larger ones may all be common to both. Sets that share a larger region are tied if both
 are in as many larger regions as a linked set of their size must be. So passages that many documents share tie few of them.
 Ties mostly hold groups of copies: sets tied directly or through others are a cell while they have `room` shingles at most,
-and each set moves once; in a larger component of ties, every larger region is a cell and every tied pair.
+and each set moves once; in a larger component of ties, every larger region is a cell and every tied pair, or the whole
+component is one if that is less to send (`large_cells`).
 A cell is joined in one task by recursive Voronoi regions of whole documents (`voronoi`): nearest pivots, window copies by
 the triangle inequality, exact distances. A cell beyond `room` is first split by the same rules over many tasks: its sets are dealt in chunks that measure their distances to `pivots` sets of the cell, links to pivots become
 components, and each set goes to its nearest pivot's cell and, as a window copy, to others. Cells that hold one component
@@ -329,6 +330,20 @@ def blocks(cells: DataFrame, room: int) -> DataFrame:
     return rows.select(pair.alias("cell"), "set", "n", (F.col("i") <= F.col("j")).alias("own"), "c")
 
 
+def large_cells(large: DataFrame, wide: DataFrame, pairs: DataFrame, room: int) -> DataFrame:
+    """cell, set, n: the cells of components of ties (whole, set, n, w) beyond room.
+
+    One cell for each larger region and tied pair, or the whole component where its blocks, each with each, are less to send:
+    the sets of a large group of near copies are all together in most of their regions.
+    """
+    both = pairs.select(F.xxhash64("u", "v").alias("cell"), F.explode(F.array("u", "v")).alias("set"))
+    single = wide.unionByName(both).join(large, "set").transform(saved)
+    sent = single.groupBy("whole").agg(F.sum("n").alias("sent"), F.max("w").alias("w"))
+    kept = sent.select("whole", (F.col("w") * F.ceil(2 * F.col("w") / room) <= F.col("sent")).alias("kept")).transform(saved)
+    single = single.join(kept.where("NOT kept"), "whole", "left_semi").select("cell", "set", "n")
+    return single.unionByName(large.join(kept.where("kept"), "whole", "left_semi").select(F.col("whole").alias("cell"), "set", "n"))
+
+
 def cell_links(forms: DataFrame, cells: DataFrame, edges: list[DataFrame], percent: int, room: int, pivots: int, parts: int) -> list[DataFrame]:
     """Links (u, v) of all cells (cell, old, set, n, own), of any size, besides those known. forms: set, shingles."""
     while True:
@@ -352,8 +367,12 @@ def cell_links(forms: DataFrame, cells: DataFrame, edges: list[DataFrame], perce
         chosen = big.where("own").groupBy("cell", "size").agg(*some).select("cell", "size", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(pivots)]))).alias("set")).transform(saved)
         rows = measured(forms.join(big.select("cell", "set", "n", "own", "size"), "set"), forms.join(chosen, "set"), percent).transform(saved)
         edges = [*edges, rows.select(F.col("set").alias("u"), F.explode("hits").alias("v")).where("u <> v").distinct()]
-        weight = big.select("cell", F.col("w").alias("old_w")).distinct()
-        cells = parted(rows, percent).join(weight.withColumnRenamed("cell", "old"), "old").select("cell", F.col("old_w").alias("old"), "set", "n", "own")
+        weight = big.select(F.col("cell").alias("old"), F.col("w").alias("old_w")).distinct()
+        split = parted(rows, percent).join(weight, "old").transform(saved)
+        # where most sets would move with window copies, the cell stays whole and is dealt in blocks
+        stays = split.groupBy("old", "old_w").agg(F.sum("n").alias("w")).where("w > 2 * old_w").select("old").transform(saved)
+        cells = split.join(stays, "old", "left_anti").select("cell", F.col("old_w").alias("old"), "set", "n", "own")
+        cells = cells.unionByName(big.join(stays.withColumnRenamed("old", "cell"), "cell", "left_semi").select("cell", F.col("w").alias("old"), "set", "n", "own"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -438,11 +457,11 @@ def set_classes(rows: DataFrame, percent: int, width: int, few: int, room: int,
     # a component of ties that is one cell has its links' components at once
     links = joined(forms.join(whole, "set"), percent, tasks).transform(saved)
     tree = links.select(F.col("u").alias("set"), F.col("v").alias("c"))
-    large = tied.where(F.col("w") > room).select("set", "n").transform(saved)
+    large = tied.where(F.col("w") > room).select(F.col("cell").alias("whole"), "set", "n", "w").transform(saved)
     if not large.isEmpty():
-        both = pairs.select(F.xxhash64("u", "v").alias("cell"), F.explode(F.array("u", "v")).alias("set"))
-        cells = wide.unionByName(both).join(large, "set").select("cell", F.lit(None).cast("long").alias("old"), "set", "n", F.lit(True).alias("own"))
-        more = components(_union(cell_links(forms, cells, [], percent, room, pivots, parts)))
+        cells = large_cells(large, wide, pairs, room).select("cell", F.lit(None).cast("long").alias("old"), "set", "n", F.lit(True).alias("own"))
+        few_forms = forms.join(large.select("set"), "set", "left_semi").transform(saved)
+        more = components(_union(cell_links(few_forms, cells, [], percent, room, pivots, parts)))
         tree = tree.unionByName(more.select(F.col("node").alias("set"), F.col("least").alias("c")))
     return points, tree
 

@@ -410,6 +410,22 @@ def test_large_regions(spark):
         assert Counter(map(tuple, jaccard.classes(frame, few=4, room=room, pivots=3).collect())) == slow_classes(rows)
 
 
+def test_sets_of_a_large_group_are_sent_a_few_times(spark, monkeypatch):
+    """Near copies share most of their regions, and are not sent once for each where they are more than `room`."""
+    rng, base = np.random.default_rng(3), base_text(21, 120)
+    rows = []
+    for i in range(60):
+        t = list(base)
+        for k in rng.integers(0, 120, 4):
+            t[k] = f"y{i}"
+        rows.append((i, " ".join(t)))
+    sent, plain = [], jaccard.joined
+    monkeypatch.setattr(jaccard, "joined", lambda members, *how: (sent.append(members.count()), plain(members, *how))[1])
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, jaccard.classes(frame, few=4, room=3000, pivots=2).collect())) == slow_classes(rows)
+    assert sum(sent) <= 10 * len(rows)
+
+
 @given(st.lists(st.sets(st.integers(0, 40), min_size=1, max_size=40), min_size=2, max_size=2), st.integers(0, 8))
 @settings(max_examples=300, deadline=None)
 def test_linked_sets_share_the_needed_prefix(sets, odd):
