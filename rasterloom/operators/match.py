@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BOX = ["xmin", "ymin", "xmax", "ymax"]
@@ -55,14 +57,34 @@ def extent_join(a: DataFrame, b: DataFrame, bucket: float) -> DataFrame:
     return joined.where(meets("a_", "b_") & (F.col("gx") == low("xmin")) & (F.col("gy") == low("ymin"))).drop("gx", "gy")
 
 
+def met_lists(a: DataFrame, keys: list[str], b: DataFrame, item: Column, name: str, bucket: float, form: Callable[[Column], Column] | None, most: int = 1000) -> DataFrame:
+    """Each key of a whose extents meet one of b, with what form makes of the sorted items of the rows of b that they meet.
+
+    Rows of equal extents meet the same ones, so extents are joined once however many rows have them: b's by lists of items,
+    a's by classes of keys with the same extents. A class's list is made once and dealt to its keys, `most` to a copy of it.
+    """
+    own, kind, n, deal, items = (f"_{x}" for x in ("extents", "kind", "n", "deal", "items"))
+    there = [F.col(c).isNotNull() for c in BOX]
+    owned = a.where(there[0] & there[1] & there[2] & there[3]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*BOX))).alias(own))
+    classes = owned.groupBy(own).agg(F.ceil(F.count("*") / most).cast("int").alias(n))
+    lists = b.groupBy(*BOX).agg(F.collect_list(item).alias(items))
+    met = extent_join(classes.select(own, n, F.inline(own)), lists, bucket).groupBy(F.col(f"a_{own}").alias(kind), F.col(f"a_{n}").alias(n))
+    made = met.agg(F.sort_array(F.flatten(F.collect_list(f"b_{items}"))).alias(name))
+    if form:
+        made = made.withColumn(name, form(F.col(name)))
+    made = made.select(kind, F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(deal), name)
+    dealt = owned.join(classes, own).withColumn(deal, F.pmod(F.xxhash64(*keys), F.col(n)).cast("int")).withColumnRenamed(own, kind)
+    return dealt.join(made, [kind, deal]).select(*keys, name)
+
+
 def match_inverted(tiles: DataFrame, codes: DataFrame, bucket: float) -> DataFrame:
     """Each file tile (id, BOX) that meets a requested one (col, row, BOX), once, with those it meets."""
     return extent_join(tiles, codes, bucket).groupBy(F.col("a_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("b_col").alias("col"), F.col("b_row").alias("row")))).alias("codes"))
 
 
-def match_forward(tiles: DataFrame, codes: DataFrame, bucket: float) -> DataFrame:
-    """Each requested tile that meets a file tile, with those it meets. The same join, grouped the other way."""
-    return extent_join(codes, tiles, bucket).groupBy(F.col("a_col").alias("col"), F.col("a_row").alias("row")).agg(F.array_sort(F.collect_list("b_id")).alias("tiles"))
+def match_forward(tiles: DataFrame, codes: DataFrame, bucket: float, form: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Each requested tile that meets a file tile, with those it meets (tiles, or form of it). The same join, grouped the other way."""
+    return met_lists(codes, ["col", "row"], tiles, F.col("id"), "tiles", bucket, form)
 
 
 def visible_tiles(tiles: DataFrame, codes: DataFrame, bucket: float, strategy: str = "inverted") -> DataFrame:

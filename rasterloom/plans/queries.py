@@ -289,8 +289,7 @@ def extent_join_inverted(spark, d):
 
 @query(f"WITH {TILES}, {CODES} SELECT c.col, c.row, string_agg(CAST(t.id AS VARCHAR), ',' ORDER BY t.id) AS tiles FROM t JOIN c ON {MEET} GROUP BY 1, 2")
 def extent_join_forward(spark, d):
-    m = match.match_forward(file_tiles(spark, d), code_boxes(spark, d), 4.0)
-    return m.select("col", "row", F.concat_ws(",", F.transform("tiles", lambda v: v.cast("string"))).alias("tiles"))
+    return match.match_forward(file_tiles(spark, d), code_boxes(spark, d), 4.0, lambda tiles: F.concat_ws(",", F.transform(tiles, lambda v: v.cast("string"))))
 
 
 @query(f"WITH {CODES} SELECT col, row, b.band FROM c CROSS JOIN (VALUES ('B1'), ('B3'), ('B4')) b(band)")

@@ -2,6 +2,7 @@
 
 import datetime
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -75,6 +76,20 @@ def test_extent_join_is_the_inequality_join(spark):
     assert match.visible_tiles(tiles.limit(0), codes, 4.0).count() == 0
 
 
+@pytest.mark.parametrize("strategy", ["forward"])
+def test_rows_of_equal_extents_are_joined_once(spark, monkeypatch, strategy):
+    """Also where an id has several extents, one of them twice, or none."""
+    a = [(i, 0.0, 0.0, 1.0, 1.0) for i in range(1200)] + [(7, 0.0, 0.0, 1.0, 1.0), (7, 5.0, 5.0, 6.0, 6.0), (7, None, 5.0, 6.0, 6.0), (1300, None, 0.0, 1.0, 1.0), (1301, 9.0, 9.0, 9.0, 9.0)]
+    b = [(j, -j, 1.0, 0.5, 5.0, 5.0) for j in range(15)] + [(20, 1, 6.0, 6.0, 7.0, 7.0), (20, 1, 0.0, 0.0, 0.5, 0.5), (21, 1, 70.0, 0.0, 70.5, 0.5)]
+    tiles = spark.createDataFrame(a, "id int, xmin double, ymin double, xmax double, ymax double")
+    codes = spark.createDataFrame(b, "col int, row int, xmin double, ymin double, xmax double, ymax double")
+    want = Counter((i, j, k) for i, *p in a for j, k, *q in b if None not in p and p[0] <= q[2] and q[0] <= p[2] and p[1] <= q[3] and q[1] <= p[3])
+    joined, plain = [], match.extent_join
+    monkeypatch.setattr(match, "extent_join", lambda *x: joined.append(plain(*x)) or joined[-1])
+    assert Counter(map(tuple, match.visible_tiles(tiles, codes, 4.0, strategy).collect())) == want
+    assert sum(j.count() for j in joined) <= 10
+
+
 def test_scalars(spark):
     one = spark.range(1)
     forms = ["2015-10-02 03:04:05", "2015/10/02 03:04:05", "2015-10-02", "2015/10/02", "gestern", None]
