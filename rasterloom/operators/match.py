@@ -77,9 +77,9 @@ def met_lists(a: DataFrame, keys: list[str], b: DataFrame, item: Column, name: s
     return dealt.join(made, [kind, deal]).select(*keys, name)
 
 
-def match_inverted(tiles: DataFrame, codes: DataFrame, bucket: float) -> DataFrame:
-    """Each file tile (id, BOX) that meets a requested one (col, row, BOX), once, with those it meets."""
-    return extent_join(tiles, codes, bucket).groupBy(F.col("a_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("b_col").alias("col"), F.col("b_row").alias("row")))).alias("codes"))
+def match_inverted(tiles: DataFrame, codes: DataFrame, bucket: float, form: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Each file tile (id, BOX) that meets a requested one (col, row, BOX), once, with those it meets (codes, or form of it)."""
+    return met_lists(tiles, ["id"], codes, F.struct("col", "row"), "codes", bucket, form)
 
 
 def match_forward(tiles: DataFrame, codes: DataFrame, bucket: float, form: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -283,8 +283,8 @@ def zorder(spark, d):
 
 @query(f"WITH {TILES}, {CODES} SELECT t.id, string_agg(c.col || ':' || c.row, ',' ORDER BY c.col, c.row) AS codes FROM t JOIN c ON {MEET} GROUP BY 1")
 def extent_join_inverted(spark, d):
-    m = match.match_inverted(file_tiles(spark, d), code_boxes(spark, d), 4.0)
-    return m.select("id", F.concat_ws(",", F.transform("codes", lambda s: F.concat_ws(":", s.col.cast("string"), s.row.cast("string")))).alias("codes"))
+    text = lambda codes: F.concat_ws(",", F.transform(codes, lambda s: F.concat_ws(":", s.col.cast("string"), s.row.cast("string"))))
+    return match.match_inverted(file_tiles(spark, d), code_boxes(spark, d), 4.0, text)
 
 
 @query(f"WITH {TILES}, {CODES} SELECT c.col, c.row, string_agg(CAST(t.id AS VARCHAR), ',' ORDER BY t.id) AS tiles FROM t JOIN c ON {MEET} GROUP BY 1, 2")

@@ -76,7 +76,7 @@ def test_extent_join_is_the_inequality_join(spark):
     assert match.visible_tiles(tiles.limit(0), codes, 4.0).count() == 0
 
 
-@pytest.mark.parametrize("strategy", ["forward"])
+@pytest.mark.parametrize("strategy", ["forward", "inverted"])
 def test_rows_of_equal_extents_are_joined_once(spark, monkeypatch, strategy):
     """Also where an id has several extents, one of them twice, or none."""
     a = [(i, 0.0, 0.0, 1.0, 1.0) for i in range(1200)] + [(7, 0.0, 0.0, 1.0, 1.0), (7, 5.0, 5.0, 6.0, 6.0), (7, None, 5.0, 6.0, 6.0), (1300, None, 0.0, 1.0, 1.0), (1301, 9.0, 9.0, 9.0, 9.0)]
