@@ -410,8 +410,9 @@ def test_large_regions(spark):
         assert Counter(map(tuple, jaccard.classes(frame, few=4, room=room, pivots=3).collect())) == slow_classes(rows)
 
 
-def test_sets_of_a_large_group_are_sent_a_few_times(spark, monkeypatch):
-    """Near copies share most of their regions, and are not sent once for each where they are more than `room`."""
+@pytest.mark.parametrize("one", [False, True])
+def test_sets_of_a_large_group_are_sent_a_few_times(spark, monkeypatch, one):
+    """Near copies share most of their regions, and are not sent once for each where they are more than `room`; one: the pipeline's form."""
     rng, base = np.random.default_rng(3), base_text(21, 120)
     rows = []
     for i in range(60):
@@ -421,8 +422,12 @@ def test_sets_of_a_large_group_are_sent_a_few_times(spark, monkeypatch):
         rows.append((i, " ".join(t)))
     sent, plain = [], jaccard.joined
     monkeypatch.setattr(jaccard, "joined", lambda members, *how: (sent.append(members.count()), plain(members, *how))[1])
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert Counter(map(tuple, jaccard.classes(frame, few=4, room=3000, pivots=2).collect())) == slow_classes(rows)
+    frame, how = spark.createDataFrame(rows, "doc_id long, text string"), {"few": 4, "room": 3000, "pivots": 2}
+    want = slow_classes(rows)
+    if one:
+        assert {r.doc_id for r in jaccard.one_of_each(frame, **how).collect()} == {c for _, _, c in want}
+    else:
+        assert Counter(map(tuple, jaccard.classes(frame, **how).collect())) == want
     assert sum(sent) <= 10 * len(rows)
 
 
