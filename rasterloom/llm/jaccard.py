@@ -11,8 +11,9 @@ Two sets are tied if they are together in as many regions as linked sets of thei
 pair in regions of up to `few` sets; larger ones may all be common to both. Sets that share a larger region are tied if both
 are in as many larger regions as a linked set of their size must be. So passages that many documents share tie few of them.
 Ties mostly hold groups of copies: sets tied directly or through others are a cell while they have `room` shingles at most,
-and each set moves once; in a larger component of ties, every larger region is a cell and every tied pair, or the whole
-component is one if that is less to send (`large_cells`).
+and each set moves once; in a larger component of ties, the larger regions of each least set are a cell and every tied pair
+is one, or the whole component is one if that is less to send (`large_cells`). Regions that share their least set are alike
+(the chance is their sets' Jaccard similarity), or have it as a common member.
 A cell is joined in one task by recursive Voronoi regions of whole documents (`voronoi`): nearest pivots, window copies by
 the triangle inequality, exact distances. A cell beyond `room` is first split by the same rules over many tasks: its sets are dealt in chunks that measure their distances to `pivots` sets of the cell, links to pivots become
 components, and each set goes to its nearest pivot's cell and, as a window copy, to others. Cells that hold one component
@@ -32,16 +33,18 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from rasterloom.llm import kernel as K
 from rasterloom.llm.components import components
 from rasterloom.llm.lm_scoring import Tally, threshold
-from rasterloom.llm.shared import as_parquet, batch_rows, free, saved, trimmed
+from rasterloom.llm.shared import as_parquet, batch_rows, free, release, saved, trimmed
 from rasterloom.llm.voronoi import Space
 
 ENTRY = np.dtype([("key", "<u4"), ("n", "<u4"), ("set", "<i8")])
+SHARE = np.dtype([("least", "<i8"), ("set", "<i8"), ("n", "<u4"), ("m", "<u4")])
 TIES = "kind int, u long, v long, m long, n_u long, n_v long"
 PAIR, LIST = range(2)
 
@@ -101,11 +104,33 @@ def sets_and_sample(docs: DataFrame, width: int, rate: float) -> DataFrame:
 def regions(docs: DataFrame, width: int, percent: int, frequent, count: int, few: int) -> DataFrame:
     """Of the regions (shingles) that have two sets or more, kind, u, v, m, n_u and n_v.
 
-    PAIR: two sets, the number of regions of up to `few` sets they share, by task, and their sizes. LIST: a hash of the sets
-    of larger regions, each of these, the number of such regions, by task, and the set's size.
+    PAIR: two sets, the number of regions of up to `few` sets they share, by task, and their sizes. LIST: a set that is the
+    least of larger regions, each set of these, the number of such regions, and the set's size.
+
+    Near copies are together in most of their regions, so a region's sets are sent once more, to where its least set's
+    regions are: there equal regions are one, and pairs are counted for a group, not for each of its regions. A set is
+    the least of no more regions than it has shingles. Of larger regions, each set is counted where its least set and
+    itself lead, so that no task has a whole group. Sets that are in no region with another are not sent again.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    def dealt(e, at, kind):
+        """Rows (kind, bucket, entries) of entries e for buckets `at`."""
+        order = np.argsort(at, kind="stable")
+        e, at = e[order], at[order]
+        cut = np.flatnonzero(np.diff(at)) + 1
+        blobs = [x.tobytes() for x in np.split(e, cut)] if len(e) else []
+        return pa.table([pa.array(np.full(len(blobs), kind, np.int32)), pa.array(at[np.concatenate([[0], cut])] if len(e) else at), pa.array(blobs, pa.binary())], ["kind", "bucket", "entries"])
+
+    def summed(e):
+        """One entry for each least and set, with the sum of m."""
+        e = e[np.lexsort((e["set"], e["least"]))]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(e["least"]) != 0) | (np.diff(e["set"]) != 0)])) if len(e) else np.zeros(0, np.int64)
+        out = e[new]
+        if len(e):
+            out["m"] = np.add.reduceat(e["m"], new)
+        return out
+
     def emit(parts):
         e = np.concatenate(parts)
         at = (K.mix(np.ascontiguousarray(e["key"])) % np.uint64(count)).astype(np.int64)
@@ -146,38 +171,65 @@ def regions(docs: DataFrame, width: int, percent: int, frequent, count: int, few
         e = np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for x in table.column("entries")])
         e = e[np.lexsort((e["set"], e["key"]))]
         e = e[np.concatenate([[True], (e["key"][1:] != e["key"][:-1]) | (e["set"][1:] != e["set"][:-1])])]
-        key, sets, n = np.ascontiguousarray(e["key"]), np.ascontiguousarray(e["set"]), e["n"].astype(np.int64)
-        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(cut, len(key)))
+        cut = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1]]))
+        size = np.diff(np.append(cut, len(e)))
+        least = np.repeat(e["set"][cut], size)
+        e["key"] = np.repeat(np.arange(len(cut)), size)
+        size = np.repeat(size, size)
+        small, wide = (size > 1) & (size <= few), size > few
+        more = np.empty(int(wide.sum()), SHARE)
+        more["least"], more["set"], more["n"], more["m"] = least[wide], e["set"][wide], e["n"][wide], 1
+        more = summed(more)
+        spread = K.mix(K.mix(np.ascontiguousarray(more["set"]).view(np.uint64)) ^ np.ascontiguousarray(more["least"]).view(np.uint64))
+        both = (e[small], K.mix(least[small].view(np.uint64)), PAIR), (more, spread, LIST)
+        return pa.concat_tables([dealt(x, (h % np.uint64(count)).astype(np.int64), kind) for x, h, kind in both])
+
+    def gather(table: pa.Table) -> pa.Table:
+        kinds, blobs = table.column("kind").to_numpy(), [x.as_buffer() for x in table.column("entries")]
         out = []
 
-        def add(kind, u, v, n_u, n_v):
-            """Counted rows of (u, v)."""
-            order = np.lexsort((v, u))
-            u, v, n_u, n_v = u[order], v[order], n_u[order], n_v[order]
-            new = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])) if len(u) else np.zeros(0, np.int64)
-            m = np.diff(np.append(new, len(u)))
-            out.append(pa.table([pa.array(np.full(len(new), kind, np.int32)), *map(pa.array, (u[new], v[new], m, n_u[new], n_v[new]))], names))
-
-        wide = size > few
-        if wide.any():
-            mass = np.add.reduceat(K.mix(sets.view(np.uint64)), cut).view(np.int64)
-            at = np.repeat(wide, size)
-            add(LIST, np.repeat(mass[wide], size[wide]), sets[at], n[at], n[at])
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for r in range(2, few + 1):
-            left, right = np.triu_indices(r, 1)
-            at = cut[size == r, None]
-            a.append((at + left).reshape(-1))
-            b.append((at + right).reshape(-1))
-        a, b = np.concatenate(a), np.concatenate(b)
-        fit = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-        a, b = a[fit], b[fit]
-        add(PAIR, sets[a], sets[b], n[a], n[b])
+        def add(kind, u, v, m, n_u, n_v):
+            out.append(pa.table([pa.array(np.full(len(u), kind, np.int32)), *(pa.array(np.ascontiguousarray(x, np.int64)) for x in (u, v, m, n_u, n_v))], names))
+
+        more = summed(np.concatenate([np.zeros(0, SHARE), *(np.frombuffer(x, SHARE) for x, k in zip(blobs, kinds) if k == LIST)]))
+        add(LIST, more["least"], more["set"], more["m"], more["n"], more["n"])
+        some = [np.frombuffer(x, ENTRY) for x, k in zip(blobs, kinds) if k == PAIR]
+        if not some:
+            return pa.concat_tables(out)
+        e = np.concatenate(some)
+        sets, n = np.ascontiguousarray(e["set"]), e["n"].astype(np.int64)
+        # a task numbers its regions, and has sent one blob
+        begins = np.concatenate([[True], e["key"][1:] != e["key"][:-1]])
+        begins[np.cumsum([0] + [len(x) for x in some[:-1]])] = True
+        cut = np.flatnonzero(begins)
+        size = np.diff(np.append(cut, len(e)))
+        mass = np.add.reduceat(K.mix(sets.view(np.uint64)), cut)
+        _, one, often = np.unique(mass, return_index=True, return_counts=True)
+        by = np.argsort(sets[cut[one]], kind="stable")
+        cut, size, often = cut[one][by], size[one][by], often[by]
+        # regions by their least set, about a million pairs at a time
+        step = np.cumsum(size * (size - 1) // 2) // 1_000_000
+        for part in np.split(np.arange(len(cut)), np.flatnonzero(np.diff(step)) + 1):
+            a, b, m = [], [], []
+            for r in np.unique(size[part]).tolist():
+                at = part[size[part] == r]
+                left, right = np.triu_indices(r, 1)
+                a.append((cut[at, None] + left).reshape(-1))
+                b.append((cut[at, None] + right).reshape(-1))
+                m.append(np.repeat(often[at], len(left)))
+            a, b, m = map(np.concatenate, (a, b, m))
+            fit = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+            a, b, m = a[fit], b[fit], m[fit]
+            if len(a):
+                order = np.lexsort((sets[b], sets[a]))
+                a, b, m = a[order], b[order], m[order]
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(sets[a]) != 0) | (np.diff(sets[b]) != 0)]))
+                add(PAIR, sets[a[new]], sets[b[new]], np.add.reduceat(m, new), n[a[new]], n[b[new]])
         return pa.concat_tables(out)
 
     names = [x.split()[0] for x in TIES.split(", ")]
-    return docs.select("text").mapInArrow(trimmed(run), "region long, entries binary").groupBy("region").applyInArrow(meet, TIES)
+    met = docs.select("text").mapInArrow(trimmed(run), "region long, entries binary").groupBy("region").applyInArrow(meet, "kind int, bucket long, entries binary")
+    return met.groupBy("bucket").applyInArrow(gather, TIES)
 
 
 def needed(n_u: str, n_v: str, percent: int):
@@ -206,46 +258,58 @@ def ties(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     pairs = pairs.where(F.col("m") + spare >= needed("n_u", "n_v", percent)).select("u", "v")
     # the least that a set can share with a linked one of any size
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100.0 - 1e-9) / 10.0 + 1e-9))
-    wide = lists.select(F.col("u").alias("cell"), F.col("v").alias("set")).distinct().join(large.where(F.col("g") >= least).select("set"), "set", "left_semi")
+    wide = lists.select(F.col("u").alias("cell"), F.col("v").alias("set")).join(large.where(F.col("g") >= least).select("set"), "set", "left_semi")
     return pairs, wide.select("cell", "set")
 
 
-BITS = 25
-
-
-def bitmap(wanted: DataFrame) -> np.ndarray:
-    """Bits of the wanted sets' hashes, 4 MB whatever their number: thins a shuffle while they are few, else lets all pass."""
-    at = F.col("set").bitwiseAND(F.lit((1 << BITS) - 1)) + 1
-    parts = wanted.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).collect()
-    out = np.zeros((1 << BITS) // 8, np.uint8)
+def bitmap(hashes: DataFrame, bits: int = 25) -> np.ndarray:
+    """Bits of the hashes (column `set`), 4 MB for 25 whatever their number: thins a shuffle while they are few, else lets all pass."""
+    at = F.col("set").bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    parts = hashes.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).collect()
+    out = np.zeros((1 << bits) // 8, np.uint8)
     for r in parts:
         out[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.m, np.uint8)
     return out
 
 
+def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bitmap has the hashes' bits."""
+    at = hashes & (8 * len(bits) - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def shapes(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The wanted sets (set) with their shingles, packed; more than once if several tasks read the set."""
+    """The wanted rows (set and more) with a text of their set, packed; more than once if several tasks read the set.
+
+    Packed texts are a third as long as their shingles, and are turned into these again where they meet.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
 
     def run(batches):
-        seen, bits = set(), shared.value
+        seen, bits, codec = set(), shared.value, pa.Codec("zstd", compression_level=1)
         for b in batches:
-            for _, _, h, first, sets in shingle_sets(b.column(0), width):
-                at = sets & ((1 << BITS) - 1)
-                maybe = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-                own = new_sets(seen, sets, np.where(maybe, np.diff(first), 0))
+            raw, at = K.string_bytes(b.column(0))
+            for lo, _, _, first, sets in shingle_sets(b.column(0), width):
+                own = new_sets(seen, sets, np.where(marked(bits, sets), np.diff(first), 0))
                 if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array(sets[own]), pa.array([h[first[i] : first[i + 1]].tobytes() for i in own], pa.binary())], ["set", "shingles"])
+                    texts = [raw[at[i] : at[i + 1]].tobytes() for i in (lo + own).tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(sets[own]), pa.array([len(x).to_bytes(4, "little") + codec.compress(x, asbytes=True) for x in texts], pa.binary())], ["set", "body"])
 
-    return docs.select("text").mapInArrow(trimmed(run), "set long, shingles binary").join(wanted.select("set").hint("shuffle_hash"), "set", "left_semi")
+    return docs.select("text").mapInArrow(trimmed(run), "set long, body binary").join(wanted.hint("shuffle_hash"), "set")
 
 
-def unpacked(blobs: list) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(blobs), np.uint64), np.concatenate([[0], np.cumsum([len(b) // 8 for b in blobs])])
+def unpacked(bodies: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of packed texts, one after another, and where each begins."""
+    texts = pa.array([pa.decompress(b[4:], int.from_bytes(b[:4], "little"), codec="zstd", asbytes=True) for b in bodies], pa.large_binary())
+    h, n = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for _, _, x, first, _ in shingle_sets(texts, width):
+        h.append(x)
+        n.append(np.diff(first))
+    return np.concatenate(h), np.cumsum(np.concatenate(n))
 
 
-def joined(members: DataFrame, percent: int, tasks: int) -> DataFrame:
-    """u and v, v the least set of u's component within a cell, of members (cell, set, own, c, shingles)."""
+def joined(members: DataFrame, percent: int, width: int, tasks: int) -> DataFrame:
+    """u and v, v the least set of u's component within a cell, of members (cell, set, own, c, body)."""
 
     def run(table: pa.Table) -> pa.Table:
         cell, sets, own, c = (table.column(x).to_numpy(zero_copy_only=False) for x in ("cell", "set", "own", "c"))
@@ -253,9 +317,9 @@ def joined(members: DataFrame, percent: int, tasks: int) -> DataFrame:
         new = np.concatenate([[True], (np.diff(cell[order]) != 0) | (np.diff(sets[order]) != 0)])
         order = order[new]
         cut = np.concatenate([[0], np.flatnonzero(np.diff(cell[order])) + 1, [len(order)]])
-        shingles, u, v = table.column("shingles"), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        bodies, u, v = table.column("body"), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in (order[a:b] for a, b in zip(cut, cut[1:]) if b - a > 1):
-            space = Space(*unpacked([shingles[i].as_py() for i in at.tolist()]), percent, np.unique(c[at], return_inverse=True)[1])
+            space = Space(*unpacked([bodies[i].as_py() for i in at.tolist()], width), percent, np.unique(c[at], return_inverse=True)[1])
             label = space.join(own[at])
             # rows stand by set, so a component's first row has its least set
             _, first, part = np.unique(label, return_index=True, return_inverse=True)
@@ -268,10 +332,10 @@ def joined(members: DataFrame, percent: int, tasks: int) -> DataFrame:
     return members.withColumn("part", part).groupBy("part").applyInArrow(run, "u long, v long")
 
 
-def measured(members: DataFrame, pivots: DataFrame, percent: int, chunk: int = 1024) -> DataFrame:
+def measured(members: DataFrame, pivots: DataFrame, percent: int, width: int, chunk: int = 1024) -> DataFrame:
     """cell, set, n, own, d (distances to the cell's pivots) and hits (the pivots it is linked with).
 
-    members: cell, set, n, own, size (of the cell), shingles; pivots: cell, set, size, shingles. Both are dealt in chunks.
+    members: cell, set, n, own, size (of the cell), body; pivots: cell, set, size, body. Both are dealt in chunks.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -283,7 +347,7 @@ def measured(members: DataFrame, pivots: DataFrame, percent: int, chunk: int = 1
         _, first = np.unique(right.column("set").to_numpy(), return_index=True)
         right = right.take(pa.array(first))
         m, ids = left.num_rows, right.column("set").to_numpy()
-        space = Space(*unpacked(left.column("shingles").to_pylist() + right.column("shingles").to_pylist()), percent)
+        space = Space(*unpacked(left.column("body").to_pylist() + right.column("body").to_pylist(), width), percent)
         rows = np.arange(m)
         d = np.array([space.distances(m + i, rows) for i in range(len(ids))])
         hit = d <= space.r + 1e-12
@@ -333,19 +397,20 @@ def blocks(cells: DataFrame, room: int) -> DataFrame:
 def large_cells(large: DataFrame, wide: DataFrame, pairs: DataFrame, room: int) -> DataFrame:
     """cell, set, n: the cells of components of ties (whole, set, n, w) beyond room.
 
-    One cell for each larger region and tied pair, or the whole component where its blocks, each with each, are less to send:
-    the sets of a large group of near copies are all together in most of their regions.
+    One cell for the larger regions of each least set and one for each tied pair, or the whole component where its blocks, each
+    with each, are less to send: the sets of a large group of near copies are all together in most of their regions.
     """
     both = pairs.select(F.xxhash64("u", "v").alias("cell"), F.explode(F.array("u", "v")).alias("set"))
     single = wide.unionByName(both).join(large, "set").transform(saved)
-    sent = single.groupBy("whole").agg(F.sum("n").alias("sent"), F.max("w").alias("w"))
-    kept = sent.select("whole", (F.col("w") * F.ceil(2 * F.col("w") / room) <= F.col("sent")).alias("kept")).transform(saved)
+    in_blocks = lambda w: w * F.when(w > room, F.ceil(2 * w / room)).otherwise(1)
+    sent = single.groupBy("whole", "cell").agg(F.sum("n").alias("x"), F.max("w").alias("w")).groupBy("whole").agg(F.sum(in_blocks(F.col("x"))).alias("sent"), F.max("w").alias("w"))
+    kept = sent.select("whole", (in_blocks(F.col("w")) <= F.col("sent")).alias("kept")).transform(saved)
     single = single.join(kept.where("NOT kept"), "whole", "left_semi").select("cell", "set", "n")
     return single.unionByName(large.join(kept.where("kept"), "whole", "left_semi").select(F.col("whole").alias("cell"), "set", "n"))
 
 
-def cell_links(forms: DataFrame, cells: DataFrame, edges: list[DataFrame], percent: int, room: int, pivots: int, parts: int) -> list[DataFrame]:
-    """Links (u, v) of all cells (cell, old, set, n, own), of any size, besides those known. forms: set, shingles."""
+def cell_links(forms: DataFrame, cells: DataFrame, edges: list[DataFrame], percent: int, width: int, room: int, pivots: int, parts: int) -> list[DataFrame]:
+    """Links (u, v) of all cells (cell, old, set, n, own), of any size, besides those known. forms: set, body."""
     while True:
         tree = components(_union(edges)) if edges else None
         if tree is not None:
@@ -359,13 +424,13 @@ def cell_links(forms: DataFrame, cells: DataFrame, edges: list[DataFrame], perce
         stuck = cells.where("w > {0} AND old IS NOT NULL AND 10 * w > 8 * old".format(room))
         here = cells.where(F.col("w") <= room).select("cell", "set", "n", "own", "c").unionByName(blocks(stuck.select("cell", "set", "n", "own", "c"), room)).transform(saved)
         tasks = max(parts, math.ceil((here.agg(F.sum("n")).first()[0] or 0) / room))
-        edges = [*edges, joined(forms.join(here, "set"), percent, tasks).transform(saved)]
+        edges = [*edges, joined(forms.join(here, "set"), percent, width, tasks).transform(saved)]
         big = cells.where("w > {0} AND (old IS NULL OR 10 * w <= 8 * old)".format(room))
         if big.isEmpty():
             return edges
         some = [F.min_by("set", F.xxhash64("set", F.lit(i))).alias(f"p{i}") for i in range(pivots)]
         chosen = big.where("own").groupBy("cell", "size").agg(*some).select("cell", "size", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(pivots)]))).alias("set")).transform(saved)
-        rows = measured(forms.join(big.select("cell", "set", "n", "own", "size"), "set"), forms.join(chosen, "set"), percent).transform(saved)
+        rows = measured(forms.join(big.select("cell", "set", "n", "own", "size"), "set"), forms.join(chosen, "set"), percent, width).transform(saved)
         edges = [*edges, rows.select(F.col("set").alias("u"), F.explode("hits").alias("v")).where("u <> v").distinct()]
         weight = big.select(F.col("cell").alias("old"), F.col("w").alias("old_w")).distinct()
         split = parted(rows, percent).join(weight, "old").transform(saved)
@@ -398,6 +463,20 @@ def classes(docs: DataFrame, percent: int = 75, width: int = 5, few: int = 16, r
     return joined_.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("full"), F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
+def stay_or_go(full: DataFrame, first: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the hashes of the keys that stay, and of those that go or are of many rows; a key that is in one only is told by it.
+
+    full: all keys; first: the keys that stay, and whether they are of many rows. 16 MB each at most.
+    """
+    bits = min(27, max(16, (8 * rows).bit_length()))
+    hashed = F.xxhash64("key.a", "key.b", "key.c").alias("set")
+    goes = full.select("key").join(first.select("key").hint("shuffle_hash"), "key", "left_anti").select(hashed)
+    return bitmap(first.select(hashed), bits), bitmap(goes.unionByName(first.where("many").select(hashed)), bits)
+
+
+GO, STAY, UNSURE = range(3)
+
+
 def one_of_each(docs: DataFrame, percent: int = 75, width: int = 5, few: int = 16, room: int = 1 << 22, pivots: int = 16, sample: int = 10_000, most_frequent: int = 500_000) -> DataFrame:
     """The row of each class of linked documents that has the smallest doc_id (a null one last), and all rows without words.
 
@@ -413,17 +492,30 @@ def one_of_each(docs: DataFrame, percent: int = 75, width: int = 5, few: int = 1
         full = points.where("n > 0").withColumn("key", named(F.col("id"), F.col("h")))
         # of equal keys the texts are equal, and so are the sets
         first = full.join(tree, "set", "left").groupBy(F.coalesce("c", "set").alias("c")).agg(F.min("key").alias("key")).select("key")
-        first = first.join(full.groupBy("key").agg((F.count("*") > 1).alias("many")), "key").select(F.col("key").alias(key), F.col("many").alias(row)).transform(saved)
+        first = first.join(full.groupBy("key").agg((F.count("*") > 1).alias("many")), "key").transform(saved)
+        total = rows.count()
+        shared = docs.sparkSession.sparkContext.broadcast(stay_or_go(full, first, total))
+        release(docs.sparkSession)
+    first = first.select(F.col("key").alias(key), F.col("many").alias(row))
+
+    @F.pandas_udf("int")
+    def told(hashes: pd.Series) -> pd.Series:
+        stays, goes = (marked(x, hashes.to_numpy()) for x in shared.value)
+        return pd.Series(np.where(stays, np.where(goes, UNSURE, STAY), GO).astype(np.int32))
+
     # as `kernel.word_bounds` has it: a text with a byte that is no white space has a shingle
     has = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    ours = docs.where(has).withColumn(key, named(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
-    found = ours.join(first.hint("shuffle_hash"), key)
-    kept = found.where(~F.col(row)).select(taken)
+    ours = docs.withColumn(key, named(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
+    ours = ours.withColumn(row, F.when(~has, F.lit(STAY)).otherwise(told(F.xxhash64(F.col(key)["a"], F.col(key)["b"], F.col(key)["c"]))))
+    # texts move only where the bitmaps leave it open
+    kept = ours.where(F.col(row) == STAY).select(taken)
+    found = ours.where(F.col(row) == UNSURE).drop(row).join(first.hint("shuffle_hash"), key)
+    kept = kept.unionByName(found.where(~F.col(row)).select(taken))
     if not first.where(F.col(row)).isEmpty():
         hashed = F.xxhash64(*[F.col(f.name) for f in docs.schema.fields if not _has_map(f.dataType)])
         some = found.where(F.col(row)).groupBy(key).agg(F.min_by(F.struct(*taken), hashed).alias(row))
         kept = kept.unionByName(some.select(*[F.col(row)[c].alias(c) for c in taken]))
-    return kept.unionByName(docs.where(~has))
+    return kept
 
 
 def _has_map(kind: T.DataType) -> bool:
@@ -446,22 +538,24 @@ def set_classes(rows: DataFrame, percent: int, width: int, few: int, room: int,
 
     found = regions(*how).transform(as_parquet, "ties")
     pairs, wide = (t.transform(saved) for t in ties(found, percent))
+    release(rows.sparkSession)
     first = wide.join(wide.groupBy("cell").agg(F.min("set").alias("least")), "cell").select(F.col("set").alias("u"), F.col("least").alias("v"))
     tied = components(first.unionByName(pairs))
     sets = points.where("n > 0").groupBy("set").agg(F.max("n").alias("n"))
     tied = tied.select(F.col("node").alias("set"), F.col("least").alias("cell")).unionByName(tied.select(F.col("least").alias("set"), F.col("least").alias("cell")).distinct()).join(sets, "set")
     tied = tied.join(tied.groupBy("cell").agg(F.sum("n").alias("w")), "cell").transform(saved)
-    forms = shapes(rows, tied, width).transform(as_parquet, "shingles")
+    release(rows.sparkSession)
     whole = tied.where(F.col("w") <= room).select("cell", "set", "n", F.lit(True).alias("own"), F.col("set").alias("c"))
     tasks = max(parts, math.ceil((whole.agg(F.sum("n")).first()[0] or 0) / room))
     # a component of ties that is one cell has its links' components at once
-    links = joined(forms.join(whole, "set"), percent, tasks).transform(saved)
+    links = joined(shapes(rows, whole, width), percent, width, tasks).transform(saved)
+    release(rows.sparkSession)
     tree = links.select(F.col("u").alias("set"), F.col("v").alias("c"))
     large = tied.where(F.col("w") > room).select(F.col("cell").alias("whole"), "set", "n", "w").transform(saved)
     if not large.isEmpty():
         cells = large_cells(large, wide, pairs, room).select("cell", F.lit(None).cast("long").alias("old"), "set", "n", F.lit(True).alias("own"))
-        few_forms = forms.join(large.select("set"), "set", "left_semi").transform(saved)
-        more = components(_union(cell_links(few_forms, cells, [], percent, room, pivots, parts)))
+        few_forms = shapes(rows, large.select("set"), width).transform(saved)
+        more = components(_union(cell_links(few_forms, cells, [], percent, width, room, pivots, parts)))
         tree = tree.unionByName(more.select(F.col("node").alias("set"), F.col("least").alias("c")))
     return points, tree
 

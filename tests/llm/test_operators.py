@@ -431,6 +431,50 @@ def test_sets_of_a_large_group_are_sent_a_few_times(spark, monkeypatch, one):
     assert sum(sent) <= 10 * len(rows)
 
 
+def test_near_copies_take_little_disk(spark, monkeypatch):
+    """Pairs are written for a group, not for each of its regions, and texts are sent packed."""
+    rng, base = np.random.default_rng(5), base_text(40, 400)
+    rows = []
+    for i in range(12):
+        t = list(base)
+        t[int(rng.integers(0, 400))] = f"x{i}"
+        rows.append((i, " ".join(t)))
+    pairs, sent, written, plain = [], [], jaccard.as_parquet, jaccard.joined
+
+    def keep(df, name, *by):
+        out = written(df, name, *by)
+        if name == "ties":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "as_parquet", keep)
+    monkeypatch.setattr(jaccard, "joined", lambda members, *how: (sent.extend(len(x) for r in members.collect() for x in r if isinstance(x, (bytes, bytearray))), plain(members, *how))[1])
+    got = Counter(map(tuple, jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == slow_classes(rows)
+    assert 66 <= pairs[0] <= 3 * 66
+    assert len(sent) == 12 and sum(sent) < 12 * 8 * 396 / 2
+
+
+@pytest.mark.parametrize("told", [True, False])
+def test_rows_that_stay(spark, monkeypatch, told):
+    """Rows that the bitmaps decide and rows that are joined, those of one id and text among them."""
+    text = [" ".join(base_text(50 + k, 30)) for k in range(40)]
+    rows = [(i, t, 0) for i, t in enumerate(text)] + [(100 + i, t, 0) for i, t in enumerate(text[:20])] + [(3, text[3], 1), (None, text[5], 0), (None, "", 0), (7, None, 0), (7, text[39], 0)]
+    plain, seen = jaccard.stay_or_go, []
+
+    def bits(*how):
+        out = plain(*how)
+        keys = np.array([r[0] for r in how[0].selectExpr("xxhash64(key.a, key.b, key.c)").collect()])
+        seen.append([int(x.sum()) for x in (jaccard.marked(out[0], keys), jaccard.marked(out[0], keys) & jaccard.marked(out[1], keys))])
+        return out if told else tuple(np.full_like(x, 255) for x in out)
+
+    monkeypatch.setattr(jaccard, "stay_or_go", bits)
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, k int")).collect()
+    want = Counter({i: 1 for i in range(40)}) + Counter([None, 7, 7]) - Counter([39])
+    assert Counter(r.doc_id for r in kept) == want
+    assert seen[0][0] <= 42 and seen[0][1] <= 4
+
+
 @given(st.lists(st.sets(st.integers(0, 40), min_size=1, max_size=40), min_size=2, max_size=2), st.integers(0, 8))
 @settings(max_examples=300, deadline=None)
 def test_linked_sets_share_the_needed_prefix(sets, odd):
