@@ -27,7 +27,6 @@ from rasterloom.llm import kernel as K
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-ASSIGN_STARTS = re.compile(rb"(?i:passw|secret|token|api_?key)")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 
 
@@ -127,12 +126,7 @@ def harmless(s: bytes, a: int, b: int) -> bool:
 
 def base_spans(data: bytes) -> list[tuple[int, int, int]]:
     """(start, end, kind number) of the fixed patterns in one text, in bytes; hex is left to `runs`."""
-    out, done = [], 0
-    for hit in ASSIGN_STARTS.finditer(data):
-        if hit.start() >= done and (m := ASSIGN.match(data, hit.start())):
-            done = m.end()
-            if m.end(2) - m.start(2) >= 8:
-                out.append((m.start(), m.end(), 0))
+    out = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(data) if m.end(2) - m.start(2) >= 8]
     out += [(m.start(), m.end(), 1) for m in ACCESS.finditer(data) if m.end() - m.start() >= 16]
     return out
 
