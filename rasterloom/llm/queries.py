@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rasterloom.llm import fingerprints, jaccard, language, lm_scoring, mixing, packing, secrets, token_counts, toxicity, vector_search
+from rasterloom.llm import fingerprints, jaccard, language, lm_scoring, mixing, packing, secrets, token_counts, token_ids, toxicity, vector_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,5 +69,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.pieces_of(tokenizer_file("piece_bpe_32k.model")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_vector_search, op3_mixing, op4_toxicity, op5_lm_scoring, op6_jaccard_join, op7_language_id, op8_secret_scans, op9_packing, op10_token_counts)}
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.digests(token_ids.write(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_vector_search, op3_mixing, op4_toxicity, op5_lm_scoring, op6_jaccard_join, op7_language_id, op8_secret_scans, op9_packing, op10_token_counts, op11_token_ids)}
 ORACLE_SQL: dict[str, str] = {"op2_vector_search": vector_search.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL, "op6_jaccard_join": jaccard.ORACLE_SQL}

@@ -84,9 +84,15 @@ def clear(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder of its own in the shared folder, which `clear` deletes."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def as_parquet(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df, written as Parquet to the shared folder (in a part for each value of `by`) and read again."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,13 +2,15 @@
 
 import hashlib
 import os
+import struct
 import zlib
 from collections import Counter
 
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from rasterloom.llm.queries import QUERIES, ORACLE_SQL, table
+from rasterloom.llm.queries import QUERIES, ORACLE_SQL, table, tokenizer_file
 
 DATA = "/root/testdata/sf0.001"
 COLUMNS = {
@@ -22,6 +24,7 @@ COLUMNS = {
     "op8_secret_scans": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op9_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     "op10_token_counts": "doc_id",
+    "op11_token_ids": "doc_id start n_tokens ids_crc32",
 }
 pytestmark = pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables")
 
@@ -62,6 +65,12 @@ def test_query(spark, texts, name):
     if name == "op9_packing":
         assert Counter(r.sequence_id for r in rows if r.offset == 0) == Counter({r.sequence_id for r in rows})
         assert {r.doc_id: r.doc_tokens for r in rows}.keys() == texts.keys()
+    if name == "op11_token_ids":
+        whole, at = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json")), 0
+        for r in sorted(rows, key=lambda r: r.doc_id):
+            ids = [*whole.encode(texts[r.doc_id].text or "", add_special_tokens=False).ids, 0]
+            assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+            at += len(ids)
     if name in ORACLE_SQL:
         duckdb = pytest.importorskip("duckdb")
         con = duckdb.connect()
