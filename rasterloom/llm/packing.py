@@ -35,23 +35,27 @@ ODD_SPACE = "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028
 class Encoder:
     """Ids of a text as bytes (unsigned 32-bit, little-endian), by a byte-level BPE tokenizer file's content.
 
-    tiktoken applies the file's ranks several times faster than tokenizers, with the same ids.
+    tiktoken applies the file's ranks several times faster than tokenizers, with the same ids. special: whether a special
+    token's string in a text is that token, else plain text.
     """
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, special: bool = True):
         import tiktoken
         from tokenizers import Tokenizer
 
         data = json.loads(content)
         self.whole = Tokenizer.from_str(content)
-        special = {x["content"] for x in data["added_tokens"]}
+        named = {x["content"] for x in data["added_tokens"]}
+        self.whole.encode_special_tokens = not special
         # byte-level alphabets write printable bytes as themselves and the others as code points from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in data["model"]["vocab"].items() if t not in special}
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in data["model"]["vocab"].items() if t not in named}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.odd = re.compile("|".join([f"[{ODD_SPACE}]", *map(re.escape, special)]))
+        self.odd = re.compile("|".join([f"[{ODD_SPACE}]", *map(re.escape, named if special else ())]))
+        #: Bytes of each id but special ones.
+        self.bytes_of = {i: t for t, i in ranks.items()}
 
     def __call__(self, text: str) -> bytes:
         ids = self.whole.encode(text, add_special_tokens=False).ids if self.odd.search(text) else self.ranks.encode_ordinary(text)

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rasterloom.llm import fingerprints, jaccard, language, lm_scoring, mixing, packing, secrets, token_counts, token_ids, toxicity, vector_search
+from rasterloom.llm import alignment, fingerprints, jaccard, language, lm_scoring, mixing, packing, secrets, spelling, token_counts, token_ids, toxicity, vector_search
+from rasterloom.llm.shared import as_parquet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,5 +74,17 @@ def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.digests(token_ids.write(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_vector_search, op3_mixing, op4_toxicity, op5_lm_scoring, op6_jaccard_join, op7_language_id, op8_secret_scans, op9_packing, op10_token_counts, op11_token_ids)}
-ORACLE_SQL: dict[str, str] = {"op2_vector_search": vector_search.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL, "op6_jaccard_join": jaccard.ORACLE_SQL}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    # of the groups only their digest is written
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    rows = alignment.counted(aligned.withColumn("groups_sha256", digest).drop("groups"))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.forms(as_parquet(spelling.words(table(spark, sf_dir, "documents"), change=spelling.drop_one(31)), "words"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_vector_search, op3_mixing, op4_toxicity, op5_lm_scoring, op6_jaccard_join, op7_language_id, op8_secret_scans, op9_packing, op10_token_counts, op11_token_ids, op12_token_alignment, op13_spelling_variants)}
+ORACLE_SQL: dict[str, str] = {"op2_vector_search": vector_search.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL, "op6_jaccard_join": jaccard.ORACLE_SQL, "op13_spelling_variants": spelling.ORACLE_SQL}

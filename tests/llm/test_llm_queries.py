@@ -25,6 +25,8 @@ COLUMNS = {
     "op9_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     "op10_token_counts": "doc_id",
     "op11_token_ids": "doc_id start n_tokens ids_crc32",
+    "op12_token_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op13_spelling_variants": "word form root n n_near form_n",
 }
 pytestmark = pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables")
 
@@ -41,7 +43,7 @@ def test_query(spark, texts, name):
     assert out.columns[: len(want)] == want
     rows = out.collect()
     rest = {"op4_toxicity": (4, 2), "op5_lm_scoring": (10, 0), "op7_language_id": (4, 2)}.get(name)
-    if name not in ("op2_vector_search", "op9_packing"):
+    if name not in ("op2_vector_search", "op9_packing", "op13_spelling_variants"):
         assert Counter(r.doc_id for r in rows) == Counter(list(texts))
     if rest:
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % rest[0] == rest[1]) for r in rows)
