@@ -3,8 +3,8 @@
 python -m rasterloom QUERY SF_DIR [ROWS]
     runs a query by name and prints its first rows, count and seconds.
 python -m rasterloom SETTINGS.yml METHOD IMAGE SIZE BANDS [PARTITIONS]
-    cells of a set of map tiles: METHOD 11, 12 (forward match), 21, 22 (inverted match) or an operator's name, IMAGE as
-    id/product, SIZE and BANDS by index. The settings name the catalog's tables (image, product, product_measurement,
+    a set of map tiles: METHOD 11, 12 (forward match), 21, 22 (inverted match) or an operator's name (focalMean has radius
+    3, focalMeanV2 50), IMAGE as id/product, SIZE and BANDS by index. The settings name the catalog's tables (image, product, product_measurement,
     measurement: Parquet paths, or tables of catalog_url), the folder or store of the files (files) and bucket.
 """
 
@@ -23,7 +23,7 @@ TABLES = ("image", "product", "product_measurement", "measurement")
 
 
 def job(settings: Settings, method: str, image: str, size: int, bands: int, partitions: int | None = None) -> DataFrame:
-    """The cells that a command asks for."""
+    """The tiles that a command asks for."""
     spark, options = settings.session(), settings.options
     spark.conf.set("spark.sql.shuffle.partitions", partitions or settings.partitions)
     read = (lambda t: jdbc(spark, settings.catalog_url, options.get(t, t))) if settings.catalog_url else (lambda t: spark.read.parquet(options[t]))
@@ -32,8 +32,7 @@ def job(settings: Settings, method: str, image: str, size: int, bands: int, part
     first = coverage.first()
     store = {k: options[k] for k in ("endpoint", "access_key", "secret_key", "region", "timeout") if k in options}
     index = cog_index(spark, options["files"], **store)
-    epsg = int(first.crs.split(":")[-1])
-    out = jobs.match_job(method, coverage, index, codes, zoom, epsg, first.data_type, float(options.get("bucket", 1.0)), int(options.get("tile", 256)), options=store)
+    out = jobs.match_job(method, coverage, index, codes, zoom, first.crs, first.data_type, float(options.get("bucket", 1.0)), int(options.get("tile", 256)), options=store)
     return jobs.required(out)
 
 

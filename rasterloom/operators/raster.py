@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 KEYS = ["band", "y", "x"]
@@ -265,12 +267,20 @@ def pyramid(px: DataFrame, levels: int) -> DataFrame:
 
 
 def to_tiles(px: DataFrame, size: int) -> DataFrame:
-    """Tile form: cells (row-major, null for none) of each band and tile."""
+    """Tile form: cells (row-major, null for none) of each band and tile. An Arrow function puts a tile's cells in place, in linear time."""
     tile = lambda c: F.floor(F.col(c) / size).cast("int")
-    cell = F.struct(((F.pmod("y", F.lit(size))) * size + F.pmod("x", F.lit(size))).cast("int").alias("i"), "v")
-    got = px.groupBy("band", tile("x").alias("col"), tile("y").alias("row")).agg(F.map_from_entries(F.collect_list(cell)).alias("m"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.try_element_at(F.col("m"), i))
-    return got.select("band", "col", "row", cells.alias("cells"))
+    place = (F.pmod("y", F.lit(size)) * size + F.pmod("x", F.lit(size))).cast("int")
+    cells = px.select("band", tile("x").alias("col"), tile("y").alias("row"), place.alias("i"), "v")
+
+    def fill(table: pa.Table) -> pa.Table:
+        at = np.full(size * size, -1, np.int64)
+        at[table["i"].to_numpy()] = np.arange(table.num_rows)
+        values = table["v"].combine_chunks().take(pa.array(at, mask=at < 0))
+        made = pa.ListArray.from_arrays(pa.array([0, size * size], pa.int32()), values)
+        return pa.table([*(table[c].slice(0, 1) for c in ("band", "col", "row")), made], ["band", "col", "row", "cells"])
+
+    band, v = (px.schema[c].dataType.simpleString() for c in ("band", "v"))
+    return cells.groupBy("band", "col", "row").applyInArrow(fill, f"band {band}, col int, row int, cells array<{v}>")
 
 
 def from_tiles(tiles: DataFrame, size: int) -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import math
+from collections import OrderedDict
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rasterloom.functions.crs import to_utm
-from rasterloom.functions.grid import resolution, tile_corner, tiles_of_box, to_mercator
+from rasterloom.functions.grid import resolution, tile_corner, tiles_of_box
+from rasterloom.functions.projection import ARRAYS, system
+from rasterloom.operators import halo
 from rasterloom.operators.match import cog_tile_extent, extent_join, missing, overview_level, visible_tiles
-from rasterloom.operators.raster import around, band_stack, focal_mean, focal_mean_tiles, terrain, to_tiles
-from rasterloom.sources.cog import read_tiles
+from rasterloom.operators.raster import around, band_stack, focal_mean_tiles, from_tiles, to_tiles
+from rasterloom.operators.warp import Mapper, warp, window
+from rasterloom.sources.cog import Opened, cell_form, read_tiles, tile_cells
 from rasterloom.sources.store import job_finished, load_images, write_images
 
 
@@ -47,7 +51,7 @@ def incremental_job(spark: SparkSession, px: DataFrame, stored: DataFrame, box:
     return to_tiles(focal_mean_tiles(px, radius, tile, wanted).withColumnRenamed("mean", "v"), tile)
 
 
-def map_tile_job(spark: SparkSession, coverage: DataFrame, index: DataFrame, box: tuple[float, float, float, float], zoom: int, epsg: int, dtype: str, bucket: float, path: str, layer: str, tile: int = 256, radius: int = 1, callback: str = "", options: dict | None = None) -> int:
+def map_tile_job(spark: SparkSession, coverage: DataFrame, index: DataFrame, box: tuple[float, float, float, float], zoom: int, epsg: int | str, dtype: str, bucket: float, path: str, layer: str, tile: int = 256, radius: int = 1, callback: str = "", options: dict | None = None) -> int:
     """From files to images: the tiles of a box that have no image yet, of the first band's focal mean; how many.
 
     Writes path/layer/zoom/png/col-row.png and tells the callback which tiles are new. No tile missing: nothing is read.
@@ -62,49 +66,65 @@ def map_tile_job(spark: SparkSession, coverage: DataFrame, index: DataFrame, box
     if wanted.isEmpty():
         return 0
     first = coverage.join(coverage.agg(F.min("measurement_rank").alias("measurement_rank")), "measurement_rank")
-    px = visible_layer(first, index, around(wanted, -(-radius // tile)), zoom, epsg, dtype, bucket, tile, options=options)
-    tiles = to_tiles(focal_mean_tiles(px, radius, tile, wanted).withColumnRenamed("mean", "v"), tile)
+    layer_tiles = visible_tile_layer(first, index, around(wanted, -(-radius // tile)), zoom, epsg, dtype, bucket, tile, options=options)
+    tiles = halo.focal_mean(layer_tiles, tile, radius).join(wanted, ["col", "row"], "left_semi")
     count = write_images(tiles, layer, zoom, path, options=options)
     if callback:
         job_finished(callback, layer, zoom, "png", wanted)
     return count
 
 
-OPERATORS = {
-    "focalMean": lambda px, radius=1: focal_mean(px, radius).withColumnRenamed("mean", "v"),
-    "demSlope": lambda px, cell=1.0: terrain(px, "slope", cell).withColumnRenamed("slope", "v"),
-    "demAspect": lambda px, cell=1.0: terrain(px, "aspect", cell).withColumnRenamed("aspect", "v"),
-    "slope": lambda px, cell=1.0: terrain(px, "slope", cell, centre=True).withColumnRenamed("slope", "v"),
-    "aspect": lambda px, cell=1.0: terrain(px, "aspect", cell, centre=True).withColumnRenamed("aspect", "v"),
-}
+#: Operators by the names that a request gives, with the radius that a name stands for.
+RADII = {"focalMean": 3, "focalMeanV2": 50}
+TERRAIN = {"demAspect": ("aspect", False), "demSlope": ("slope", False), "aspect": ("aspect", True), "slope": ("slope", True)}
+OPERATORS = [*RADII, *TERRAIN, *(f"{n}V2" for n in TERRAIN)]
 
 
-def run_operator(name: str, px: DataFrame, **how) -> DataFrame:
-    """A neighbourhood operator by the name that a request gives."""
-    if name not in OPERATORS:
-        raise ValueError(f"no operator {name!r}; there are {', '.join(OPERATORS)}")
-    return OPERATORS[name](px, **how)
+def operator_of(name: str, zoom: int, radius: int | None = None) -> tuple[int, halo.Kernel]:
+    """Radius and kernel of a neighbourhood operator's name. Both versions of one give the same cells. The cell size of terrain
+    operators is that of the zoom, in a file's own grid too."""
+    if name in RADII:
+        return RADII[name] if radius is None else radius, halo.mean_kernel
+    if name.removesuffix("V2") in TERRAIN:
+        which, centre = TERRAIN[name.removesuffix("V2")]
+        return 1, halo.terrain_kernel(which, round(156543.033928 / 2.0 ** max(zoom, 0), 6), centre)
+    raise ValueError(f"no operator {name!r}; there are {', '.join(OPERATORS)}")
 
 
-def to_crs(lon: Column, lat: Column, epsg: int) -> tuple[Column, Column]:
-    """Geographic coordinates in a source's system: 4326, 3857, or UTM (326zz north, 327zz south)."""
-    if epsg == 4326:
-        return lon, lat
-    if epsg == 3857:
-        return to_mercator(lon, lat)
-    if 32601 <= epsg <= 32660 or 32701 <= epsg <= 32760:
-        return to_utm(lon, lat, epsg % 100, epsg // 100 == 327)
-    raise ValueError(f"no coordinate system EPSG:{epsg}")
+def to_crs(lon: Column, lat: Column, crs: int | str) -> tuple[Column, Column]:
+    """Geographic coordinates in a source's system, by its EPSG code or definition."""
+    return system(crs).forward(lon, lat)
 
 
-def code_extents(codes: DataFrame, zoom: int, epsg: int) -> DataFrame:
-    """codes (col, row) with the envelope of their corners in a source's system."""
-    corners = [to_crs(*tile_corner(F.col("col") + i, F.col("row") + j, zoom), epsg) for i in (0, 1) for j in (0, 1)]
-    xs, ys = zip(*corners)
-    return codes.select("col", "row", F.least(*xs).alias("xmin"), F.least(*ys).alias("ymin"), F.greatest(*xs).alias("xmax"), F.greatest(*ys).alias("ymax"))
+def code_extents(codes: DataFrame, zoom: int, crs: int | str) -> DataFrame:
+    """codes (col, row) with their envelope in a source's system.
 
-
-def source_tiles(coverage: DataFrame, index: DataFrame, codes: DataFrame, zoom: int, epsg: int, bucket: float, ring: int = 0) -> DataFrame:
+    Where edges may be bent, points along them are taken too, and the envelope is widened by what can lie between; these
+    are computed on arrays, as the formulas are long for column expressions.
+    """
+    own = system(crs)
+    if own.kind in ("longlat", "webmerc") and not any(own.shift):
+        (x0, y1), (x1, y0) = (own.forward(*tile_corner(F.col("col") + i, F.col("row") + i, zoom)) for i in (0, 1))
+        return codes.select("col", "row", x0.alias("xmin"), y0.alias("ymin"), x1.alias("xmax"), y1.alias("ymax"))
+
+    def run(batches):
+        i, j = (v.ravel() for v in np.meshgrid(np.linspace(0, 1, 5), np.linspace(0, 1, 5)))
+        for b in batches:
+            col, row = (b.column(k).to_numpy(zero_copy_only=False)[:, None] for k in (0, 1))
+            n = 1 << zoom
+            with np.errstate(all="ignore"):
+                x, y = own.forward((col + i) / n * 360 - 180, np.degrees(np.arctan(np.sinh(np.pi * (1 - 2 * (row + j) / n)))), ARRAYS)
+            x0, y0, x1, y1 = x.min(axis=1), y.min(axis=1), x.max(axis=1), y.max(axis=1)
+            w, h = 0.02 * (x1 - x0), 0.02 * (y1 - y0)
+            ok = np.isfinite(w) & np.isfinite(h)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v, mask=~ok) for v in (x0 - w, y0 - h, x1 + w, y1 + h))], ["col", "row", "xmin", "ymin", "xmax", "ymax"])
+
+    boxes = codes.select(F.col("col").cast("int"), F.col("row").cast("int")).mapInArrow(run, "col int, row int, xmin double, ymin double, xmax double, ymax double")
+    # a tile that the system cannot show meets no file
+    return boxes.where("xmin IS NOT NULL")
+
+
+def source_tiles(coverage: DataFrame, index: DataFrame, codes: DataFrame, zoom: int, epsg: int | str, bucket: float, ring: int = 0) -> DataFrame:
     """Index rows, with band and extent, of the overview level for the zoom and of tiles that meet a requested one, or lie
     within `ring` tiles of such a one.
 
@@ -118,85 +138,169 @@ def source_tiles(coverage: DataFrame, index: DataFrame, codes: DataFrame, zoom:
 
 
 def level_tiles(coverage: DataFrame, index: DataFrame, zoom: int) -> DataFrame:
-    """Index rows of each file's overview level for the zoom, with band and extent."""
+    """Index rows of each file's overview level for the zoom, with band and extent; of each file's first sample, or the one that
+    coverage names in a column sample."""
     files = index.groupBy("path").agg((F.max("level") + 1).alias("levels"))
     wanted = F.lit(None).cast("double") if zoom < 0 else resolution(F.lit(float(zoom)))
-    chosen = files.join(coverage.select("path", F.col("measurement_rank").alias("band"), "resolution"), "path")
-    chosen = chosen.select("path", "band", overview_level(wanted, F.col("resolution"), F.col("levels")).alias("level"))
-    tiles = index.join(chosen, ["path", "level"])
+    sample = F.col("sample") if "sample" in coverage.columns else F.lit(0)
+    chosen = files.join(coverage.select("path", F.col("measurement_rank").alias("band"), "resolution", sample.cast("int").alias("sample")), "path")
+    chosen = chosen.select("path", "band", "sample", overview_level(wanted, F.col("resolution"), F.col("levels")).alias("level"))
+    tiles = index.join(chosen, ["path", "level", "sample"])
     return tiles.select("*", *cog_tile_extent(F.col("row"), F.col("col"), F.col("level"), F.col("x_min"), F.col("y_max"), F.col("cell_w"), F.col("cell_h"), F.col("tile")))
 
 
-def file_codes(tiles: DataFrame, codes: DataFrame, zoom: int, epsg: int, bucket: float) -> DataFrame:
-    """path, level, band, layout, col and row of each file's tile with the code_col and code_row of each requested one it meets."""
-    keep = ["path", "level", "band", "col", "row", "x_min", "y_max", "cell_w", "cell_h", "xmin", "ymin", "xmax", "ymax"]
+#: Columns of a file tile's index row that reading and placing it need.
+PLACE = ["path", "level", "band", "row", "col", "offset", "byte_count", "width", "height", "tile", "compression", "x_min", "y_max", "cell_w", "cell_h", "predictor", "sample", "samples", "planar", "big"]
+
+
+def file_codes(tiles: DataFrame, codes: DataFrame, zoom: int, epsg: int | str, bucket: float) -> DataFrame:
+    """PLACE columns of each file's tile with the code_col and code_row of each requested one it meets."""
+    keep = [*PLACE, "xmin", "ymin", "xmax", "ymax"]
     met = extent_join(tiles.select(*keep), code_extents(codes, zoom, epsg), bucket)
-    return met.select(*[F.col(f"a_{c}").alias(c) for c in keep[:9]], F.col("b_col").alias("code_col"), F.col("b_row").alias("code_row"))
+    return met.select(*[F.col(f"a_{c}").alias(c) for c in keep[:-4]], F.col("b_col").alias("code_col"), F.col("b_row").alias("code_row"))
+
 
+def grouped(pairs: DataFrame, side: int = 8) -> DataFrame:
+    """Each file tile with the requested ones (codes) it meets, in rows of a square of at most side * side of these."""
+    keys = [c for c in pairs.columns if c not in ("code_col", "code_row")]
+    block = [F.floor(F.col(c) / side).alias(f"_{c}") for c in ("code_col", "code_row")]
+    codes = F.collect_set(F.struct(F.col("code_col").alias("col"), F.col("code_row").alias("row")))
+    return pairs.groupBy(*keys, *block).agg(codes.alias("codes")).drop("_code_col", "_code_row")
 
-def source_pixels(tiles: DataFrame, dtype: str, options: dict | None = None, files: DataFrame | None = None) -> DataFrame:
-    """path, band, y, x and v of the cells of index rows, in the files' own grids."""
-    read = read_tiles(tiles.select("path", "band", "level", "row", "col", "offset", "byte_count", "width", "height", "tile", "compression"), dtype, options=options, files=files)
-    cell = read.select("path", "band", "row", "col", "tile", "width", "height", F.posexplode("cells").alias("i", "v"))
-    cell = cell.select("path", "band", (F.col("row") * F.col("tile") + F.floor(F.col("i") / F.col("tile"))).cast("int").alias("y"), (F.col("col") * F.col("tile") + F.col("i") % F.col("tile")).cast("int").alias("x"), "width", "height", "v")
-    return cell.where("x < width AND y < height").drop("width", "height")
 
+def as_source(tiles: DataFrame, epsg: int | str) -> DataFrame:
+    """Tiles of files with their cells in the form that `warp` reads; sources stand in the order of their paths."""
+    size = lambda c: (F.col(c) * F.pow(F.lit(2.0), F.col("level"))).alias(c)
+    return tiles.select(F.col("path").alias("source"), "band", "col", "row", "cells", "tile", "width", "height", "x_min", "y_max", size("cell_w"), size("cell_h"), F.lit(str(epsg)).alias("crs"), "codes")
 
-def raw_tiles(coverage: DataFrame, index: DataFrame, codes: DataFrame, zoom: int, epsg: int, dtype: str, bucket: float, **how) -> DataFrame:
+
+def cut_padding(tiles: DataFrame) -> DataFrame:
+    """Tiles of files whose cells beyond the file's edge are no data."""
+    x, y = (lambda i: F.col("col") * F.col("tile") + i % F.col("tile")), (lambda i: F.col("row") * F.col("tile") + F.floor(i / F.col("tile")))
+    inside = ((F.col("col") + 1) * F.col("tile") <= F.col("width")) & ((F.col("row") + 1) * F.col("tile") <= F.col("height"))
+    cut = F.transform("cells", lambda v, i: F.when((x(i) < F.col("width")) & (y(i) < F.col("height")), v))
+    return tiles.withColumn("cells", F.when(inside, F.col("cells")).otherwise(cut))
+
+
+def raw_tiles(coverage: DataFrame, index: DataFrame, codes: DataFrame, zoom: int, epsg: int | str, dtype: str, bucket: float, **how) -> DataFrame:
     """The files' own tiles that meet a requested one, in their own system: col, row, the bands in the order of their rank
     and their cells."""
     tiles = source_tiles(coverage, index, codes, zoom, epsg, bucket)
-    return band_stack(read_tiles(tiles.select("path", "band", "level", "row", "col", "offset", "byte_count", "width", "height", "tile", "compression"), dtype, **how))
+    return band_stack(read_tiles(tiles.drop("xmin", "ymin", "xmax", "ymax"), dtype, **how))
 
 
-def target_cells(coverage: DataFrame, index: DataFrame, codes: DataFrame, zoom: int, epsg: int, bucket: float, tile: int) -> DataFrame:
-    """path, band, y and x of the requested tiles' cells, with the file's cell (sy, sx) that each one's centre falls in.
+#: The numbers of the match strategies; forward or inverted, and whether reads are shared.
+METHODS = {"11": ("forward", False), "12": ("forward", True), "21": ("inverted", False), "22": ("inverted", True)}
 
-    A requested tile is laid out once for each file that the extent join has found for it.
-    """
-    pairs = file_codes(level_tiles(coverage, index, zoom), codes, zoom, epsg, bucket).drop("col", "row").distinct()
-    span = lambda c: F.explode(F.sequence(F.col(c) * tile, F.col(c) * tile + tile - 1))
-    cells = pairs.withColumn("y", span("code_row")).withColumn("x", span("code_col"))
-    n = float(tile << zoom)
-    lon = (F.col("x") + 0.5) / n * 360 - 180
-    lat = F.degrees(F.atan(F.sinh(F.lit(math.pi) * (1 - 2 * (F.col("y") + 0.5) / n))))
-    x, y = to_crs(lon, lat, epsg)
-    size = lambda c: F.col(c) * F.pow(F.lit(2.0), F.col("level"))
-    return cells.select("path", "band", F.col("y").cast("int"), F.col("x").cast("int"), F.floor((F.col("y_max") - y) / size("cell_h")).cast("int").alias("sy"), F.floor((x - F.col("x_min")) / size("cell_w")).cast("int").alias("sx"))
-
-
-def visible_layer(coverage: DataFrame, index: DataFrame, codes: DataFrame, zoom: int, epsg: int, dtype: str, bucket: float, tile: int = 256, operator: str | None = None, **how) -> DataFrame:
-    """Cells (band, y, x, v) of the requested Web-Mercator tiles, each by its nearest source cell; no row where none is.
-
-    Every target cell's centre is mapped back into the files that the extent join has found for its tile, and joined by
-    source cell. Of several files of a band the first by path that has data gives the cell: one aggregate over all.
-    operator: a neighbourhood operator by name, applied to the files' own cells before.
-    """
-    tiles = source_tiles(coverage, index, codes, zoom, epsg, bucket, ring=1 if operator else 0)
-    source = source_pixels(tiles, dtype, **how)
-    if operator:
-        # each file is a layer of its own: its hash stands for the band meanwhile
-        own = run_operator(operator, source.select(F.xxhash64("path").alias("band"), "y", "x", "v")).select(F.col("band").alias("file"), "y", "x", "v")
-    else:
-        own = source.select(F.xxhash64("path").alias("file"), "y", "x", "v")
-    asked = target_cells(coverage, index, codes, zoom, epsg, bucket, tile).withColumn("file", F.xxhash64("path"))
-    got = asked.join(own.select("file", F.col("y").alias("sy"), F.col("x").alias("sx"), "v"), ["file", "sy", "sx"])
-    return got.groupBy("band", "y", "x").agg(F.min_by("v", F.when(F.col("v").isNotNull(), F.col("path"))).alias("v"))
-
-
-def match_job(method: str, coverage: DataFrame, index: DataFrame, codes: DataFrame, zoom: int, epsg: int, dtype: str, bucket: float, tile: int = 256, **how) -> DataFrame:
-    """Cells of the requested tiles by a method's number: 11 and 12 match forward, 21 and 22 inverted, with the same rows;
-    any other is a neighbourhood operator's name, applied to the files' own cells before they are placed."""
-    if method in METHODS:
-        return visible_layer(coverage, index, codes, zoom, epsg, dtype, bucket, tile, **how)
-    return visible_layer(coverage, index, codes, zoom, epsg, dtype, bucket, tile, operator=method, **how)
 
+def visible_tile_layer(coverage: DataFrame, index: DataFrame, codes: DataFrame, zoom: int, epsg: int | str, dtype: str, bucket: float, tile: int = 256, operator: str | None = None, method: str = "22", tolerance: float = 0.05, radius: int | None = None, options: dict | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Requested Web-Mercator tiles (band, col, row, cells), each cell by its nearest source cell; no tile where no file has data.
 
-#: The numbers of the match strategies.
-METHODS = {"11": "forward", "12": "forward", "21": "inverted", "22": "inverted"}
+    Of several files of a band the first by path that has data gives the cell. Inverted methods read each file tile once and
+    send what it paints to the requested tiles; forward ones send only index rows, and the task of a requested tile reads what
+    it needs. operator: a neighbourhood operator by name, applied to the files' own tiles before they are placed, with the
+    tiles within its radius.
+    """
+    own = level_tiles(coverage, index, zoom)
+    pairs = file_codes(own, codes, zoom, epsg, bucket)
+    strategy, shared = METHODS[method]
+    if operator:
+        reach, kernel = operator_of(operator, zoom, radius)
+        sizes = index.select("tile").distinct().limit(2).collect()
+        if len(sizes) > 1:
+            raise ValueError("an operator on files' own tiles needs tiles of one size")
+        if not sizes:
+            return warp(as_source(read_tiles(grouped(pairs), dtype, options=options, files=files), epsg), zoom, tile, tolerance)
+        size = sizes[0].tile
+        keys = ["path", "level", "band", "col", "row"]
+        met = around(pairs.select(*keys).distinct(), -(-reach // size))
+        near = own.join(met, keys, "left_semi").select(*(c for c in pairs.columns if c in own.columns))
+        read = cut_padding(read_tiles(near, dtype, options=options, files=files))
+        made = halo.apply_with_halo(read, size, reach, kernel, "bigint", ["path", "level", "band"])
+        return warp(as_source(made.join(grouped(pairs), keys), epsg), zoom, tile, tolerance)
+    if strategy == "forward":
+        if files is not None:
+            raise ValueError("forward methods read files by ranges")
+        return forward_tiles(pairs, zoom, epsg, dtype, tile, tolerance, shared, options)
+    how = {} if shared else {"gap": 0, "most": 0}
+    return warp(as_source(read_tiles(grouped(pairs), dtype, options=options, files=files, **how), epsg), zoom, tile, tolerance)
+
+
+def forward_tiles(pairs: DataFrame, zoom: int, epsg: int | str, dtype: str, size: int, tolerance: float, shared: bool, options: dict | None = None, kept: int = 64) -> DataFrame:
+    """Requested tiles from pairs with file tiles: one task has all pairs of a requested tile, by path, and reads and paints them.
+
+    No cells are moved between tasks; a file tile is read for each requested one that it meets, but for the `kept` last used
+    ones of a task where these are shared.
+    """
+    kind, arrow = cell_form(dtype)
+    names = [*(c for c in pairs.columns if c not in ("band", "code_col", "code_row")), "band", "code_col", "code_row"]
+
+    def run(batches):
+        mapper, known, reader = Mapper(zoom, size, tolerance), OrderedDict(), Opened(options)
+        key = cells = clear = None
+
+        def done():
+            made = pa.ListArray.from_arrays(pa.array([0, size * size], pa.int32()), pa.array(cells.ravel(), arrow, mask=clear.ravel()))
+            return pa.RecordBatch.from_arrays([*(pa.array([v], pa.int32()) for v in key), made], ["band", "col", "row", "cells"])
+
+        for b in batches:
+            for own in b.to_pylist():
+                at = own["band"], own["code_col"], own["code_row"]
+                if at != key:
+                    if key and not clear.all():
+                        yield done()
+                    key, cells, clear = at, np.zeros((size, size), arrow.to_pandas_dtype()), np.ones((size, size), bool)
+                step = 2.0 ** own["level"]
+                x, y = mapper(str(epsg), (own["x_min"], own["y_max"], own["cell_w"] * step, own["cell_h"] * step), *at[1:])
+                found = window(x, y, own["tile"], own["col"], own["row"], own["width"], own["height"])
+                if not found:
+                    continue
+                part, mine, index = found
+                take = mine & clear[part]
+                if not take.any():
+                    continue
+                place = own["path"], own["offset"]
+                values = known.get(place)
+                if values is None:
+                    values = tile_cells(own, reader(own["path"], own["offset"], own["byte_count"]), dtype)
+                    if shared:
+                        known[place] = values
+                        if len(known) > kept:
+                            known.popitem(last=False)
+                cells[part][take] = values[index[take]]
+                clear[part] &= ~take
+        if key and not clear.all():
+            yield done()
+        reader.close()
+
+    order = ["band", "code_col", "code_row", "path", "offset"]
+    dealt = pairs.select(*names).distinct().repartition(*order[:3]).sortWithinPartitions(*order)
+    return dealt.mapInArrow(run, f"band int, col int, row int, cells array<{kind}>")
+
+
+def visible_layer(coverage: DataFrame, index: DataFrame, codes: DataFrame, zoom: int, epsg: int | str, dtype: str, bucket: float, tile: int = 256, **how) -> DataFrame:
+    """The cells (band, y, x, v) of `visible_tile_layer`; no row where none is."""
+    return from_tiles(visible_tile_layer(coverage, index, codes, zoom, epsg, dtype, bucket, tile, **how), tile)
+
+
+def match_job(method: str, coverage: DataFrame, index: DataFrame, codes: DataFrame, zoom: int, epsg: int | str, dtype: str, bucket: float, tile: int = 256, **how) -> DataFrame:
+    """Requested tiles by a method's number: 11 and 12 match forward, 21 and 22 inverted, with the same tiles; any other is a
+    neighbourhood operator's name, applied to the files' own cells before they are placed."""
+    chosen = {"method": method} if method in METHODS else {"operator": method}
+    return visible_tile_layer(coverage, index, codes, zoom, epsg, dtype, bucket, tile, **chosen, **how)
+
+
+def image_job(spark: SparkSession, method: str, coverage: DataFrame, index: DataFrame, size: int, epsg: int | str, dtype: str, bucket: float, path: str, layer: str, tile: int = 256, kind: str = "jpg", callback: str = "", **how) -> int:
+    """`match_job` of a set of requested tiles by its index, written as images of its first three bands; how many. Tells the
+    callback which tiles the set has."""
+    codes, zoom = code_set(spark, size)
+    count = write_images(band_stack(match_job(method, coverage, index, codes, zoom, epsg, dtype, bucket, tile, **how)), layer, zoom, path, kind, options=how.get("options"))
+    if callback:
+        job_finished(callback, layer, zoom, kind, codes)
+    return count
 
 
-def matched(method: str, coverage: DataFrame, index: DataFrame, codes: DataFrame, zoom: int, epsg: int, bucket: float) -> DataFrame:
+def matched(method: str, coverage: DataFrame, index: DataFrame, codes: DataFrame, zoom: int, epsg: int | str, bucket: float) -> DataFrame:
     """Pairs (id: path and offset of a file's tile, col, row of a requested one) by the strategy of a method's number."""
     tiles = level_tiles(coverage, index, zoom).select(F.struct("path", "offset").alias("id"), "xmin", "ymin", "xmax", "ymax")
-    return visible_tiles(tiles, code_extents(codes, zoom, epsg), bucket, METHODS[method])
+    return visible_tiles(tiles, code_extents(codes, zoom, epsg), bucket, METHODS[method][0])

@@ -1,6 +1,7 @@
 """Files, catalog, matching, store and stream."""
 
 import datetime
+import struct
 import zlib
 from collections import Counter
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import crs, grid, scalar
 from rasterloom.operators import match
+from cog_files import lzw, write_cog
 from rasterloom.sources import catalog, cog, files, store
 from rasterloom.streaming.incremental import incremental
 
@@ -19,7 +21,7 @@ from rasterloom.streaming.incremental import incremental
 def test_cog_round_trip(spark, tmp_path, deflate, side):
     rng = np.random.default_rng(1)
     levels = [rng.integers(0, 60000, (side // k, side // k)).astype("<u2") for k in (1, 2, 4)]
-    cog.write_cog(str(tmp_path / "a.tif"), levels, (300000.0, 4500000.0), 30.0, deflate=deflate)
+    write_cog(str(tmp_path / "a.tif"), levels, (300000.0, 4500000.0), 30.0, deflate=deflate)
     index = cog.cog_index(spark, str(tmp_path))
     across = [-(-(side // k) // 256) for k in (1, 2, 4)]
     assert index.groupBy("level").count().orderBy("level").collect() == [(i, n * n) for i, n in enumerate(across)]
@@ -32,9 +34,105 @@ def test_cog_round_trip(spark, tmp_path, deflate, side):
 
 
 def test_refused_files(tmp_path):
-    (tmp_path / "x.tif").write_bytes(b"MM\0*" + bytes(8))
-    with pytest.raises(ValueError):
-        list(cog.index_rows(str(tmp_path / "x.tif")))
+    block = np.zeros((16, 16), "<u2")
+    for name, data in (("x", b"XX\0*" + bytes(12)), ("short", b"II"), ("version", b"II\x2c\0" + bytes(12))):
+        (tmp_path / f"{name}.tif").write_bytes(data)
+        with pytest.raises(ValueError):
+            list(cog.index_rows(str(tmp_path / f"{name}.tif")))
+    for tag, value in ((259, 7), (317, 4), (324, 1), (323, 32)):
+        path = tmp_path / f"{tag}.tif"
+        write_cog(str(path), [block], (0, 0), 1.0, tile=16)
+        data = bytearray(path.read_bytes())
+        at = data.index(struct.pack("<H", tag) + b"\x03\0" if tag in (259, 317) else struct.pack("<H", tag) + b"\x04\0")
+        if tag == 324:
+            struct.pack_into("<H", data, at, 999)  # no tiles
+        else:
+            struct.pack_into("<H", data, at + 8, value)
+        path.write_bytes(data)
+        with pytest.raises(ValueError):
+            list(cog.index_rows(str(path)))
+
+
+FORMS = [
+    {}, {"big": True}, {"order": ">"}, {"big": True, "order": ">", "deflate": True}, {"compression": 5}, {"predictor": 2, "deflate": True}, {"predictor": 2, "order": ">", "compression": 5},
+    {"samples": 3}, {"samples": 3, "planar": 2, "deflate": True}, {"samples": 2, "predictor": 2, "compression": 5}, {"samples": 3, "order": ">", "planar": 2, "big": True},
+]
+
+
+@pytest.mark.parametrize("form", FORMS, ids=str)
+@pytest.mark.parametrize("dtype", ["uint8", "uint16", "int32", "float32", "float64"])
+def test_tiff_forms(tmp_path, form, dtype):
+    """Every form of a file gives back its cells, by index rows and byte ranges alone."""
+    rng = np.random.default_rng(6)
+    form = dict(form)
+    samples, kind = form.pop("samples", 1), np.dtype(scalar.DTYPES[dtype][1])
+    if kind.kind == "f" and form.get("predictor") == 2:
+        form["predictor"] = 3
+    smooth = np.cumsum(rng.integers(-3, 4, (40, 70, samples)), axis=1)
+    a = smooth.astype(kind) if kind.kind != "f" else (smooth / 7).astype(kind)
+    path = str(tmp_path / "a.tif")
+    write_cog(path, [a, a[::2, ::2]], (5.0, 9.0), 0.5, tile=32, **form)
+    rows = [r for b in cog.index_rows(path) for r in b.to_pylist()]
+    assert len(rows) == samples * (2 * 3 + 1 * 2)
+    data = open(path, "rb").read()
+    for r in rows:
+        level = a if r["level"] == 0 else a[::2, ::2]
+        part = level[r["row"] * 32 : r["row"] * 32 + 32, r["col"] * 32 : r["col"] * 32 + 32, r["sample"]]
+        cells = cog.tile_cells(r, data[r["offset"] : r["offset"] + r["byte_count"]], dtype).reshape(32, 32)
+        assert (cells[: part.shape[0], : part.shape[1]] == part).all() and (r["x_min"], r["y_max"], r["cell_w"]) == (5.0, 9.0, 0.5)
+
+
+def test_lzw_tables():
+    """Long data that fill the table more than once."""
+    rng = np.random.default_rng(7)
+    for data in (b"", b"a", b"a" * 20000, rng.integers(0, 256, 60000, dtype=np.uint8).tobytes(), rng.integers(0, 3, 60000, dtype=np.uint8).tobytes()):
+        assert cog.unlzw(lzw(data)) == data
+
+
+def test_pushed_ranges_read_less(spark, tmp_path):
+    """Filters on level, row and col reach the reader: the offsets read fall to what is asked; rows stay those of a plain filter."""
+    a = np.zeros((1600, 1600), "<u2")
+    path = str(tmp_path / "a.tif")
+    write_cog(path, [a, a[::2, ::2]], (0.0, 0.0), 1.0, tile=16)
+    every = [r for b in cog.index_rows(path) for r in b.to_pylist()]
+    assert len(every) == 100 * 100 + 50 * 50
+    data = open(path, "rb").read()
+
+    def read_with(*filters):
+        wanted, sizes = cog.Wanted(), []
+        assert all(wanted.take(f) for f in filters)
+        rows = [r for b in cog.index_of(path, lambda o, n: sizes.append(n) or data[o : o + n], wanted) for r in b.to_pylist()]
+        return rows, sum(sizes)
+
+    _, full = read_with()
+    cases = [
+        ([cog.EqualTo(("level",), 0), cog.EqualTo(("row",), 7), cog.GreaterThanOrEqual(("col",), 5), cog.LessThan(("col",), 9)], lambda r: r["level"] == 0 and r["row"] == 7 and 5 <= r["col"] < 9),
+        ([cog.In(("level",), (1,)), cog.In(("row",), (3, 4, 49)), cog.GreaterThan(("col",), 47)], lambda r: r["level"] == 1 and r["row"] in (3, 4, 49) and r["col"] > 47),
+        ([cog.LessThanOrEqual(("row",), 1), cog.EqualTo(("col",), 99)], lambda r: r["row"] <= 1 and r["col"] == 99),
+        ([cog.EqualTo(("row",), 5), cog.EqualTo(("row",), 6)], lambda r: False),
+        ([cog.In(("col",), ())], lambda r: False),
+        ([cog.EqualTo(("level",), 9)], lambda r: False),
+    ]
+    for filters, plain in cases:
+        rows, size = read_with(*filters)
+        assert rows == [r for r in every if plain(r)] and size < full / 10 if filters[0] != cases[1][0][0] else rows == [r for r in every if plain(r)]
+    assert read_with(*cases[0][0])[1] < 1500 < full
+    assert not cog.Wanted().take(cog.EqualTo(("path",), "x"))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        got = cog.cog_index(spark, path).where("level = 0 AND row BETWEEN 2 AND 3 AND col IN (1, 98)")
+        assert sorted((r.row, r.col) for r in got.collect()) == [(2, 1), (2, 98), (3, 1), (3, 98)]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_many_files_share_partitions(spark, tmp_path):
+    for i in range(7):
+        write_cog(str(tmp_path / f"{i}.tif"), [np.full((16, 16), i, "<u2")], (0.0, 0.0), 1.0, tile=16)
+    index = cog.cog_index(spark, str(tmp_path), partitions=3)
+    assert index.rdd.getNumPartitions() == 3 and index.count() == 7
+    named = spark.createDataFrame([(f"{tmp_path}/{i}.tif",) for i in (1, 1, 5)] + [(None,)], "path string")
+    assert {(r.path[-5], r.cells[0]) for r in cog.read_tiles(cog.index_of_paths(named), "uint16").collect()} == {("1", 1), ("5", 5)}
 
 
 @pytest.mark.parametrize("dtype", list(scalar.DTYPES))
@@ -148,7 +246,7 @@ def test_reads_by_uri_and_from_whole_files(spark, tmp_path):
     """The same cells from a path, a file: URI, and files that Spark reads; rows dealt by file, islands bounded."""
     rng = np.random.default_rng(3)
     for name in ("a", "b"):
-        cog.write_cog(str(tmp_path / f"{name}.tif"), [rng.integers(0, 60000, (300, 300)).astype("<u2")], (0.0, 10.0), 0.5, tile=64, deflate=name == "b")
+        write_cog(str(tmp_path / f"{name}.tif"), [rng.integers(0, 60000, (300, 300)).astype("<u2")], (0.0, 10.0), 0.5, tile=64, deflate=name == "b")
     (tmp_path / "note.txt").write_text("no image")
     index = cog.cog_index(spark, str(tmp_path))
     by_uri = cog.cog_index(spark, f"file://{tmp_path}")
