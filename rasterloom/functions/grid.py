@@ -53,6 +53,14 @@ def tiles_of_box(spark: SparkSession, box: tuple[float, float, float, float], zo
     return one.select("col", F.explode(F.sequence("r0", "r1")).alias("row"))
 
 
+def box_tiles(boxes: DataFrame, zoom: int, box: tuple[str, str, str, str] = ("xmin", "ymin", "xmax", "ymax")) -> DataFrame:
+    """Rows of boxes (columns of west, south, east, north), each with col and row of every tile that its box meets."""
+    west, south, east, north = (F.col(c) for c in box)
+    (c0, r0), (c1, r1) = tile_of(west, north, zoom), tile_of(east, south, zoom)
+    across = boxes.withColumn("col", F.explode(F.sequence(c0, c1)))
+    return across.withColumn("row", F.explode(F.sequence(r0, r1)))
+
+
 def morton(col: Column, row: Column, bits: int = 16) -> Column:
     """Z-curve index: the bits of col and row interleaved, col's lowest."""
     z = F.lit(0).cast("long")

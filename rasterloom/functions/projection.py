@@ -16,7 +16,8 @@ from functools import lru_cache
 from types import SimpleNamespace
 
 import numpy as np
-from pyspark.sql import functions as F
+import pandas as pd
+from pyspark.sql import Column, functions as F
 
 ARRAYS = SimpleNamespace(
     sin=np.sin, cos=np.cos, tan=np.tan, asin=np.arcsin, atan=np.arctan, atan2=np.arctan2, sinh=np.sinh, cosh=np.cosh, asinh=np.arcsinh, atanh=np.arctanh,
@@ -218,6 +219,20 @@ class Crs:
         return m.degrees(m.atan2(y, x)), m.degrees(phi)
 
 
+def projected(x: Column, y: Column, definition: int | str, inverse: bool = False) -> Column:
+    """A struct of x and y in a system, from WGS 84 longitude and latitude, or the other way. Computed on arrays: as column
+    expressions the long series of some systems take their time to plan."""
+    own = system(definition)
+
+    @F.pandas_udf("x double, y double")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        with np.errstate(all="ignore"):
+            u, v = (own.inverse if inverse else own.forward)(a.to_numpy(float), b.to_numpy(float), ARRAYS)
+        return pd.DataFrame({"x": u, "y": v})
+
+    return run(x, y)
+
+
 @lru_cache(256)
 def system(definition: int | str) -> Crs:
     """The system of an EPSG code (a number or EPSG:number), a PROJ string or a WKT string."""

@@ -35,6 +35,16 @@ def code_set(spark: SparkSession, index: int) -> tuple[DataFrame, int]:
     return (codes.where((F.col("col") != out[0]) | (F.col("row") != out[1])) if out else codes), zoom
 
 
+def code_sets(spark: SparkSession) -> DataFrame:
+    """All sets' requested tiles: code_set, zoom, col, row."""
+    out = None
+    for i in range(len(CODE_SETS)):
+        codes, zoom = code_set(spark, i)
+        part = codes.select(F.lit(i).alias("code_set"), F.lit(zoom).alias("zoom"), "col", "row")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def required(df: DataFrame, what: str = "tiles within the visible range") -> DataFrame:
     """df, if it has a row; an error that names what is missing otherwise. For the edge of the API: it runs the plan's start."""
     if df.isEmpty():

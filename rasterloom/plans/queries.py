@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rasterloom.functions import crs, grid, scalar
-from rasterloom.operators import match, raster
+from rasterloom.functions import grid, projection, scalar
+from rasterloom.operators import halo, match, raster, warp
+from rasterloom.plans import jobs
 from rasterloom.sources import catalog as cat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +83,14 @@ SLOPE = "CASE WHEN dx IS NULL OR dy IS NULL THEN NULL WHEN dy = 0 THEN CASE WHEN
 ASPECT = "CASE WHEN dx IS NULL OR dy IS NULL THEN NULL WHEN dx = 0 THEN 0 WHEN dy = 0 THEN CASE WHEN dx > 0 THEN 2147483647 END ELSE " + WHOLE.format("1 / tan(dy / dx)") + " END"
 
 
+# transverse Mercator by Krueger's series with the literature's numbers for WGS 84
+TM = """t AS (SELECT *, sinh(atanh(sin(radians(lat))) - 0.0818191908426215 * atanh(0.0818191908426215 * sin(radians(lat)))) AS tau, radians(lon - lon0) AS lam FROM {0}),
+  u AS (SELECT *, atan2(tau, cos(lam)) AS xi, asinh(sin(lam) / sqrt(tau * tau + cos(lam) * cos(lam))) AS eta FROM t),
+  tm AS (SELECT *, 500000 + 6364902.166165091::DOUBLE * (eta + {1}) AS e, 6364902.166165091::DOUBLE * (xi + {2}) AS n FROM u)"""
+ALPHA = [8.377318206244698e-4, 7.608527773572307e-7, 1.197645503329453e-9, 2.429170607201358e-12, 5.711757677865804e-15, 1.4911177312583895e-17]
+TM = TM.format("{0}", " + ".join(f"{c!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(ALPHA, 1)), " + ".join(f"{c!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(ALPHA, 1)))
+
+
 # Neighbourhoods
 
 
@@ -149,6 +158,72 @@ def halo_neighbors(spark, d):
     return raster.halo(px(spark, d), 16, 2)
 
 
+# Whole tiles
+
+
+@query(f"""WITH {PX}, far AS (SELECT 1 AS band, y, x + 100000 * band AS x, v FROM px), t AS (SELECT DISTINCT x // 16 AS c, y // 16 AS r FROM far),
+  g AS (SELECT c * 16 + i AS x, r * 16 + j AS y, c // 100 AS part FROM t CROSS JOIN range(16) a(i) CROSS JOIN range(16) b(j)),
+  f AS (SELECT g.x, g.y, g.part, far.v FROM g LEFT JOIN far ON far.x = g.x AND far.y = g.y),
+  h AS (SELECT x, y, part, sum(v) OVER w AS s, count(v) OVER w AS n FROM f WINDOW w AS (PARTITION BY part, y ORDER BY x RANGE BETWEEN 50 PRECEDING AND 50 FOLLOWING)),
+  q AS (SELECT x, y, sum(s) OVER w AS s, sum(n) OVER w AS n FROM h WINDOW w AS (PARTITION BY part, x ORDER BY y RANGE BETWEEN 50 PRECEDING AND 50 FOLLOWING))
+  SELECT 1 AS band, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(s // n AS BIGINT) AS mean FROM q WHERE n > 0""")
+def focal_mean_strips(spark, d):
+    far = px(spark, d).select(F.lit(1).alias("band"), "y", (F.col("x") + 100000 * F.col("band")).alias("x"), "v")
+    return raster.from_tiles(halo.focal_mean(raster.to_tiles(far, 16), 16, 50), 16).withColumnRenamed("v", "mean")
+
+
+@query(f"WITH {D}, s AS (SELECT band, y, x, {SLOPE} AS slope FROM d) SELECT band, y, x, CAST(slope AS BIGINT) AS slope FROM s WHERE slope IS NOT NULL AND (band, x // 16, y // 16) IN (SELECT (band, x // 16, y // 16) FROM px)")
+def slope_tiles(spark, d):
+    return raster.from_tiles(halo.terrain(raster.to_tiles(px(spark, d), 16), 16, "slope", CELL), 16).withColumnRenamed("v", "slope")
+
+
+#: Three files of 64 x 64 cells: system, west and north edge, cell.
+FILES = [("EPSG:4326", 110.0, 32.0, 0.02), ("EPSG:3857", 12278539.8, 3670000.0, 2000.0), ("EPSG:32649", 404000.0, 3540000.0, 2000.0)]
+
+
+def requested(spark, d) -> DataFrame:
+    return table(spark, d, "supplier").select((206 + F.col("s_suppkey") % 2).cast("int").alias("col"), (103 + F.col("s_nationkey") % 3).cast("int").alias("row")).distinct()
+
+
+def file_rows(spark, d) -> DataFrame:
+    """The test raster as tiles of three files, of which the later ones have fewer bands, with the requested tiles each one meets."""
+    tiles, out = raster.to_tiles(px(spark, d), 16), None
+    for i, (crs, west, north, cell) in enumerate(FILES):
+        box = match.cog_tile_extent(F.col("row"), F.col("col"), F.lit(0), F.lit(west), F.lit(north), F.lit(cell), F.lit(cell), 16)
+        own = tiles.where(F.col("band") % 3 >= i).select("band", "col", "row", *box)
+        met = match.extent_join(own, jobs.code_extents(requested(spark, d), 8, crs), 64 * cell)
+        codes = met.groupBy(F.col("a_band").alias("band"), F.col("a_col").alias("col"), F.col("a_row").alias("row")).agg(F.collect_list(F.struct(F.col("b_col").alias("col"), F.col("b_row").alias("row"))).alias("codes"))
+        place = {"source": i, "tile": 16, "width": 64, "height": 64, "x_min": west, "y_max": north, "cell_w": cell, "cell_h": cell, "crs": crs}
+        part = tiles.join(codes, ["band", "col", "row"]).select("*", *(F.lit(v).alias(k) for k, v in place.items()))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""WITH {PX}, c AS (SELECT DISTINCT 206 + s_suppkey % 2 AS c, 103 + s_nationkey % 3 AS r FROM supplier),
+  g AS (SELECT c * 32 + i AS x, r * 32 + j AS y, (c * 32 + i + 0.5) / 8192 * 360 - 180 AS lon, degrees(2 * atan(exp(pi() * (1 - 2 * (r * 32 + j + 0.5) / 8192))) - pi() / 2) AS lat, 111 AS lon0
+    FROM c CROSS JOIN range(32) a(i) CROSS JOIN range(32) b(j)), {TM.format("g")},
+  m AS (SELECT x, y, 0 AS source, lon AS e, lat AS n FROM g UNION ALL SELECT x, y, 1, 6378137.0 * radians(lon), 6378137.0 * atanh(sin(radians(lat))) FROM g UNION ALL SELECT x, y, 2, e, n FROM tm),
+  f(source, west, north, cell) AS (VALUES {", ".join(f"({i}, {w}::DOUBLE, {n}::DOUBLE, {c}::DOUBLE)" for i, (_, w, n, c) in enumerate(FILES))}),
+  k AS (SELECT m.x, m.y, px.band, px.v, row_number() OVER (PARTITION BY m.x, m.y, px.band ORDER BY source) AS rank FROM m JOIN f USING (source)
+    JOIN px ON px.x = floor((e - west) / cell) AND px.y = floor((north - n) / cell) AND px.band % 3 >= source WHERE px.v IS NOT NULL)
+  SELECT band, CAST(y AS INT) AS y, CAST(x AS INT) AS x, v FROM k WHERE rank = 1""")
+def warp_tiles(spark, d):
+    return raster.from_tiles(warp.warp(file_rows(spark, d), 8, 32, tolerance=0), 32)
+
+
+@query(f"""WITH {PTS}, c AS (SELECT DISTINCT floor((lon + 180) / 360 * 64) AS c, floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * 64) AS r FROM pts WHERE lat > 0.1),
+  g AS (SELECT c, r, i, j, (c * 16 + i + 0.5) / 1024 * 360 - 180 AS lon, degrees(2 * atan(exp(pi() * (1 - 2 * (r * 16 + j + 0.5) / 1024))) - pi() / 2) AS lat, floor((c + 0.5) / 64 * 60) * 6 - 177 AS lon0
+    FROM c CROSS JOIN range(16) a(i) CROSS JOIN range(16) b(j)), {TM.format("g")}
+  SELECT CAST(c AS INT) AS col, CAST(r AS INT) AS row, CAST(j AS INT) AS y, CAST(i AS INT) AS x, round(e / 1000, 2) AS exact_x, round((10000000 - n) / 1000, 2) AS exact_y, true AS within FROM tm""")
+def approximate_mapping(spark, d):
+    col, row = grid.tile_of(F.col("lon"), F.col("lat"), 6)
+    zone = F.floor((F.col("col") + 0.5) / 64 * 60).cast("int") + 1
+    tiles = points(spark, d).where("lat > 0.1").select(col.alias("col"), row.alias("row")).distinct().withColumn("crs", F.concat(F.lit("EPSG:326"), F.lpad(zone.cast("string"), 2, "0")))
+    rows = warp.mapped_cells(tiles, 6, 16, (0.0, 10000000.0, 1000.0, 1000.0), 0.05)
+    near = (F.abs(F.col("exact_x") - F.col("near_x")) <= 0.05) & (F.abs(F.col("exact_y") - F.col("near_y")) <= 0.05)
+    return rows.select("col", "row", "y", "x", F.round("exact_x", 2).alias("exact_x"), F.round("exact_y", 2).alias("exact_y"), near.alias("within"))
+
+
 # Map algebra and layers
 
 
@@ -382,20 +457,36 @@ def mercator_xy(spark, d):
     return points(spark, d).select("event_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
-@query(f"WITH {PTS} SELECT event_id, round(lon, 8) AS lon, round(lat, 8) AS lat FROM pts")
+@query("""SELECT event_id, round(degrees((event_id * 7919 % 40075017 - 20037508) / 6378137.0), 8) AS lon,
+  round(degrees(2 * atan(exp((user_id * 104729 % 30000001 - 15000000) / 6378137.0)) - pi() / 2), 8) AS lat FROM events""")
 def mercator_back(spark, d):
-    lon, lat = grid.from_mercator(*grid.to_mercator(F.col("lon"), F.col("lat")))
-    return points(spark, d).select("event_id", F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"))
+    x, y = F.col("event_id") * 7919 % 40075017 - 20037508, F.col("user_id") * 104729 % 30000001 - 15000000
+    lon, lat = grid.from_mercator(x.cast("double"), y.cast("double"))
+    return table(spark, d, "events").select("event_id", F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"))
 
 
-@query("SELECT event_id, 0.0::DOUBLE AS off_lon, 0.0::DOUBLE AS off_lat FROM events")
+@query(f"""WITH {PTS}, p AS (SELECT event_id, 108 + (lon + 180) / 60 AS lon, lat, 111 AS lon0 FROM pts), {TM.format("p")}
+  SELECT event_id, round(e, 2) AS x, round(n, 2) AS y, 0.0::DOUBLE AS off_lon, 0.0::DOUBLE AS off_lat FROM tm""")
 def utm_round_trip(spark, d):
-    # within a zone and a half of the central meridian; there and back differs by less than a tenth of a metre
+    # within a zone; there and back differs by less than a tenth of a metre
     p = points(spark, d).withColumn("lon", 108 + (F.col("lon") + 180) / 60)
-    x, y = crs.to_utm(F.col("lon"), F.col("lat"), 49)
-    lon, lat = crs.from_utm(F.col("x"), F.col("y"), 49)
+    p = p.withColumn("to", projection.projected(F.col("lon"), F.col("lat"), 32649))
+    p = p.withColumn("back", projection.projected(F.col("to.x"), F.col("to.y"), 32649, inverse=True))
     off = lambda a, b: F.round(F.abs(a - b), 6) + 0.0
-    return p.withColumn("x", x).withColumn("y", y).select("event_id", off(lon, F.col("lon")).alias("off_lon"), off(lat, F.col("lat")).alias("off_lat"))
+    return p.select("event_id", F.round("to.x", 2).alias("x"), F.round("to.y", 2).alias("y"), off(F.col("back.x"), F.col("lon")).alias("off_lon"), off(F.col("back.y"), F.col("lat")).alias("off_lat"))
+
+
+@query(f"""WITH {PTS}, p AS (SELECT event_id, lon / 6 - 96 AS lon, 25 + (lat + 80) / 160 * 25 AS lat FROM pts),
+  e(e2, ec, f1, f2, f0) AS (VALUES (0.006694380022900788, 0.08181919104281579, radians(29.5), radians(45.5), radians(23.0))),
+  q AS (SELECT *, (1 - e2) * (sin(radians(lat)) / (1 - e2 * pow(sin(radians(lat)), 2)) + atanh(ec * sin(radians(lat))) / ec) AS q, (1 - e2) * (sin(f1) / (1 - e2 * pow(sin(f1), 2)) + atanh(ec * sin(f1)) / ec) AS q1,
+    (1 - e2) * (sin(f2) / (1 - e2 * pow(sin(f2), 2)) + atanh(ec * sin(f2)) / ec) AS q2, (1 - e2) * (sin(f0) / (1 - e2 * pow(sin(f0), 2)) + atanh(ec * sin(f0)) / ec) AS q0,
+    pow(cos(f1), 2) / (1 - e2 * pow(sin(f1), 2)) AS m1, pow(cos(f2), 2) / (1 - e2 * pow(sin(f2), 2)) AS m2 FROM p CROSS JOIN e),
+  n AS (SELECT *, (m1 - m2) / (q2 - q1) AS n, m1 + (m1 - m2) / (q2 - q1) * q1 AS c FROM q)
+  SELECT event_id, round(6378137.0 / n * sqrt(c - n * q) * sin(n * radians(lon + 96)), 2) AS x, round(6378137.0 / n * (sqrt(c - n * q0) - sqrt(c - n * q) * cos(n * radians(lon + 96))), 2) AS y FROM n""")
+def albers(spark, d):
+    p = points(spark, d).select("event_id", (F.col("lon") / 6 - 96).alias("lon"), (25 + (F.col("lat") + 80) / 160 * 25).alias("lat"))
+    p = p.withColumn("to", projection.projected(F.col("lon"), F.col("lat"), "+proj=aea +lat_1=29.5 +lat_2=45.5 +lat_0=23 +lon_0=-96 +ellps=GRS80"))
+    return p.select("event_id", F.round("to.x", 2).alias("x"), F.round("to.y", 2).alias("y"))
 
 
 @query("""SELECT s_suppkey, round(s_suppkey % 2048 / 2048 * 360 - 180, 9) AS xmin, round((s_suppkey % 2048 + 1) / 2048 * 360 - 180, 9) AS xmax,
@@ -406,23 +497,28 @@ def tile_extent(spark, d):
     return rows.select("s_suppkey", *[F.round(f"e.{c}", 9).alias(c) for c in ("xmin", "xmax", "ymax", "ymin")])
 
 
-@query("SELECT CAST(z AS INT) AS zoom, round(156543.033928 / (1 << z), 6) AS resolution FROM range(21) r(z)")
+@query("SELECT p_partkey, CAST(p_size % 21 AS INT) AS zoom, round(156543.033928 / (1 << CAST(p_size % 21 AS INT)), 6) AS resolution FROM part")
 def zoom_resolution(spark, d):
-    return spark.range(grid.MAX_ZOOM + 1).select(F.col("id").cast("int").alias("zoom"), grid.resolution(F.col("id").cast("double")).alias("resolution"))
-
+    zoom = (F.col("p_size") % (grid.MAX_ZOOM + 1)).cast("int")
+    return table(spark, d, "part").select("p_partkey", zoom.alias("zoom"), grid.resolution(zoom.cast("double")).alias("resolution"))
 
-BOX = (110.0, 29.0, 115.0, 32.5)
 
-
-@query(f"""SELECT CAST(c AS INT) AS col, CAST(r AS INT) AS row FROM range(0, 2048) a(c) CROSS JOIN range(0, 2048) b(r)
-  WHERE c BETWEEN floor(({BOX[0]} + 180) / 360 * 2048) AND floor(({BOX[2]} + 180) / 360 * 2048) AND r BETWEEN floor((1 - asinh(tan(radians({BOX[3]}))) / pi()) / 2 * 2048) AND floor((1 - asinh(tan(radians({BOX[1]}))) / pi()) / 2 * 2048)""")
+@query(f"""WITH {PTS}, b AS (SELECT event_id, floor((lon + 180) / 360 * 2048) AS c0, floor((least(lon + event_id % 7 / 10.0, 179.9) + 180) / 360 * 2048) AS c1,
+    floor((1 - asinh(tan(radians(lat + event_id % 3 / 10.0))) / pi()) / 2 * 2048) AS r0, floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * 2048) AS r1 FROM pts),
+  c AS (SELECT *, unnest(range(CAST(c0 AS BIGINT), CAST(c1 AS BIGINT) + 1)) AS col FROM b)
+  SELECT event_id, CAST(col AS INT) AS col, CAST(unnest(range(CAST(r0 AS BIGINT), CAST(r1 AS BIGINT) + 1)) AS INT) AS row FROM c""")
 def bbox_to_tiles(spark, d):
-    return grid.tiles_of_box(spark, BOX, ZOOM)
+    e = F.col("event_id")
+    boxes = points(spark, d).select(e, F.col("lon").alias("xmin"), F.col("lat").alias("ymin"), F.least(F.col("lon") + e % 7 / 10, F.lit(179.9)).alias("xmax"), (F.col("lat") + e % 3 / 10).alias("ymax"))
+    return grid.box_tiles(boxes, ZOOM).select("event_id", "col", "row")
 
 
-@query("SELECT CAST(c AS INT) AS col, CAST(r AS INT) AS row FROM (VALUES (1680), (1681)) a(c) CROSS JOIN (VALUES (842), (844)) b(r)")
+@query(f"""WITH r(code_set, zoom, c0, c1, r0, r1, step, out_col, out_row) AS (VALUES {", ".join(f"({i}, {z}, {c[0]}, {c[1]}, {r[0]}, {r[1]}, {(*r, 1)[2]}, {o[0] if o else -1}, {o[1] if o else -1})" for i, (z, c, r, o) in enumerate(jobs.CODE_SETS))})
+  SELECT s_suppkey, CAST(zoom AS INT) AS zoom, CAST(c AS INT) AS col, CAST(w AS INT) AS row FROM supplier JOIN r ON s_suppkey % 6 = code_set CROSS JOIN range(0, 1700) a(c) CROSS JOIN range(400, 860) b(w)
+  WHERE c BETWEEN c0 AND c1 AND w BETWEEN r0 AND r1 AND (w - r0) % step = 0 AND NOT (c = out_col AND w = out_row)""")
 def code_list(spark, d):
-    return spark.createDataFrame([(c, r) for c in (1680, 1681) for r in (842, 844)], "col int, row int")
+    asked = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % len(jobs.CODE_SETS)).cast("int").alias("code_set"))
+    return asked.join(jobs.code_sets(spark), "code_set").select("s_suppkey", "zoom", "col", "row")
 
 
 @query("SELECT s_suppkey, 'layer' || s_nationkey || '/11/png/' || s_suppkey || '-' || s_nationkey AS key FROM supplier")
@@ -443,12 +539,10 @@ def codes_to_csv(spark, d):
     return rows.select("s_nationkey", F.concat_ws(",", F.transform("k", lambda k: F.concat(k.cast("string"), F.lit("-"), F.col("s_nationkey").cast("string")))).alias("codes"))
 
 
-@query("SELECT o_orderkey, o_orderkey AS value FROM orders")
+@query("""SELECT o_orderkey, ('0x' || substr(m, 11, 2) || substr(m, 9, 2) || substr(m, 7, 2) || substr(m, 5, 2))::BIGINT AS value FROM (SELECT o_orderkey, md5(CAST(o_orderkey AS VARCHAR)) AS m FROM orders)""")
 def le_decode(spark, d):
-    k = F.col("o_orderkey")
-    # the key's bytes, lowest first, in hexadecimal, after a byte that is skipped
-    data = F.unhex(F.concat(F.lit("FF"), *[F.lpad(F.hex(F.shiftrightunsigned(k, 8 * i).bitwiseAND(255)), 2, "0") for i in range(4)]))
-    return table(spark, d, "orders").select("o_orderkey", scalar.little_endian(data, 2, 4).alias("value"))
+    data = F.unhex(F.md5(F.col("o_orderkey").cast("string").cast("binary")))
+    return table(spark, d, "orders").select("o_orderkey", scalar.little_endian(data, 3, 4).alias("value"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 4 THEN NULL WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') ELSE strftime(o_orderdate, '%Y-%m-%d 00:00:00') END AS time FROM orders""")
@@ -459,17 +553,20 @@ def parse_time(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.date_format(scalar.parse_time(form), "yyyy-MM-dd HH:mm:ss").alias("time"))
 
 
-@query("""WITH t AS (SELECT * FROM (VALUES ('int8raw', 1), ('uint8', 1), ('int16', 1), ('uint16raw', 1), ('int32', 1), ('float32raw', 2), ('float32', 2), ('float64raw', 3), ('float64', 3)) t(name, p))
-  SELECT a.name AS a, b.name AS b, CASE greatest(a.p, b.p) WHEN 1 THEN 'int32raw' WHEN 2 THEN 'float32raw' ELSE 'float64raw' END AS common FROM t a CROSS JOIN t b""")
+@query("""WITH n AS (SELECT ['int8raw', 'uint8', 'int16', 'uint16raw', 'int32', 'float32raw', 'float32', 'float64raw', 'float64'] AS names, [1, 1, 1, 1, 1, 2, 2, 3, 3] AS p)
+  SELECT p_partkey, names[1 + p_size % 9] AS a, names[1 + length(p_type) % 9] AS b,
+    CASE greatest(p[1 + p_size % 9], p[1 + length(p_type) % 9]) WHEN 1 THEN 'int32raw' WHEN 2 THEN 'float32raw' ELSE 'float64raw' END AS common FROM part CROSS JOIN n""")
 def type_promote(spark, d):
     names = F.array(*[F.lit(n) for n in ("int8raw", "uint8", "int16", "uint16raw", "int32", "float32raw", "float32", "float64raw", "float64")])
-    pairs = spark.range(1).select(F.explode(names).alias("a"), names.alias("n")).select("a", F.explode("n").alias("b"))
-    return pairs.select("a", "b", scalar.promote(F.col("a"), F.col("b")).alias("common"))
+    at = lambda k: F.element_at(names, (1 + k % 9).cast("int"))
+    rows = table(spark, d, "part").select("p_partkey", at(F.col("p_size")).alias("a"), at(F.char_length("p_type")).alias("b"))
+    return rows.select("p_partkey", "a", "b", scalar.promote(F.col("a"), F.col("b")).alias("common"))
 
 
-@query(f"WITH {TILES} SELECT id, xmin, ymin, xmax, ymax FROM t")
+@query("""WITH t AS (SELECT p_partkey AS id, p_size::DOUBLE AS x1, (p_partkey % 50)::DOUBLE AS y1, p_partkey % 31 - 7.5 AS x2, p_size * 2::DOUBLE AS y2, p_partkey % 17 - 5::DOUBLE AS x3, -3.25 AS y3 FROM part)
+  SELECT id, least(x1, x2, x3)::DOUBLE AS xmin, least(y1, y2, y3)::DOUBLE AS ymin, greatest(x1, x2, x3)::DOUBLE AS xmax, greatest(y1, y2, y3)::DOUBLE AS ymax FROM t""")
 def wkt_envelope(spark, d):
-    t = file_tiles(spark, d)
-    spot = lambda x, y: F.concat_ws(" ", F.col(x).cast("string"), F.col(y).cast("string"))
-    ring = F.concat_ws(", ", spot("xmin", "ymin"), spot("xmax", "ymin"), spot("xmax", "ymax"), spot("xmin", "ymax"), spot("xmin", "ymin"))
-    return t.select("id", scalar.wkt_envelope(F.concat(F.lit("POLYGON (("), ring, F.lit("))"))).alias("e")).select("id", "e.*")
+    k, s = F.col("p_partkey"), F.col("p_size")
+    spots = [F.concat_ws(" ", x.cast("double").cast("string"), y.cast("double").cast("string")) for x, y in ((s, k % 50), (k % 31 - 7.5, s * 2), (k % 17 - 5, F.lit(-3.25)), (s, k % 50))]
+    ring = F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *spots), F.lit("))"))
+    return table(spark, d, "part").select(k.alias("id"), scalar.wkt_envelope(ring).alias("e")).select("id", "e.*")
\ No newline at end of file
