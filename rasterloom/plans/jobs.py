@@ -77,7 +77,7 @@ def map_tile_job(spark: SparkSession, coverage: DataFrame, index: DataFrame, box
         return 0
     first = coverage.join(coverage.agg(F.min("measurement_rank").alias("measurement_rank")), "measurement_rank")
     layer_tiles = visible_tile_layer(first, index, around(wanted, -(-radius // tile)), zoom, epsg, dtype, bucket, tile, options=options)
-    tiles = halo.focal_mean(layer_tiles, tile, radius).join(wanted, ["col", "row"], "left_semi")
+    tiles = halo.focal_mean(layer_tiles, tile, radius).join(wanted, ["col", "row"], "left_semi").drop("band")
     count = write_images(tiles, layer, zoom, path, options=options)
     if callback:
         job_finished(callback, layer, zoom, "png", wanted)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rasterloom.functions import grid, projection, scalar
+from rasterloom.functions import grid, projection, scalar, tables
 from rasterloom.operators import halo, match, raster, warp
 from rasterloom.plans import jobs
 from rasterloom.sources import catalog as cat
@@ -513,6 +513,24 @@ def bbox_to_tiles(spark, d):
     return grid.box_tiles(boxes, ZOOM).select("event_id", "col", "row")
 
 
+@query("""WITH b AS (SELECT s_suppkey, 1.0 * (s_suppkey % 300) - 150 AS w, s_nationkey * 2.5 - 30 AS s, s_suppkey % 300 - 150 + s_nationkey % 5 * 0.5 AS e, s_nationkey * 2.5 - 29.3 AS n FROM supplier),
+  c AS (SELECT *, unnest(range(CAST(floor((w + 180) / 360 * 512) AS BIGINT), CAST(floor((e + 180) / 360 * 512) AS BIGINT) + 1)) AS col FROM b)
+  SELECT s_suppkey, CAST(col AS INT) AS col, CAST(unnest(range(CAST(floor((1 - ln(tan(radians(n)) + 1 / cos(radians(n))) / pi()) / 2 * 512) AS BIGINT), CAST(floor((1 - ln(tan(radians(s)) + 1 / cos(radians(s))) / pi()) / 2 * 512) AS BIGINT) + 1)) AS INT) AS row FROM c""")
+def lateral_box_tiles(spark, d):
+    tables.register(spark)
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    w, s = (k % 300 - 150).cast("double"), n * 2.5 - 30
+    boxes = table(spark, d, "supplier").select("s_suppkey", w.alias("w"), s.alias("s"), (w + n % 5 * 0.5).alias("e"), (n * 2.5 - 29.3).alias("n"))
+    return spark.sql("SELECT s_suppkey, t.col, t.row FROM {boxes}, LATERAL box_tiles(w, s, e, n, 9) t", boxes=boxes)
+
+
+@query(f"WITH {PX} SELECT band, y, x, v FROM px WHERE v IS NOT NULL AND band <= 2")
+def lateral_tile_cells(spark, d):
+    tables.register(spark)
+    tiles = raster.to_tiles(px(spark, d).where("band <= 2"), 16)
+    return spark.sql("SELECT band, c.y, c.x, c.v FROM {tiles}, LATERAL tile_cells(col, row, cells, 16) c", tiles=tiles)
+
+
 @query(f"""WITH r(code_set, zoom, c0, c1, r0, r1, step, out_col, out_row) AS (VALUES {", ".join(f"({i}, {z}, {c[0]}, {c[1]}, {r[0]}, {r[1]}, {(*r, 1)[2]}, {o[0] if o else -1}, {o[1] if o else -1})" for i, (z, c, r, o) in enumerate(jobs.CODE_SETS))})
   SELECT s_suppkey, CAST(zoom AS INT) AS zoom, CAST(c AS INT) AS col, CAST(w AS INT) AS row FROM supplier JOIN r ON s_suppkey % 6 = code_set CROSS JOIN range(0, 1700) a(c) CROSS JOIN range(400, 860) b(w)
   WHERE c BETWEEN c0 AND c1 AND w BETWEEN r0 AND r1 AND (w - r0) % step = 0 AND NOT (c = out_col AND w = out_row)""")

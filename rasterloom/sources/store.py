@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import os
 import struct
 import time
 import urllib.request
-import uuid
 import zlib
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from rasterloom.functions.grid import morton
 from rasterloom.operators.raster import pyramid
-from rasterloom.sources.files import Ranges, file_system, local_path
+from rasterloom.sources import jpeg
+from rasterloom.sources.files import Ranges
+from rasterloom.sources.sink import TileImages
 
 
 @dataclass
@@ -86,22 +86,43 @@ def png_bands(bands: list[np.ndarray]) -> bytes:
     return encode(np.stack([*tones, np.where(np.any(oks, axis=0), 255, 0).astype(np.uint8)], axis=1).reshape(size, size * 4), 6)
 
 
-def render(cells: Column, ramp: bool = True) -> Column:
-    """PNG of a column of cell arrays; null cells are transparent."""
+def jpg(cells: np.ndarray) -> bytes:
+    """Grey JPEG of a square of cells; those without data are black."""
+    size = int(np.sqrt(len(cells)))
+    return jpeg.encode(np.round(grey(cells.astype(float))[0] * 255).astype(np.uint8).reshape(size, size))
+
+
+def jpg_bands(bands: list[np.ndarray]) -> bytes:
+    """JPEG of a square from its bands, as `png_bands`, without clear cells."""
+    if len(bands) == 1:
+        return jpg(bands[0])
+    tones = [np.round(grey(b.astype(float))[0] * 255).astype(np.uint8) for b in bands[:3]]
+    size = int(np.sqrt(len(tones[0])))
+    return jpeg.encode(np.stack([*tones, np.zeros_like(tones[0])][:3], axis=1).reshape(size, size, 3))
+
+
+#: Encoders of each kind of image: of one band's cells, of several bands'.
+ENCODERS = {"png": (png, png_bands), "jpg": (jpg, jpg_bands)}
+
+
+def render(cells: Column, ramp: bool = True, kind: str = "png") -> Column:
+    """Images of a column of cell arrays; null cells are transparent, in JPEG black."""
+    one = ENCODERS[kind][0] if kind != "png" or ramp else lambda c: png(c, False)
 
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda c: None if c is None else png(np.asarray(c, float), ramp))
+        return s.map(lambda c: None if c is None else one(np.asarray(c, float)))
 
     return run(cells)
 
 
-def render_bands(stack: Column) -> Column:
-    """PNG of a column of arrays of cell arrays, one for each band in the order of `band_stack`."""
+def render_bands(stack: Column, kind: str = "png") -> Column:
+    """Images of a column of arrays of cell arrays, one for each band in the order of `band_stack`."""
+    some = ENCODERS[kind][1]
 
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda bands: None if bands is None else png_bands([np.asarray(b, float) for b in bands]))
+        return s.map(lambda bands: None if bands is None else some([np.asarray(b, float) for b in bands]))
 
     return run(stack)
 
@@ -114,37 +135,26 @@ def write_layer(px: DataFrame, layer: str, zoom: int, path: str, tile: int = 256
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer_id", "zoom").parquet(path)
 
 
-def put(path: str, data: bytes, options: dict | None = None) -> None:
-    """A file that appears whole, also if a task is run again."""
-    if (local := local_path(path)) is not None:
-        os.makedirs(os.path.dirname(local), exist_ok=True)
-        part = f"{os.path.dirname(local)}/.{os.path.basename(local)}-{uuid.uuid4().hex}"
-        with open(part, "wb") as file:
-            file.write(data)
-        os.replace(part, local)
-        return
-    system, place = file_system(path, options)
-    with system.open_output_stream(place) as file:
-        file.write(data)
-
+def write_images(tiles: DataFrame, layer: str, zoom: int, path: str, kind: str = "png", options: dict | None = None, mode: str = "append") -> int:
+    """Files path/layer/zoom/kind/col-row.kind, from the executors to a shared folder or object store, all of them or none; how many.
 
-def write_images(tiles: DataFrame, layer: str, zoom: int, path: str, kind: str = "png", options: dict | None = None) -> int:
-    """Files path/layer/zoom/kind/col-row.kind, from the executors to a shared folder or object store; how many.
-
-    tiles: col, row and cells, or the bands and stack of `band_stack`, which give coloured images.
+    tiles: col, row and cells, or the bands and stack of `band_stack`, which give coloured images. Of tiles of several bands
+    only those of the lowest one are taken. mode: append, or overwrite to delete the layer's other images of the zoom.
     """
-    if kind != "png":
-        raise ValueError(f"cannot write {kind}; png only")
-    folder = f"{path}/{layer}/{zoom}/{kind}"
-
-    def run(batches):
-        for b in batches:
-            for col, row, data in zip(b["col"], b["row"], b["image"]):
-                put(f"{folder}/{col}-{row}.{kind}", data, options)
-            yield pd.DataFrame({"n": [len(b)]})
-
-    image = render_bands(F.col("stack")) if "stack" in tiles.columns else render(F.col("cells"))
-    return tiles.select("col", "row", image.alias("image")).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if kind not in ENCODERS:
+        raise ValueError(f"cannot write {kind}; {', '.join(ENCODERS)} only")
+    spark, folder = tiles.sparkSession, f"{path}/{layer}/{zoom}/{kind}"
+    if "stack" in tiles.columns:
+        image = render_bands(F.col("stack"), kind)
+    else:
+        tiles = first_band(tiles) if "band" in tiles.columns else tiles
+        image = render(F.col("cells"), kind=kind)
+    spark.dataSource.register(TileImages)
+    written = F.count(F.lit(1)).alias("n")
+    seen = Observation()
+    rows = tiles.select(F.col("col").cast("int").alias("col"), F.col("row").cast("int").alias("row"), image.alias("image")).observe(seen, written)
+    rows.write.format("tile_images").options(kind=kind, **(options or {})).mode(mode).save(folder)
+    return seen.get["n"]
 
 
 def first_band(px: DataFrame) -> DataFrame:

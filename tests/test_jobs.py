@@ -163,6 +163,22 @@ def test_map_tile_job(spark, image, tmp_path):
     assert job() == 1 and gone.read_bytes() == before
 
 
+@pytest.mark.parametrize("method", ["22", "focalMean"])
+def test_image_job(spark, tmp_path, method):
+    """A set's tiles as coloured JPEG files of three bands, in one call."""
+    rng = np.random.default_rng(2)
+    (tmp_path / "files").mkdir()
+    for band in (1, 3, 4):
+        write_cog(str(tmp_path / f"files/b{band}.tif"), [rng.integers(1, 999, (300, 220)).astype("<u2")], (114.9, 31.2), 0.005, tile=32)
+    index = cog.cog_index(spark, str(tmp_path / "files"))
+    coverage = index.select("path").distinct().select("path", F.regexp_extract("path", r"b(\d)\.tif", 1).cast("int").alias("measurement_rank"), F.lit(500.0).alias("resolution"))
+    how = {"radius": 1} if method == "focalMean" else {}
+    assert jobs.image_job(spark, method, coverage, index, 0, 4326, "uint16", 0.2, str(tmp_path / "out"), "multi", tile=16, **how) == 4
+    files = {p.name: p.read_bytes() for p in (tmp_path / "out/multi/11/jpg").iterdir()}
+    assert files.keys() == {f"{c}-{r}.jpg" for c in (1680, 1681) for r in (842, 844)}
+    assert all(d[:2] == b"\xff\xd8" and b"\x11\x00\x02\x11\x01\x03\x11\x01" in d for d in files.values())
+
+
 def test_command_line(capsys):
     from rasterloom.__main__ import main
 

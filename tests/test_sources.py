@@ -2,6 +2,7 @@
 
 import datetime
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -322,3 +323,60 @@ def test_coloured_images_and_callback(spark, tmp_path):
     done = store.job_finished(f"http://127.0.0.1:{server.server_port}", "job", 9, "png", tiles)
     assert done.result(10) == "ok" and got == [("/job/finished/job/9/png", "3-5,4-5")]
     assert store.post_async("http://127.0.0.1:9/none", b"").result(10) == ""
+
+
+def names_of(folder):
+    return sorted(p.name for p in folder.rglob("*"))
+
+
+@pytest.mark.parametrize("kind", ["png", "jpg"])
+def test_images_appear_when_all_are_done(spark, tmp_path, kind):
+    """A failing task leaves nothing; a rerun gives the same files; append keeps others, overwrite does not."""
+    folder = tmp_path / "job" / "9" / kind
+    cells = [float(i) for i in range(64)]
+    tiles = spark.createDataFrame([(b, c, 5, cells[::-1] if b > 1 else cells) for b in (1, 2) for c in range(20)], "band int, col int, row int, cells array<double>").repartition(4)
+    assert store.write_images(tiles, "job", 9, str(tmp_path), kind) == 20
+    first = {p.name: p.read_bytes() for p in folder.iterdir()}
+    assert sorted(first) == sorted(f"{c}-5.{kind}" for c in range(20)) and names_of(folder) == sorted(first)
+
+    # a task that fails after others have written their files
+    @F.udf("array<double>")
+    def broken(col, cells):
+        if col == 123:
+            time.sleep(1)
+            raise RuntimeError("broken")
+        return cells
+
+    more = tiles.withColumn("col", F.col("col") + 104).withColumn("cells", broken("col", "cells"))
+    with pytest.raises(Exception):
+        store.write_images(more, "job", 9, str(tmp_path), kind)
+    with pytest.raises(Exception):
+        store.write_images(tiles.where("band = 1").withColumn("col", F.col("col") % 7 + 300), "job", 9, str(tmp_path), kind)
+    assert {p.name: p.read_bytes() for p in folder.iterdir()} == first
+    assert store.write_images(tiles, "job", 9, str(tmp_path), kind) == 20 and {p.name: p.read_bytes() for p in folder.iterdir()} == first
+    assert store.write_images(tiles.withColumn("col", F.col("col") + 50), "job", 9, str(tmp_path), kind) == 20 and len(names_of(folder)) == 40
+    assert store.write_images(tiles.where("col < 3"), "job", 9, str(tmp_path), kind, mode="overwrite") == 3
+    assert {p.name: p.read_bytes() for p in folder.iterdir()} == {n: d for n, d in first.items() if n in (f"0-5.{kind}", f"1-5.{kind}", f"2-5.{kind}")}
+    assert store.write_images(tiles.limit(0), "job", 9, str(tmp_path), kind) == 0
+    got = store.load_images(spark, str(tmp_path), "job", 9, kind).collect()
+    assert {(r.col, bytes(r.image[:2])) for r in got} == {(c, b"\x89P" if kind == "png" else b"\xff\xd8") for c in range(3)}
+
+
+def test_images_in_a_file_system_by_uri(spark, tmp_path, monkeypatch):
+    """The way of object stores, through pyarrow's file system."""
+    from pyarrow import fs
+
+    from rasterloom.sources import sink
+
+    monkeypatch.setattr(sink, "local_path", lambda path: None)
+    monkeypatch.setattr(sink, "file_system", lambda path, options=None: (fs.LocalFileSystem(), path))
+    folder = str(tmp_path / "a")
+    old = sink.ImageWriter({"path": folder, "kind": "png"}, False)
+    old.commit([old.write(iter([{"col": 1, "row": 2, "image": b"x"}, {"col": 3, "row": 2, "image": b"y"}])), None])
+    assert names_of(tmp_path / "a") == ["1-2.png", "3-2.png"]
+    failed = sink.ImageWriter({"path": folder}, False)
+    failed.write(iter([{"col": 9, "row": 9, "image": b"z"}]))
+    failed.abort([None])
+    new = sink.ImageWriter({"path": folder}, True)
+    new.commit([new.write(iter([{"col": 1, "row": 2, "image": b"new"}]))])
+    assert names_of(tmp_path / "a") == ["1-2.png"] and (tmp_path / "a/1-2.png").read_bytes() == b"new"
