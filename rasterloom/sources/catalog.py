@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import time
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -44,6 +46,11 @@ def coverages(image: DataFrame, product: DataFrame, product_measurement: DataFra
         .join(measurement, "measurement_key", "left_semi")
         .where("band_train <> 0")
     )
+    return as_coverages(rows)
+
+
+def as_coverages(rows: DataFrame) -> DataFrame:
+    """The catalog's columns as those of a coverage."""
     name = F.concat(F.col("path"), F.lit("/"), F.col("image_identification"), F.lit("_"), F.col("band_num"), F.lit(".tif"))
     return rows.select(
         F.col("image_identification").alias("coverage_id"), name.alias("path"), F.col("geom").alias("geom_wkt"), envelope(F.col("geom")).alias("extent"),
@@ -75,16 +82,72 @@ class Catalog:
         return self.known[key] if bands is None else only_bands(self.known[key], bands)
 
 
-def jdbc(spark: SparkSession, url: str, table: str, retries: int = 3, delay: float = 1.0, **options) -> DataFrame:
-    """A catalog table over JDBC; filters and columns are pushed to the server.
+NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)*")
 
-    The schema is asked for at once, up to `retries` times, `delay` seconds apart; connections lost later are made again
-    with the task (spark.task.maxFailures).
-    """
+
+def select_sql(table: str, columns: list[str], where: list[tuple[str, str, object]] = (), joins: list[tuple[str, str, str]] = (), aliases: dict[str, str] | None = None) -> str:
+    """What `select` does, as one statement for a server: names are checked, values written as literals, joins (table, left
+    column, right column) are equalities. Empty values and unknown operators are errors, as there."""
+    for name in (table, *columns, *(x for j in joins for x in j), *(k for k, _, _ in where), *(aliases or {}).values()):
+        if not NAME.fullmatch(name):
+            raise ValueError(f"no name of a table or column: {name!r}")
+
+    def literal(v: object) -> str:
+        if isinstance(v, (int, float)) and not isinstance(v, bool):
+            return repr(v)
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        raise ValueError(f"no literal of {type(v).__name__}")
+
+    parts = [f"{c} AS {aliases[c]}" if aliases and c in aliases else c for c in columns]
+    sql = f"SELECT {', '.join(parts)} FROM {table}" + "".join(f" JOIN {t} ON {a} = {b}" for t, a, b in joins)
+    tests = []
+    for key, op, value in where:
+        if value is None or value == "":
+            raise ValueError(f"no value for {key}")
+        if op not in OPERATORS:
+            raise ValueError(f"no operator {op!r}")
+        tests.append(f"{key} {'<>' if op == '!=' else op} {literal(value)}")
+    return sql + (f" WHERE {' AND '.join(tests)}" if tests else "")
+
+
+def connected(load: Callable[[], DataFrame], url: str, retries: int, delay: float) -> DataFrame:
+    """What load gives, asked for up to `retries` times, `delay` seconds apart."""
     for i in range(retries):
         try:
-            return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+            return load()
         except Exception as e:
             if i + 1 == retries:
                 raise RuntimeError(f"no connection to {url} after {retries} tries") from e
             time.sleep(delay)
+
+
+def jdbc(spark: SparkSession, url: str, table: str, retries: int = 3, delay: float = 1.0, split: tuple[str, int, int, int] | None = None, **options) -> DataFrame:
+    """A table over JDBC, or a statement in brackets with a name; filters and columns are pushed to the server.
+
+    The schema is asked for at once, up to `retries` times, `delay` seconds apart; connections lost later are made again
+    with the task (spark.task.maxFailures). split: a column of numbers, its least and greatest value and the number of
+    partitions that read ranges of it.
+    """
+    if split:
+        options |= dict(zip(("partitionColumn", "lowerBound", "upperBound", "numPartitions"), map(str, split)))
+    return connected(lambda: spark.read.format("jdbc").options(url=url, dbtable=table, **options).load(), url, retries, delay)
+
+
+#: Tables of a server's catalog by their role.
+TABLES = {"image": "image", "product": "product", "product_measurement": "product_measurement", "measurement": "measurement"}
+
+
+def server_coverages(spark: SparkSession, url: str, coverage_id: str, product_name: str, bands: list[str] | None = None, tables: dict[str, str] | None = None, **how) -> DataFrame:
+    """`coverages` of an image by one statement: joins, comparisons and the choice of bands run on the server, which sends a row
+    for each band. A single row is kept whatever its band, as `only_bands` does. tables: names where they differ. how: as `jdbc`."""
+    t = TABLES | (tables or {})
+    i, p, pm, m = (t[k] for k in TABLES)
+    columns = [f"{i}.image_identification", f"{i}.path", f"{i}.geom", f"{i}.phenomenon_time", f"{i}.crs", f"{p}.dtype", f"{pm}.band_num", f"{pm}.band_rank", f"{pm}.resolution_m"]
+    joins = [(p, f"{i}.product_key", f"{p}.id"), (pm, f"{i}.product_key", f"{pm}.product_key"), (m, f"{pm}.measurement_key", f"{m}.measurement_key")]
+    where = [(f"{i}.image_identification", "=", coverage_id), (f"{p}.name", "=", product_name), (f"{pm}.band_train", "<>", 0)]
+    aliases = {c: c.split(".")[1] for c in columns}
+    rows = jdbc(spark, url, f"({select_sql(i, columns, where, joins, aliases)}) catalog", **how)
+    rows = rows.toDF(*[c.lower() for c in rows.columns])
+    out = as_coverages(rows)
+    return out if bands is None else only_bands(out, bands)
