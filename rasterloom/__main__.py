@@ -15,19 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rasterloom.plans import jobs
 from rasterloom.plans.queries import QUERIES
-from rasterloom.sources.catalog import Catalog, jdbc
+from rasterloom.sources.catalog import TABLES, Catalog, server_coverages
 from rasterloom.sources.cog import cog_index
 from rasterloom.sources.store import Settings
 
-TABLES = ("image", "product", "product_measurement", "measurement")
-
-
 def job(settings: Settings, method: str, image: str, size: int, bands: int, partitions: int | None = None) -> DataFrame:
     """The tiles that a command asks for."""
     spark, options = settings.session(), settings.options
     spark.conf.set("spark.sql.shuffle.partitions", partitions or settings.partitions)
-    read = (lambda t: jdbc(spark, settings.catalog_url, options.get(t, t))) if settings.catalog_url else (lambda t: spark.read.parquet(options[t]))
-    coverage = Catalog(*map(read, TABLES)).bands(*image.split("/"), jobs.BAND_SETS[bands])
+    if settings.catalog_url:
+        coverage = server_coverages(spark, settings.catalog_url, *image.split("/"), jobs.BAND_SETS[bands], {t: options.get(t, t) for t in TABLES})
+    else:
+        coverage = Catalog(*(spark.read.parquet(options[t]) for t in TABLES)).bands(*image.split("/"), jobs.BAND_SETS[bands])
     codes, zoom = jobs.code_set(spark, size)
     first = coverage.first()
     store = {k: options[k] for k in ("endpoint", "access_key", "secret_key", "region", "timeout") if k in options}

@@ -39,17 +39,25 @@ def meets(a: str, b: str) -> Column:
     return (c(f"{a}xmin") <= c(f"{b}xmax")) & (c(f"{b}xmin") <= c(f"{a}xmax")) & (c(f"{a}ymin") <= c(f"{b}ymax")) & (c(f"{b}ymin") <= c(f"{a}ymax"))
 
 
+#: Buckets that one extent may touch.
+MOST_BUCKETS = 1 << 20
+
+
 def extent_join(a: DataFrame, b: DataFrame, bucket: float) -> DataFrame:
     """Pairs of rows whose extents (BOX columns) meet; the columns of both come prefixed a_ and b_.
 
     An inequality join would compare all pairs. Here each row goes to the buckets of a square grid that its extent
     touches, rows of one bucket are joined by it, and a pair counts in one bucket only: that of the greater of their
-    lower corners. bucket should be near the usual extent; a hot bucket is split by the skew join.
+    lower corners. bucket should be near the usual extent; a hot bucket is split by the skew join. An extent that touches more
+    than MOST_BUCKETS buckets, whatever its rows would be, is an error that says so.
     """
     sides = []
     for df, p in ((a, "a_"), (b, "b_")):
         df = df.toDF(*[p + c for c in df.columns])
-        span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / bucket), F.floor(F.col(hi) / bucket))
+        count = (F.floor(F.col(f"{p}xmax") / bucket) - F.floor(F.col(f"{p}xmin") / bucket) + 1) * (F.floor(F.col(f"{p}ymax") / bucket) - F.floor(F.col(f"{p}ymin") / bucket) + 1)
+        fine = F.when(count > MOST_BUCKETS, F.raise_error(F.lit(f"an extent touches more than {MOST_BUCKETS} buckets of {bucket}: choose larger ones"))).otherwise(F.lit(0)).cast("int")
+        # the check is part of the bucket's number, so that no row is made before it
+        span = lambda lo, hi, fine=fine: F.sequence(F.floor(F.col(lo) / bucket) + fine, F.floor(F.col(hi) / bucket))
         df = df.withColumn("gx", F.explode(span(f"{p}xmin", f"{p}xmax"))).withColumn("gy", F.explode(span(f"{p}ymin", f"{p}ymax")))
         sides.append(df)
     low = lambda v: F.floor(F.greatest(f"a_{v}", f"b_{v}") / bucket)

@@ -231,6 +231,18 @@ def local(a: DataFrame, b: DataFrame, op: Callable[[Column, Column], Column], na
     return a.select(*KEYS, F.col("v").alias("_a")).join(b.select(*KEYS, F.col("v").alias("_b")), KEYS).select(*KEYS, op(F.col("_a"), F.col("_b")).alias(name))
 
 
+def in_order(tiles: DataFrame, keys: list[str], name: str = "place") -> DataFrame:
+    """Rows with their place (from 0) in the order of keys, column, row and band being the usual ones; ties take any order.
+
+    Rows are dealt by ranges and numbered within them; of each range only its number of rows meets the others' in one task.
+    """
+    n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tiles.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()).withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return dealt.join(before, "_part").withColumn(name, F.col("_before") + F.col("_own") - 1).drop("_part", "_own", "_before")
+
+
 def union(layers: list[DataFrame]) -> DataFrame:
     """Layers one after the other, with their ordinal in `layer`."""
     out = None

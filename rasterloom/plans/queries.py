@@ -353,6 +353,11 @@ def zorder(spark, d):
     return px(spark, d).select("band", "y", "x", grid.morton(F.col("x"), F.col("y")).alias("z"))
 
 
+@query(f"WITH {PX} SELECT band, y, x, row_number() OVER (ORDER BY x, y, band) - 1 AS place FROM px")
+def key_order(spark, d):
+    return raster.in_order(px(spark, d).select("band", "y", "x"), ["x", "y", "band"])
+
+
 # Matching
 
 

@@ -6,11 +6,13 @@ import struct
 import time
 import urllib.request
 import zlib
+from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from rasterloom.functions.grid import morton
@@ -180,6 +182,23 @@ def load_images(spark: SparkSession, path: str, layer: str, zoom: int, kind: str
     return found.mapInPandas(run, "col int, row int, image binary")
 
 
+def ensure_images(spark: SparkSession, path: str, layer: str, zoom: int, wanted: DataFrame, compute: Callable[[DataFrame], DataFrame], kind: str = "png", options: dict | None = None) -> DataFrame:
+    """col, row and bytes of the wanted images (col, row): those not stored are computed and stored before.
+
+    compute: tiles for `write_images` from the col and row of those missing; nothing is computed where none is.
+    """
+    wanted = wanted.select("col", "row").distinct()
+    lacking = wanted
+    try:
+        lacking = wanted.join(load_images(spark, path, layer, zoom, kind).select("col", "row"), ["col", "row"], "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    if not lacking.isEmpty():
+        write_images(compute(lacking), layer, zoom, path, kind, options)
+    return load_images(spark, path, layer, zoom, kind, wanted, options)
+
+
 def load_wanted(images: DataFrame, wanted: DataFrame, cached: DataFrame) -> DataFrame:
     """Images wanted and not cached, of those that exist."""
     return images.join(wanted.select("col", "row"), ["col", "row"], "left_semi").join(cached.select("col", "row"), ["col", "row"], "left_anti")

@@ -380,3 +380,23 @@ def test_images_in_a_file_system_by_uri(spark, tmp_path, monkeypatch):
     new = sink.ImageWriter({"path": folder}, True)
     new.commit([new.write(iter([{"col": 1, "row": 2, "image": b"new"}]))])
     assert names_of(tmp_path / "a") == ["1-2.png"] and (tmp_path / "a/1-2.png").read_bytes() == b"new"
+
+
+def test_images_computed_if_absent(spark, tmp_path):
+    asked = []
+
+    def compute(lacking):
+        asked.append(sorted((r.col, r.row) for r in lacking.collect()))
+        return lacking.select("col", "row", F.array(*[F.col("col").cast("double")] * 4).alias("cells"))
+
+    want = lambda *cols: spark.createDataFrame([(c, 1) for c in cols], "col int, row int")
+    get = lambda *cols: {r.col for r in store.ensure_images(spark, str(tmp_path), "a", 3, want(*cols), compute).collect()}
+    assert get(1, 2) == {1, 2} and get(2, 3, 3) == {2, 3} and get(1, 3) == {1, 3}
+    assert asked == [[(1, 1), (2, 1)], [(3, 1)]]
+
+
+def test_extent_of_too_many_buckets(spark):
+    one = spark.createDataFrame([(-180.0, -90.0, 180.0, 90.0)], "xmin double, ymin double, xmax double, ymax double")
+    with pytest.raises(Exception, match="choose larger"):
+        match.extent_join(one, one, 1e-6).collect()
+    assert match.extent_join(one, one, 10.0).count() == 1
