@@ -3,11 +3,12 @@
 A sketch keeps every shingle hash (48 bits) below one fixed fraction, 1 / `scale`, of the range, whatever the text, so its
 size follows the text's, the union of two sketches is the sketch of both texts' shingles, and the share of one sketch found
 in another estimates how much of one text the other contains, however unequal they are. With m hashes kept of two texts'
-shingles together the resemblance's error is about sqrt(J (1 - J) / m).
+shingles together the resemblance's error is about sqrt(J (1 - J) / m). A text none of whose hashes is below the fraction
+keeps its smallest one, so that only texts without words have nothing; sketches merge as before, as the smallest hash of two
+texts together is the smaller of theirs.
 
-Edge cases: a null text counts as empty; an empty or blank text has the empty fingerprint "2:" (the scale and a colon), as
-may a text of few shingles, with a chance of (1 - 1 / scale) to the power of their number; two empty fingerprints are alike
-(1), an empty and another one are not (0). Rows that share a doc_id are ordered by a hash of the text, then by text; a null
+Edge cases: a null text counts as empty; an empty or blank text has the empty fingerprint "2:" (the scale and a colon); two
+empty fingerprints are alike (1), an empty and another one are not (0). Rows that share a doc_id are ordered by a hash of the text, then by text; a null
 doc_id comes after all others. Other columns are ignored by `edited_pairs` except those named in it.
 """
 
@@ -34,21 +35,24 @@ class Sketcher:
         self.limit = np.uint64((1 << BITS) // scale)
 
     def sketch(self, texts: pa.Array) -> list[np.ndarray]:
-        """The sorted distinct hashes kept of each text."""
+        """The sorted distinct hashes kept of each text: those below the limit, and the smallest."""
         out = []
         for lo, hi, raw, at in K.text_chunks(texts):
             start, end, first = K.word_bounds(raw, at)
             h, rows = K.shingles(K.word_hashes(raw, start, end), first, self.width)
             h = h >> np.uint64(64 - BITS)
-            keep = h < self.limit
+            least = np.full(hi - lo, np.iinfo(np.uint64).max, np.uint64)
+            np.minimum.at(least, rows, h)
+            # the smallest is below the limit where any is, so it matters for the others only
+            keep = (h < self.limit) | (h == least[rows])
             h, first = K.distinct_sorted(h[keep], rows[keep], hi - lo)
             out += [h[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
         return out
 
-    @staticmethod
-    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The sketch of the union of two texts' shingles."""
-        return np.union1d(a, b)
+        both = np.union1d(a, b)
+        return both[: max(1, int(np.searchsorted(both, self.limit)))]
 
     @staticmethod
     def compare(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:

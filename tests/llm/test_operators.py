@@ -115,7 +115,20 @@ def test_merged_sketches_are_those_of_the_union(texts):
     width = lambda t: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t)) else set()
     x, y = s.sketch(pa.array(parts))
     alone = {w: set(s.sketch(pa.array([" ".join(w)]))[0].tolist()) for w in width(parts[0]) | width(parts[1])}
-    assert set(s.merge(x, y).tolist()) == set().union(*alone.values())
+    # of a shingle alone the sketch is its hash
+    every = {h for own in alone.values() for h in own}
+    assert all(len(own) == 1 for own in alone.values())
+    assert set(s.merge(x, y).tolist()) == {h for h in every if h < s.limit or h == min(every)}
+
+
+def test_texts_of_few_shingles_have_fingerprints():
+    """Two short texts with nothing in common are not alike, whichever hashes they have; equal ones are; none is empty but those without words."""
+    s = fingerprints.Sketcher(scale=8)
+    texts = [f"a{i} b{i} c{i} d{i} e{i}" + " f" * (i % 3) for i in range(200)]
+    prints = s.sketch(pa.array([*texts, "", " ", None]))
+    assert all(len(x) for x in prints[:200]) and not any(len(x) for x in prints[200:])
+    assert all(s.compare(x, y)[0] == 0 for x, y in zip(prints, prints[1:200])) and all(s.compare(x, x.copy())[0] == 1 for x in prints[:200])
+    assert s.compare(prints[0], prints[200])[0] == 0
 
 
 # 2
