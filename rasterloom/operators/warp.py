@@ -107,37 +107,61 @@ def window(x: np.ndarray, y: np.ndarray, tile: int, col: int, row: int, width: i
     return part, mine[part], (y[part] - row * tile) * tile + x[part] - col * tile
 
 
-def paint(tiles: DataFrame, zoom: int, size: int = 256, tolerance: float = 0.05) -> DataFrame:
+def paint(tiles: DataFrame, zoom: int, size: int = 256, tolerance: float = 0.05, kept: int = 32) -> DataFrame:
     """File tiles (SOURCE columns) as rectangles of requested ones: source, band, col, row, y and x (of the rectangle's first cell
-    in the tile), w, and cells, null where another file tile or none has the cell."""
+    in the tile), w, and cells, null where another file tile or none has the cell.
+
+    What several tiles of one source paint of a requested tile is put together in the task before it is sent, for the `kept`
+    requested tiles painted last.
+    """
     kind = tiles.schema["cells"].dataType.simpleString()
     band = tiles.schema["band"].dataType.simpleString()
     source = tiles.schema["source"].dataType.simpleString()
     names = ["source", "band", "col", "row", "y", "x", "w", "cells"]
 
     def run(batches):
-        mapper = Mapper(zoom, size, tolerance)
+        mapper, held, types = Mapper(zoom, size, tolerance), OrderedDict(), None
+
+        def sent(keys):
+            out = [[] for _ in names]
+            for key in keys:
+                cells, filled = held.pop(key)
+                rows, cols = np.flatnonzero(filled.any(axis=1)), np.flatnonzero(filled.any(axis=0))
+                part = slice(rows[0], rows[-1] + 1), slice(cols[0], cols[-1] + 1)
+                own = pa.array(cells[part].ravel(), types[2], mask=~filled[part].ravel())
+                for k, v in enumerate((*key, int(rows[0]), int(cols[0]), int(cols[-1] - cols[0] + 1), own)):
+                    out[k].append(v)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out[7])]), pa.int32()), pa.concat_arrays(out[7]))
+            return pa.RecordBatch.from_arrays([*(pa.array(v, t) for v, t in zip(out[:7], (*types[:2], *[pa.int32()] * 5))), lists], names)
+
         for b in batches:
             at = {c: b.column(b.schema.names.index(c)) for c in SOURCE}
+            types = at["source"].type, at["band"].type, at["cells"].type.value_type
             plain = {c: at[c].to_pylist() for c in SOURCE if c != "cells"}
             for i in range(b.num_rows):
                 own = {c: v[i] for c, v in plain.items()}
                 values = at["cells"][i].values
-                out = [[] for _ in names]
-                tile, col, row = own["tile"], own["col"], own["row"]
+                has, values = values.is_valid().to_numpy(zero_copy_only=False), values.fill_null(0).to_numpy(zero_copy_only=False)
                 for code in own["codes"]:
                     x, y = mapper(own["crs"], (own["x_min"], own["y_max"], own["cell_w"], own["cell_h"]), code["col"], code["row"])
-                    if not (found := window(x, y, tile, col, row, own["width"], own["height"])):
+                    if not (found := window(x, y, own["tile"], own["col"], own["row"], own["width"], own["height"])):
                         continue
                     (rows, cols), mine, index = found
-                    cells = values.take(pa.array(index.ravel(), mask=~mine.ravel()))
-                    if cells.null_count < len(cells):
-                        for k, v in enumerate((own["source"], own["band"], code["col"], code["row"], rows.start, cols.start, cols.stop - cols.start, cells)):
-                            out[k].append(v)
-                if out[0]:
-                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out[7])]), pa.int32()), pa.concat_arrays(out[7]))
-                    plain_columns = [pa.array(v, t) for v, t in zip(out[:7], (at["source"].type, at["band"].type, *[pa.int32()] * 5))]
-                    yield pa.RecordBatch.from_arrays([*plain_columns, lists], names)
+                    (r, c), index = np.nonzero(mine), index[mine]
+                    good = has[index]
+                    if not good.any():
+                        continue
+                    key = own["source"], own["band"], code["col"], code["row"]
+                    if key not in held:
+                        held[key] = np.zeros((size, size), values.dtype), np.zeros((size, size), bool)
+                    cells, filled = held[key]
+                    held.move_to_end(key)
+                    r, c = r[good] + rows.start, c[good] + cols.start
+                    cells[r, c], filled[r, c] = values[index[good]], True
+                if len(held) > kept:
+                    yield sent(list(held)[: len(held) - kept])
+        while held:
+            yield sent(list(held)[:8])
 
     return tiles.select(*SOURCE).mapInArrow(run, f"source {source}, band {band}, col int, row int, y int, x int, w int, cells {kind}")
 
@@ -164,6 +188,8 @@ def merge(parts: DataFrame, size: int = 256) -> DataFrame:
                         yield done()
                     key, form = (band_, col, row), (b.column(0).type, values.type)
                     cells, clear = np.zeros((size, size), values.type.to_pandas_dtype()), np.ones((size, size), bool)
+                if not clear.any():
+                    continue  # earlier sources have filled the tile
                 has = values.is_valid().to_numpy(zero_copy_only=False).reshape(-1, w)
                 own = values.fill_null(0).to_numpy(zero_copy_only=False).reshape(-1, w)
                 part = slice(y, y + len(has)), slice(x, x + w)

@@ -77,6 +77,21 @@ def test_plan_has_no_row_for_each_pixel(spark, image):
     assert tiles.count() <= 4 and "Generate posexplode" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_rectangles_of_a_source_are_put_together(spark, image):
+    """Many small tiles of a file send one rectangle for each requested tile that they paint, also where few are kept at once."""
+    _, index, coverage = image
+    codes = spark.createDataFrame([(206, 104), (206, 105)], "col int, row int")
+    pairs = jobs.file_codes(jobs.level_tiles(coverage, index, 8), codes, 8, 4326, 0.5)
+    source = jobs.as_source(cog.read_tiles(jobs.grouped(pairs).coalesce(1), "uint16"), 4326)
+    every = {}
+    for kept in (32, 1, 0):
+        parts = warp.paint(source, 8, 64, kept=kept)
+        every[kept] = {(r.band, r.col, r.row, tuple(r.cells)) for r in warp.merge(parts, 64).collect()}
+        assert parts.count() >= parts.select("source", "col", "row").distinct().count()
+    assert warp.paint(source.repartition(1), 8, 64).count() == source.select("source", F.explode("codes")).distinct().count() < pairs.count()
+    assert every[32] == every[1] == every[0]
+
+
 def test_a_usual_tile(spark):
     """Tiles of 256 cells a side to tile form and back, in seconds."""
     px = spark.range(16 * 65536).select(F.lit(1).alias("band"), F.floor(F.col("id") / 1024).cast("int").alias("y"), (F.col("id") % 1024).cast("int").alias("x"), F.col("id").cast("int").alias("v"))
