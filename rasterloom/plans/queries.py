@@ -185,9 +185,9 @@ def requested(spark, d) -> DataFrame:
     return table(spark, d, "supplier").select((206 + F.col("s_suppkey") % 2).cast("int").alias("col"), (103 + F.col("s_nationkey") % 3).cast("int").alias("row")).distinct()
 
 
-def file_rows(spark, d) -> DataFrame:
-    """The test raster as tiles of three files, of which the later ones have fewer bands, with the requested tiles each one meets."""
-    tiles, out = raster.to_tiles(px(spark, d), 16), None
+def file_rows(spark, d, tiles: DataFrame) -> DataFrame:
+    """Tiles of the test raster as those of three files, of which the later ones have fewer bands, with the requested tiles each one meets."""
+    out = None
     for i, (crs, west, north, cell) in enumerate(FILES):
         box = match.cog_tile_extent(F.col("row"), F.col("col"), F.lit(0), F.lit(west), F.lit(north), F.lit(cell), F.lit(cell), 16)
         own = tiles.where(F.col("band") % 3 >= i).select("band", "col", "row", *box)
@@ -199,16 +199,28 @@ def file_rows(spark, d) -> DataFrame:
     return out
 
 
-@query(f"""WITH {PX}, c AS (SELECT DISTINCT 206 + s_suppkey % 2 AS c, 103 + s_nationkey % 3 AS r FROM supplier),
+#: The nearest cells of the first file that has data, of a raster r, in the requested tiles.
+WARPED = f"""c AS (SELECT DISTINCT 206 + s_suppkey % 2 AS c, 103 + s_nationkey % 3 AS r FROM supplier),
   g AS (SELECT c * 32 + i AS x, r * 32 + j AS y, (c * 32 + i + 0.5) / 8192 * 360 - 180 AS lon, degrees(2 * atan(exp(pi() * (1 - 2 * (r * 32 + j + 0.5) / 8192))) - pi() / 2) AS lat, 111 AS lon0
     FROM c CROSS JOIN range(32) a(i) CROSS JOIN range(32) b(j)), {TM.format("g")},
   m AS (SELECT x, y, 0 AS source, lon AS e, lat AS n FROM g UNION ALL SELECT x, y, 1, 6378137.0 * radians(lon), 6378137.0 * atanh(sin(radians(lat))) FROM g UNION ALL SELECT x, y, 2, e, n FROM tm),
-  f(source, west, north, cell) AS (VALUES {", ".join(f"({i}, {w}::DOUBLE, {n}::DOUBLE, {c}::DOUBLE)" for i, (_, w, n, c) in enumerate(FILES))}),
-  k AS (SELECT m.x, m.y, px.band, px.v, row_number() OVER (PARTITION BY m.x, m.y, px.band ORDER BY source) AS rank FROM m JOIN f USING (source)
-    JOIN px ON px.x = floor((e - west) / cell) AND px.y = floor((north - n) / cell) AND px.band % 3 >= source WHERE px.v IS NOT NULL)
-  SELECT band, CAST(y AS INT) AS y, CAST(x AS INT) AS x, v FROM k WHERE rank = 1""")
+  files(source, west, north, cell) AS (VALUES {", ".join(f"({i}, {w}::DOUBLE, {n}::DOUBLE, {c}::DOUBLE)" for i, (_, w, n, c) in enumerate(FILES))}),
+  k AS (SELECT m.x, m.y, r.band, r.v, row_number() OVER (PARTITION BY m.x, m.y, r.band ORDER BY source) AS rank FROM m JOIN files f USING (source)
+    JOIN r ON r.x = floor((e - west) / cell) AND r.y = floor((north - n) / cell) AND r.band % 3 >= source WHERE r.v IS NOT NULL)
+  SELECT band, CAST(y AS INT) AS y, CAST(x AS INT) AS x, v FROM k WHERE rank = 1"""
+
+
+@query(f"WITH {PX}, r AS (SELECT * FROM px), {WARPED}")
 def warp_tiles(spark, d):
-    return raster.from_tiles(warp.warp(file_rows(spark, d), 8, 32, tolerance=0), 32)
+    return raster.from_tiles(warp.warp(file_rows(spark, d, raster.to_tiles(px(spark, d), 16)), 8, 32, tolerance=0), 32)
+
+
+@query(f"""WITH {GRID}, h AS (SELECT band, y, x, sum(v) OVER w AS s, count(v) OVER w AS n FROM grid WINDOW w AS (PARTITION BY band, y ORDER BY x RANGE BETWEEN 20 PRECEDING AND 20 FOLLOWING)),
+  q AS (SELECT band, y, x, sum(s) OVER w AS s, sum(n) OVER w AS n FROM h WINDOW w AS (PARTITION BY band, x ORDER BY y RANGE BETWEEN 20 PRECEDING AND 20 FOLLOWING)),
+  r AS (SELECT band, y, x, CAST(s // n AS BIGINT) AS v FROM q WHERE n > 0 AND (band, x // 16, y // 16) IN (SELECT (band, x // 16, y // 16) FROM px)), {WARPED}""")
+def raw_focal_mean(spark, d):
+    mean = halo.focal_mean(raster.to_tiles(px(spark, d), 16), 16, 20)
+    return raster.from_tiles(warp.warp(file_rows(spark, d, mean), 8, 32, tolerance=0), 32)
 
 
 @query(f"""WITH {PTS}, c AS (SELECT DISTINCT floor((lon + 180) / 360 * 64) AS c, floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * 64) AS r FROM pts WHERE lat > 0.1),
