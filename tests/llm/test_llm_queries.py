@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import re
 import struct
 import zlib
 from collections import Counter
@@ -31,6 +32,11 @@ COLUMNS = {
 pytestmark = pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables")
 
 
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
 @pytest.fixture(scope="module")
 def texts(spark):
     return {r.doc_id: r for r in table(spark, DATA, "documents").collect()}
@@ -53,6 +59,11 @@ def test_query(spark, texts, name):
             t, n = texts[r.doc_id].text or "", texts[order[(order.index(r.doc_id) + 1) % len(order)]].text or ""
             edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
             assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+            for near, other in ((r.near_edited, edited), (r.near_next, n)):
+                # the estimate at the query's own scale, within five standard errors of about half the shingles
+                a, b = shingles(t), shingles(other)
+                like = len(a & b) / len(a | b) if a | b else 1.0
+                assert abs(near - like) <= 5 * (like * (1 - like) / max(1, len(a | b) / 2)) ** 0.5 + 1e-9
     if name == "op2_vector_search":
         ids = {r.vec_id for r in table(spark, DATA, "embeddings").collect()}
         assert Counter(r.query_id for r in rows) == Counter({i: 5 for i in ids if i % 50 == 0})
