@@ -235,9 +235,11 @@ def in_order(tiles: DataFrame, keys: list[str], name: str = "place") -> DataFram
     """Rows with their place (from 0) in the order of keys, column, row and band being the usual ones; ties take any order.
 
     Rows are dealt by ranges and numbered within them; of each range only its number of rows meets the others' in one task.
+    The ranges are found by a sample, which another evaluation could take otherwise, so the dealt rows are kept (persist):
+    both uses, and tasks that are run again, read one dealing.
     """
     n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tiles.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()).withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
+    dealt = tiles.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()).withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*keys))).persist()
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     return dealt.join(before, "_part").withColumn(name, F.col("_before") + F.col("_own") - 1).drop("_part", "_own", "_before")

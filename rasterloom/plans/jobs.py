@@ -101,6 +101,12 @@ def operator_of(name: str, zoom: int, radius: int | None = None) -> tuple[int, h
     raise ValueError(f"no operator {name!r}; there are {', '.join(OPERATORS)}")
 
 
+def run_operator(name: str, tiles: DataFrame, size: int, zoom: int, radius: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Tiles of a neighbourhood operator by the name that a request gives, over layers told apart by keys (band, if not given)."""
+    reach, kernel = operator_of(name, zoom, radius)
+    return halo.apply_with_halo(tiles, size, reach, kernel, "bigint", keys)
+
+
 def to_crs(lon: Column, lat: Column, crs: int | str) -> tuple[Column, Column]:
     """Geographic coordinates in a source's system, by its EPSG code or definition."""
     return system(crs).forward(lon, lat)
@@ -215,7 +221,7 @@ def visible_tile_layer(coverage: DataFrame, index: DataFrame, codes: DataFrame,
     pairs = file_codes(own, codes, zoom, epsg, bucket)
     strategy, shared = METHODS[method]
     if operator:
-        reach, kernel = operator_of(operator, zoom, radius)
+        reach, _ = operator_of(operator, zoom, radius)
         sizes = index.select("tile").distinct().limit(2).collect()
         if len(sizes) > 1:
             raise ValueError("an operator on files' own tiles needs tiles of one size")
@@ -226,7 +232,7 @@ def visible_tile_layer(coverage: DataFrame, index: DataFrame, codes: DataFrame,
         met = around(pairs.select(*keys).distinct(), -(-reach // size))
         near = own.join(met, keys, "left_semi").select(*(c for c in pairs.columns if c in own.columns))
         read = cut_padding(read_tiles(near, dtype, options=options, files=files))
-        made = halo.apply_with_halo(read, size, reach, kernel, "bigint", ["path", "level", "band"])
+        made = run_operator(operator, read, size, zoom, radius, ["path", "level", "band"])
         return warp(as_source(made.join(grouped(pairs), keys), epsg), zoom, tile, tolerance)
     if strategy == "forward":
         if files is not None:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.operators import raster
-from rasterloom.plans.jobs import OPERATORS, incremental_job, run_operator
+from rasterloom.plans.jobs import OPERATORS, RADII, incremental_job, run_operator
 
 SIDE = 12
 
@@ -130,10 +130,11 @@ def test_jobs(spark, px):
     whole = plane(raster.focal_mean(px, 1), "mean")
     for r in job:
         assert r.cells == [whole[r.row * 3 + i // 3, r.col * 3 + i % 3] for i in range(9)]
+    tiles = raster.to_tiles(px, 3)
     for name in OPERATORS:
-        assert run_operator(name, px).columns == ["band", "y", "x", "v"]
+        assert run_operator(name, tiles, 3, 11, **({"radius": 2} if name in RADII else {})).columns == ["band", "col", "row", "cells"]
     with pytest.raises(ValueError):
-        run_operator("nothing", px)
+        run_operator("nothing", tiles, 3, 11)
 
 
 @pytest.mark.parametrize("strip", [4, 4096])
@@ -164,3 +165,17 @@ def test_no_cross_joins(spark):
     for df in (raster.focal_mean(px, 2), raster.focal_mean_by_prefix(px, 2), raster.focal_mean_tiles(px, 2, 4, px.select("x", "y").toDF("col", "row"))):
         plan = df._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_in_order(spark):
+    """Places by several keys, with other columns beside them, ties and nulls, over several ranges."""
+    import random
+
+    rng = random.Random(1)
+    rows = [(rng.choice([None, 1, 2, 3]), rng.randrange(40), f"r{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "a int, b int, name string").repartition(7)
+    got = raster.in_order(df, ["a", "b"]).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(3000))
+    key = lambda r: (r.a is not None, r.a or 0, r.b)
+    assert [key(r) for r in got] == sorted(key(r) for r in got) and {r.name for r in got} == {r[2] for r in rows}
+    assert raster.in_order(df.limit(0), ["a"]).count() == 0
