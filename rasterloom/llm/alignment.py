@@ -89,6 +89,8 @@ class Aligner:
     def __init__(self, a: str, b: bytes):
         self.a, self.b = Encoder(a, special=False), Pieces(b)
         size = 1 + max(*self.a.bytes_of, len(self.b.bytes_of))
+        if size > 1 << 24:
+            raise ValueError("vocabularies of at most 2**24 ids")
         self.a_size, self.b_size = np.zeros(size, np.int64), np.array([len(x) for x in self.b.bytes_of], np.int64)
         for i, x in self.a.bytes_of.items():
             self.a_size[i] = len(x)
@@ -102,12 +104,13 @@ class Aligner:
         spaced = f" {text}"
         a, b = np.frombuffer(b"".join(map(self.a, parts(spaced))), "<u4").astype(np.int64), self.b(text)
         data = spaced.encode()
-        if b"".join(map(self.b.bytes_of.__getitem__, b)) != data or b"".join(map(self.a.bytes_of.__getitem__, a.tolist())) != data:
+        # A's tokens are cuts of the bytes, which can only be too few; a model of pieces may have changed some
+        if self.a_size[a].sum() != len(data) or b"".join(map(self.b.bytes_of.__getitem__, b)) != data:
             return none
         return a, np.array(b, np.int64)
 
     def __call__(self, texts: list[str | None]) -> list[pa.Array]:
-        """n_a, n_b, n_groups, n_links, groups and links of each text."""
+        """n_a, n_b, n_groups, n_links, groups and links of each text, of at most 32,768."""
         both = [self.tokens(t) for t in texts]
         n_a, n_b = (np.array([len(x[k]) for x in both], np.int64) for k in (0, 1))
         a, b = (np.concatenate([x[k] for x in both]) for k in (0, 1))
@@ -124,15 +127,12 @@ class Aligner:
         # links: each member of a component on side A with the members on side B from first to last
         count = last - first + 1
         to = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-        code = (np.repeat(a, count) << 32) | b[to]
-        doc = np.repeat(doc_a, count)
-        n_links = np.bincount(doc, minlength=len(texts))
-        order = np.argsort(code, kind="stable")
-        order = order[np.argsort(doc[order].astype(np.uint16) if len(texts) < 65536 else doc[order], kind="stable")]
-        code, doc = code[order], doc[order]
-        new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])]))
-        times = np.diff(np.append(new, len(code)))
-        links = self.lists(np.bincount(doc[new], minlength=len(texts)), code[new] >> 32, code[new] & 0xFFFFFFFF, times)
+        n_links = np.bincount(doc_a, count, minlength=len(texts)).astype(np.int64)
+        # text and both ids in one number, so that one sort brings equal pairs of a text together
+        code = np.sort((np.repeat((doc_a << 48) | (a << 24), count) | b[to]).astype(np.uint64))
+        new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        times, code = np.diff(np.append(new, len(code))), code[new].astype(np.int64)
+        links = self.lists(np.bincount(code >> 48, minlength=len(texts)), (code >> 24) & 0xFFFFFF, code & 0xFFFFFF, times)
         # written: each group's A ids, then its B ids
         end_a, end_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         end_a[np.cumsum(in_a) - 1] = 1
@@ -168,8 +168,9 @@ def align(docs: DataFrame, a: str, b: str) -> DataFrame:
         for batch in batches:
             _, at = K.string_bytes(batch.column(1))
             for lo, hi in K.chunks(np.diff(at), 1 << 20):
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), *aligner(part.column(1).to_pylist())], NAMES)
+                for start in range(lo, hi, 1 << 15):
+                    part = batch.slice(start, min(1 << 15, hi - start))
+                    yield pa.RecordBatch.from_arrays([part.column(0), *aligner(part.column(1).to_pylist())], NAMES)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(trimmed(run), "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, links array<struct<a:int,b:int,n:int>>")
