@@ -96,12 +96,19 @@ def match_forward(tiles: DataFrame, codes: DataFrame, bucket: float, form: Calla
 
 
 def visible_tiles(tiles: DataFrame, codes: DataFrame, bucket: float, strategy: str = "inverted") -> DataFrame:
-    """Pairs (id, col, row) by either strategy; both give the same rows."""
-    if strategy == "inverted":
-        return match_inverted(tiles, codes, bucket).select("id", F.inline("codes"))
-    if strategy == "forward":
-        return match_forward(tiles, codes, bucket).select(F.explode("tiles").alias("id"), "col", "row")
-    raise ValueError(f"no strategy {strategy!r}")
+    """Pairs (id, col, row) by either strategy; both give the same rows.
+
+    Different extents are joined once, and their pairs brought back to the rows by equal extents, those of the file tiles first
+    (inverted) or those of the requested ones (forward). No row holds a list.
+    """
+    if strategy not in ("inverted", "forward"):
+        raise ValueError(f"no strategy {strategy!r}")
+    sides = {"a": tiles.select("id", *BOX), "b": codes.select("col", "row", *BOX)}
+    met = extent_join(*(df.select(*BOX).dropna().distinct() for df in sides.values()), bucket)
+    for p in "ab" if strategy == "inverted" else "ba":
+        own = sides[p].toDF(*(f"{p}_{c}" if c in BOX else c for c in sides[p].columns))
+        met = own.join(met, [f"{p}_{c}" for c in BOX])
+    return met.select("id", "col", "row")
 
 
 def codes_by_bands(codes: DataFrame, bands: list[str]) -> DataFrame:
