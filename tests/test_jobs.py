@@ -206,7 +206,7 @@ def test_command_line(capsys):
 @pytest.mark.parametrize("method", ["22", "focalMean", "focalMeanV2", "slopeV2"])
 def test_a_command(spark, tmp_path, method):
     """From settings, catalog tables and files to the tiles of a set."""
-    from rasterloom.__main__ import job
+    from rasterloom.__main__ import job, main
 
     a = np.random.default_rng(9).integers(1, 500, (300, 220)).astype("<u2")
     (tmp_path / "files").mkdir()
@@ -217,7 +217,7 @@ def test_a_command(spark, tmp_path, method):
         "product_measurement": [{"product_key": 1, "measurement_key": 7, "band_num": "B1", "band_rank": 1, "band_train": 1, "resolution_m": 500.0}],
         "measurement": [{"measurement_key": 7}],
     }
-    lines = ["env: local", f"files: {tmp_path}/files", "bucket: 0.2", "tile: 16"]
+    lines = ["env: local", f"files: {tmp_path}/files", "bucket: 0.2", "tile: 16", f"store: {tmp_path}/out"]
     for name, rows in tables.items():
         spark.createDataFrame(rows).write.parquet(str(tmp_path / name))
         lines.append(f"{name}: {tmp_path / name}")
@@ -225,6 +225,9 @@ def test_a_command(spark, tmp_path, method):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         got = {(r.col, r.row): np.array(r.cells, object).reshape(16, 16) for r in job(Settings.load(str(tmp_path / "s.yml")), method, "im/LC", 0, 2, 4).collect()}
+        if method == "focalMean":
+            assert main([str(tmp_path / "s.yml"), method, "im/LC", "0", "2", "4", "mean.jpg"]) == 0
+            assert sorted(p.name for p in (tmp_path / "out/mean/11/jpg").iterdir()) == ["1680-842.jpg", "1680-844.jpg", "1681-842.jpg", "1681-844.jpg"]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got.keys() == {(1680, 842), (1681, 842), (1680, 844), (1681, 844)}
