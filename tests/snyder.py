@@ -1,9 +1,7 @@
-"""Universal Transverse Mercator by the published series (Snyder, 1987), as column expressions."""
+"""Universal Transverse Mercator by another published series (Snyder, 1987), which the library's is held against."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, functions as F
 
 # WGS 84 and the UTM projection
@@ -28,22 +26,3 @@ def to_utm(lon: Column, lat: Column, zone: int, south: bool = False) -> tuple[Co
     x = n * (a + (1 - t + c) * F.pow(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * EP2) * F.pow(a, 5) / 120)
     y = n * F.tan(phi) * (F.pow(a, 2) / 2 + (5 - t + 9 * c + 4 * c * c) * F.pow(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * EP2) * F.pow(a, 6) / 720)
     return K0 * x + EASTING, K0 * (meridian_arc(phi) + y) + (NORTHING if south else 0.0)
-
-
-def from_utm(x: Column, y: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
-    """Longitude and latitude in degrees."""
-    mu = (y - (NORTHING if south else 0.0)) / K0 / (A * (1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256))
-    e = (1 - math.sqrt(1 - E2)) / (1 + math.sqrt(1 - E2))
-    phi = (
-        mu + (3 * e / 2 - 27 * e**3 / 32) * F.sin(2 * mu) + (21 * e**2 / 16 - 55 * e**4 / 32) * F.sin(4 * mu)
-        + 151 * e**3 / 96 * F.sin(6 * mu) + 1097 * e**4 / 512 * F.sin(8 * mu)
-    )
-    s = 1 - E2 * F.pow(F.sin(phi), 2)
-    n, r = A / F.sqrt(s), A * (1 - E2) / F.pow(s, 1.5)
-    t, c, d = F.pow(F.tan(phi), 2), EP2 * F.pow(F.cos(phi), 2), (x - EASTING) / (n * K0)
-    lat = phi - n * F.tan(phi) / r * (
-        F.pow(d, 2) / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * EP2) * F.pow(d, 4) / 24
-        + (61 + 90 * t + 298 * c + 45 * t * t - 252 * EP2 - 3 * c * c) * F.pow(d, 6) / 720
-    )
-    lon = (d - (1 + 2 * t + c) * F.pow(d, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * EP2 + 24 * t * t) * F.pow(d, 5) / 120) / F.cos(phi)
-    return F.degrees(lon) + (6 * zone - 183), F.degrees(lat)
