@@ -4,7 +4,7 @@ d(x, y) = 1 - |x & y| / |x | y| is a metric; two sets link at d <= r. Pivots are
 the region of its nearest pivot, if that is within 2 r, else to a rest without a pivot. A pair is found in the region of
 its earlier pivot, the rest being the last: the other set is copied there as a window copy if it is within the region's
 own radius plus r of the pivot, and no more than 2 r farther from it than from its own pivot (triangle inequality).
-Regions are split again until they are small, hold one component, or split no more.
+Regions are split again, however small, until they hold one set or one component, or split no more.
 """
 
 from __future__ import annotations
@@ -90,7 +90,7 @@ class Space:
             if other.any():
                 self.distances(int(rows[i]), rows[other])
 
-    def join(self, core: np.ndarray | None = None, most: int = 8, leaf: int = 16) -> np.ndarray:
+    def join(self, core: np.ndarray | None = None, most: int = 8, leaf: int = 1) -> np.ndarray:
         """The component of every set, counting all links of a set that is not a window copy."""
         todo = [(np.arange(len(self.n)), np.ones(len(self.n), bool) if core is None else core)] if len(self.n) else []
         while todo:
