@@ -32,13 +32,12 @@ def strips(tiles: DataFrame, keys: list[str], size: int, radius: int) -> DataFra
     """Every tile (keys, col, row, cells) for itself, and its strips for the tiles around: dc and dr tell how many tiles a strip has come."""
     ring, names = -(-radius // size), [*keys, "col", "row", "dc", "dr", "cells"]
     steps = [(dc, dr) for dc in range(-ring, ring + 1) for dr in range(-ring, ring + 1)]
-    grid = np.arange(size * size).reshape(size, size)
-    index = {}
-    for dc, dr in steps:
-        (x0, x1), (y0, y1) = span(dc, size, radius), span(dr, size, radius)
-        index[dc, dr] = pa.array(grid[y0:y1, x0:x1].ravel())
 
     def run(batches):
+        grid, index = np.arange(size * size).reshape(size, size), {}
+        for dc, dr in steps:
+            (x0, x1), (y0, y1) = span(dc, size, radius), span(dr, size, radius)
+            index[dc, dr] = pa.array(grid[y0:y1, x0:x1].ravel())
         for b in batches:
             cells = b.column(len(keys) + 2)
             own = [b.column(i) for i in range(len(keys))]

@@ -275,7 +275,7 @@ def forward_tiles(pairs: DataFrame, zoom: int, epsg: int | str, dtype: str, size
                 take = mine & clear[part]
                 if not take.any():
                     continue
-                place = own["path"], own["offset"]
+                place = own["path"], own["offset"], own["sample"]
                 values = known.get(place)
                 if values is None:
                     values = tile_cells(own, reader(own["path"], own["offset"], own["byte_count"]), dtype)

@@ -68,6 +68,30 @@ def test_visible_layer(spark, tmp_path, epsg):
         jobs.to_crs(F.lit(0.0), F.lit(0.0), 9)
 
 
+@pytest.mark.parametrize("planar", [1, 2])
+def test_samples_of_one_file_as_bands(spark, tmp_path, planar):
+    """A file of three samples, each a band by the coverage's column sample, by every method and before placing."""
+    rng = np.random.default_rng(7)
+    a = rng.integers(1, 999, (120, 100, 3)).astype("<u2")
+    write_cog(str(tmp_path / "a.tif"), [a], (110.0, 31.0), 0.01, tile=32, planar=planar, compression=5, predictor=2, big=True)
+    index = cog.cog_index(spark, str(tmp_path))
+    coverage = spark.createDataFrame([(f"{tmp_path}/a.tif", 10 + k, 1000.0, k) for k in range(3)], "path string, measurement_rank int, resolution double, sample int")
+    codes = spark.createDataFrame([(206, 104), (206, 105)], "col int, row int")
+    layer = lambda **how: {(r.band, r.y, r.x): r.v for r in jobs.visible_layer(coverage, index, codes, 8, 4326, "uint16", 0.5, 16, tolerance=0, **how).collect()}
+    want = {}
+    for row in (104, 105):
+        lon, lat = warp.centres(206, row, 8, 16)
+        for j in range(16):
+            for i in range(16):
+                x, y = math.floor((lon[i] - 110) / 0.01), math.floor((31 - lat[j]) / 0.01)
+                if 0 <= x < 100 and 0 <= y < 120:
+                    for k in range(3):
+                        want[10 + k, row * 16 + j, 206 * 16 + i] = int(a[y, x, k])
+    assert want and all(layer(method=m) == want for m in jobs.METHODS)
+    mean = layer(operator="focalMean", radius=0)
+    assert mean == want
+
+
 def test_plan_has_no_row_for_each_pixel(spark, image):
     """Between files and requested tiles no step has as many rows as there are cells."""
     _, index, coverage = image
