@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rasterloom.functions import grid, projection, scalar, tables
-from rasterloom.operators import halo, match, raster, warp
+from rasterloom.operators import halo, levels, match, raster, warp
 from rasterloom.plans import jobs
 from rasterloom.sources import catalog as cat
 
@@ -177,6 +177,14 @@ def slope_tiles(spark, d):
     return raster.from_tiles(halo.terrain(raster.to_tiles(px(spark, d), 16), 16, "slope", CELL), 16).withColumnRenamed("v", "slope")
 
 
+@query(f"WITH {PX} SELECT CAST(k AS INT) AS level, CAST(band AS INT) AS band, CAST(y // (1 << k) AS INT) AS y, CAST(x // (1 << k) AS INT) AS x, round(avg(v), 6) AS v FROM px CROSS JOIN range(4) r(k) GROUP BY ALL")
+def pyramid_of_tiles(spark, d):
+    tiles = levels.pyramid_tiles(raster.to_tiles(px(spark, d), 16), 3, 16)
+    # the level goes along in the band's number
+    flat = raster.from_tiles(tiles.withColumn("band", F.col("band") * 10 + F.col("level")), 16)
+    return flat.select((F.col("band") % 10).alias("level"), F.floor(F.col("band") / 10).cast("int").alias("band"), "y", "x", F.round("v", 6).alias("v"))
+
+
 #: Three files of 64 x 64 cells: system, west and north edge, cell.
 FILES = [("EPSG:4326", 110.0, 32.0, 0.02), ("EPSG:3857", 12278539.8, 3670000.0, 2000.0), ("EPSG:32649", 404000.0, 3540000.0, 2000.0)]
 

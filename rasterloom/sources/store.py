@@ -16,6 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from rasterloom.functions.grid import morton
+from rasterloom.operators.levels import pyramid_tiles
 from rasterloom.operators.raster import pyramid
 from rasterloom.sources import jpeg
 from rasterloom.sources.files import Ranges
@@ -137,6 +138,13 @@ def write_layer(px: DataFrame, layer: str, zoom: int, path: str, tile: int = 256
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer_id", "zoom").parquet(path)
 
 
+def write_tile_layer(tiles: DataFrame, layer: str, zoom: int, path: str, size: int = 256) -> None:
+    """`write_layer` of whole tiles (band, col, row, cells): rows of band, col, row and cells for each zoom, in Z-order."""
+    levels = pyramid_tiles(tiles, zoom, size).select(F.lit(layer).alias("layer_id"), (zoom - F.col("level")).alias("zoom"), "band", "col", "row", "cells")
+    out = levels.withColumn("z", morton(F.col("col"), F.col("row"))).repartition("zoom", "z").sortWithinPartitions("zoom", "z", "band")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer_id", "zoom").parquet(path)
+
+
 def write_images(tiles: DataFrame, layer: str, zoom: int, path: str, kind: str = "png", options: dict | None = None, mode: str = "append") -> int:
     """Files path/layer/zoom/kind/col-row.kind, from the executors to a shared folder or object store, all of them or none; how many.
 

@@ -59,6 +59,27 @@ def test_what_is_sent(spark):
     assert {r.v for r in raster.from_tiles(mean, 16).select("v").distinct().collect()} == {1}
 
 
+def test_pyramid_of_tiles(spark, px, tmp_path):
+    """Equal to the pixel form at every level, also left and above of the origin; stored by layer and zoom in Z-order."""
+    from rasterloom.operators.levels import pyramid_tiles
+    from rasterloom.sources.store import write_tile_layer
+
+    near = px.where("y < 100").withColumn("x", F.col("x") - 13).withColumn("y", F.col("y") - 5)
+    tiles = raster.to_tiles(near, 8)
+    want = {(r.level, r.band, r.y, r.x): round(r.v, 9) for r in raster.pyramid(near, 3).collect() if r.v is not None}
+    rows = pyramid_tiles(tiles, 3, 8)
+    got = {}
+    for k in range(4):
+        got |= {(k, *key): round(v, 9) for key, v in cells_of(rows.where(F.col("level") == k), 8).items()}
+    assert got == want
+    write_tile_layer(tiles, "a", 3, str(tmp_path / "s"), 8)
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    assert {(r.zoom, r.n) for r in stored.groupBy("zoom").agg(F.count("*").alias("n")).collect()} == {(3 - r.level, r.n) for r in rows.groupBy("level").agg(F.count("*").alias("n")).collect()}
+    with pytest.raises(ValueError):
+        pyramid_tiles(tiles, 1, 7)
+    assert pyramid_tiles(tiles.limit(0), 2, 8).count() == 0
+
+
 def test_refused_and_empty(spark, px):
     with pytest.raises(ValueError):
         halo.terrain_kernel("ruggedness")
