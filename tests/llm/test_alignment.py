@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from rasterloom.llm import alignment
 from rasterloom.llm.queries import tokenizer_file
-from test_operators import corpus, docs, empty  # noqa: F401
+from test_operators import docs, empty  # noqa: F401
 
 A, B = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
 

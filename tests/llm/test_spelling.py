@@ -9,7 +9,7 @@ from itertools import permutations
 import pytest
 
 from rasterloom.llm import spelling
-from test_operators import LOWER, corpus, docs, empty  # noqa: F401
+from test_operators import LOWER, docs, empty  # noqa: F401
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 

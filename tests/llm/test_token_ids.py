@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from rasterloom.llm import token_ids
 from rasterloom.llm.queries import tokenizer_file
-from test_operators import corpus, docs, empty  # noqa: F401
+from test_operators import docs, empty  # noqa: F401
 
 FILE = tokenizer_file("byte_bpe_50k.json")
 
