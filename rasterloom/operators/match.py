@@ -65,24 +65,45 @@ def extent_join(a: DataFrame, b: DataFrame, bucket: float) -> DataFrame:
     return joined.where(meets("a_", "b_") & (F.col("gx") == low("xmin")) & (F.col("gy") == low("ymin"))).drop("gx", "gy")
 
 
+#: About as many items of lists one task returns, unless the keys of one copy of a list have more. A list of more than LONG_LIST items is dealt to
+#: so few keys at a time that they have twice as many together.
+TASK_ITEMS, LONG_LIST = 1 << 22, 1 << 17
+
+
 def met_lists(a: DataFrame, keys: list[str], b: DataFrame, item: Column, name: str, bucket: float, form: Callable[[Column], Column] | None, most: int = 1000) -> DataFrame:
     """Each key of a whose extents meet one of b, with what form makes of the sorted items of the rows of b that they meet.
 
     Rows of equal extents meet the same ones, so extents are joined once however many rows have them: b's by lists of items,
     a's by classes of keys with the same extents. A class's list is made once and dealt to its keys, `most` to a copy of it.
+
+    Copies go to numbered tasks, so that a task returns either few items or rows of one list only. Where a task began with
+    many rows of one large list and went on with another, a Parquet writer, which keeps repeated values once as long as they are
+    few, would see almost nothing in its first 100 rows, not look again for up to 10,000 and by then hold gigabytes. The items
+    are counted beforehand by a join without lists, which is run at once.
     """
-    own, kind, n, deal, items = (f"_{x}" for x in ("extents", "kind", "n", "deal", "items"))
+    own, kind, k, m, n, part, share, start, first, deal, task, held, items = (f"_{x}" for x in ("extents", "kind", "k", "m", "n", "part", "share", "start", "first", "deal", "task", "held", "items"))
     there = [F.col(c).isNotNull() for c in BOX]
     owned = a.where(there[0] & there[1] & there[2] & there[3]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*BOX))).alias(own))
-    classes = owned.groupBy(own).agg(F.ceil(F.count("*") / most).cast("int").alias(n))
+    classes = owned.groupBy(own).agg(F.count("*").alias(k))
+    counts = extent_join(classes.select(own, k, F.inline(own)), b.groupBy(*BOX).agg(F.count("*").alias(m)), bucket)
+    sizes = counts.groupBy(F.col(f"a_{own}").alias(kind), F.col(f"a_{k}").alias(k)).agg(F.sum(f"b_{m}").alias(m))
+    # copies of each list, and what one of them takes of a task; those that take a whole one come first, so that they begin with it
+    rows = F.when(F.col(m) > LONG_LIST, F.greatest(F.lit(1), F.least(F.lit(most), F.floor(2 * TASK_ITEMS / F.col(m))))).otherwise(most)
+    sizes = sizes.withColumn(n, F.ceil(F.col(k) / rows)).withColumn(share, F.least(F.lit(TASK_ITEMS), F.ceil((F.col(m) + 8) * F.col(k) / F.col(n))))
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    before = Window.partitionBy(part).orderBy(F.desc(share), kind).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn(part, F.pmod(F.xxhash64(kind), F.lit(parts))).withColumn(start, F.coalesce(F.sum(F.col(n) * F.col(share)).over(before), F.lit(0))).persist()
+    # of each part only its number of tasks meets the others' in one task
+    ends = sizes.groupBy(part).agg(F.ceil(F.max(F.col(start) + F.col(n) * F.col(share)) / TASK_ITEMS).alias(task))
+    firsts = ends.select(part, (F.sum(task).over(Window.orderBy(part)) - F.col(task)).alias(first))
+    place = F.col(first) + F.floor((F.col(start) + F.col(deal) * F.col(share)) / TASK_ITEMS)
     lists = b.groupBy(*BOX).agg(F.collect_list(item).alias(items))
-    met = extent_join(classes.select(own, n, F.inline(own)), lists, bucket).groupBy(F.col(f"a_{own}").alias(kind), F.col(f"a_{n}").alias(n))
-    made = met.agg(F.sort_array(F.flatten(F.collect_list(f"b_{items}"))).alias(name))
+    made = extent_join(sizes.select(kind, F.inline(kind)), lists, bucket).groupBy(F.col(f"a_{kind}").alias(kind)).agg(F.sort_array(F.flatten(F.collect_list(f"b_{items}"))).alias(name))
     if form:
         made = made.withColumn(name, form(F.col(name)))
-    made = made.select(kind, F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(deal), name)
-    dealt = owned.join(classes, own).withColumn(deal, F.pmod(F.xxhash64(*keys), F.col(n)).cast("int")).withColumnRenamed(own, kind)
-    return dealt.join(made, [kind, deal]).select(*keys, name)
+    dealt = owned.withColumnRenamed(own, kind).join(sizes.join(F.broadcast(firsts), part), kind).withColumn(deal, F.pmod(F.xxhash64(*keys), F.col(n)))
+    copies = dealt.withColumn(task, place.cast("int")).groupBy(kind, deal, task).agg(F.collect_list(F.struct(*keys)).alias(held))
+    return copies.join(made, kind).select(task, held, name).repartitionById(ends.agg(F.sum(task)).first()[0] or 1, task).select(F.inline(held), name)
 
 
 def match_inverted(tiles: DataFrame, codes: DataFrame, bucket: float, form: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -189,6 +189,23 @@ def test_rows_of_equal_extents_are_joined_once(spark, monkeypatch, strategy):
     assert sum(j.count() for j in joined) <= 10
 
 
+def test_a_task_returns_few_items_or_one_list(spark, monkeypatch):
+    """Lists of many keys apart, so that a writer sees the size of its rows; long ones dealt to few keys at a time."""
+    monkeypatch.setattr(match, "TASK_ITEMS", 2000, raising=False)
+    monkeypatch.setattr(match, "LONG_LIST", 150, raising=False)
+    wide = {g: 100 for g in range(8)} | {8: 300, 9: 2, 10: 2, 11: 3}
+    a = [(g * 1000 + i, 9.0 * g, 0.0, 9.0 * g + 1, 1.0) for g, n in wide.items() for i in range(n)]
+    b = [(g, i, 9.0 * g, 0.5, 9.0 * g + 2, 1.0) for g in wide for i in range(60)] + [(99, 0, 0.0, 7.0, 0.0, 7.0)]
+    tiles = spark.createDataFrame(a, "id int, xmin double, ymin double, xmax double, ymax double")
+    codes = spark.createDataFrame(b, "col int, row int, xmin double, ymin double, xmax double, ymax double")
+    rows = match.match_forward(tiles, codes, 4.0).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.col, r.row, *r.tiles) for r in rows) == [(g, i, *range(g * 1000, g * 1000 + n)) for g, n in wide.items() for i in range(60)]
+    tasks = {t: [r for r in rows if r.task == t] for t in {r.task for r in rows}}
+    for own in tasks.values():
+        assert len({r.col for r in own}) == 1 or sum(len(r.tiles) for r in own) <= 4000
+    assert len({r.task for r in rows if r.col == 8}) > 2 and all(len({r.task for r in rows if r.col == g}) == 1 for g in range(8))
+
+
 def test_scalars(spark):
     one = spark.range(1)
     forms = ["2015-10-02 03:04:05", "2015/10/02 03:04:05", "2015-10-02", "2015/10/02", "gestern", None]
